@@ -10,6 +10,7 @@ from ..session import table
 from .bpe import bpe_digests
 from .language import language_predictions
 from .licenses import license_digests
+from .ngram_join import jaccard_components
 from .secret_scan import secret_digests
 from .token_counts import token_report
 
@@ -26,6 +27,10 @@ def _pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_multi_50k.tiktoken"), _pattern())
 
@@ -47,7 +52,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_byte_bpe, op5_secret_scan, op6_token_counts, op7_language_id, op9_license_scan)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op3_byte_bpe, op5_secret_scan, op6_token_counts, op7_language_id, op9_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
