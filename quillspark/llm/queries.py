@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
 from .bpe import bpe_digests
+from .decontam import contamination
 from .language import language_predictions
 from .licenses import license_digests
+from .merkle import edit_report
 from .ngram_join import jaccard_components
 from .secret_scan import secret_digests
 from .token_counts import token_report
@@ -47,12 +49,20 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_predictions(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digests(table(spark, sf_dir, "documents"))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op3_byte_bpe, op5_secret_scan, op6_token_counts, op7_language_id, op9_license_scan)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op3_byte_bpe, op5_secret_scan, op6_token_counts, op7_language_id, op8_decontamination, op9_license_scan, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
