@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import table
 from .bpe import bpe_digests
 from .decontam import contamination
+from .html_crf import page_texts
 from .language import language_predictions
 from .licenses import license_digests
 from .merkle import edit_report
@@ -37,6 +38,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_multi_50k.tiktoken"), _pattern())
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_texts(table(spark, sf_dir, "pages"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(table(spark, sf_dir, "documents"))
 
@@ -62,7 +67,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op3_byte_bpe, op5_secret_scan, op6_token_counts, op7_language_id, op8_decontamination, op9_license_scan, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op3_byte_bpe, op4_main_text, op5_secret_scan, op6_token_counts, op7_language_id, op8_decontamination, op9_license_scan, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
