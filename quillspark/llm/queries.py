@@ -15,6 +15,7 @@ from .licenses import license_digests
 from .merkle import edit_report
 from .ngram_join import jaccard_components
 from .secret_scan import secret_digests
+from .suffix_dedup import passage_dedup
 from .token_counts import token_report
 
 
@@ -34,6 +35,10 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_multi_50k.tiktoken"), _pattern())
 
@@ -67,7 +72,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op3_byte_bpe, op4_main_text, op5_secret_scan, op6_token_counts, op7_language_id, op8_decontamination, op9_license_scan, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_suffix_dedup, op3_byte_bpe, op4_main_text, op5_secret_scan, op6_token_counts, op7_language_id, op8_decontamination, op9_license_scan, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
