@@ -1,15 +1,286 @@
-"""The registered queries over the driver's tables, and their SQL."""
+"""The registered queries over the driver's tables, each an operator of the archive, and their SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import decode, extract
+from ..functions import text as tx
+from ..operators import hierarchy, linkage, naming, relational, search
+from ..operators.components import connected_components
+from ..operators.filters import SearchFilter, compile_filter, table_query
+from ..session import table
+from ..streaming import archive
+from .views import folders, order_documents
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def registered(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+_QUERY, _MIN = '"the of" or thand -breakage', 0.2
+
+
+@registered("SELECT o_orderkey AS id, o_totalprice AS total FROM orders ORDER BY o_orderdate DESC NULLS LAST, o_orderkey DESC LIMIT 51 OFFSET 100")
+def browse_orders(spark: SparkSession, sf: str) -> DataFrame:
+    page = order_documents(spark, sf)
+    return relational.browse(page, 50, 100).select("id", "total")
+
+
+@registered("SELECT p_partkey AS id, p_type AS mime FROM part WHERE (p_type LIKE 'PROMO%' OR p_type IN ('SMALL PLATED COPPER')) AND p_size BETWEEN 10 AND 30")
+def filter_kind_range(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "part")
+    return p.filter((F.col("p_type").startswith("PROMO") | F.col("p_type").isin("SMALL PLATED COPPER")) & F.col("p_size").between(10, 30)).select(F.col("p_partkey").alias("id"), F.col("p_type").alias("mime"))
+
+
+@registered("SELECT o_orderkey AS id FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1995-01-01' AND DATE '1995-03-31' AND o_totalprice IS NOT NULL")
+def filter_date_receipt(spark: SparkSession, sf: str) -> DataFrame:
+    docs = order_documents(spark, sf).withColumn("vendor", F.lit(None).cast("string"))
+    return docs.filter(compile_filter(SearchFilter(date_from="1995-01-01", date_to="1995-03-31", has_receipt=True))).select("id")
+
+
+@registered("SELECT c_custkey AS id, c_acctbal AS balance FROM customer WHERE c_acctbal >= 0 AND c_mktsegment IN ('BUILDING', 'MACHINERY') ORDER BY c_acctbal DESC, c_custkey LIMIT 40 OFFSET 5")
+def generated_list(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"), "c_mktsegment")
+    return table_query(c, {"balance": {"gte": 0}, "c_mktsegment": {"inArray": ["BUILDING", "MACHINERY"]}}, {"balance": ("desc", 2), "id": ("asc", 1)}, 40, 5).select("id", "balance")
+
+
+@registered("SELECT count(*) FILTER (o_orderstatus = 'F') AS n_ready, count(*) FILTER (o_orderstatus = 'O') AS n_uploaded, count(*) FILTER (o_orderstatus = 'P') AS n_processing, count(*) FILTER (o_orderstatus = 'X') AS n_failed FROM orders")
+def count_by_status(spark: SparkSession, sf: str) -> DataFrame:
+    return relational.counts_by(order_documents(spark, sf), "status", ["ready", "uploaded", "processing", "failed"])
+
+
+@registered("SELECT o_orderkey AS id, (SELECT max(l_shipdate) FROM lineitem WHERE l_orderkey = o_orderkey) AS last_finished FROM orders WHERE o_orderstatus = 'F'")
+def last_finished(spark: SparkSession, sf: str) -> DataFrame:
+    ready = order_documents(spark, sf).filter("status = 'ready'")
+    return relational.with_last_child(ready, table(spark, sf, "lineitem"), "id", "l_orderkey", "l_shipdate", "last_finished").select("id", "last_finished")
+
+
+@registered("SELECT o_orderkey AS id FROM orders WHERE (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') < 2")
+def missing_steps(spark: SparkSession, sf: str) -> DataFrame:
+    steps = table(spark, sf, "lineitem").filter("l_returnflag = 'R'")
+    return relational.missing_children(order_documents(spark, sf), steps, "id", "l_orderkey", 2).select("id")
+
+
+@registered("SELECT sha256(text) AS digest, array_to_string(list(doc_id ORDER BY doc_id), ',') AS ids FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1")
+def duplicates_by_hash(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select(F.lit(1).alias("owner"), F.sha2("text", 256).alias("digest"), "doc_id")
+    return relational.duplicates(docs, "owner", "digest", "doc_id", "doc_id").select("digest", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+
+
+@registered("SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') || ',' || o_orderpriority || ',' || CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR) || ',' || CASE WHEN c_mktsegment IS NULL THEN '' ELSE c_mktsegment END || chr(13) || chr(10) AS line FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1996-02-01'")
+def receipts_export(spark: SparkSession, sf: str) -> DataFrame:
+    o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
+    o = o.filter((F.col("o_orderdate") >= F.lit("1996-01-01").cast("timestamp_ntz")) & (F.col("o_orderdate") < F.lit("1996-02-01").cast("timestamp_ntz")))
+    rows = o.join(c, o.o_custkey == c.c_custkey, "left").select(F.col("o_orderkey").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.col("o_orderpriority").alias("vendor"), F.round(F.col("o_totalprice") * 100).cast("long").alias("total"), F.col("c_mktsegment").alias("title"))
+    return relational.csv_lines(rows, [("date", False), ("vendor", False), ("total", True), ("title", False)]).select("id", "line")
+
+
+@registered("SELECT count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS lines FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey % 10 = 3)")
+def semi_join_scope(spark: SparkSession, sf: str) -> DataFrame:
+    own = table(spark, sf, "orders").filter("o_custkey % 10 = 3")
+    chunks = table(spark, sf, "lineitem")
+    return chunks.join(own, chunks.l_orderkey == own.o_orderkey, "left_semi").agg(F.count("*").alias("n"), F.sum("l_linenumber").alias("lines"))
+
+
+@registered("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1)")
+def anti_join_known(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").join(table(spark, sf, "labels").filter("quality = 1"), "doc_id", "left_anti").select("doc_id")
+
+
+@registered("SELECT conv_id, array_to_string(list(role ORDER BY turn), '>') AS roles, CAST(count(*) AS BIGINT) AS turns FROM conversations GROUP BY conv_id")
+def nest_children_ordered(spark: SparkSession, sf: str) -> DataFrame:
+    turns = table(spark, sf, "conversations")
+    nested = relational.nest_children(turns.select("conv_id").distinct(), turns.withColumnRenamed("conv_id", "c"), "conv_id", "c", "turn", ["role"], "steps")
+    return nested.select("conv_id", F.array_join(F.transform("steps", lambda s: s["role"]), ">").alias("roles"), F.size("steps").cast("long").alias("turns"))
+
+
+@registered("SELECT event_id FROM events WHERE event_type = (SELECT min(event_type) FROM events) AND ts <= (SELECT min(ts) + INTERVAL 10 DAY FROM events)")
+def trash_retention(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events")
+    low = e.agg(F.min("ts").alias("t"), F.min("event_type").alias("k")).first()
+    import datetime as dt
+
+    due = relational.trash_due(e.withColumn("deleted_at", F.when(F.col("event_type") == low["k"], F.col("ts"))), "deleted_at", str(low["t"] + dt.timedelta(days=10)))
+    return due.select("event_id")
+
+
+_TREE = "WITH RECURSIVE f AS (SELECT 'r' || r_regionkey AS id, CAST(NULL AS VARCHAR) AS parent_id, r_name AS name, r_regionkey % 3 = 0 AS shared FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name, n_nationkey % 5 = 0 FROM nation), t AS (SELECT id, name AS path, 1 AS depth, shared AS visible, CASE WHEN shared THEN id END AS nearest_shared, [id] AS ids FROM f WHERE parent_id IS NULL UNION ALL SELECT f.id, t.path || '/' || f.name, t.depth + 1, t.visible OR f.shared, CASE WHEN f.shared THEN f.id ELSE t.nearest_shared END, list_append(t.ids, f.id) FROM f JOIN t ON f.parent_id = t.id) "
+
+
+@registered(_TREE + "SELECT id, path, depth FROM t")
+def folder_paths(spark: SparkSession, sf: str) -> DataFrame:
+    return hierarchy.folder_tree(folders(spark, sf)).select("id", "path", "depth")
+
+
+@registered(_TREE + "SELECT id, path FROM t WHERE list_contains(ids, 'r2')")
+def folder_descendants(spark: SparkSession, sf: str) -> DataFrame:
+    return hierarchy.descendants(hierarchy.folder_tree(folders(spark, sf)), "r2").select("id", "path")
+
+
+@registered(_TREE + "SELECT id, path, nearest_shared FROM t WHERE visible")
+def shared_folders(spark: SparkSession, sf: str) -> DataFrame:
+    return hierarchy.folder_tree(folders(spark, sf), shared="mcp_enabled").filter("visible").select("id", "path", "nearest_shared")
+
+
+@registered("SELECT p_brand AS name, CAST(count(*) AS BIGINT) AS n FROM part GROUP BY p_brand")
+def folder_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part").groupBy(F.col("p_brand").alias("name")).agg(F.count("*").alias("n"))
+
+
+@registered("SELECT id, CASE WHEN n = 1 THEN title ELSE title || ' (' || n || ')' END AS new_title FROM (SELECT o_orderkey AS id, o_orderpriority AS title, row_number() OVER (PARTITION BY o_custkey, lower(o_orderpriority) ORDER BY o_orderdate, o_orderkey) AS n FROM orders)")
+def rename_rank(spark: SparkSession, sf: str) -> DataFrame:
+    return relational.rename_rank(order_documents(spark, sf), "user_id", "title", "created_at", "id").select("id", "new_title")
+
+
+@registered()
+def free_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders of late 1997 filed beside those before: each gets a free name in its customer's folder."""
+    docs = order_documents(spark, sf).withColumn("folder_id", F.lit(None).cast("string"))
+    late = F.col("document_date") >= F.lit("1997-07-01").cast("date")
+    return naming.assign_names(docs.filter(late).select("id", "user_id", "folder_id", "title", "created_at"), docs.filter(~late)).select("id", "new_name")
+
+
+@registered("SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings ORDER BY vec_id LIMIT 1)), 4) AS score FROM embeddings ORDER BY list_cosine_similarity(embedding, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1)) DESC, vec_id LIMIT 50")
+def knn_cosine(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings")
+    query = e.orderBy("vec_id").first()["embedding"]
+    top = search.ranked(e, search.unit_dot(F.col("embedding"), query), "vec_id", 50)
+    return top.select("vec_id", F.round("score", 4).alias("score"))
+
+
+@registered("SELECT label, i - 1 AS i, round(avg(x), 5) AS x FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i")
+def vector_mean(spark: SparkSession, sf: str) -> DataFrame:
+    mean = search.vector_mean(table(spark, sf, "embeddings"), "label", "embedding")
+    return mean.select("label", F.posexplode("mean").alias("i", "x")).select("label", F.col("i").cast("long").alias("i"), F.round("x", 5).alias("x"))
+
+
+_WORDS = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
+
+
+@registered(f"SELECT doc_id, CAST(len(list_filter({_WORDS}, lambda w: w = 'the')) AS BIGINT) AS n FROM documents WHERE list_contains({_WORDS}, 'the') AND list_contains({_WORDS}, 'from') AND NOT list_contains({_WORDS}, 'with')")
+def keyword_match(spark: SparkSession, sf: str) -> DataFrame:
+    tokens = tx.words(F.col("text"))
+    hit = table(spark, sf, "documents").filter(search.matches(tokens, search.parse_query("the from -with")))
+    return hit.select("doc_id", F.round(search.cover_rank(tokens, search.parse_query("the")) * 10).cast("long").alias("n"))
+
+
+@registered(
+    "WITH m AS (SELECT vec_id AS id, row_number() OVER (ORDER BY list_cosine_similarity(embedding, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1)) DESC, vec_id) AS r FROM embeddings), w AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM documents), l AS (SELECT id, r FROM m WHERE r <= 50 UNION ALL SELECT id, r FROM w WHERE r <= 50) SELECT id, round(sum(1.0 / (60 + r)), 6) AS score FROM l GROUP BY id"
+)
+def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings")
+    query = e.orderBy("vec_id").first()["embedding"]
+    one = search.ranked(e.withColumnRenamed("vec_id", "id"), search.unit_dot(F.col("embedding"), query), "id", 50)
+    two = search.ranked(table(spark, sf, "documents").withColumnRenamed("doc_id", "id"), F.col("n_chars"), "id", 50)
+    legs = one.select("id", "rank").unionByName(two.select("id", "rank"))
+    return legs.groupBy("id").agg(F.round(F.sum(F.lit(1.0) / (60 + F.col("rank"))), 6).alias("score"))
+
+
+@registered("SELECT l_orderkey AS document_id, max_by(l_linenumber, struct_pack(a := l_extendedprice, b := -l_linenumber)) AS best, max(l_extendedprice) AS score FROM lineitem GROUP BY l_orderkey")
+def docs_by_best_passage(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("document_id")).agg(F.max_by("l_linenumber", F.struct("l_extendedprice", -F.col("l_linenumber"))).alias("best"), F.max("l_extendedprice").alias("score"))
+
+
+@registered()
+def chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(tx.passages_udf("text", F.lit("text/plain"), F.lit("plain"))).alias("position", "p"))
+    return rows.select("doc_id", "position", "p.heading", "p.content")
+
+
+@registered()
+def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks, embeds and searches all documents: meaning, words and titles, fused."""
+    query = "the breakage of thand"
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.substring_index("text", ".", 1).alias("title"))
+    passages = chunk_documents(spark, sf).select(F.concat_ws("-", "doc_id", "position").alias("id"), F.col("doc_id").alias("document_id"), "content")
+    chunks = passages.withColumn("embedding", tx.embedder()(F.col("content")))
+    return search.hybrid_search(docs, chunks, query, tx.hash_embedding(query), min_cosine=_MIN)
+
+
+FLAGSHIP = hybrid_search
+
+
+@registered()
+def html_text(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").select("page_id", decode.html_text_udf("html").alias("text"))
+
+
+@registered("SELECT doc_id, CAST(NULL AS VARCHAR) AS day FROM documents WHERE regexp_matches(text, '[0-9]')")
+def document_dates(spark: SparkSession, sf: str) -> DataFrame:
+    """The tables hold no dates, only addresses and numbers that look like some: all null."""
+    d = table(spark, sf, "documents").filter(F.col("text").rlike("[0-9]"))
+    return d.select("doc_id", extract.document_dates(F.col("text"), "2026-05-20").cast("string").alias("day"))
+
+
+@registered("SELECT a.event_id AS a, b.event_id AS b, CAST(epoch(b.ts) - epoch(a.ts) AS BIGINT) AS gap_s FROM (SELECT event_id, user_id, date_trunc('second', ts) AS ts FROM events) a JOIN (SELECT event_id, user_id, date_trunc('second', ts) AS ts FROM events) b ON a.user_id = b.user_id AND (a.ts < b.ts OR (a.ts = b.ts AND a.event_id < b.event_id)) AND epoch(b.ts) - epoch(a.ts) <= 3600")
+def pair_window_join(spark: SparkSession, sf: str) -> DataFrame:
+    return linkage.band_pairs(table(spark, sf, "events"), ["user_id"], "ts", "event_id", 3600)
+
+
+@registered("WITH e AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 1 HOUR THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 1 HOUR AS fires_at, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY user_id, k")
+def session_debounce(spark: SparkSession, sf: str) -> DataFrame:
+    return archive.quiet_periods(table(spark, sf, "events"), "user_id", "ts", 3600)
+
+
+@registered("SELECT event_id, attempts, attempts > 2 AS refused FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS attempts FROM events)")
+def sliding_rate_limit(spark: SparkSession, sf: str) -> DataFrame:
+    return archive.rate_limited(table(spark, sf, "events"), "user_id", "ts", ["event_id"], 2, 3600).select("event_id", "attempts", "refused")
+
+
+@registered("SELECT user_id, arg_max(event_type, struct_pack(a := ts, b := event_id)) AS last_kind, min(ts) AS first_at, max(ts) AS last_at, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY user_id")
+def pipeline_state_fold(spark: SparkSession, sf: str) -> DataFrame:
+    return archive.fold_events(table(spark, sf, "events"), "user_id", "ts", "event_type", "event_id")
+
+
+@registered(
+    "WITH RECURSIVE e AS (SELECT DISTINCT c_custkey AS a, -1 - s_suppkey AS b FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_custkey % 97 = s_suppkey % 97 AND c_mktsegment = 'BUILDING'), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS seen FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.seen = u.a) SELECT node, min(seen) AS component FROM r GROUP BY node"
+)
+def linkage_components(spark: SparkSession, sf: str) -> DataFrame:
+    c, s = table(spark, sf, "customer").filter("c_mktsegment = 'BUILDING'"), table(spark, sf, "supplier")
+    edges = c.join(s, (c.c_nationkey == s.s_nationkey) & (c.c_custkey % 97 == s.s_suppkey % 97)).select(F.col("c_custkey").alias("src"), (-1 - F.col("s_suppkey")).alias("dst"))
+    return connected_components(edges)
+
+
+@registered("SELECT coalesce(a.k, b.k) AS member_key, CASE WHEN a.k IS NULL THEN 'insert' WHEN a.status <> 'open' THEN 'keep' WHEN b.k IS NOT NULL THEN 'update' ELSE 'delete' END AS action FROM (SELECT doc_id AS k, CASE WHEN toxic = 1 THEN 'dismissed' ELSE 'open' END AS status FROM labels) a FULL JOIN (SELECT doc_id AS k FROM documents WHERE doc_id % 2 = 0) b ON a.k = b.k")
+def reconcile_plan(spark: SparkSession, sf: str) -> DataFrame:
+    stored = table(spark, sf, "labels").select(F.col("doc_id").alias("member_key"), F.when(F.col("toxic") == 1, "dismissed").otherwise("open").alias("status"))
+    return linkage.reconcile(stored, table(spark, sf, "documents").filter("doc_id % 2 = 0").select(F.col("doc_id").alias("member_key")))
+
+
+@registered("SELECT event_type AS kind, CAST(count(*) AS BIGINT) AS n, round(avg(value), 6) AS mean FROM events GROUP BY event_type")
+def counts_by_kind(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+@registered("SELECT c_custkey AS id, CASE WHEN regexp_matches(c_name, '^[=+@-]') THEN '''' || c_name ELSE c_name END AS cell FROM customer")
+def csv_cells(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), relational.csv_cell(F.col("c_name")).alias("cell"))
 
 
-def FLAGSHIP(spark, sf_dir):  # noqa: N802
-    raise NotImplementedError
+@registered("SELECT l_orderkey AS id, array_to_string(list(l_shipmode ORDER BY l_linenumber, l_shipmode), '|') AS text FROM (SELECT l_orderkey, l_linenumber, l_returnflag || l_linestatus AS l_shipmode FROM lineitem) GROUP BY l_orderkey")
+def merge_texts(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.concat("l_returnflag", "l_linestatus").alias("t"))
+    rows = pages.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "t"))).alias("p"))
+    return rows.select("id", F.array_join(F.transform("p", lambda x: x["t"]), "|").alias("text"))
