@@ -62,9 +62,21 @@ class Scratch:
 
     def _write(self, df: DataFrame, name: str) -> tuple[DataFrame, str]:
         path = f"{shared_dir(self.spark)}/quillspark/{name}-{uuid.uuid4().hex[:12]}"
-        df.write.option("compression", "zstd").parquet(path)
+        with self._shuffles_go():
+            df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path), path
 
+    @contextlib.contextmanager
+    def _shuffles_go(self):
+        """The written table cuts the lineage, so the shuffle files behind it are removed as soon as it stands."""
+        name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(name, None)
+        self.spark.conf.set(name, "true")
+        try:
+            yield
+        finally:
+            self.spark.conf.set(name, before) if before is not None else self.spark.conf.unset(name)
+
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         df, path = self._write(df, name)
         self.paths.append(path)
