@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,27 +26,31 @@ def free_name(name: str, taken: set[str], most: int = ARCHIVE.title_chars) -> st
 def assign_names(new: DataFrame, taken: DataFrame, owner: str = "user_id", folder: str = "folder_id", name: str = "title", order: str = "created_at", most: int = ARCHIVE.title_chars) -> DataFrame:
     """Adds ``new_name``: each new row gets a free name in its folder, in order; each given name is taken from then on.
 
-    Names depend on each other only within (owner, folder, lower-cased name), as a numbering of one name seldom is
-    another's: groups are by the name without its number, so a crowded folder is many small groups.
+    Names depend on each other only within (owner, folder, name without its number, in any case). Rows are sorted by
+    that, taken ones first, and gone through as a stream: a task holds the taken names of one such group.
     """
-    stem = F.lower(F.regexp_replace(F.col(name), r"( \(\d+\))+$", ""))
+    stem = F.substring(F.lower(F.regexp_replace(F.col(name), r"( \(\d+\))+$", "")), 1, most - 12)
     keys = ["__owner", "__folder", "__stem"]
-    base = lambda df: df.withColumn("__owner", F.col(owner).cast("string")).withColumn("__folder", F.coalesce(F.col(folder).cast("string"), F.lit(""))).withColumn("__stem", F.substring(stem, 1, most - 12))
-    fresh = base(new).withColumn("__new", F.lit(True))
-    held = base(taken).select(*keys, F.col(name).alias("__name"))
-    schema = T.StructType([*new.schema.fields, T.StructField("new_name", T.StringType())])
+    keyed = lambda df: df.withColumn("__owner", F.col(owner).cast("string")).withColumn("__folder", F.coalesce(F.col(folder).cast("string"), F.lit(""))).withColumn("__stem", stem).withColumn("__name", F.col(name))
+    fresh = keyed(new).withColumn("__new", F.lit(True))
+    held = keyed(taken).select(*keys, "__name", F.lit(False).alias("__new"))
     columns = new.columns
 
-    def name_group(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        used = {str(x).lower() for x in right["__name"]}
-        left = left.sort_values(order, kind="stable")
-        names = []
-        for x in left[name]:
-            got = free_name(x, used, most)
-            used.add(got.lower())
-            names.append(got)
-        out = left[columns].reset_index(drop=True)
-        out["new_name"] = pd.Series(names, dtype=object)
-        return out
-
-    return fresh.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(name_group, schema)
+    def run(batches):
+        used, now = set(), None
+        for batch in batches:
+            mask, names = [], []
+            for key, text, is_new in zip(zip(*[batch.column(k).to_pylist() for k in keys], strict=True), batch.column("__name").to_pylist(), batch.column("__new").to_pylist(), strict=True):
+                if key != now:
+                    used, now = set(), key
+                if is_new:
+                    text = free_name(text or "", used, most)
+                    names.append(text)
+                used.add((text or "").lower())
+                mask.append(is_new)
+            kept = batch.filter(pa.array(mask, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*[kept.column(c) for c in columns], pa.array(names, pa.string())], [*columns, "new_name"])
+
+    schema = T.StructType([*new.schema.fields, T.StructField("new_name", T.StringType())])
+    rows = fresh.unionByName(held, allowMissingColumns=True).repartition(*keys).sortWithinPartitions(*keys, "__new", order)
+    return rows.mapInArrow(run, schema)
