@@ -66,8 +66,8 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.split(a, r"\|")[0] == F.split(b, r"\|")[0], 1.0).otherwise(F.least(share, F.lit(1.0))).cast("double")
 
 
-def with_next(documents: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", buckets: int = 2048) -> DataFrame:
-    """(doc_id, text, fp, next_text, next_fp): each document with the one that follows in descending id; after the last, the first.
+def with_next(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 2048) -> DataFrame:
+    """(doc_id, text, next_text): each document with the one that follows in descending id; after the last, the first.
 
     Ids are dealt into a fixed number of ranges. A range's largest row is also sent to the range that comes
     before it in order, where it follows the smallest; so texts are shuffled once and no window
@@ -79,19 +79,20 @@ def with_next(documents: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
     bucket = F.coalesce(F.floor((F.col("doc_id") - low) / width), F.lit(-1)).cast("int")
     # the first row of each range in descending order, by (id, digest of the text)
     order = F.struct(F.coalesce("doc_id", F.lit(low - 1)).alias("i"), F.sha2("text", 256).alias("h"))
-    tops = scratch.keep(rows.groupBy(bucket.alias("bucket")).agg(F.max(order).alias("top")), "tops")
+    with Scratch(documents.sparkSession) as scratch:
+        tops = scratch.result(rows.groupBy(bucket.alias("bucket")).agg(F.max(order).alias("top")), "tops")
     from pyspark.sql import Window
 
     around = Window.orderBy("bucket")  # over at most buckets + 1 rows, a fixed bound
     above = tops.select("bucket", F.lead("bucket").over(around).alias("up"), F.min("bucket").over(Window.partitionBy()).alias("lowest"))
     # the range above gets this range's top row; the very first row wraps around to the lowest range
     sent = F.broadcast(above.select("bucket", F.coalesce("up", "lowest").alias("to")).join(tops, "bucket"))
-    keyed = with_fingerprint(rows, "text", "fp").withColumn("bucket", bucket).withColumn("key", order)
+    keyed = rows.withColumn("bucket", bucket).withColumn("key", order)
     guests = keyed.join(sent, (keyed.bucket == sent.bucket) & (keyed.key == sent.top), "left_semi").dropDuplicates(["key"])
-    moved = guests.join(sent.select(F.col("bucket").alias("b"), "to"), guests.bucket == F.col("b")).select("doc_id", "text", "fp", F.col("to").alias("bucket"), "key", F.lit(True).alias("guest"))
-    both = keyed.select("doc_id", "text", "fp", "bucket", "key", F.lit(False).alias("guest")).unionByName(moved)
+    moved = guests.join(sent.select(F.col("bucket").alias("b"), "to"), guests.bucket == F.col("b")).select("doc_id", "text", F.col("to").alias("bucket"), "key", F.lit(True).alias("guest"))
+    both = keyed.select("doc_id", "text", "bucket", "key", F.lit(False).alias("guest")).unionByName(moved)
     along = Window.partitionBy("bucket").orderBy("guest", F.desc("key"))
-    return both.withColumn("next_text", F.lead("text").over(along)).withColumn("next_fp", F.lead("fp").over(along)).filter("not guest").select("doc_id", "text", "fp", "next_text", "next_fp")
+    return both.withColumn("next_text", F.lead("text").over(along)).filter("not guest").select("doc_id", "text", "next_text")
 
 
 def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -101,24 +102,23 @@ def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def edit_report(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of every document."""
-    with Scratch(documents.sparkSession) as scratch:
-        pairs = with_next(documents, scratch, id_col, text_col)
-        n = F.length("text")
-        half = F.floor(n / 2).cast("int")
-        edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
-        rows = with_fingerprint(pairs.withColumn("edited", edited).select("doc_id", n.cast("long").alias("n_chars"), "edited", "fp", "next_fp"), "edited", "edited_fp")
-        return scratch.result(
-            rows.select(
-                "doc_id",
-                "n_chars",
-                F.sha2("edited", 256).alias("edited_sha256"),
-                F.col("fp").alias("fingerprint"),
-                F.col("edited_fp").alias("edited_fingerprint"),
-                likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
-                likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
-            ),
-            "merkle",
-        )
+    pairs = with_next(documents, id_col, text_col)
+    n = F.length("text")
+    half = F.floor(n / 2).cast("int")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
+    rows = pairs.select("doc_id", n.cast("long").alias("n_chars"), "text", "next_text", edited.alias("edited"))
+    # fingerprints are made after the texts have moved: they would move as much again
+    for column, out in (("text", "fp"), ("next_text", "next_fp"), ("edited", "edited_fp")):
+        rows = with_fingerprint(rows, column, out)
+    return rows.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        F.col("fp").alias("fingerprint"),
+        F.col("edited_fp").alias("edited_fingerprint"),
+        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
+        likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+    )
 
 
 def differing_leaves(a: Column, b: Column) -> Column:
