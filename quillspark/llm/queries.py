@@ -75,5 +75,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_ngram_jaccard, op2_suffix_dedup, op3_byte_bpe, op4_main_text, op5_secret_scan, op6_token_counts, op7_language_id, op8_decontamination, op9_license_scan, op10_fingerprints)}
 
 
+#: Overlap of shingle sets by a join of all pairs that share one; components by transitive closure.
+JACCARD_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(ws) - 4, 1) + 1), lambda i: array_to_string(ws[i:i + 4], ' '))) AS g FROM d WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+u AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS node, doc_id AS seen FROM d UNION SELECT r.node, u.b FROM r JOIN u ON r.seen = u.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT node, min(seen) AS component_id FROM r GROUP BY node) m ON m.node = d.doc_id
+"""
+
+#: Words of a text as the contract has them.
+_WORDS = r"""list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"""
+
+#: Every window of the benchmark, joined with every window of the documents as text.
+DECONTAMINATION_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents), b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS ws FROM benchmark),
+w AS (SELECT DISTINCT item_id, CAST(least(len(ws), 10) AS BIGINT) AS size, unnest(list_transform(range(1, greatest(len(ws) - 9, 1) + 1), lambda i: array_to_string(ws[i:i + 9], ' '))) AS win FROM b WHERE len(ws) > 0),
+s AS (SELECT DISTINCT size FROM w),
+p AS (SELECT doc_id, size, unnest(range(1, len(ws) - size + 2)) AS i, ws FROM d, s WHERE len(ws) >= size),
+h AS (SELECT p.doc_id, w.item_id, p.i, p.size FROM (SELECT doc_id, size, i, array_to_string(ws[i:i + size - 1], ' ') AS win FROM p) p JOIN w ON w.size = p.size AND w.win = p.win),
+c AS (SELECT doc_id, CAST(count(DISTINCT k) AS BIGINT) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS k FROM h) GROUP BY doc_id),
+i AS (SELECT doc_id, CAST(count(DISTINCT item_id) AS BIGINT) AS n_items, sha256(array_to_string(list_sort(list(DISTINCT item_id)), ',')) AS items_sha256 FROM h GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items, coalesce(i.items_sha256, sha256('')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN i ON i.doc_id = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The other operators have no SQL form; their tests hold them against brute-force versions."""
+    return {"op1_ngram_jaccard": JACCARD_SQL, "op8_decontamination": DECONTAMINATION_SQL}
