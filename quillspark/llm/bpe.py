@@ -160,7 +160,7 @@ class Replay:
 
 
 #: Words of earlier pieces whose ids a worker keeps, and bytes of text in a piece.
-REMEMBER, PIECE_BYTES = 200_000, 12 << 20
+REMEMBER, PIECE_BYTES = 100_000, 4 << 20
 
 _LOADED: dict[bytes, Replay] = {}
 

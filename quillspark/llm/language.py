@@ -12,7 +12,6 @@ sorts first. Without any labelled text every text is ``und``.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass
@@ -23,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mapped, texts_of
+from .common import mapped, pieces, texts_of
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -157,15 +156,11 @@ def with_language(documents: DataFrame, model: Model, least: float = 0.5) -> Dat
     Texts and columns pass through one narrow map, so nothing is shuffled.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    at = documents.schema.fieldNames().index("text")
 
     def run(batches):
         scorer = Scorer(shared.value)
-        for batch in batches:
-            keep = []
-            for t in batch.column(at).to_pylist():
-                lang, score = scorer.predict(t or "")
-                keep.append(lang != UNKNOWN and score >= least)
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        for part in (part for batch in batches for part in pieces(batch)):
+            said = [scorer.predict(t) for t in texts_of(part)]
+            yield part.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in said], pa.bool_()))
 
     return documents.mapInArrow(run, T.StructType(documents.schema.fields))

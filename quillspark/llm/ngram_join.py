@@ -9,12 +9,15 @@ How it is laid out on Spark:
 
 1. ``_sets`` maps each text to its shingles (64-bit hashes of the words), in one narrow pass.
    Equal sets are one class from here on, so exact copies cost nothing further.
-2. A bounded sketch of shingle counts (2**18 counters, summed over the whole corpus) gives one
-   global order from rare to common. Of a set of n shingles only the n - ceil(t n) + 1 rarest can
-   be all that a linked pair shares first, so only those "short list" postings are shuffled.
-3. On each list, sorted by set size, every class is tied to the smallest class in reach of its size;
-   components of those ties are neighbourhoods: all links lie inside one. Ties are linear in postings;
-   no pairs are emitted.
+2. A bounded sketch of shingle counts (2**20 counters, summed over the whole corpus) gives one
+   global order from rare to common. Linked sets of n shingles share one of each one's
+   n - ceil(t n) + 1 rarest, so only those "short list" postings are shuffled.
+3. On each list, sorted by set size, every class is tied to the one before it and to the first in reach of
+   its size: ties are linear in postings. A tie stays only if parity bitmaps of the two sets (one
+   bit for each shingle's hash, bits flipped) differ in no more bits than linked sets can: a sound
+   test, as each shingle in one set only flips one bit. Components of ties are collapsed; only
+   classes of different components on one list are still paired, tested and tied in the same way.
+   Components of all ties are neighbourhoods: every link lies inside one.
 4. Neighbourhoods are searched with full sets, by DivideSkip. One that holds more than
    ``block_shingles`` is dealt out: blocks of bounded size, and a task for each pair of blocks whose
    sizes can match; so no task ever holds more than two blocks, and no link is lost.
@@ -33,14 +36,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..session import Scratch
 from .common import bytes_of, mapped
 
-SKETCH_BITS = 18
+SKETCH_BITS = 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -104,31 +107,87 @@ def shingle_sets(texts: list[bytes], words: int = 5) -> list[np.ndarray]:
     return out
 
 
+def parity_bits(s: np.ndarray) -> np.ndarray:
+    """A bitmap of twice to four times as many bits as shingles (64 at least), each shingle flipping one bit."""
+    size = max(64, 1 << int(2 * max(1, len(s)) - 1).bit_length())
+    flips = np.bincount((_mix(s) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def may_link(n1: Column, bits1: Column, n2: Column, bits2: Column, num: int, den: int) -> Column:
+    """False only if two sets cannot link: by their sizes, or as their bitmaps differ in more bits than linked sets can.
+
+    Linked sets differ in at most (n1 + n2) (1 - t) / (1 + t) shingles. The longer bitmap is folded onto the shorter,
+    which keeps parities.
+    """
+    fold = lambda b: F.zip_with(F.slice(b, 1, (F.size(b) / 2).cast("int")), F.slice(b, (F.size(b) / 2).cast("int") + 1, (F.size(b) / 2).cast("int")), lambda x, y: x.bitwiseXOR(y))
+    a = F.when(F.size(bits1) > F.size(bits2), fold(bits1)).otherwise(bits1)
+    b = F.when(F.size(bits2) > F.size(bits1), fold(bits2)).otherwise(bits2)
+    differ = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    sizes = (n1 * den >= n2 * num) & (n2 * den >= n1 * num)
+    return sizes & (differ * (den + num) <= (n1 + n2) * (den - num))
+
+
+def _tested(ties: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """The ties (a, b) that may be links."""
+    side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+    both = ties.join(side("a"), "a").join(side("b"), "b")
+    return both.filter(may_link(F.col("n_a"), F.col("bits_a"), F.col("n_b"), F.col("bits_b"), num, den)).select("a", "b")
+
+
+def _apart(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Rows (token, unit, rep, n) sorted by token and n: pairs of one list whose units differ and whose sizes can match."""
+    names = ["token", "unit", "rep", "n"]
+
+    def pairs(token: np.ndarray, unit: np.ndarray, rep: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at, k = np.arange(len(token)), 1
+        while len(at):  # every place against the one k further on, as long as that is on its list and within reach
+            at = at[at + k < len(token)]
+            at = at[(token[at] == token[at + k]) & (n[at] * den >= n[at + k] * num)]
+            met = at[unit[at] != unit[at + k]]
+            if len(met):
+                ends = np.stack([np.minimum(rep[met], rep[met + k]), np.maximum(rep[met], rep[met + k])])
+                ends = np.unique(ends, axis=1) if len(met) > 1 else ends
+                yield pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1])], ["a", "b"])
+            k += 1
+
+    held = None
+    for batch in batches:
+        cols = [batch.column(c).to_numpy() for c in names]
+        if held is not None:
+            cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+        cut = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0  # the last list may go on
+        yield from pairs(*[c[:cut] for c in cols])
+        held = [c[cut:] for c in cols]
+    if held is not None:
+        yield from pairs(*held)
+
+
 def least_overlap(n: int, num: int, den: int) -> int:
     """Shingles that a set of n shares with any set it links to: ceil(n * num / den)."""
     return -(-n * num // den)
 
 
 def shingle_sketch(df: DataFrame, id_col: str, text_col: str, words: int) -> np.ndarray:
-    """How often shingles occur in the corpus, by 2**18 hashed counters: summed on executors, 2 MB to the driver."""
+    """How often shingles occur in the corpus, by 2**20 hashed counters: summed on executors, 4 MB to the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         from .common import pieces
 
-        total, rows = np.zeros(1 << SKETCH_BITS, np.int64), 0
+        total = None
         for batch in batches:
             for part in pieces(batch):
-                rows += part.num_rows
-                for s in shingle_sets(bytes_of(part), words):
-                    np.add.at(total, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-        if rows:
-            from pyspark import TaskContext
-
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["part", "counts"])
+                codes = np.concatenate(shingle_sets(bytes_of(part), words)) >> np.uint64(64 - SKETCH_BITS)
+                found = np.bincount(codes.astype(np.int64), minlength=1 << SKETCH_BITS)
+                total = found if total is None else total + found
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())], ["part", "counts"])
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
-        total = sum((np.frombuffer(b, np.int64) for b in frame["counts"]), np.zeros(1 << SKETCH_BITS, np.int64))
-        return pd.DataFrame({"part": [int(frame["part"].iloc[0]) // 16], "counts": [total.tobytes()]})
+        total = sum((np.frombuffer(b, np.uint32).astype(np.int64) for b in frame["counts"]), np.zeros(1 << SKETCH_BITS, np.int64))
+        return pd.DataFrame({"part": [int(frame["part"].iloc[0]) // 16], "counts": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
 
     parts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(count, "part long, counts binary")
     n = parts.rdd.getNumPartitions()
@@ -136,19 +195,20 @@ def shingle_sketch(df: DataFrame, id_col: str, text_col: str, words: int) -> np.
         parts = parts.groupBy(F.floor(F.col("part") / 16).alias("g")).applyInPandas(add, "part long, counts binary")
         n = -(-n // 16)
     found = parts.first()
-    return np.frombuffer(found["counts"], np.int64) if found else np.zeros(1 << SKETCH_BITS, np.int64)
+    return np.frombuffer(found["counts"], np.uint32).astype(np.int64) if found else np.zeros(1 << SKETCH_BITS, np.int64)
 
 
 def _sets(df: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int, classes: np.ndarray) -> DataFrame:
-    """(id, n, sig, rare): size and digest of each set, and its rarest shingles, which any linked set shares one of."""
+    """(id, n, sig, rare, bits): size and digest of each set, its rarest shingles, which any linked set shares one of, and its parity bitmap."""
     shared = df.sparkSession.sparkContext.broadcast(classes)
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        commonness, ns, sigs, rares = shared.value, [], [], []
+        commonness, ns, sigs, rares, maps = shared.value, [], [], [], []
         for s in shingle_sets(bytes_of(part), words):
             n = len(s)
             ns.append(n)
             sigs.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if n else None)
+            maps.append(parity_bits(s))
             keep = n - least_overlap(n, num, den) + 1 if n else 0
             if keep:
                 order = np.lexsort((s, commonness[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))[:keep]
@@ -157,9 +217,9 @@ def _sets(df: DataFrame, id_col: str, text_col: str, words: int, num: int, den:
                 rares.append(np.zeros(0, np.int64))
         offsets = np.concatenate([[0], np.cumsum([len(r) for r in rares])]).astype(np.int32)
         flat = pa.array(np.concatenate(rares) if rares else np.zeros(0, np.int64))
-        return pa.RecordBatch.from_arrays([part.column("id"), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["id", "n", "sig", "rare"])
+        return pa.RecordBatch.from_arrays([part.column("id"), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array(maps, pa.list_(pa.int64()))], ["id", "n", "sig", "rare", "bits"])
 
-    return mapped(df, run, "id long, n long, sig binary, rare array<long>", id_col, text_col)
+    return mapped(df, run, "id long, n long, sig binary, rare array<long>, bits array<long>", id_col, text_col)
 
 
 class DivideSkip:
@@ -270,18 +330,28 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = df.sparkSession
     with Scratch(spark) as scratch:
         counts = shingle_sketch(df, id_col, text_col, words)
-        usual = max(1.0, 4.0 * float(counts.mean()))
+        mean = max(1.0, float(counts.mean()))
+        usual = mean + 6 * mean**0.5  # what chance alone puts on a counter
         commonness = np.where(counts <= usual, 0, np.ceil(np.log2(np.maximum(counts, 1)))).astype(np.int8)
         sets = scratch.keep(_sets(df, id_col, text_col, words, num, den, commonness), "sets")
-        classes = scratch.keep(sets.filter("n > 0 and id is not null").groupBy("sig").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("rare").alias("rare")), "classes")
-        # on each list, every set is tied to the smallest one from which sizes rise without a gap
-        from pyspark.sql import Window
-
+        classes = scratch.keep(sets.filter("n > 0 and id is not null").groupBy("sig").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("bits").alias("bits")), "classes")
         along = Window.partitionBy("token").orderBy("n", "rep")
-        lists = classes.select(F.explode("rare").alias("token"), "rep", "n").withColumn("before", F.lag("n").over(along))
-        apart = F.col("before").isNull() | (F.col("before") * den < F.col("n") * num)
-        ties = lists.withColumn("hub", F.last(F.when(apart, F.col("rep")), ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0))).filter("hub <> rep").select("rep", "hub").distinct()
-        near = connected_components(ties, "rep", "hub").toDF("rep", "unit")
+        lists = classes.select(F.explode("rare").alias("token"), "rep", "n")
+        lists = lists.withColumn("before", F.lag(F.struct("n", "rep")).over(along)).withColumn("more", F.lead("rep").over(along).isNotNull()).filter("before is not null or more")
+        gap = F.col("before").isNull() | (F.col("before.n") * den < F.col("n") * num)
+        lists = lists.withColumn("hub", F.last(F.when(gap, F.col("rep")), ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+        lists = scratch.keep(lists.select("token", "rep", "n", "hub", F.when(~gap, F.col("before.rep")).alias("before")), "lists")
+        least, most = F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")
+        ties = lists.select("rep", F.explode(F.array_distinct(F.array("hub", "before"))).alias("other")).filter("other is not null and other <> rep").select(least, most).distinct()
+        ties = scratch.keep(_tested(ties, classes, num, den), "ties")
+        near = connected_components(ties, "a", "b").toDF("rep", "unit")
+        # lists on which more than one component is left
+        placed = lists.select("token", "rep", "n").join(near, "rep", "left").select("token", F.coalesce("unit", "rep").alias("unit"), "rep", "n")
+        mixed = placed.groupBy("token").agg(F.min("unit").alias("x"), F.max("unit").alias("y")).filter("x <> y").select("token")
+        parts = max(spark.sparkContext.defaultParallelism * 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        rest = placed.join(mixed, "token", "left_semi").repartition(parts, "token").sortWithinPartitions("token", "n", "rep").mapInArrow(lambda it: _apart(it, num, den), "a long, b long").distinct()
+        ties = scratch.keep(ties.unionByName(_tested(rest, classes, num, den)), "ties")
+        near = connected_components(ties, "a", "b").toDF("rep", "unit")
         sized = near.join(classes.select("rep", "n"), "rep")
         sums = sized.groupBy("unit").agg(F.sum("n").alias("total"))
         # blocks: members in order of size, cut every block_shingles; only neighbourhoods over that are dealt out
@@ -292,7 +362,6 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).filter("id is not null")
         # one row for each id, as repeated rows of one id may differ
         work = units.join(texts, units.rep == texts.id).select("unit", "pair", "side", "id", "text")
-        parts = max(spark.sparkContext.defaultParallelism * 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
         found = work.repartition(parts, "unit", "pair").sortWithinPartitions("unit", "pair").mapInPandas(lambda it: _search(it, words, num, den), "src long, dst long")
         links = scratch.keep(found, "links")
         final = connected_components(links).toDF("rep", "component")

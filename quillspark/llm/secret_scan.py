@@ -18,7 +18,7 @@ from re import _parser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import bytes_of, mapped
+from .common import bytes_of, mapped, pieces
 
 # The base rules. (kind, expression, group that is measured, its least length)
 BASE_RULES = (
@@ -221,7 +221,7 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask:
     machine = df.sparkSession.sparkContext.broadcast(compile_rules([SOUGHT[k] for k, *_ in RULES]))
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, text_col)):
             texts = []
             for text in batch.column(0).to_pylist():
                 found = machine.value.rules_in(text.encode()) if text else 0

@@ -5,7 +5,7 @@ A byte goes if a string of ``length`` bytes covers it that also starts in a docu
 1. Exact copies of a whole text are settled by digest: only the smallest id of each goes further.
 2. Any two equal strings of ``length`` bytes choose the same gram inside them (the one with the least hash
    among its ``length - GRAM + 1`` grams), so equal strings meet under that gram. Grams that only one
-   document has are dropped; this takes 12 bytes for about every twentieth byte of text, no text.
+   document has are dropped; this takes 12 bytes for about every fourteenth byte of text, no text.
 3. The passages around the remaining grams (the strings that chose them, in one piece) are collected,
    equal passages pre-aggregated to their smallest id. A gram with very many different
    passages is dealt out string by string, so no task gets an unbounded group.
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from ..session import Scratch
 from .common import bytes_of, pieces
 
-GRAM = 12
+GRAM = 24
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -56,7 +56,8 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     two = one[:-1] * power(1) + one[1:]
     four = two[:-2] * power(2) + two[2:]
     eight = four[:-4] * power(4) + four[4:]
-    return _mix(eight[: len(data) - GRAM + 1] * power(4) + four[8 : len(data) - GRAM + 9])
+    sixteen = eight[:-8] * power(8) + eight[8:]
+    return _mix(sixteen[: len(data) - GRAM + 1] * power(8) + eight[16 : len(data) - GRAM + 17])
 
 
 def chosen_grams(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -367,22 +368,33 @@ def repeated_passages(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     found = scratch.keep(chosen.mapInArrow(lambda it: _passages(it, length), "doc long, gram long, begin long, passage binary").withColumn("cid", F.xxhash64("passage", F.length("passage"))), "passages")
     distinct = scratch.keep(found.groupBy("gram", "cid").agg(F.min("doc").alias("least"), F.first("passage").alias("passage")), "distinct")
     # grams with very many different passages: string by string, so that the group can be dealt out
-    hot = distinct.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > dealt_over).select("gram", F.lit(True).alias("hot"))
+    hot = scratch.keep(distinct.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > dealt_over).select("gram", F.lit(True).alias("hot")), "hot")
+    if hot.isEmpty():
+        answers = _solved(distinct, scratch, parts, length, bound)
+        return rows.withColumn("digest", F.sha2("text", 256)), lead, _ranges(found, answers, scratch, length)
     marked = distinct.join(hot, "gram", "left")
     starts = F.sequence(F.lit(1), F.length("passage") - length + 1)
     strings = marked.filter("hot").select("gram", "cid", "least", F.posexplode(F.transform(starts, lambda s: F.substring(F.col("passage"), s, F.lit(length)))).alias("at", "passage"))
     dealt = strings.groupBy(F.xxhash64("gram", "passage").alias("gram"), F.lit(0).cast("long").alias("cid"), "passage").agg(F.min("least").alias("least")).select("gram", "cid", "least", "passage")
-    work = marked.filter("hot is null").select("gram", "cid", "least", "passage").withColumn("dealt", F.lit(False)).unionByName(dealt.withColumn("dealt", F.lit(True)))
-    solved = work.repartition(parts, "gram").sortWithinPartitions("dealt", "gram", "cid").select("gram", "cid", "least", "passage").mapInPandas(lambda it: _answers(it, length, bound), "gram long, cid long, ids binary")
-    solved = scratch.keep(solved, "solved")
+    work = marked.filter("hot is null").select("gram", "cid", "least", "passage").unionByName(dealt)
+    solved = _solved(work, scratch, parts, length, bound)
     # the dealt strings' answers, put together again for their passages
     looked = strings.join(solved.select("gram", F.col("ids").alias("one")).withColumnRenamed("gram", "g"), F.xxhash64(strings.gram, strings.passage) == F.col("g"))
     again = looked.groupBy("gram", "cid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.hex("one").alias("h")))), lambda x: x["h"]), "").alias("all")).select("gram", "cid", F.unhex("all").alias("ids"))
-    answers = solved.unionByName(again)
+    return rows.withColumn("digest", F.sha2("text", 256)), lead, _ranges(found, solved.unionByName(again), scratch, length)
+
+
+def _solved(work: DataFrame, scratch: Scratch, parts: int, length: int, bound: int) -> DataFrame:
+    """The smallest ids for the starts of each passage, grams dealt out over the tasks."""
+    answers = work.repartition(parts, "gram").sortWithinPartitions("gram", "cid").select("gram", "cid", "least", "passage").mapInPandas(lambda it: _answers(it, length, bound), "gram long, cid long, ids binary")
+    return scratch.keep(answers, "solved")
+
+
+def _ranges(found: DataFrame, answers: DataFrame, scratch: Scratch, length: int) -> DataFrame:
+    """(doc, ranges) of the starts to remove, from each occurrence of a passage."""
     known = found.select("doc", "gram", "cid", "begin", (F.length("passage") - length + 1).cast("long").alias("starts")).join(answers, ["gram", "cid"])
     ranges = known.select("doc", "begin", "starts", "ids").mapInArrow(_removals, "doc long, a long, b long")
-    ranges = scratch.keep(ranges.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("ranges")), "ranges")
-    return rows.withColumn("digest", F.sha2("text", 256)), lead, ranges
+    return scratch.keep(ranges.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("ranges")), "ranges")
 
 
 def passage_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
