@@ -16,7 +16,8 @@ How it is laid out on Spark:
    its size: ties are linear in postings. A tie stays only if parity bitmaps of the two sets (one
    bit for each shingle's hash, bits flipped) differ in no more bits than linked sets can: a sound
    test, as each shingle in one set only flips one bit. Components of ties are collapsed; only
-   classes of different components on one list are still paired, tested and tied in the same way.
+   classes of different components on one list are still compared, by short bitmaps that their postings
+   carry, and the pairs that pass are tested and tied in the same way.
    Components of all ties are neighbourhoods: every link lies inside one.
 4. Neighbourhoods are searched with full sets, by DivideSkip. One that holds more than
    ``block_shingles`` is dealt out: blocks of bounded size, and a task for each pair of blocks whose
@@ -107,13 +108,22 @@ def shingle_sets(texts: list[bytes], words: int = 5) -> list[np.ndarray]:
     return out
 
 
-def parity_bits(s: np.ndarray) -> np.ndarray:
-    """A bitmap of twice to four times as many bits as shingles (64 at least), each shingle flipping one bit."""
-    size = max(64, 1 << int(2 * max(1, len(s)) - 1).bit_length())
+#: Most bits of the bitmap that a posting carries.
+BRIEF_BITS = 2048
+
+
+def parity_bits(s: np.ndarray, size: int | None = None) -> np.ndarray:
+    """A bitmap of twice to four times as many bits as shingles (64 at least), or of ``size`` bits, each shingle flipping one bit."""
+    size = size or max(64, 1 << int(2 * max(1, len(s)) - 1).bit_length())
     flips = np.bincount((_mix(s) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(flips.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def brief_bits(s: np.ndarray) -> np.ndarray:
+    """A bitmap of one to two times as many bits as shingles, from 64 up to BRIEF_BITS: sets within reach differ at most by one halving."""
+    return parity_bits(s, min(BRIEF_BITS, max(64, 1 << int(max(1, len(s)) - 1).bit_length())))
+
+
 def may_link(n1: Column, bits1: Column, n2: Column, bits2: Column, num: int, den: int) -> Column:
     """False only if two sets cannot link: by their sizes, or as their bitmaps differ in more bits than linked sets can.
 
@@ -135,16 +145,33 @@ def _tested(ties: DataFrame, classes: DataFrame, num: int, den: int) -> DataFram
     return both.filter(may_link(F.col("n_a"), F.col("bits_a"), F.col("n_b"), F.col("bits_b"), num, den)).select("a", "b")
 
 
+def _pass(n: np.ndarray, words: np.ndarray, starts: np.ndarray, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which pairs of places (i before j, so no larger) may link by their bitmaps: the test of ``may_link`` in numpy."""
+    sizes = np.diff(starts)
+    out = np.zeros(len(i), bool)
+    for w in np.unique(sizes[i]).tolist():
+        own = np.flatnonzero(sizes[i] == w)
+        for cut in range(0, len(own), 1 << 15):
+            pick = own[cut : cut + (1 << 15)]
+            a, b, along = i[pick], j[pick], np.arange(w)
+            bits = words[starts[a][:, None] + along] ^ words[starts[b][:, None] + along]
+            wide = np.flatnonzero(sizes[b] > w)  # the longer bitmap is folded
+            bits[wide] ^= words[starts[b[wide]][:, None] + w + along]
+            out[pick] = np.bitwise_count(bits.view(np.uint64)).sum(axis=1, dtype=np.int64) * (den + num) <= (n[a] + n[b]) * (den - num)
+    return out
+
+
 def _apart(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Rows (token, unit, rep, n) sorted by token and n: pairs of one list whose units differ and whose sizes can match."""
+    """Rows (token, unit, rep, n, brief) sorted by token and n: pairs of one list whose units differ and whose sizes and bitmaps can match."""
     names = ["token", "unit", "rep", "n"]
 
-    def pairs(token: np.ndarray, unit: np.ndarray, rep: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        at, k = np.arange(len(token)), 1
+    def pairs(token: np.ndarray, unit: np.ndarray, rep: np.ndarray, n: np.ndarray, words: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at, k, starts = np.arange(len(token)), 1, np.concatenate([[0], np.cumsum(sizes)])
         while len(at):  # every place against the one k further on, as long as that is on its list and within reach
             at = at[at + k < len(token)]
             at = at[(token[at] == token[at + k]) & (n[at] * den >= n[at + k] * num)]
             met = at[unit[at] != unit[at + k]]
+            met = met[_pass(n, words, starts, met, met + k, num, den)]
             if len(met):
                 ends = np.stack([np.minimum(rep[met], rep[met + k]), np.maximum(rep[met], rep[met + k])])
                 ends = np.unique(ends, axis=1) if len(met) > 1 else ends
@@ -153,12 +180,16 @@ def _apart(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa
 
     held = None
     for batch in batches:
-        cols = [batch.column(c).to_numpy() for c in names]
+        if not batch.num_rows:
+            continue
+        brief = batch.column("brief")
+        cols = [*[batch.column(c).to_numpy() for c in names], brief.flatten().to_numpy(), np.diff(brief.offsets.to_numpy())]
         if held is not None:
             cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-        cut = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0  # the last list may go on
-        yield from pairs(*[c[:cut] for c in cols])
-        held = [c[cut:] for c in cols]
+        cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last list may go on
+        end = int(cols[5][:cut].sum())
+        yield from pairs(*[c[:cut] for c in cols[:4]], cols[4][:end], cols[5][:cut])
+        held = [*[c[cut:] for c in cols[:4]], cols[4][end:], cols[5][cut:]]
     if held is not None:
         yield from pairs(*held)
 
@@ -199,16 +230,17 @@ def shingle_sketch(df: DataFrame, id_col: str, text_col: str, words: int) -> np.
 
 
 def _sets(df: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int, classes: np.ndarray) -> DataFrame:
-    """(id, n, sig, rare, bits): size and digest of each set, its rarest shingles, which any linked set shares one of, and its parity bitmap."""
+    """(id, n, sig, rare, bits, brief): size and digest of each set, its rarest shingles, which any linked set shares one of, and its parity bitmaps."""
     shared = df.sparkSession.sparkContext.broadcast(classes)
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        commonness, ns, sigs, rares, maps = shared.value, [], [], [], []
+        commonness, ns, sigs, rares, maps, briefs = shared.value, [], [], [], [], []
         for s in shingle_sets(bytes_of(part), words):
             n = len(s)
             ns.append(n)
             sigs.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if n else None)
             maps.append(parity_bits(s))
+            briefs.append(brief_bits(s))
             keep = n - least_overlap(n, num, den) + 1 if n else 0
             if keep:
                 order = np.lexsort((s, commonness[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))[:keep]
@@ -217,9 +249,9 @@ def _sets(df: DataFrame, id_col: str, text_col: str, words: int, num: int, den:
                 rares.append(np.zeros(0, np.int64))
         offsets = np.concatenate([[0], np.cumsum([len(r) for r in rares])]).astype(np.int32)
         flat = pa.array(np.concatenate(rares) if rares else np.zeros(0, np.int64))
-        return pa.RecordBatch.from_arrays([part.column("id"), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array(maps, pa.list_(pa.int64()))], ["id", "n", "sig", "rare", "bits"])
+        return pa.RecordBatch.from_arrays([part.column("id"), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array(maps, pa.list_(pa.int64())), pa.array(briefs, pa.list_(pa.int64()))], ["id", "n", "sig", "rare", "bits", "brief"])
 
-    return mapped(df, run, "id long, n long, sig binary, rare array<long>, bits array<long>", id_col, text_col)
+    return mapped(df, run, "id long, n long, sig binary, rare array<long>, bits array<long>, brief array<long>", id_col, text_col)
 
 
 class DivideSkip:
@@ -334,7 +366,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         usual = mean + 6 * mean**0.5  # what chance alone puts on a counter
         commonness = np.where(counts <= usual, 0, np.ceil(np.log2(np.maximum(counts, 1)))).astype(np.int8)
         sets = scratch.keep(_sets(df, id_col, text_col, words, num, den, commonness), "sets")
-        classes = scratch.keep(sets.filter("n > 0 and id is not null").groupBy("sig").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("bits").alias("bits")), "classes")
+        classes = scratch.keep(sets.filter("n > 0 and id is not null").groupBy("sig").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("bits").alias("bits"), F.first("brief").alias("brief")), "classes")
         along = Window.partitionBy("token").orderBy("n", "rep")
         lists = classes.select(F.explode("rare").alias("token"), "rep", "n")
         lists = lists.withColumn("before", F.lag(F.struct("n", "rep")).over(along)).withColumn("more", F.lead("rep").over(along).isNotNull()).filter("before is not null or more")
@@ -349,7 +381,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         placed = lists.select("token", "rep", "n").join(near, "rep", "left").select("token", F.coalesce("unit", "rep").alias("unit"), "rep", "n")
         mixed = placed.groupBy("token").agg(F.min("unit").alias("x"), F.max("unit").alias("y")).filter("x <> y").select("token")
         parts = max(spark.sparkContext.defaultParallelism * 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        rest = placed.join(mixed, "token", "left_semi").repartition(parts, "token").sortWithinPartitions("token", "n", "rep").mapInArrow(lambda it: _apart(it, num, den), "a long, b long").distinct()
+        rest = placed.join(mixed, "token", "left_semi").join(classes.select("rep", "brief"), "rep").select("token", "unit", "rep", "n", "brief")
+        rest = rest.repartition(parts, "token").sortWithinPartitions("token", "n", "rep").mapInArrow(lambda it: _apart(it, num, den), "a long, b long").distinct()
         ties = scratch.keep(ties.unionByName(_tested(rest, classes, num, den)), "ties")
         near = connected_components(ties, "a", "b").toDF("rep", "unit")
         sized = near.join(classes.select("rep", "n"), "rep")

@@ -313,3 +313,24 @@ def test_merkle(spark, rows, empty):
     assert len(one) == 1 and one[0]["near_next"] == 1
     twice = docs.union(docs)
     assert merkle.edit_report(twice).count() == 2 * len(once)
+
+
+def test_short_bitmaps_pass_every_link():
+    rng = np.random.default_rng(5)
+    passed = apart = 0
+    for n in (1, 3, 50, 64, 65, 100, 500, 1500, 3000):
+        for _ in range(30):
+            gone = int(rng.integers(0, n // 2 + 1))
+            x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            y = np.unique(np.concatenate([x[gone:], rng.integers(0, 2**63, int(rng.integers(0, gone + 1))).astype(np.uint64)]))
+            x, y = sorted((x, y), key=len)
+            both = len(np.intersect1d(x, y))
+            link = len(x) > 0 and 100 * both >= 80 * (len(x) + len(y) - both)
+            if 100 * len(x) < 80 * len(y):
+                assert not link
+                continue
+            maps = [ngram_join.brief_bits(s) for s in (x, y)]
+            ok = ngram_join._pass(np.array([len(x), len(y)]), np.concatenate(maps), np.cumsum([0, *map(len, maps)]), np.array([0]), np.array([1]), 80, 100)[0]
+            assert ok or not link
+            passed, apart = passed + bool(ok), apart + (not ok)
+    assert passed > 100 and apart > 50
