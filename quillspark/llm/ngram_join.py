@@ -17,8 +17,8 @@ How it is laid out on Spark:
    bit for each shingle's hash, bits flipped) differ in no more bits than linked sets can: a sound
    test, as each shingle in one set only flips one bit. Components of ties are collapsed; only
    classes of different components on one list are still compared, by short bitmaps that their postings
-   carry, and the pairs that pass are tested and tied in the same way.
-   Components of all ties are neighbourhoods: every link lies inside one.
+   carry. Pairs that pass are joined inside the task, and a list gives one tie for each joining: fewer than it
+   has components. Components of all ties are neighbourhoods: every link lies inside one.
 4. Neighbourhoods are searched with full sets, by DivideSkip. One that holds more than
    ``block_shingles`` is dealt out: blocks of bounded size, and a task for each pair of blocks whose
    sizes can match; so no task ever holds more than two blocks, and no link is lost.
@@ -109,7 +109,7 @@ def shingle_sets(texts: list[bytes], words: int = 5) -> list[np.ndarray]:
 
 
 #: Most bits of the bitmap that a posting carries.
-BRIEF_BITS = 2048
+BRIEF_BITS = 4096
 
 
 def parity_bits(s: np.ndarray, size: int | None = None) -> np.ndarray:
@@ -162,20 +162,41 @@ def _pass(n: np.ndarray, words: np.ndarray, starts: np.ndarray, i: np.ndarray, j
 
 
 def _apart(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Rows (token, unit, rep, n, brief) sorted by token and n: pairs of one list whose units differ and whose sizes and bitmaps can match."""
+    """Rows (token, unit, rep, n, brief) sorted by token and n: ties between the units of one list.
+
+    Two units are tied if classes of theirs have sizes and bitmaps that can match, directly or through other units of
+    the list; the ties of a list are a forest, so there are fewer of them than units.
+    """
     names = ["token", "unit", "rep", "n"]
 
     def pairs(token: np.ndarray, unit: np.ndarray, rep: np.ndarray, n: np.ndarray, words: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
         at, k, starts = np.arange(len(token)), 1, np.concatenate([[0], np.cumsum(sizes)])
+        label = np.unique(np.stack([token, unit]), axis=1, return_inverse=True)[1].ravel()  # of each place, its unit on its list
+        parent = np.arange(len(token))
+
+        def roots(places: np.ndarray) -> np.ndarray:
+            r = parent[label[places]]
+            while not np.array_equal(up := parent[r], r):
+                r = up
+            return r
+
         while len(at):  # every place against the one k further on, as long as that is on its list and within reach
             at = at[at + k < len(token)]
             at = at[(token[at] == token[at + k]) & (n[at] * den >= n[at + k] * num)]
-            met = at[unit[at] != unit[at + k]]
+            met = at[roots(at) != roots(at + k)]
             met = met[_pass(n, words, starts, met, met + k, num, den)]
-            if len(met):
-                ends = np.stack([np.minimum(rep[met], rep[met + k]), np.maximum(rep[met], rep[met + k])])
-                ends = np.unique(ends, axis=1) if len(met) > 1 else ends
-                yield pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1])], ["a", "b"])
+            tied = []
+            for i, x, y in zip(met.tolist(), roots(met).tolist(), roots(met + k).tolist(), strict=True):
+                while parent[x] != x:
+                    x = parent[x]
+                while parent[y] != y:
+                    y = parent[y]
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    tied.append(i)
+            if tied:
+                one, two = rep[tied], rep[np.array(tied) + k]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], ["a", "b"])
             k += 1
 
     held = None
@@ -383,7 +404,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         parts = max(spark.sparkContext.defaultParallelism * 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
         rest = placed.join(mixed, "token", "left_semi").join(classes.select("rep", "brief"), "rep").select("token", "unit", "rep", "n", "brief")
         rest = rest.repartition(parts, "token").sortWithinPartitions("token", "n", "rep").mapInArrow(lambda it: _apart(it, num, den), "a long, b long").distinct()
-        ties = scratch.keep(ties.unionByName(_tested(rest, classes, num, den)), "ties")
+        ties = scratch.keep(ties.unionByName(rest), "ties")
         near = connected_components(ties, "a", "b").toDF("rep", "unit")
         sized = near.join(classes.select("rep", "n"), "rep")
         sums = sized.groupBy("unit").agg(F.sum("n").alias("total"))
