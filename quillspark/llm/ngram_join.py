@@ -386,8 +386,10 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         mean = max(1.0, float(counts.mean()))
         usual = mean + 6 * mean**0.5  # what chance alone puts on a counter
         commonness = np.where(counts <= usual, 0, np.ceil(np.log2(np.maximum(counts, 1)))).astype(np.int8)
-        sets = scratch.keep(_sets(df, id_col, text_col, words, num, den, commonness), "sets")
-        classes = scratch.keep(sets.filter("n > 0 and id is not null").groupBy("sig").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("bits").alias("bits"), F.first("brief").alias("brief")), "classes")
+        with Scratch(spark) as early:  # what is wide goes once the classes stand
+            sets = early.keep(_sets(df, id_col, text_col, words, num, den, commonness), "sets")
+            classes = scratch.keep(sets.filter("n > 0 and id is not null").groupBy("sig").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("bits").alias("bits"), F.first("brief").alias("brief")), "classes")
+            members = scratch.keep(sets.select("id", "n", "sig"), "members")
         along = Window.partitionBy("token").orderBy("n", "rep")
         lists = classes.select(F.explode("rare").alias("token"), "rep", "n")
         lists = lists.withColumn("before", F.lag(F.struct("n", "rep")).over(along)).withColumn("more", F.lead("rep").over(along).isNotNull()).filter("before is not null or more")
@@ -419,8 +421,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         found = work.repartition(parts, "unit", "pair").sortWithinPartitions("unit", "pair").mapInPandas(lambda it: _search(it, words, num, den), "src long, dst long")
         links = scratch.keep(found, "links")
         final = connected_components(links).toDF("rep", "component")
-        members = sets.select("id", "n", "sig").join(classes.select("sig", "rep").join(final, "rep", "left").select("sig", F.coalesce("component", "rep").alias("component")), "sig", "left")
-        return scratch.result(members.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")), "jaccard")
+        answered = members.join(classes.select("sig", "rep").join(final, "rep", "left").select("sig", F.coalesce("component", "rep").alias("component")), "sig", "left")
+        return scratch.result(answered.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")), "jaccard")
 
 
 def _dealt(sized: DataFrame, block_shingles: int, num: int, den: int) -> DataFrame:
