@@ -8,8 +8,9 @@
    words that overlap by a window on either side, so no posting copies a long text.
 4. Postings of a window's rarest word are shifted by the word's place in the window; so are those of the
    second rarest; the lists are intersected on (document, start). What remains is compared with the
-   whole window in the payload, word for word: exact phrases. ``proximity_matches`` keeps, instead,
-   starts where at least ``least`` of the words stand within ``slack`` places of where the item has them.
+   whole window in the payload, word for word: exact phrases. ``proximity_matches`` finds, instead, all
+   starts where at least ``least`` of the words stand within ``slack`` places of where the item has them; it
+   searches from as many rarest words as no such start can lack.
 
 Joins with the benchmark's vocabulary are broadcast only when its size, which is counted first, is under
 ``BROADCAST_WORDS``; else they are ordinary joins. Null texts have no words. Items without words have no
@@ -140,10 +141,21 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame, **columns: str) -
     return documents.join(bad, id_col, "left_anti")
 
 
+def _rarest(windows: DataFrame, frequency: DataFrame, least: int) -> DataFrame:
+    """(item_id, w, size, place, word): as many of each window's rarest places that no match of ``least`` words misses all of them."""
+    from pyspark.sql import Window
+
+    each = windows.select("item_id", "w", "size", F.posexplode("w").alias("place", "word")).join(frequency, "word", "left").fillna(0, ["n"])
+    rank = F.row_number().over(Window.partitionBy("item_id", "w").orderBy("n", "word", "place"))
+    return each.withColumn("r", rank).filter(F.col("r") <= F.col("size") - F.least(F.lit(least), F.col("size")) + 1).select("item_id", "w", "size", "place", "word")
+
+
 def proximity_matches(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, least: int = 8, slack: int = 2) -> DataFrame:
-    """(doc_id, item_id, start, near): starts where ``least`` of a window's words stand within ``slack`` of their place.
+    """(doc_id, item_id, start, near): all starts where ``least`` of a window's words stand within ``slack`` of their place.
 
-    Searched from every place of the window's two rarest words, so a match holds one of them near its place.
+    A match lacks at most size - least words, so one of any size - least + 1 places has its word within ``slack``.
+    Every window is searched from that many of its rarest places, at all starts that put the word found there within
+    ``slack``; postings carry the words that any of these starts reaches. A start may lie before the text's first word.
     """
     with Scratch(documents.sparkSession) as scratch:
         windows = scratch.keep(item_windows(benchmark, item_col, item_text_col, window), "windows")
@@ -151,11 +163,20 @@ def proximity_matches(documents: DataFrame, benchmark: DataFrame, id_col: str =
         size = vocabulary.count()
         spoken = documents.select(F.explode(words(lowered(F.col(text_col)))).alias("word")).join(_small(vocabulary, size), "word")
         frequency = scratch.keep(spoken.groupBy("word").agg(F.count("*").alias("n")), "frequency")
-        anchors = scratch.keep(_anchors(windows, frequency), "anchors")
-        both = anchors.select("item_id", "w", "size", F.col("place1").alias("place"), F.col("word1").alias("word")).union(anchors.filter("word2 is not null").select("item_id", "w", "size", "place2", "word2"))
-        index = build_index(documents, both.select("word").distinct(), size, id_col, text_col, window)
-        hits = index.join(_small(both, 2 * anchors.count()), "word")
-        at = F.col("before") - F.col("place")
-        near = F.size(F.filter(F.transform(F.col("w"), lambda x, i: F.exists(F.slice("around", F.greatest(at + i - slack + 1, F.lit(1)).cast("int"), F.lit(2 * slack + 1)), lambda y: y == x)), lambda ok: ok))
-        rows = hits.withColumn("near", near).filter(F.col("near") >= F.least(F.lit(least), F.col("size")))
-        return scratch.result(rows.groupBy("doc_id", "item_id", (F.col("pos") - F.col("place")).alias("start")).agg(F.max("near").alias("near")), "proximity")
+        anchors = scratch.keep(_rarest(windows, frequency, least), "anchors")
+        # from a place of a window, at a start within slack of it, words up to window - 1 + 2 slack away are looked at
+        index = build_index(documents, anchors.select("word").distinct(), size, id_col, text_col, window + 2 * slack)
+        hits = index.join(_small(anchors, anchors.count()), "word")
+
+        def near(shift: Column) -> Column:
+            at = F.col("before") - F.col("place") + shift  # where in the payload the window would start
+
+            def held(x: Column, i: Column) -> Column:
+                first = F.greatest(at + i - slack, F.lit(0))
+                return F.array_contains(F.slice("around", (first + 1).cast("int"), F.greatest(at + i + slack + 1 - first, F.lit(0)).cast("int")), x)
+
+            return F.size(F.filter(F.transform(F.col("w"), held), lambda ok: ok))
+
+        shifts = F.array(*[F.struct(F.lit(d).alias("shift"), near(F.lit(d)).alias("near")) for d in range(-slack, slack + 1)])
+        rows = hits.select("doc_id", "item_id", "pos", "place", F.explode(F.filter(shifts, lambda x: x["near"] >= F.least(F.lit(least), F.col("size")))).alias("m"))
+        return scratch.result(rows.groupBy("doc_id", "item_id", (F.col("pos") - F.col("place") + F.col("m.shift")).alias("start")).agg(F.max("m.near").alias("near")), "proximity")
