@@ -26,12 +26,21 @@ BASE_RULES = (
     ("access", r"AKIA[A-Z0-9]+", 0, 16),
     ("hex", r"[0-9a-f]+", 0, 32),
 )
+_QUOTES = r"""[\x20\t>"'|*#,;]*+"""
+_BREAK = rf"(?:{_QUOTES}(?:\r?\n|\\[rn]))++{_QUOTES}"  # ends of lines, real or escaped, with what quotes lines
+#: A private key from BEGIN to its END; if that is missing, to the end of the header fields and base64 lines that follow.
+PRIVATE_KEY = (
+    r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----(?:"
+    r"[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END \1PRIVATE KEY-----"
+    rf"|(?:{_BREAK}(?:Proc-Type|DEK-Info):[^\r\n\\]*+)*+"
+    rf"(?:(?:[\x20\t]*+|{_BREAK})[A-Za-z0-9+/=]{{16,}}+|{_BREAK}[A-Za-z0-9+/=]++(?=[\x20\t]*+(?:[\r\n\"']|\\[rn]|\Z)))*+)"
+)
 #: Rules that this scan adds, in the same form; a least length of 0 asks nothing.
 MORE_RULES = (
     ("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
     ("slack", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15),
     ("google", r"AIza[A-Za-z0-9_-]+", 0, 39),
-    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
+    ("pem", PRIVATE_KEY, 0, 0),
     ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 0),
 )
 RULES = BASE_RULES + MORE_RULES
