@@ -53,3 +53,10 @@ def mapped(df, function, schema: str, id_col: str = "doc_id", text_col: str = "t
                 yield function(part)
 
     return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+
+
+def row_key(*columns: str):
+    """A 64-bit key of a row by what is in these columns, nulls told apart: equal rows have equal keys, however they are read."""
+    from pyspark.sql import functions as F
+
+    return F.xxhash64(*[F.col(c) for c in columns], *[F.col(c).isNull() for c in columns])

@@ -14,8 +14,8 @@
 
 Joins with the benchmark's vocabulary are broadcast only when its size, which is counted first, is under
 ``BROADCAST_WORDS``; else they are ordinary joins. Null texts have no words. Items without words have no
-windows. Repeated ids: rows of one document id are counted as one document's words only for rows of equal
-text; give unique ids.
+windows. Documents are told apart by a key of id and text, so null ids and repeated ids with other texts are
+judged each by its own words; the matches' functions take ids as they are.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch
+from .common import row_key
 
 #: Rows of benchmark words up to which they are broadcast.
 BROADCAST_WORDS = 200_000
@@ -108,18 +109,23 @@ def phrase_matches(documents: DataFrame, benchmark: DataFrame, scratch: Scratch,
     return both.filter(whole).select("doc_id", "item_id", "start", "size")
 
 
+def _covered(keyed: DataFrame, benchmark: DataFrame, scratch: Scratch, text_col: str, item_col: str, item_text_col: str, window: int) -> DataFrame:
+    """(row, n_hit, items) of the rows that hold a window, by the column ``__row``."""
+    found = phrase_matches(keyed, benchmark, scratch, "__row", text_col, item_col, item_text_col, window).distinct()
+    return found.groupBy(F.col("doc_id").alias("__row")).agg(
+        F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1))))).cast("long").alias("n_hit"),
+        F.array_sort(F.collect_set("item_id")).alias("items"),
+    )
+
+
 def contamination(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every document."""
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every document, row by row: ids may be null or repeated."""
+    keyed = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("__row", row_key("doc_id", "text"))
     with Scratch(documents.sparkSession) as scratch:
-        found = phrase_matches(documents, benchmark, scratch, id_col, text_col, item_col, item_text_col, window).distinct()
-        covered = found.groupBy("doc_id").agg(
-            F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1))))).cast("long").alias("n_hit"),
-            F.array_sort(F.collect_set("item_id")).alias("items"),
-        )
-        covered = scratch.keep(covered, "covered")
-        rows = documents.select(F.col(id_col).alias("doc_id"), F.size(words(lowered(F.col(text_col)))).cast("long").alias("n_words"))
+        covered = scratch.keep(_covered(keyed, benchmark, scratch, "text", item_col, item_text_col, window), "covered")
+        rows = keyed.select("__row", "doc_id", F.size(words(lowered(F.col("text")))).cast("long").alias("n_words"))
         n = covered.count()
-        out = rows.join(_small(covered, n), "doc_id", "left")
+        out = rows.join(_small(covered, n), "__row", "left")
         none = F.array().cast("array<string>")
         return scratch.result(
             out.select(
@@ -134,11 +140,12 @@ def contamination(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
         )
 
 
-def decontaminated(documents: DataFrame, benchmark: DataFrame, **columns: str) -> DataFrame:
-    """The documents without any occurrence of a benchmark window, with all their columns."""
-    id_col = columns.get("id_col", "doc_id")
-    bad = contamination(documents, benchmark, **columns).filter("contaminated").select(F.col("doc_id").alias(id_col)).distinct()
-    return documents.join(bad, id_col, "left_anti")
+def decontaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10) -> DataFrame:
+    """The documents without any occurrence of a benchmark window, with all their columns, row by row: ids may be null or repeated."""
+    keyed = documents.withColumn("__row", row_key(id_col, text_col))
+    with Scratch(documents.sparkSession) as scratch:
+        bad = scratch.result(_covered(keyed, benchmark, scratch, text_col, item_col, item_text_col, window).select("__row"), "bad")
+    return keyed.join(bad, "__row", "left_anti").select(*documents.columns)
 
 
 def _rarest(windows: DataFrame, frequency: DataFrame, least: int) -> DataFrame:

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..session import Scratch
-from .common import bytes_of, mapped
+from .common import bytes_of, mapped, row_key
 
 SKETCH_BITS = 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -447,7 +447,22 @@ def _dealt(sized: DataFrame, block_shingles: int, num: int, den: int) -> DataFra
 
 
 def near_duplicates_removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The table with one document of each component: the one whose id names it. Rows without words stay."""
-    answer = jaccard_components(df, id_col, text_col)
-    kept = answer.filter("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias(id_col)).distinct()
-    return df.join(kept, id_col, "left_semi")
+    """The table with exactly one row of each group of near copies. Rows without words stay.
+
+    Rows are told apart by a key over all their columns, so ids may be null or repeated. Of a group the row with the
+    smallest id is kept, null being the largest; ties go by key. Of rows that are equal in all columns one is kept.
+    """
+    keyed = df.withColumn("__row", row_key(*[c for c, kind in df.dtypes if "map<" not in kind]))
+    with Scratch(df.sparkSession) as scratch:
+        groups = jaccard_components(keyed.select("__row", text_col), "__row", text_col).filter("n_shingles > 0")
+        groups = groups.groupBy(F.col("doc_id").alias("__row")).agg(F.first("component_id").alias("unit"), F.count("*").alias("copies"))
+        ids = keyed.select("__row", F.struct(F.col(id_col).isNull(), F.col(id_col), "__row").alias("order")).distinct()
+        placed = scratch.keep(groups.join(ids, "__row"), "placed")
+        first = placed.groupBy("unit").agg(F.min("order").alias("order")).select("unit", F.col("order.__row").alias("chosen"))
+        judged = placed.join(first, "unit").select("__row", (F.col("__row") == F.col("chosen")).alias("kept"), "copies")
+        # what goes as a whole, and, seldom, rows of which one of several equal ones stays
+        apart = scratch.result(judged.filter("not kept or copies > 1"), "apart")
+    rest = keyed.join(apart.select("__row"), "__row", "left_anti")
+    if not apart.filter("kept").isEmpty():
+        rest = rest.unionByName(keyed.join(apart.filter("kept").select("__row"), "__row", "left_semi").dropDuplicates(["__row"]))
+    return rest.select(*df.columns)
