@@ -1,8 +1,9 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and pieces of text, with DataFrame functions only.
 
-Leaves are pieces of a paragraph (runs of ``PIECE`` words or fewer, with their white space). A paragraph
-is a line; its node digests its leaves. A section is a run of paragraphs that ends at a blank line or
-where a paragraph's digest says so (one in eight), so an edit moves no later boundary; its node digests
+Leaves are pieces of a paragraph. A word whose hash says so (one in ``PIECE``) ends a leaf, and in a run of more
+than ``LONG`` characters without white space a character (one in ``LONG``), so an edit moves no boundary but
+those at its own place; a leaf has no greatest length. A paragraph is a line; its node digests its leaves. A section is a run of paragraphs that ends at a blank line or
+where a paragraph's digest says so (one in eight), so here too an edit moves no later boundary; its node digests
 its paragraphs. The root digests the sections. Every character is in exactly one leaf, so equal roots mean
 equal texts.
 
@@ -19,8 +20,10 @@ from pyspark.sql import functions as F
 
 from ..session import Scratch
 
-#: Words in a leaf; longer words than 24 characters are cut.
+#: Words in a leaf, on average.
 PIECE = 5
+#: Characters up to which a word is not cut; on average as many characters of a longer one are a leaf.
+LONG = 24
 _NODE = 12  # hex digits of an inner node's or leaf's digest in a fingerprint
 
 
@@ -31,8 +34,12 @@ def _leaf(piece: Column) -> Column:
 def tree(text: Column) -> Column:
     """The paragraphs of the tree: array<struct<node, leaves array<string>, last boolean>>; ``last`` ends a section."""
     lines = F.split(F.coalesce(text, F.lit("")), "\n")
-    pieces = lambda p: F.regexp_extract_all(p, F.lit(rf"(?s)\s*\S{{1,24}}(?:\s+\S{{1,24}}){{0,{PIECE - 1}}}|\s+"), F.lit(0))
-    leaves = F.transform(lines, lambda p: F.transform(pieces(p), _leaf))
+    # short words, single characters of long ones, each with the white space before it; what is left ends the line
+    units = lambda p: F.regexp_extract_all(p, F.lit(rf"(?s)\s*+(?:\S{{1,{LONG}}}+(?!\S)|\S)|\s++"), F.lit(0))
+    ends = lambda u: F.pmod(F.xxhash64(u), F.when(F.length(u) == 1, F.lit(LONG)).otherwise(F.lit(PIECE))) == 0
+    # a line holds no line feed, so it can mark the ends of leaves
+    marked = lambda p: F.array_join(F.transform(units(p), lambda u: F.when(ends(u), F.concat(u, F.lit("\n"))).otherwise(u)), "")
+    leaves = F.transform(lines, lambda p: F.transform(F.filter(F.split(marked(p), "\n"), lambda x: x != ""), _leaf))
     nodes = F.transform(leaves, lambda x: F.struct(F.substring(F.sha2(F.concat(F.lit("p"), F.array_join(x, ".")), 256), 1, _NODE).alias("node"), x.alias("leaves")))
     return F.transform(nodes, lambda x: F.struct(x["node"].alias("node"), x["leaves"].alias("leaves"), ((F.size(x["leaves"]) == 0) | (F.substring(x["node"], 1, 1).isin("0", "8"))).alias("last")))
 
