@@ -56,5 +56,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return docs
 
 
-#: Fitting a language model and replaying merges have no SQL form. A test of run() against a brute-force version is still to be written.
+#: Fitting a language model and replaying merges have no SQL form.
 ORACLE_SQL = None
