@@ -8,8 +8,11 @@ containers; menus, headers, footers, side bars, notices, adverts, forms and read
 them), by stochastic gradient ascent on the likelihood. Text words are never features, so any
 language works.
 
-Null and empty pages have an empty text. A page cut off in the middle keeps what it has; a tag
-that never ends is dropped. Rows are treated one by one; memory is bounded by one page.
+Null and empty pages have an empty text. A page is read forward once, so malformed pages cost no more than
+others: a tag that never ends is dropped with what follows it, as browsers do; a comment that never ends stops at its
+first ``>``; a quote that never ends is a plain character. White space is what Unicode calls so, no-break
+spaces included. Rows are treated one by one, so repeated rows, ties and other columns play no part; memory is
+bounded by one page.
 """
 
 from __future__ import annotations
@@ -27,16 +30,18 @@ from pyspark.sql import DataFrame
 
 from .common import mapped, texts_of
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[/a-zA-Z][^<>]*\Z""", re.DOTALL)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile("""[>"']""")
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 _WORDS = re.compile(r"[a-z]+")
-_SPACE = re.compile(r"[ \t\n\r\f\v]+")
 # Elements by how they are read.
 RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "object", "select", "head"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "br"}
 CLOSES_ITSELF = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
 P_STAYS_OPEN_IN = INLINE | {"input", "button"}
+#: Elements inside elements up to which they are kept apart; deeper ones count as their ancestor at this depth.
+DEEPEST = 512
 
 
 @dataclass
@@ -49,6 +54,52 @@ class Block:
     linked: int
 
 
+class _Reader:
+    """The tags and texts of a page, read forward; what was once searched for to the end in vain is not searched for again."""
+
+    def __init__(self, page: str):
+        self.page, self.missing = page, set()
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.missing:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.missing.add(what)
+        return found
+
+    def past(self, pattern: str, at: int) -> re.Match | None:
+        """The next match of a pattern that ends an element."""
+        if pattern in self.missing:
+            return None
+        found = re.compile(pattern, re.IGNORECASE).search(self.page, at)
+        if found is None:
+            self.missing.add(pattern)
+        return found
+
+    def skipped(self, at: int) -> int | None:
+        """The end of the comment or declaration that begins at ``at``; None if a tag or text does."""
+        page = self.page
+        for begin, end in (("<!--", "-->"), ("<![CDATA[", "]]>")):
+            if page.startswith(begin, at) and (found := self.find(end, at + 2 if begin == "<!--" else at)) >= 0:
+                return found + 3
+        if page.startswith(("<!", "<?"), at) or page.startswith("</", at) and not page[at + 2 : at + 3].isalpha():
+            found = self.find(">", at)
+            return found + 1 if found >= 0 else len(page)
+        return None
+
+    def tag_end(self, at: int) -> int:
+        """The place of the ``>`` that ends the tag whose name ends at ``at``, quoted values left out; -1 if there is none."""
+        page = self.page
+        while found := _STOP.search(page, at):
+            if found[0] == ">":
+                return found.start()
+            value = page[at : found.start()].rstrip().endswith("=")
+            end = self.find(found[0], found.end()) if value else -1
+            at = end + 1 if end >= 0 else found.end()
+        return -1
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in order; text is decoded, white space is one space."""
     out: list[Block] = []
@@ -56,36 +107,46 @@ def leaf_blocks(page: str) -> list[Block]:
     parts: list[str] = []
     linked, in_link = 0, 0
     where: tuple | None = None
-    at, n = 0, len(page)
+    at, n, reader = 0, len(page), _Reader(page)
 
     def flush() -> None:
         nonlocal parts, linked, where
-        text = _SPACE.sub(" ", html.unescape("".join(parts))).strip(" ")
+        text = " ".join("".join(parts).split())
         if text and where is not None:
             out.append(Block(text, *where, min(linked, len(text))))
         parts, linked, where = [], 0, None
 
     def add(text: str) -> None:
         nonlocal linked, where
-        if where is None and text.strip():
+        if "&" in text:
+            text = html.unescape(text)
+        if where is None and not text.isspace():
             where = (tuple(t for t, _ in stack if t not in INLINE), tuple(w for _, ws in stack for w in ws))
         parts.append(text)
         if in_link:
             linked += len(text)
 
     while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None:
+        begin = reader.find("<", at)
+        if begin < 0:
             add(page[at:])
             break
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        name = m[2]
-        if name is None:
+        if begin > at:
+            add(page[at:begin])
+        if (end := reader.skipped(begin)) is not None:
+            at = end
             continue
-        name = name.lower()
-        if m[1]:  # an end tag
+        closing = page.startswith("/", begin + 1)
+        named = _NAME.match(page, begin + 1 + closing)
+        if named is None:
+            add("<")
+            at = begin + 1
+            continue
+        end = reader.tag_end(named.end())
+        if end < 0:
+            break
+        at, name, attributes = end + 1, named[0].lower(), page[named.end() : end]
+        if closing:
             if name == "a":
                 in_link = max(0, in_link - 1)
             if name not in INLINE:
@@ -102,13 +163,13 @@ def leaf_blocks(page: str) -> list[Block]:
         if name in RAW:
             if name == "head":
                 flush()
-                end = re.compile(r"</head\s*>|<body[\s>]", re.IGNORECASE).search(page, at)
-                if end:
-                    at = end.start() if end[0][1] != "/" else end.end()
+                found = reader.past(r"</head\s*>|<body[\s>]", at)
+                if found:
+                    at = found.start() if found[0][1] != "/" else found.end()
                 continue
-            if not m[3].endswith("/") or name not in {"svg", "math"}:
-                end = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
-                at = end.end() if end else n
+            if not attributes.endswith("/") or name not in {"svg", "math"}:
+                found = reader.past(rf"</{name}\s*>", at)
+                at = found.end() if found else n
             continue
         if name == "br":
             add(" ")
@@ -124,12 +185,12 @@ def leaf_blocks(page: str) -> list[Block]:
                         break
                     if t not in INLINE and t not in CLOSES_ITSELF:
                         break
-        if name in VOID:
+        if name in VOID or len(stack) >= DEEPEST:
             continue
         words: tuple[str, ...] = ()
-        if m[3]:
+        if attributes:
             found = []
-            for key, value in _ATTRIBUTE.findall(m[3]):
+            for key, value in _ATTRIBUTE.findall(attributes):
                 key = key.lower()
                 if key in ("hidden", "aria-hidden") and value.strip("\"'").lower() != "false" or key == "style" and "display:none" in value.replace(" ", "").lower():
                     found.append("hidden")

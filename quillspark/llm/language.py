@@ -6,13 +6,15 @@ The model is fitted on a bounded sample of labelled rows (``per_language`` rows
 language, chosen by a hash of the id), and keeps at most ``vocabulary`` words a language and
 ``grams`` n-grams an order; so what is broadcast has a fixed bound. Prediction reads whole texts.
 
-Null texts and texts without letters are ``und`` with score 0. Ties go to the language that
-sorts first. Without any labelled text every text is ``und``.
+Null texts and texts without letters (characters of category L) are ``und`` with score 0. Ties go to the language
+that sorts first. Without any labelled text every text is ``und``. Rows are treated one by one: a repeated row gets
+the same answer twice, and a null id is never held out. Columns other than id, text and lang are not read.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter, defaultdict
 from dataclasses import dataclass
 
@@ -24,7 +26,26 @@ from pyspark.sql import types as T
 
 from .common import mapped, pieces, texts_of
 
-WORD = re.compile(r"[^\W\d_]+")
+
+
+def _letters() -> str:
+    """The characters of category L as ranges of a character class, which Python and Spark read alike."""
+    import unicodedata
+
+    out, start = [], None
+    for c in range(sys.maxunicode + 2):
+        letter = c <= sys.maxunicode and unicodedata.category(chr(c))[0] == "L"
+        if letter and start is None:
+            start = c
+        elif not letter and start is not None:
+            out.append(f"{chr(start)}-{chr(c - 1)}")
+            start = None
+    return "".join(out)
+
+
+#: What is a letter, in fitting as in prediction.
+LETTERS = _letters()
+WORD = re.compile(f"[{LETTERS}]+")
 UNKNOWN = "und"
 
 
@@ -53,7 +74,7 @@ def fit(labelled: DataFrame, per_language: int = 1500, vocabulary: int = 20_000,
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(per_language / n)).otherwise(share)
     chosen = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * (1 << 30))
-    words = chosen.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).filter("w <> ''").groupBy("lang", "w").agg(F.count("*").alias("n"))
+    words = chosen.select("lang", F.explode(F.split(F.lower("text"), f"[^{LETTERS}]+")).alias("w")).filter("w <> ''").groupBy("lang", "w").agg(F.count("*").alias("n"))
     from pyspark.sql import Window
 
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))
