@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import sys
+import unicodedata
 from collections import Counter, defaultdict
 from dataclasses import dataclass
 
@@ -28,24 +29,16 @@ from .common import mapped, pieces, texts_of
 
 
 
-def _letters() -> str:
-    """The characters of category L as ranges of a character class, which Python and Spark read alike."""
-    import unicodedata
+def _other_numbers() -> str:
+    """The characters that count as word characters but are numbers (categories Nl and No), as ranges of a class."""
+    found = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Nl", "No")]
+    ends = [c for c, after in zip(found, [*found[1:], -1], strict=True) if after != c + 1]
+    begins = [c for c, before in zip(found, [-1, *found], strict=False) if before != c - 1]
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(begins, ends, strict=True))
 
-    out, start = [], None
-    for c in range(sys.maxunicode + 2):
-        letter = c <= sys.maxunicode and unicodedata.category(chr(c))[0] == "L"
-        if letter and start is None:
-            start = c
-        elif not letter and start is not None:
-            out.append(f"{chr(start)}-{chr(c - 1)}")
-            start = None
-    return "".join(out)
 
-
-#: What is a letter, in fitting as in prediction.
-LETTERS = _letters()
-WORD = re.compile(f"[{LETTERS}]+")
+#: Runs of letters, which are the characters of category L: what Spark's ``\p{L}`` is, too.
+WORD = re.compile(rf"[^\W\d_{_other_numbers()}]+")
 UNKNOWN = "und"
 
 
@@ -74,7 +67,7 @@ def fit(labelled: DataFrame, per_language: int = 1500, vocabulary: int = 20_000,
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(per_language / n)).otherwise(share)
     chosen = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * (1 << 30))
-    words = chosen.select("lang", F.explode(F.split(F.lower("text"), f"[^{LETTERS}]+")).alias("w")).filter("w <> ''").groupBy("lang", "w").agg(F.count("*").alias("n"))
+    words = chosen.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).filter("w <> ''").groupBy("lang", "w").agg(F.count("*").alias("n"))
     from pyspark.sql import Window
 
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))
