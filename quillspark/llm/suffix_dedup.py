@@ -2,23 +2,26 @@
 
 A byte goes if a string of ``length`` bytes covers it that also starts in a document with a smaller id.
 
-1. Exact copies of a whole text are settled by digest: only the smallest id of each goes further.
+1. Exact copies of a whole text are settled by digest: only the row with the smallest id of each goes further.
 2. Any two equal strings of ``length`` bytes choose the same gram inside them (the one with the least hash
-   among its ``length - GRAM + 1`` grams), so equal strings meet under that gram. Grams that only one
-   document has are dropped; this takes 12 bytes for about every fourteenth byte of text, no text.
-3. The passages around the remaining grams (the strings that chose them, in one piece) are collected,
-   equal passages pre-aggregated to their smallest id. A gram with very many different
-   passages is dealt out string by string, so no task gets an unbounded group.
-4. In a task, passages form shards. Each shard's Burrows-Wheeler transform is built; all are merged by
-   iterative interleave refinement: round h turns the interleaving by the first h - 1 symbols into that
-   by h symbols, by one stable distribution of the transforms' symbols; no suffix is sorted again. The
-   round in which a boundary between neighbours appears is their common prefix plus one. After
-   ``length`` rounds the runs without a boundary are the repeated intervals; each takes its smallest id.
-5. Occurrences look their passage's answer up and send the starts to remove to their document, where
-   overlapping ranges are joined.
-
-Texts are UTF-8; null is empty. Rows with a null id keep all their bytes and remove none. Rows that share an id
-count as one document: none removes from another.
+   among its ``length - GRAM + 1`` grams), so equal strings meet under that gram. A piece of the corpus sends each of
+   its grams once, 6 bytes for about every fourteenth byte of text, no text; grams that only one text has are
+   dropped. Grams that more than ``hot_over`` pieces hold are listed, the ``HOT_LIST`` most frequent at most.
+3. The passages around the remaining grams (the strings that chose them, in one piece) go to their gram's bucket,
+   equal passages of a piece once, with the places where they stand.
+4. In a task, the different passages of grams that have more than one form shards. Each shard's
+   Burrows-Wheeler transform is built; all are merged by iterative interleave refinement: round h turns the
+   interleaving by the first h - 1 symbols into that by h symbols, by one stable distribution of the
+   transforms' symbols; no suffix is sorted again. The round in which a boundary between neighbours appears is
+   their common prefix plus one. After ``length`` rounds the runs without a boundary are the repeated intervals; each
+   takes its smallest id. A gram with one passage is a repeated interval as it stands.
+5. The same task tells every place of a passage which of its starts to remove; a text's ranges are joined.
+6. Grams on the list of hot ones are in no bucket: their strings are aggregated one by one to their smallest id
+   before they are shuffled, so a line of a third of all texts meets in no single task.
+
+Texts are UTF-8; null and empty texts have nothing to remove. Rows with a null id keep all their bytes and remove
+none. Ranges belong to a row's text, not to its id alone: rows that share an id but not the text are treated each by
+its own bytes, and none removes from another; equal rows have equal results. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +30,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +38,8 @@ from ..session import Scratch
 from .common import bytes_of, pieces
 
 GRAM = 24
+#: Bytes of text in a piece, and grams that are listed as hot at most.
+PIECE_BYTES, HOT_LIST = 2 << 20, 1_000_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -138,10 +142,11 @@ def merge(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.ndarray]:
     prefix of each place with the one before (``rounds`` where it is that or more)."""
     sizes = [len(s.symbols) for s in shards]
     n = sum(sizes)
-    z = np.repeat(np.arange(len(shards), dtype=np.uint16), sizes)
+    small = np.uint8 if len(shards) < 256 else np.uint16
+    z = np.repeat(np.arange(len(shards), dtype=small), sizes)
     symbols = np.concatenate([s.symbols for s in shards])
     strings = sum(s.strings for s in shards)
-    ends_first = np.repeat(np.arange(len(shards), dtype=np.uint16), [s.strings for s in shards])
+    ends_first = np.repeat(np.arange(len(shards), dtype=small), [s.strings for s in shards])
     common = np.full(n, rounds, np.int16)
     edge = np.zeros(n, bool)
     edge[0] = True
@@ -150,7 +155,7 @@ def merge(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.ndarray]:
         # the transforms' symbols in the present interleaving
         now = np.empty(n, np.uint8)
         now[np.argsort(z, kind="stable")] = symbols
-        block = np.cumsum(edge)
+        block = np.cumsum(edge, dtype=np.int32)
         order = np.argsort(now, kind="stable")
         z_next = z[order]
         z_next[:strings] = ends_first
@@ -199,145 +204,229 @@ def least_ids(strings: list[bytes], ids: np.ndarray, length: int, shard_bytes: i
     return np.split(flat, base[1:-1])
 
 
+def _six(hashes: np.ndarray) -> np.ndarray:
+    """Hashes as rows of their six upper bytes."""
+    return np.ascontiguousarray(hashes.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, 2:]
+
+
+def _from_six(data: bytes) -> np.ndarray:
+    """What ``_six`` packed, without the two lower bytes."""
+    wide = np.zeros((len(data) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return wide.view("<u8").ravel()
+
+
+def _bounds(sorted_keys: np.ndarray) -> np.ndarray:
+    """Where equal keys begin, and the end."""
+    return np.concatenate([[0], np.flatnonzero(sorted_keys[1:] != sorted_keys[:-1]) + 1, [len(sorted_keys)]])
+
+
 def _postings(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Grams of each piece of the corpus, packed by bucket: ids, grams for each id, hashes, places."""
+    """The distinct grams of each piece, packed by bucket: those of one text with the text's key (keys, grams for each, grams), those
+    that several texts of the piece hold (``known``). The latter's texts are told at once, in rows with a bucket below 0."""
+    names = ["bucket", "keys", "counts", "grams", "known"]
     for batch in batches:
-        for part in pieces(batch):
-            owner, place, gram, _ = chosen_grams(bytes_of(part), length)
+        for part in pieces(batch, limit=PIECE_BYTES):
+            texts, keys = bytes_of(part), part.column("t").to_numpy()
+            once = sorted({x: i for i, x in enumerate(texts)}.values())
+            texts, keys = [texts[i] for i in once], keys[once]
+            owner, _, gram, _ = chosen_grams(texts, length)
             if not len(owner):
                 continue
-            ids = part.column("id").to_numpy()
-            bucket = (gram % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            bucket, owner, place, gram = bucket[order], owner[order], place[order].astype(np.uint32), gram[order]
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+            order = np.lexsort((owner, gram))
+            gram, owner = gram[order], owner[order]
+            fresh = np.concatenate([[True], (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])])
+            gram, owner = gram[fresh], owner[fresh]
+            cuts = _bounds(gram)
+            many = np.repeat(np.diff(cuts) > 1, np.diff(cuts))
             rows = []
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                own = owner[a:b]
-                at = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1])
-                rows.append((int(bucket[a]), ids[own[at]].tobytes(), np.diff(np.append(at, b - a)).astype(np.uint32).tobytes(), gram[a:b].tobytes(), place[a:b].tobytes()))
+            if many.any():
+                told = np.argsort(owner[many], kind="stable")
+                own, all_grams = owner[many][told], _six(gram[many][told])
+                at = _bounds(own)
+                where = -1 - int(keys[own[0]] % buckets)
+                rows.append((where, keys[own[at[:-1]]].tobytes(), np.diff(at).astype(np.uint32).tobytes(), all_grams.tobytes(), b""))
+            heads = cuts[:-1]
+            gram, owner, many = gram[heads], np.where(many[heads], -1, owner[heads]), many[heads]
+            bucket = (gram % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((owner, bucket))
+            bucket, owner, packed = bucket[order], owner[order], _six(gram[order])
+            at = _bounds(bucket)
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                known = a + int(np.searchsorted(owner[a:b], 0))
+                own = owner[known:b]
+                runs = _bounds(own) if len(own) else np.zeros(1, np.int64)
+                rows.append((int(bucket[a]), keys[own[runs[:-1]]].tobytes(), np.diff(runs).astype(np.uint32).tobytes(), packed[known:b].tobytes(), packed[a:known].tobytes()))
             cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["bucket", "ids", "counts", "grams", "places"])
-
-
-def _shared_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a task's buckets, the places whose gram stands in more than one document, packed by document."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    now = None
-
-    def done() -> pa.RecordBatch | None:
-        ids, grams, places = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((ids, grams))
-        g, i = grams[order], ids[order]
-        head = np.concatenate([[0], np.flatnonzero(g[1:] != g[:-1]) + 1])
-        sizes = np.diff(np.append(head, len(g)))
-        shared = np.repeat(i[head] != i[head + sizes - 1], sizes)
-        take = order[shared]
-        if not len(take):
-            return None
-        take = take[np.argsort(ids[take], kind="stable")]
-        own = ids[take]
-        at = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1, [len(own)]])
-        return pa.RecordBatch.from_arrays([pa.array(own[at[:-1]]), pa.array([places[take[a:b]].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], ["doc", "places"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names)
 
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """The rows of one bucket after the other; rows are sorted by bucket."""
+    now, held = None, []
     for batch in batches:
         for row in batch.to_pylist():
             if row["bucket"] != now and held:
-                if (out := done()) is not None:
-                    yield out
+                yield held
                 held = []
             now = row["bucket"]
-            held.append((np.repeat(np.frombuffer(row["ids"], np.int64), np.frombuffer(row["counts"], np.uint32)), np.frombuffer(row["grams"], np.uint64), np.frombuffer(row["places"], np.uint32)))
-    if held and (out := done()) is not None:
-        yield out
+            held.append(row)
+    if held:
+        yield held
+
+
+def _shared(batches: Iterator[pa.RecordBatch], hot_over: int) -> Iterator[pa.RecordBatch]:
+    """(t, grams) of each text whose gram another text holds too, packed; and, without t, each gram of more than ``hot_over`` pieces with n, their number."""
+    types = [pa.int64(), pa.binary(), pa.int64()]
+
+    def told(keys: np.ndarray, grams: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(keys, kind="stable")
+        keys, packed = keys[order], np.ascontiguousarray(grams[order].astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6]
+        at = _bounds(keys)
+        data = [packed[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(keys[at[:-1]]), pa.array(data, types[1]), pa.nulls(len(data), types[2])], ["t", "grams", "n"])
+
+    for rows in _by_bucket(batches):
+        # one row at a time where texts are told what their own piece found
+        parts = [[r] for r in rows] if rows[0]["bucket"] < 0 else [rows]
+        for some in parts:
+            keys = np.concatenate([np.repeat(np.frombuffer(r["keys"], np.int64), np.frombuffer(r["counts"], np.uint32)) for r in some])
+            grams = _from_six(b"".join(r["grams"] for r in some))
+            if some[0]["bucket"] < 0:
+                yield told(keys, grams)
+                continue
+            known = _from_six(b"".join(r["known"] for r in some))
+            every = np.sort(np.concatenate([grams, known]))
+            at = _bounds(every)
+            distinct, n = every[at[:-1]], np.diff(at)
+            met = (n > 1) | np.isin(distinct, known)
+            take = np.isin(grams, distinct[met])
+            if take.any():
+                yield told(keys[take], grams[take])
+            hot = np.flatnonzero(n > hot_over)
+            if len(hot):
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(hot), types[0]), pa.array([distinct[i : i + 1].tobytes() for i in hot.tolist()], types[1]), pa.array(n[hot])], ["t", "grams", "n"])
+
+
+class _Wanted:
+    """The places of a piece's texts whose gram was told to be shared: owner, gram, first start and last start that chose it."""
+
+    def __init__(self, part: pa.RecordBatch, length: int, hot: np.ndarray, take_hot: bool):
+        self.texts = texts = bytes_of(part)
+        owner, _, gram, begin = chosen_grams(texts, length)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        last = np.append(begin[1:], 0)[: len(begin)] - 1
+        end_of = np.append(owner[1:] != owner[:-1], True)[: len(owner)]
+        last[end_of] = sizes[owner[end_of]] - length
+        short = gram >> np.uint64(16)
+        wanted = np.zeros(len(owner), bool)
+        bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
+        for i, told in enumerate(part.column("grams").to_pylist()):
+            a, b = bounds[i], bounds[i + 1]
+            wanted[a:b] = np.isin(short[a:b], _from_six(b"".join(told)))
+        wanted &= np.isin(short, hot) == take_hot
+        pick = np.flatnonzero(wanted)
+        self.owner, self.gram, self.begin, self.last = owner[pick], gram[pick], begin[pick], last[pick]
+        self.ids, self.keys = part.column("id").to_numpy(), part.column("t").to_numpy()
+
+
+def _passages(batches: Iterator[pa.RecordBatch], length: int, buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The different passages around the shared grams of a piece, packed by bucket: gram, size and bytes of each, and its places (id, t, begin)."""
+    names = ["grams", "sizes", "passages", "places", "ids", "keys", "begins"]
+    for batch in batches:
+        for part in pieces(batch, limit=PIECE_BYTES):
+            w = _Wanted(part, length, hot, False)
+            if not len(w.owner):
+                continue
+            texts, seen = w.texts, {}
+            entry = np.fromiter(
+                (seen.setdefault((g, texts[o][s : e + length]), len(seen)) for o, g, s, e in zip(w.owner.tolist(), w.gram.tolist(), w.begin.tolist(), w.last.tolist(), strict=True)), np.int64, len(w.owner)
+            )
+            spans = [span for _, span in seen]
+            grams = np.fromiter((g for g, _ in seen), np.uint64, len(seen))
+            bucket = (grams % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            at_places = np.argsort(rank[entry], kind="stable")
+            places = np.bincount(rank[entry], minlength=len(order))
+            ends = np.concatenate([[0], np.cumsum(places)])
+            own = w.owner[at_places]
+            ids, keys, begins = w.ids[own], w.keys[own], w.begin[at_places].astype(np.uint32)
+            cuts, sizes = _bounds(bucket[order]), np.fromiter(map(len, spans), np.uint32, len(spans))
+            rows = []
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                some, x, y = order[a:b], int(ends[a]), int(ends[b])
+                rows.append((int(bucket[some[0]]), grams[some].tobytes(), sizes[some].tobytes(), b"".join([spans[i] for i in some.tolist()]), places[a:b].astype(np.uint32).tobytes(), ids[x:y].tobytes(), keys[x:y].tobytes(), begins[x:y].tobytes()))
+            cols = list(zip(*rows, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["bucket", *names])
 
 
-def _passages(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """For each kept place of a document: its gram, the first start that chose it, and the bytes of all strings that chose it."""
+def _strings(batches: Iterator[pa.RecordBatch], length: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Every string that chose a hot gram: (s, id, t, begin)."""
     for batch in batches:
-        for part in pieces(batch):
-            texts = bytes_of(part)
-            owner, place, gram, begin = chosen_grams(texts, length)
-            if not len(owner):
-                continue
-            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-            last = np.append(begin[1:], 0) - 1
-            end_of = np.append(owner[1:] != owner[:-1], True)
-            last[end_of] = sizes[owner[end_of]] - length
-            kept = [np.unique(np.concatenate([np.frombuffer(p, np.uint32) for p in ps])) if ps else np.zeros(0, np.uint32) for ps in part.column("places").to_pylist()]
-            wanted = np.zeros(len(owner), bool)
-            bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
-            for t, k in enumerate(kept):
-                a, b = bounds[t], bounds[t + 1]
-                wanted[a:b] = np.isin(place[a:b], k.astype(np.int64))
-            pick = np.flatnonzero(wanted)
-            if not len(pick):
-                continue
-            ids = part.column("id").to_numpy()
-            spans = [texts[o][s : e + length] for o, s, e in zip(owner[pick].tolist(), begin[pick].tolist(), last[pick].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[owner[pick]]), pa.array(gram[pick].view(np.int64)), pa.array(begin[pick]), pa.array(spans, pa.binary())], ["doc", "gram", "begin", "passage"])
+        for part in pieces(batch, limit=PIECE_BYTES):
+            w = _Wanted(part, length, hot, True)
+            n = w.last - w.begin + 1
+            starts = np.repeat(w.begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            own = np.repeat(w.owner, n)
+            data = [w.texts[o][s : s + length] for o, s in zip(own.tolist(), starts.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(data, pa.binary()), pa.array(w.ids[own]), pa.array(w.keys[own]), pa.array(starts.astype(np.int32))], ["s", "id", "t", "begin"])
 
 
-def _answers(batches: Iterator[pd.DataFrame], length: int, bound: int) -> Iterator[pd.DataFrame]:
-    """Rows (gram, cid, least, passage) sorted by gram: the smallest id for each start of a passage.
+def _solved(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """For each text of a bucket, the ranges of starts to remove: (id, t, a, b), ``b`` past the last.
 
-    Grams with one passage need no search. The others are gathered up to ``bound`` bytes (whole grams) and
-    merged at once: equal strings always share their gram, so the cut loses nothing.
+    Equal strings always share their gram, so a bucket is searched by itself.
     """
-    held: list[pd.DataFrame] = []
-    size = 0
-
-    def done() -> pd.DataFrame | None:
-        frame = pd.concat(held) if len(held) > 1 else held[0]
-        grams = frame["gram"].to_numpy()
-        many = frame["gram"].duplicated(keep=False).to_numpy()
-        passages, ids = frame["passage"].tolist(), frame["least"].to_numpy()
-        out: list = [None] * len(frame)
-        pick = np.flatnonzero(many)
-        if len(pick):
-            for i, x in zip(pick.tolist(), least_ids([passages[i] for i in pick], ids[pick], length), strict=True):
-                out[i] = x.tobytes()
-        for i in np.flatnonzero(~many).tolist():
-            out[i] = np.array([ids[i]], np.int64).tobytes()  # one id for all starts
-        return pd.DataFrame({"gram": grams, "cid": frame["cid"].to_numpy(), "ids": out})
-
-    for frame in batches:
-        if not len(frame):
+    for rows in _by_bucket(batches):
+        read = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in rows])  # noqa: E731, B023
+        grams, sizes, places = read("grams", np.uint64), read("sizes", np.uint32).astype(np.int64), read("places", np.uint32).astype(np.int64)
+        ids, keys, begins = read("ids", np.int64), read("keys", np.int64), read("begins", np.uint32).astype(np.int64)
+        data, at, seen, entry = b"".join(r["passages"] for r in rows), 0, {}, []
+        for g, n in zip(grams.tolist(), sizes.tolist(), strict=True):
+            entry.append(seen.setdefault((g, data[at : at + n]), len(seen)))
+            at += n
+        passages = [p for _, p in seen]
+        of_place = np.repeat(np.array(entry, np.int64), places)  # the passage at each place
+        least = np.full(len(passages), np.iinfo(np.int64).max)
+        np.minimum.at(least, of_place, ids)
+        gram = np.fromiter((g for g, _ in seen), np.uint64, len(seen))
+        several = np.flatnonzero(np.unique(gram, return_counts=True)[1][np.unique(gram, return_inverse=True)[1]] > 1)
+        # runs of starts with one answer: passage, from, to, smallest id
+        alone = np.ones(len(passages), bool)
+        alone[several] = False
+        single = np.flatnonzero(alone)
+        starts = np.fromiter(map(len, passages), np.int64, len(passages)) - length + 1
+        run_p, run_a, run_b, run_id = [single], [np.zeros(len(single), np.int64)], [starts[single]], [least[single]]
+        if len(several):
+            found = least_ids([passages[i] for i in several.tolist()], least[several], length)
+            flat, owner = np.concatenate(found), np.repeat(several, starts[several])
+            change = np.concatenate([[True], (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])])
+            first = np.flatnonzero(change)
+            base = np.repeat(np.cumsum(starts[several]) - starts[several], starts[several])
+            run_p.append(owner[first])
+            run_a.append(first - base[first])
+            run_b.append(np.append(first[1:], len(flat)) - base[first])
+            run_id.append(flat[first])
+        run_p, run_a, run_b, run_id = map(np.concatenate, (run_p, run_a, run_b, run_id))
+        order = np.argsort(run_p, kind="stable")
+        run_a, run_b, run_id = run_a[order], run_b[order], run_id[order]
+        per = np.bincount(run_p, minlength=len(passages))
+        ahead = np.cumsum(per) - per
+        n = per[of_place]
+        place = np.repeat(np.arange(len(of_place)), n)
+        run = np.repeat(ahead[of_place], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        gone = run_id[run] < ids[place]
+        place, run = place[gone], run[gone]
+        if not len(place):
             continue
-        grams = frame["gram"].to_numpy()
-        edges = np.concatenate([np.flatnonzero(grams[1:] != grams[:-1]) + 1, [len(grams)]]) if len(grams) else []
-        at = 0
-        weight = np.cumsum([len(p) for p in frame["passage"]])
-        for e in edges:
-            if held and size >= bound and held[-1]["gram"].iloc[-1] != grams[at]:
-                yield done()
-                held, size = [], 0
-            if weight[e - 1] - (weight[at - 1] if at else 0) + size < bound and e < len(grams):
-                continue
-            held.append(frame.iloc[at:e])
-            size += int(weight[e - 1] - (weight[at - 1] if at else 0))
-            at = e
-    if held:
-        yield done()
-
-
-def _removals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences with their passage's ids: ranges of starts to remove, (doc, from, to) with ``to`` past the last."""
-    for batch in batches:
-        docs, begins, counts = (batch.column(c).to_numpy() for c in ("doc", "begin", "starts"))
-        d_out, a_out, b_out = [], [], []
-        for doc, begin, n, raw in zip(docs.tolist(), begins.tolist(), counts.tolist(), batch.column("ids").to_pylist(), strict=True):
-            if raw is None:
-                continue
-            ids = np.frombuffer(raw, np.int64)
-            if len(ids) == 1:
-                if ids[0] < doc:
-                    d_out.append(doc), a_out.append(begin), b_out.append(begin + n)
-                continue
-            cut = np.flatnonzero(np.diff(np.concatenate([[0], (ids < doc).view(np.int8), [0]])))
-            for a, b in zip(cut[::2].tolist(), cut[1::2].tolist(), strict=True):
-                d_out.append(doc), a_out.append(begin + a), b_out.append(begin + b)
-        yield pa.RecordBatch.from_arrays([pa.array(d_out, pa.int64()), pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["doc", "a", "b"])
+        order = np.lexsort((keys[place], ids[place]))
+        place, run = place[order], run[order]
+        i, k, a, b = ids[place], keys[place], (begins[place] + run_a[run]).astype(np.int32), (begins[place] + run_b[run]).astype(np.int32)
+        cuts = np.concatenate([[0], np.flatnonzero((i[1:] != i[:-1]) | (k[1:] != k[:-1])) + 1, [len(i)]])
+        offsets = pa.array(cuts.astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(i[cuts[:-1]]), pa.array(k[cuts[:-1]]), pa.ListArray.from_arrays(offsets, pa.array(a)), pa.ListArray.from_arrays(offsets, pa.array(b))], ["id", "t", "a", "b"])
 
 
 def removed_runs(ranges: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
@@ -352,67 +441,52 @@ def removed_runs(ranges: list[tuple[int, int]], length: int) -> list[tuple[int,
     return [(a, b) for a, b in out]
 
 
-def repeated_passages(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", length: int = 50, bound: int = 8 << 20, dealt_over: int = 20_000) -> tuple[DataFrame, DataFrame]:
-    """(texts, ranges): each row's id, text, digest and whether it is a copy; and for each id its ranges of starts to remove."""
-    spark = df.sparkSession
-    parts = max(spark.sparkContext.defaultParallelism * 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    first = rows.filter("id is not null").groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("id").alias("first"))
-    lead = scratch.keep(first.select(F.col("first").alias("id"), "digest"), "firsts")
-    # postings come from every text that may be long enough: copies fall out below, as the smallest id of their digest
+def repeated_passages(rows: DataFrame, firsts: DataFrame, scratch: Scratch, length: int = 50, hot_over: int = 20_000, parts: int | None = None) -> DataFrame:
+    """(id, t, ranges array<struct<a array<int>, b array<int>>>): for each text its ranges of starts to remove.
+
+    ``rows`` has id, text, t (the text's 64-bit key) and digest; ``firsts`` the smallest id of each text.
+    """
+    spark = rows.sparkSession
+    parts = parts or max(spark.sparkContext.defaultParallelism * 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     buckets = parts * 4
-    packed = rows.filter(F.col("id").isNotNull() & (F.octet_length("text") >= length)).mapInArrow(lambda it: _postings(it, length, buckets), "bucket long, ids binary, counts binary, grams binary, places binary")
-    spots = packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_places, "doc long, places binary")
-    spots = scratch.keep(spots.groupBy("doc").agg(F.collect_list("places").alias("places")).join(lead.select(F.col("id").alias("doc")).distinct(), "doc", "left_semi"), "spots")
-    chosen = rows.join(spots, rows.id == spots.doc).select("id", "text", "places")
-    found = scratch.keep(chosen.mapInArrow(lambda it: _passages(it, length), "doc long, gram long, begin long, passage binary").withColumn("cid", F.xxhash64("passage", F.length("passage"))), "passages")
-    distinct = scratch.keep(found.groupBy("gram", "cid").agg(F.min("doc").alias("least"), F.first("passage").alias("passage")), "distinct")
-    # grams with very many different passages: string by string, so that the group can be dealt out
-    hot = scratch.keep(distinct.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > dealt_over).select("gram", F.lit(True).alias("hot")), "hot")
-    if hot.isEmpty():
-        answers = _solved(distinct, scratch, parts, length, bound)
-        return rows.withColumn("digest", F.sha2("text", 256)), lead, _ranges(found, answers, scratch, length)
-    marked = distinct.join(hot, "gram", "left")
-    starts = F.sequence(F.lit(1), F.length("passage") - length + 1)
-    strings = marked.filter("hot").select("gram", "cid", "least", F.posexplode(F.transform(starts, lambda s: F.substring(F.col("passage"), s, F.lit(length)))).alias("at", "passage"))
-    dealt = strings.groupBy(F.xxhash64("gram", "passage").alias("gram"), F.lit(0).cast("long").alias("cid"), "passage").agg(F.min("least").alias("least")).select("gram", "cid", "least", "passage")
-    work = marked.filter("hot is null").select("gram", "cid", "least", "passage").unionByName(dealt)
-    solved = _solved(work, scratch, parts, length, bound)
-    # the dealt strings' answers, put together again for their passages
-    looked = strings.join(solved.select("gram", F.col("ids").alias("one")).withColumnRenamed("gram", "g"), F.xxhash64(strings.gram, strings.passage) == F.col("g"))
-    again = looked.groupBy("gram", "cid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.hex("one").alias("h")))), lambda x: x["h"]), "").alias("all")).select("gram", "cid", F.unhex("all").alias("ids"))
-    return rows.withColumn("digest", F.sha2("text", 256)), lead, _ranges(found, solved.unionByName(again), scratch, length)
-
-
-def _solved(work: DataFrame, scratch: Scratch, parts: int, length: int, bound: int) -> DataFrame:
-    """The smallest ids for the starts of each passage, grams dealt out over the tasks."""
-    answers = work.repartition(parts, "gram").sortWithinPartitions("gram", "cid").select("gram", "cid", "least", "passage").mapInPandas(lambda it: _answers(it, length, bound), "gram long, cid long, ids binary")
-    return scratch.keep(answers, "solved")
-
-
-def _ranges(found: DataFrame, answers: DataFrame, scratch: Scratch, length: int) -> DataFrame:
-    """(doc, ranges) of the starts to remove, from each occurrence of a passage."""
-    known = found.select("doc", "gram", "cid", "begin", (F.length("passage") - length + 1).cast("long").alias("starts")).join(answers, ["gram", "cid"])
-    ranges = known.select("doc", "begin", "starts", "ids").mapInArrow(_removals, "doc long, a long, b long")
-    return scratch.keep(ranges.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("ranges")), "ranges")
-
-
-def passage_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
+    with Scratch(spark) as early:
+        packed = rows.select("t", "text").mapInArrow(lambda it: _postings(it, length, buckets), "bucket long, keys binary, counts binary, grams binary, known binary")
+        told = early.keep(packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _shared(it, hot_over), "t long, grams binary, n long"), "told")
+        listed = told.filter("t is null").orderBy(F.desc("n"), "grams").limit(HOT_LIST).select("grams").collect()
+        hot = np.sort(np.frombuffer(b"".join(bytes(r["grams"]) for r in listed), "<u8")) if listed else np.zeros(0, np.uint64)
+        shared = spark.sparkContext.broadcast(hot)
+        spots = told.filter("t is not null").groupBy("t").agg(F.collect_list("grams").alias("grams"))
+        chosen = rows.join(firsts.join(spots, "t").select("id", "digest", "grams"), ["id", "digest"]).select("id", "t", "text", "grams")
+        found = chosen.mapInArrow(lambda it: _passages(it, length, buckets, shared.value), "bucket long, grams binary, sizes binary, passages binary, places binary, ids binary, keys binary, begins binary")
+        ranges = found.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _solved(it, length), "id long, t long, a array<int>, b array<int>")
+        if listed:
+            strings = scratch.keep(chosen.mapInArrow(lambda it: _strings(it, length, shared.value), "s binary, id long, t long, begin int"), "strings")
+            least = strings.groupBy("s").agg(F.min("id").alias("least"))
+            gone = strings.join(least, "s").filter(F.col("least") < F.col("id"))
+            ranges = ranges.unionByName(gone.groupBy("id", "t").agg(F.collect_list("begin").alias("a"), F.collect_list((F.col("begin") + 1).cast("int")).alias("b")))
+        return scratch.keep(ranges.groupBy("id", "t").agg(F.collect_list(F.struct("a", "b")).alias("ranges")), "ranges")
+
+
+def passage_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, hot_over: int = 20_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
     with Scratch(df.sparkSession) as scratch:
-        rows, lead, ranges = repeated_passages(df, scratch, id_col, text_col, length)
-        leads = lead.select(F.col("id").alias("lead"), F.col("digest").alias("lead_digest"))
+        text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+        every = df.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).select("id", "text", F.xxhash64("text").alias("t"), F.sha2("text", 256).alias("digest"))
+        rows = every.filter(F.col("id").isNotNull() & (F.octet_length("text") >= length))
+        firsts = scratch.keep(rows.groupBy("digest", "t").agg(F.min("id").alias("id")), "firsts")
+        ranges = repeated_passages(rows, firsts, scratch, length, hot_over)
         # a row is first of its text if its id is the digest's smallest; else it is a copy and goes as a whole
-        mine = rows.join(ranges, rows.id == ranges.doc, "left").join(leads, (rows.id == leads.lead) & (rows.digest == leads.lead_digest), "left")
+        answers = firsts.join(ranges, ["id", "t"], "left").select("id", "digest", "ranges", F.lit(True).alias("first"))
+        mine = every.join(answers, ["id", "digest"], "left").select("id", "text", "ranges", "first")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 out = []
-                for doc, text, ranges_, is_lead in zip(batch.column("id").to_pylist(), bytes_of(batch), batch.column("ranges").to_pylist(), batch.column("is_lead").to_pylist(), strict=True):
-                    if doc is not None and not is_lead:
+                for doc, text, told, first in zip(batch.column("id").to_pylist(), bytes_of(batch), batch.column("ranges").to_pylist(), batch.column("first").to_pylist(), strict=True):
+                    if doc is not None and not first:
                         runs = [(0, len(text))] if len(text) >= length else []
                     else:
-                        runs = removed_runs([(r["a"], r["b"]) for r in ranges_ or []], length) if doc is not None else []
+                        runs = removed_runs([x for r in told or [] for x in zip(r["a"], r["b"], strict=True)], length)
                     kept, at = [], 0
                     for a, b in runs:
                         kept.append(text[at:a])
@@ -422,5 +496,4 @@ def passage_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 cols = list(zip(*out, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:4]], pa.array(cols[4], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-        result = mine.select("id", "text", "ranges", F.col("lead").isNotNull().alias("is_lead")).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-        return scratch.result(result, "dedup")
+        return scratch.result(mine.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"), "dedup")
