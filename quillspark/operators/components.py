@@ -8,19 +8,20 @@ from pyspark.sql import functions as F
 from ..session import Scratch
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, scratch: Scratch | None = None) -> DataFrame:
     """(node, component) for every node of ``edges``; the component is its smallest node.
 
     Alternates the large-star and small-star operations (Kiveris et al., "Connected Components in
     MapReduce and Beyond"): the number of edges never grows beyond the input's order, and rounds follow the
     logarithm of the longest path. Every round's edges are written to the shared folder, so lineage
-    stays short and no executor's loss costs more than a round. Null ends and loops are ignored.
+    stays short and no executor's loss costs more than a round. Null ends and loops are ignored. The result
+    is kept in ``scratch`` if that is given, else until the Python process ends.
     """
     spark = edges.sparkSession
     least, most = F.least("a", "b"), F.greatest("a", "b")
     now = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a is not null and b is not null and a <> b").select(least.alias("a"), most.alias("b")).distinct()
-    with Scratch(spark) as scratch:
-        now, before = scratch.keep(now, "edges"), None
+    with Scratch(spark) as own:
+        now, before = own.keep(now, "edges"), None
         for _ in range(max_rounds):
             # large star: larger neighbours go to the least neighbour (itself included)
             both = now.union(now.select("b", "a"))
@@ -29,7 +30,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             # small star: smaller neighbours and itself go to the least neighbour
             low = large.groupBy("b").agg(F.min("a").alias("m"))
             small = large.join(low, "b").select("m", "a").filter("m <> a").union(low.select("m", "b")).toDF("a", "b").distinct()
-            now = scratch.keep(small, "edges")
+            now = own.keep(small, "edges")
             sign = tuple(now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
             if sign == before:
                 break
@@ -38,4 +39,5 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             raise RuntimeError(f"components did not settle in {max_rounds} rounds")
         labels = now.select(F.col("b").alias("node"), F.col("a").alias("component"))
         roots = now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
-        return scratch.result(labels.union(roots), "components")
+        found = labels.union(roots)
+        return scratch.keep(found, "components") if scratch else own.result(found, "components")
