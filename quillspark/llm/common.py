@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text that one step inside a task works on; a longer text makes a step of its own.
 STEP_BYTES = 1 << 20
+#: Bits of the largest bitmap that is broadcast to tell rows apart.
+BITMAP_BITS = 1 << 27
 
 
 def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
@@ -60,3 +62,24 @@ def row_key(*columns: str):
     from pyspark.sql import functions as F
 
     return F.xxhash64(*[F.col(c) for c in columns], *[F.col(c).isNull() for c in columns])
+
+
+def without_rows(df, keys, key: str):
+    """The rows of ``df`` whose ``key`` is not in ``keys``, which is read more than once and so should be a written table.
+
+    Long rows move only if they have to: a bitmap of the keys' hashes, of BITMAP_BITS bits (16 MB) at most, is broadcast. Rows
+    that it does not hold stay where they are; the others, chance hits among them, are told apart by an ordinary anti join.
+    """
+    from pyspark.sql import functions as F
+
+    n = keys.count()
+    bits = min(BITMAP_BITS, max(1 << 15, 1 << (n * 256).bit_length()))
+    place = F.pmod(F.xxhash64(key, F.lit("row")), F.lit(bits))
+    bucket, bit = F.shiftright(place, 15), place.bitwiseAND(F.lit((1 << 15) - 1))
+    maps = keys.select(bucket.alias("__bucket"), bit.alias("__bit")).groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__map"))
+    marked = df.withColumn("__bucket", bucket).join(F.broadcast(maps), "__bucket", "left")
+    byte = F.conv(F.hex(F.substring(F.col("__map"), (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    held = F.coalesce(F.getbit(byte, bit.bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))
+    marked = marked.withColumn("__held", held).drop("__bucket", "__map")
+    out = marked.filter("not __held").unionByName(marked.filter("__held").join(keys.select(key), key, "left_anti"))
+    return out.drop("__held")

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch
-from .common import row_key
+from .common import row_key, without_rows
 
 #: Rows of benchmark words up to which they are broadcast.
 BROADCAST_WORDS = 200_000
@@ -145,7 +145,7 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "do
     keyed = documents.withColumn("__row", row_key(id_col, text_col))
     with Scratch(documents.sparkSession) as scratch:
         bad = scratch.result(_covered(keyed, benchmark, scratch, text_col, item_col, item_text_col, window).select("__row"), "bad")
-    return keyed.join(bad, "__row", "left_anti").select(*documents.columns)
+    return without_rows(keyed, bad, "__row").select(*documents.columns)
 
 
 def _rarest(windows: DataFrame, frequency: DataFrame, least: int) -> DataFrame:

@@ -11,7 +11,8 @@ How it is laid out on Spark:
    Equal sets are one class from here on, so exact copies cost nothing further.
 2. A bounded sketch of shingle counts (2**20 counters, summed over the whole corpus) gives one
    global order from rare to common. Linked sets of n shingles share one of each one's
-   n - ceil(t n) + 1 rarest, so only those "short list" postings are shuffled.
+   n - ceil(t n) + 1 rarest, so only those "short list" postings are shuffled; the smaller of two by even fewer of its
+   own (``is_led``), so lists without such a posting are dropped.
 3. On each list, sorted by set size, every class is tied to the one before it and to the first in reach of
    its size: ties are linear in postings. A tie stays only if parity bitmaps of the two sets (one
    bit for each shingle's hash, bits flipped) differ in no more bits than linked sets can: a sound
@@ -32,6 +33,8 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +45,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..session import Scratch
-from .common import bytes_of, mapped, row_key
+from .common import bytes_of, mapped, row_key, without_rows
 
 SKETCH_BITS = 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -162,15 +165,15 @@ def _pass(n: np.ndarray, words: np.ndarray, starts: np.ndarray, i: np.ndarray, j
 
 
 def _apart(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Rows (token, unit, rep, n, brief) sorted by token and n: ties between the units of one list.
+    """Rows (token, unit, rep, n, led, brief) sorted by token, n and rep: ties between the units of one list.
 
-    Two units are tied if classes of theirs have sizes and bitmaps that can match, directly or through other units of
+    Of two classes the first must be led on the list. Two units are tied if classes of theirs have sizes and bitmaps that can match, directly or through other units of
     the list; the ties of a list are a forest, so there are fewer of them than units.
     """
-    names = ["token", "unit", "rep", "n"]
+    names = ["token", "unit", "rep", "n", "led"]
 
-    def pairs(token: np.ndarray, unit: np.ndarray, rep: np.ndarray, n: np.ndarray, words: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
-        at, k, starts = np.arange(len(token)), 1, np.concatenate([[0], np.cumsum(sizes)])
+    def pairs(token: np.ndarray, unit: np.ndarray, rep: np.ndarray, n: np.ndarray, led: np.ndarray, words: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at, k, starts = np.flatnonzero(led), 1, np.concatenate([[0], np.cumsum(sizes)])
         label = np.unique(np.stack([token, unit]), axis=1, return_inverse=True)[1].ravel()  # of each place, its unit on its list
         parent = np.arange(len(token))
 
@@ -204,13 +207,13 @@ def _apart(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa
         if not batch.num_rows:
             continue
         brief = batch.column("brief")
-        cols = [*[batch.column(c).to_numpy() for c in names], brief.flatten().to_numpy(), np.diff(brief.offsets.to_numpy())]
+        cols = [*[batch.column(c).to_numpy(zero_copy_only=False) for c in names], brief.flatten().to_numpy(), np.diff(brief.offsets.to_numpy())]
         if held is not None:
             cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
         cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last list may go on
-        end = int(cols[5][:cut].sum())
-        yield from pairs(*[c[:cut] for c in cols[:4]], cols[4][:end], cols[5][:cut])
-        held = [*[c[cut:] for c in cols[:4]], cols[4][end:], cols[5][cut:]]
+        end = int(cols[6][:cut].sum())
+        yield from pairs(*[c[:cut] for c in cols[:5]], cols[5][:end], cols[6][:cut])
+        held = [*[c[cut:] for c in cols[:5]], cols[5][end:], cols[6][cut:]]
     if held is not None:
         yield from pairs(*held)
 
@@ -220,6 +223,11 @@ def least_overlap(n: int, num: int, den: int) -> int:
     return -(-n * num // den)
 
 
+def is_led(place: Column, n: Column, num: int, den: int) -> Column:
+    """Whether a set of n must be looked up by its shingle at this place, from rare to common, for no set of its size or larger to be missed."""
+    return place < n - F.ceil(n * 2 * num / (num + den)) + 1
+
+
 def shingle_sketch(df: DataFrame, id_col: str, text_col: str, words: int) -> np.ndarray:
     """How often shingles occur in the corpus, by 2**20 hashed counters: summed on executors, 4 MB to the driver."""
 
@@ -275,8 +283,16 @@ def _sets(df: DataFrame, id_col: str, text_col: str, words: int, num: int, den:
     return mapped(df, run, "id long, n long, sig binary, rare array<long>, bits array<long>, brief array<long>", id_col, text_col)
 
 
+#: Postings up to which short lists are merged by a heap. The weight of a list's logarithm in choosing how many lists are long.
+HEAP_POSTINGS, LONG_LIST_COST = 1024, 0.0085
+
+
 class DivideSkip:
-    """T-occurrence search over the inverted lists of some sets; sets are in order of size."""
+    """T-occurrence search over the inverted lists of some sets; sets are in order of size.
+
+    The longest lists of a query are set aside (Li, Lu and Lu, "Efficient Merging and Filtering Algorithms for Approximate
+    String Searches", give their number); documents on enough of the others are looked up in each of them.
+    """
 
     def __init__(self, sets: list[np.ndarray], num: int, den: int):
         self.sets, self.num, self.den = sets, num, den
@@ -298,45 +314,62 @@ class DivideSkip:
             x = self.parent[x]
         return x
 
-    def merge_short(self, x: int, short: np.ndarray, low: int, high: int) -> np.ndarray:
-        """Documents from low up to, not including, high on the short lists: a heap merge, or counters when the lists hold much."""
+    def merge_short(self, short: np.ndarray, low: int, high: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """The documents from low up to, not including, high that stand on ``least`` of the short lists, and on how many, most first.
+
+        A heap merge; where the lists hold more than HEAP_POSTINGS, counters that give the same.
+        """
         spans = [(int(self.ends[t] - self.lengths[t]), int(self.ends[t])) for t in short.tolist()]
-        total = sum(b - a for a, b in spans)
-        if total <= 64:
-            out, last = [], -1
-            for d in heapq.merge(*(self.lists[a:b].tolist() for a, b in spans)):
-                if low <= d < high and d != last:
-                    out.append(d)
-                    last = d
-            return np.array(out, np.int64)
-        seen = np.bincount(np.concatenate([self.lists[a:b] for a, b in spans]), minlength=high)[low:high]
-        found = np.flatnonzero(seen)
-        return found[np.argsort(-seen[found], kind="stable")] + low
+        if sum(b - a for a, b in spans) <= HEAP_POSTINGS:
+            merged = heapq.merge(*(self.lists[a:b].tolist() for a, b in spans))
+            found = [(d, n) for d, own in itertools.groupby(merged) if low <= d < high and (n := sum(1 for _ in own)) >= least]
+            docs, counts = np.array([d for d, _ in found], np.int64), np.array([n for _, n in found], np.int64)
+        else:
+            seen = np.bincount(np.concatenate([self.lists[a:b] for a, b in spans]), minlength=high)[low:high]
+            docs = np.flatnonzero(seen >= least)
+            counts, docs = seen[docs], docs + low
+        order = np.argsort(-counts, kind="stable")
+        return docs[order], counts[order]
+
+    def probe_long(self, long: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """On how many of the long lists each document stands, by binary search in every list."""
+        begin, end = self.ends[long] - self.lengths[long], self.ends[long]
+        shape = (len(docs), len(long))
+        lo, hi, sought = np.broadcast_to(begin, shape).copy(), np.broadcast_to(end, shape).copy(), docs[:, None]
+        for _ in range(int(self.lengths[long].max()).bit_length() if len(long) else 0):
+            mid = (lo + hi) >> 1
+            less = self.lists[np.minimum(mid, len(self.lists) - 1)] < sought
+            np.copyto(lo, mid + 1, where=less & (lo < hi))
+            np.copyto(hi, mid, where=~less & (lo < hi))
+        return ((lo < end) & (self.lists[np.minimum(lo, len(self.lists) - 1)] == sought)).sum(axis=1)
 
     def search(self, queries: range, index_end: int | None = None) -> None:
         """Links each query with the smaller-or-equal sets before it (or before ``index_end``)."""
         for x in queries:
             n = int(self.sizes[x])
-            need = least_overlap(n, self.num, self.den)
+            need = least_overlap(n, self.num, self.den)  # T: what any set in reach shares with this one at least
             low = int(np.searchsorted(self.sizes, need))
             high = x if index_end is None else min(index_end, x)
             if low >= high:
                 continue
             by_length = self.code[x][np.argsort(self.lengths[self.code[x]], kind="stable")]
-            # divided: need - 1 long lists are only probed; a result is on at least one of the others
-            short = by_length[: n - need + 1]
-            mine, me = self.sets[x], self.root(x)
-            for y in self.merge_short(x, short, low, high).tolist():
-                if self.root(y) == me:
-                    continue  # already joined: whether this very pair links changes no component
-                other = self.sets[y]
-                at = np.searchsorted(other, mine)  # the long lists are probed for y
-                at[at == len(other)] = len(other) - 1
-                both = int((other[at] == mine).sum())
-                if both * self.den >= self.num * (n + len(other) - both):
-                    a, b = sorted((self.root(y), me))
-                    self.parent[b] = a
-                    me = a
+            # divided: L long lists are only probed; a result is on T - L of the others
+            skipped = min(need - 1, int(need / (LONG_LIST_COST * math.log2(int(self.lengths[by_length[-1]]) + 1) + 1)))
+            short, long = by_length[: n - skipped], by_length[n - skipped :]
+            docs, counts = self.merge_short(short, low, high, need - skipped)
+            me, at, step = self.root(x), 0, 1
+            while at < len(docs):
+                # already joined: whether this very pair links changes no component
+                pick = [i for i in range(at, min(at + step, len(docs))) if self.root(int(docs[i])) != me]
+                at, step = at + step, min(step * 4, 256)
+                if not pick:
+                    continue
+                some = docs[pick]
+                both = counts[pick] + self.probe_long(long, some)
+                for y in some[both * (self.den + self.num) >= self.num * (n + self.sizes[some])].tolist():
+                    first, second = sorted((self.root(y), me))
+                    self.parent[second] = first
+                    me = first
 
 
 def _search(batches: Iterator[pd.DataFrame], words: int, num: int, den: int) -> Iterator[pd.DataFrame]:
@@ -391,23 +424,27 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             classes = scratch.keep(sets.filter("n > 0 and id is not null").groupBy("sig").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("bits").alias("bits"), F.first("brief").alias("brief")), "classes")
             members = scratch.keep(sets.select("id", "n", "sig"), "members")
         along = Window.partitionBy("token").orderBy("n", "rep")
-        lists = classes.select(F.explode("rare").alias("token"), "rep", "n")
-        lists = lists.withColumn("before", F.lag(F.struct("n", "rep")).over(along)).withColumn("more", F.lead("rep").over(along).isNotNull()).filter("before is not null or more")
+        # two linked sets share one of the rarest of either, and of the smaller one even of fewer: those postings are ``led``
+        led = is_led(F.col("place"), F.col("n"), num, den)
+        lists = classes.select(F.posexplode("rare").alias("place", "token"), "rep", "n").select("token", "rep", "n", led.alias("led"))
+        # a posting matters if a led one stands before it, or if it is led and another one follows
+        sooner = F.coalesce(F.max("led").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+        lists = lists.withColumn("before", F.lag(F.struct("n", "rep", "led")).over(along)).withColumn("more", F.lead("rep").over(along).isNotNull() & F.col("led")).withColumn("sooner", sooner).filter("sooner or more")
         gap = F.col("before").isNull() | (F.col("before.n") * den < F.col("n") * num)
-        lists = lists.withColumn("hub", F.last(F.when(gap, F.col("rep")), ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0)))
-        lists = scratch.keep(lists.select("token", "rep", "n", "hub", F.when(~gap, F.col("before.rep")).alias("before")), "lists")
+        lists = lists.withColumn("hub", F.last(F.when(gap & F.col("led"), F.col("rep")), ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+        lists = scratch.keep(lists.select("token", "rep", "n", "led", "hub", F.when(~gap & F.col("before.led"), F.col("before.rep")).alias("before")), "lists")
         least, most = F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")
         ties = lists.select("rep", F.explode(F.array_distinct(F.array("hub", "before"))).alias("other")).filter("other is not null and other <> rep").select(least, most).distinct()
         ties = scratch.keep(_tested(ties, classes, num, den), "ties")
-        near = connected_components(ties, "a", "b").toDF("rep", "unit")
+        near = connected_components(ties, "a", "b", scratch=scratch).toDF("rep", "unit")
         # lists on which more than one component is left
-        placed = lists.select("token", "rep", "n").join(near, "rep", "left").select("token", F.coalesce("unit", "rep").alias("unit"), "rep", "n")
+        placed = lists.select("token", "rep", "n", "led").join(near, "rep", "left").select("token", F.coalesce("unit", "rep").alias("unit"), "rep", "n", "led")
         mixed = placed.groupBy("token").agg(F.min("unit").alias("x"), F.max("unit").alias("y")).filter("x <> y").select("token")
         parts = max(spark.sparkContext.defaultParallelism * 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        rest = placed.join(mixed, "token", "left_semi").join(classes.select("rep", "brief"), "rep").select("token", "unit", "rep", "n", "brief")
+        rest = placed.join(mixed, "token", "left_semi").join(classes.select("rep", "brief"), "rep").select("token", "unit", "rep", "n", "led", "brief")
         rest = rest.repartition(parts, "token").sortWithinPartitions("token", "n", "rep").mapInArrow(lambda it: _apart(it, num, den), "a long, b long").distinct()
         ties = scratch.keep(ties.unionByName(rest), "ties")
-        near = connected_components(ties, "a", "b").toDF("rep", "unit")
+        near = connected_components(ties, "a", "b", scratch=scratch).toDF("rep", "unit")
         sized = near.join(classes.select("rep", "n"), "rep")
         sums = sized.groupBy("unit").agg(F.sum("n").alias("total"))
         # blocks: members in order of size, cut every block_shingles; only neighbourhoods over that are dealt out
@@ -420,7 +457,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         work = units.join(texts, units.rep == texts.id).select("unit", "pair", "side", "id", "text")
         found = work.repartition(parts, "unit", "pair").sortWithinPartitions("unit", "pair").mapInPandas(lambda it: _search(it, words, num, den), "src long, dst long")
         links = scratch.keep(found, "links")
-        final = connected_components(links).toDF("rep", "component")
+        final = connected_components(links, scratch=scratch).toDF("rep", "component")
         answered = members.join(classes.select("sig", "rep").join(final, "rep", "left").select("sig", F.coalesce("component", "rep").alias("component")), "sig", "left")
         return scratch.result(answered.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")), "jaccard")
 
@@ -462,7 +499,7 @@ def near_duplicates_removed(df: DataFrame, id_col: str = "doc_id", text_col: str
         judged = placed.join(first, "unit").select("__row", (F.col("__row") == F.col("chosen")).alias("kept"), "copies")
         # what goes as a whole, and, seldom, rows of which one of several equal ones stays
         apart = scratch.result(judged.filter("not kept or copies > 1"), "apart")
-    rest = keyed.join(apart.select("__row"), "__row", "left_anti")
+    rest = without_rows(keyed, apart.select("__row"), "__row")
     if not apart.filter("kept").isEmpty():
         rest = rest.unionByName(keyed.join(apart.filter("kept").select("__row"), "__row", "left_semi").dropDuplicates(["__row"]))
     return rest.select(*df.columns)
