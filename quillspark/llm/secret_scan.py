@@ -2,8 +2,11 @@
 
 The rule expressions are compiled together: a Thompson automaton for each, the subset
 construction over the union, then minimisation by partition refinement. What runs is a
-transition array over byte classes. One pass over the bytes tells which rules match in a
-text; only for those, the exact spans are read off with the rule's own expression.
+transition array over byte classes. The automaton reads a text once, from its last byte to its first, and so
+knows at every byte for which rules a match begins there. From each such start, left to right and
+not inside the match before, the rule's own forward automaton is stepped to the longest end; a second one, of what
+stands before the measured part, tells that part's length. Only a private key's end is read by its expression, as it
+must repeat the label of its beginning, which no automaton can ask for.
 
 Empty and null texts have no spans. Rows are treated one by one, so repeated rows, ties and
 other columns play no part; memory is bounded by one text.
@@ -44,23 +47,27 @@ MORE_RULES = (
     ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 0),
 )
 RULES = BASE_RULES + MORE_RULES
-#: What the automaton looks for: for each rule an expression that every match of enough length contains.
+#: What the automaton looks for: for each rule an expression that begins where the rule's matches do. Runs of hex digits are
+#: sought by their least length, since every start in a shorter run fails and ends with it.
 SOUGHT = {
-    "assign": r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{8}""",
-    "access": r"AKIA[A-Z0-9]{12}",
+    "assign": r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]""",
+    "access": r"AKIA[A-Z0-9]",
     "hex": r"[0-9a-f]{32}",
-    "github": r"gh[pousr]_[A-Za-z0-9]{2}",
-    "slack": r"xox[abprs]-[A-Za-z0-9-]{2}",
-    "google": r"AIza[A-Za-z0-9_-]{2}",
+    "github": r"gh[pousr]_[A-Za-z0-9]",
+    "slack": r"xox[abprs]-[A-Za-z0-9-]",
+    "google": r"AIza[A-Za-z0-9_-]",
     "pem": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
-    "jwt": r"eyJ[A-Za-z0-9_-]+\.eyJ",
+    "jwt": r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]",
 }
+#: What stands before the measured part, where that is not the whole match.
+AHEAD = {"assign": r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?"""}
 
 
 class _Nfa:
-    """Thompson's construction over bytes."""
+    """Thompson's construction over bytes; ``backward`` for texts that are read from their end."""
 
-    def __init__(self):
+    def __init__(self, backward: bool):
+        self.backward = backward
         self.step: list[list[tuple[frozenset, int]]] = []
         self.free: list[list[int]] = []
 
@@ -70,7 +77,7 @@ class _Nfa:
         return len(self.step) - 1
 
     def build(self, tree, start: int, fold: bool) -> int:
-        for op, arg in tree:
+        for op, arg in reversed(list(tree)) if self.backward else tree:
             start = self.node(op, arg, start, fold)
         return start
 
@@ -130,22 +137,35 @@ class _Nfa:
 class Automaton:
     """``table[state + class]`` is the next state, already times the number of classes; states from ``accept`` on accept."""
 
-    def __init__(self, classes: bytes, table: list[int], start: int, accept: int, masks: dict[int, int], width: int):
-        self.classes, self.table, self.start, self.accept, self.masks, self.width = classes, table, start, accept, masks, width
+    def __init__(self, classes: bytes, table: list[int], start: int, accept: int, masks: dict[int, int], dead: int):
+        self.classes, self.table, self.start, self.accept, self.masks, self.dead = classes, table, start, accept, masks, dead
 
-    def rules_in(self, data: bytes) -> int:
-        """One pass over the bytes: a bit for each rule that is found."""
-        table, s, accept, found = self.table, self.start, self.accept, 0
-        for c in data.translate(self.classes):
+    def starts(self, data: bytes) -> list[tuple[int, int]]:
+        """One pass over the bytes, from the last: (place, a bit for each rule of which a match begins there), last first."""
+        table, s, accept, out, at = self.table, self.start, self.accept, [], len(data)
+        for c in data.translate(self.classes)[::-1]:
+            at -= 1
             s = table[s + c]
             if s >= accept:
-                found |= self.masks[s]
-        return found
+                out.append((at, self.masks[s]))
+        return out
+
+    def longest(self, data: bytes, start: int) -> int:
+        """The end of the longest match that begins at ``start``, or -1."""
+        table, s, accept, dead, classes = self.table, self.start, self.accept, self.dead, self.classes
+        end = start if s >= accept else -1
+        for at in range(start, len(data)):
+            s = table[s + classes[data[at]]]
+            if s >= accept:
+                end = at + 1
+            elif s == dead:
+                break
+        return end
 
 
-def compile_rules(patterns: list[str]) -> Automaton:
-    """Subset construction over all rules, unanchored, then minimisation."""
-    nfa, final = _Nfa(), {}
+def compile_rules(patterns: list[str], backward: bool = True) -> Automaton:
+    """Subset construction over all rules, then minimisation: backward and from any place, or forward from one start."""
+    nfa, final = _Nfa(backward), {}
     root = nfa.state()
     for i, pattern in enumerate(patterns):
         first = nfa.state()
@@ -163,7 +183,7 @@ def compile_rules(patterns: list[str]) -> Automaton:
         now = todo.pop(0)
         row = []
         for c in range(width):
-            to = nfa.closure({e for s in now for chars, e in nfa.step[s] if sample[c] in chars} | {root})
+            to = nfa.closure({e for s in now for chars, e in nfa.step[s] if sample[c] in chars} | ({root} if backward else set()))
             if to not in number:
                 number[to] = len(number)
                 todo.append(to)
@@ -186,16 +206,48 @@ def compile_rules(patterns: list[str]) -> Automaton:
     at = {b: i for i, b in enumerate(order)}
     table = [at[block[t]] * width for b in order for t in rows[one[b]]]
     plain = sum(not masks[one[b]] for b in order)
-    return Automaton(classes, table, at[block[0]] * width, plain * width, {at[b] * width: masks[one[b]] for b in order if masks[one[b]]}, width)
-
-
-def spans_of(text: str, found: int, rules=RULES) -> list[tuple[int, int, int]]:
-    """(start, place of the kind, end) of the rules in ``found``, leftmost and not overlapping within a kind."""
-    out = []
-    for i, (_, pattern, group, least) in enumerate(rules):
-        if found >> i & 1:
-            out += [(m.start(), i, m.end()) for m in re.finditer(pattern, text, re.ASCII) if m.end(group) - m.start(group) >= least]
-    return sorted(out)
+    dead = block[number[frozenset()]] if frozenset() in number else None
+    return Automaton(classes, table, at[block[0]] * width, plain * width, {at[b] * width: masks[one[b]] for b in order if masks[one[b]]}, -1 if dead is None else at[dead] * width)
+
+
+class Scanner:
+    """The automata of all rules: one that finds where matches begin, and for each rule those that find where it ends."""
+
+    def __init__(self, rules=RULES):
+        self.rules = rules
+        self.machine = compile_rules([SOUGHT[k] for k, *_ in rules])
+        self.whole = [None if pattern is PRIVATE_KEY else compile_rules([pattern], False) for _, pattern, _, _ in rules]
+        self.ahead = [compile_rules([AHEAD[k]], False) if k in AHEAD else None for k, *_ in rules]
+
+    def spans(self, data: bytes) -> list[tuple[int, int, int]]:
+        """(start, place of the kind, end), leftmost and not overlapping within a kind; in code points."""
+        starts = self.machine.starts(data)
+        if not starts:
+            return []
+        free, out = [0] * len(self.rules), []
+        for at, mask in reversed(starts):
+            while mask:
+                i = (mask & -mask).bit_length() - 1
+                mask &= mask - 1
+                if at < free[i]:
+                    continue
+                if self.whole[i] is None:
+                    tail = data[at:].decode()
+                    end = at + len(tail[: re.match(PRIVATE_KEY, tail).end()].encode())
+                else:
+                    end = self.whole[i].longest(data, at)
+                free[i] = end
+                measured = self.ahead[i].longest(data, at) if self.ahead[i] else at
+                if end - measured >= self.rules[i][3]:
+                    out.append((at, i, end))
+        if len(data) == 0 or data.isascii() or not out:
+            return out
+        places = sorted({x for s, _, e in out for x in (s, e)})
+        points, seen, before = {}, 0, 0
+        for x in places:
+            seen += len(data[before:x].decode())
+            points[x], before = seen, x
+        return [(points[s], i, points[e]) for s, i, e in out]
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,14 +255,13 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 
     One row per input row; a text without secrets, empty or null has empty arrays. Offsets are code points.
     """
-    machine = df.sparkSession.sparkContext.broadcast(compile_rules([SOUGHT[k] for k, *_ in RULES]))
+    shared = df.sparkSession.sparkContext.broadcast(Scanner())
     names = [k for k, *_ in RULES]
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        auto, kinds, starts, ends = machine.value, [], [], []
+        scanner, kinds, starts, ends = shared.value, [], [], []
         for data in bytes_of(part):
-            found = auto.rules_in(data)
-            spans = spans_of(data.decode(), found) if found else []
+            spans = scanner.spans(data)
             kinds.append([names[i] for _, i, _ in spans])
             starts.append([s for s, _, _ in spans])
             ends.append([e for _, _, e in spans])
@@ -227,16 +278,16 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask:
     """The table with each secret in ``text_col`` replaced by ``mask``; overlapping spans make one. Null stays null."""
     from pyspark.sql import functions as F
 
-    machine = df.sparkSession.sparkContext.broadcast(compile_rules([SOUGHT[k] for k, *_ in RULES]))
+    shared = df.sparkSession.sparkContext.broadcast(Scanner())
 
     def run(batches):
         for batch in (part for whole in batches for part in pieces(whole, text_col)):
             texts = []
             for text in batch.column(0).to_pylist():
-                found = machine.value.rules_in(text.encode()) if text else 0
-                if found:
+                spans = shared.value.spans(text.encode()) if text else []
+                if spans:
                     out, at = [], 0
-                    for s, _, e in spans_of(text, found):
+                    for s, _, e in spans:
                         if s >= at:
                             out += [text[at:s], mask]
                         at = max(at, e)
@@ -264,6 +315,3 @@ def secret_digests(df: DataFrame) -> DataFrame:
         F.sha2(F.concat_ws(",", F.transform(F.filter("z", lambda x: x["k"].isin(base)), lambda x: x["s"])), 256).alias("base_sha256"),
         F.concat_ws(",", F.transform("z", lambda x: x["s"])).alias("spans"),
     )
-
-
-
