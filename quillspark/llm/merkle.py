@@ -7,10 +7,16 @@ where a paragraph's digest says so (one in eight), so here too an edit moves no
 its paragraphs. The root digests the sections. Every character is in exactly one leaf, so equal roots mean
 equal texts.
 
-A fingerprint is ``root|section.section...|leaf.leaf...``. ``likeness`` starts at the roots: equal roots
-give 1; else it is twice the distinct leaves in common over the distinct leaves of both.
+A node digests the whole SHA-256 digests of what is below it, up to the root, so roots test equality. A fingerprint shows
+the tree as ``root|section/section...``, a section as ``node:paragraph;paragraph...``, a paragraph as
+``node=leaf.leaf...``; below the root, digests are shown by their first ``SHOWN`` hex digits.
 
-Null is the empty text. Two empty texts are equal.
+Two trees are compared from the root down: equal roots end it, sections that both trees hold are equal as a whole,
+only the others' paragraphs are looked at, and only the leaves of paragraphs that differ. ``likeness`` counts the
+leaves below equal nodes; ``differing_places`` gives the paths to the branches that differ.
+
+Null is the empty text. Two empty texts are equal. Repeated rows are rows like any other: a text's next one may be its own
+copy. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,11 +30,17 @@ from ..session import Scratch
 PIECE = 5
 #: Characters up to which a word is not cut; on average as many characters of a longer one are a leaf.
 LONG = 24
-_NODE = 12  # hex digits of an inner node's or leaf's digest in a fingerprint
+SHOWN = 12
+#: Documents in a range of ids on average, ranges at least, and rows up to which the ranges' edges are broadcast.
+RANGE_ROWS, LEAST_RANGES, BROADCAST_EDGES = 20_000, 2048, 200_000
+
+
+def _digest(mark: str, below: Column) -> Column:
+    return F.sha2(F.concat(F.lit(mark), below), 256)
 
 
-def _leaf(piece: Column) -> Column:
-    return F.substring(F.sha2(piece, 256), 1, _NODE)
+def _shown(digest: Column) -> Column:
+    return F.substring(digest, 1, SHOWN)
 
 
 def tree(text: Column) -> Column:
@@ -39,61 +51,121 @@ def tree(text: Column) -> Column:
     ends = lambda u: F.pmod(F.xxhash64(u), F.when(F.length(u) == 1, F.lit(LONG)).otherwise(F.lit(PIECE))) == 0
     # a line holds no line feed, so it can mark the ends of leaves
     marked = lambda p: F.array_join(F.transform(units(p), lambda u: F.when(ends(u), F.concat(u, F.lit("\n"))).otherwise(u)), "")
-    leaves = F.transform(lines, lambda p: F.transform(F.filter(F.split(marked(p), "\n"), lambda x: x != ""), _leaf))
-    nodes = F.transform(leaves, lambda x: F.struct(F.substring(F.sha2(F.concat(F.lit("p"), F.array_join(x, ".")), 256), 1, _NODE).alias("node"), x.alias("leaves")))
+    leaves = F.transform(lines, lambda p: F.transform(F.filter(F.split(marked(p), "\n"), lambda x: x != ""), lambda x: F.sha2(x, 256)))
+    nodes = F.transform(leaves, lambda x: F.struct(_digest("p", F.array_join(x, ".")).alias("node"), x.alias("leaves")))
     return F.transform(nodes, lambda x: F.struct(x["node"].alias("node"), x["leaves"].alias("leaves"), ((F.size(x["leaves"]) == 0) | (F.substring(x["node"], 1, 1).isin("0", "8"))).alias("last")))
 
 
 def with_fingerprint(df: DataFrame, text_col: str, out: str) -> DataFrame:
     """Adds the fingerprint of ``text_col`` as column ``out``."""
-    t = F.col("__tree")
-    # paragraph nodes in order, a mark after each section's last one, split at the marks: the sections
-    marked = F.array_join(F.transform(t, lambda x: F.concat(x["node"], F.when(x["last"], F.lit("/")).otherwise(F.lit("")))), ".")
-    sections = F.transform(F.split(marked, "/"), lambda s: F.substring(F.sha2(F.concat(F.lit("s"), s), 256), 1, _NODE))
-    leaves = F.array_join(F.flatten(F.transform(t, lambda x: x["leaves"])), ".")
-    root = F.sha2(F.concat(F.lit("r"), F.array_join("__sections", "."), F.lit("|"), leaves), 256)
-    return (
-        df.withColumn("__tree", tree(F.col(text_col)))
-        .withColumn("__sections", sections)
-        .withColumn(out, F.concat_ws("|", F.substring(root, 1, 32), F.array_join("__sections", "."), leaves))
-        .drop("__tree", "__sections")
+    # paragraphs in order, whole digest first, a mark after each section's last one, split at the marks: the sections
+    shown = lambda x: F.concat(_shown(x["node"]), F.lit("="), F.array_join(F.transform(x["leaves"], _shown), "."))
+    marked = F.array_join(F.transform("__tree", lambda x: F.concat(x["node"], shown(x), F.when(x["last"], F.lit("/")).otherwise(F.lit(";")))), "")
+    paragraphs = F.transform(F.filter(F.split(marked, "/"), lambda s: s != ""), lambda s: F.filter(F.split(s, ";"), lambda p: p != ""))
+    sections = F.transform(
+        paragraphs,
+        lambda ps: F.struct(
+            _digest("s", F.array_join(F.transform(ps, lambda p: F.substring(p, 1, 64)), ".")).alias("node"),
+            F.array_join(F.transform(ps, lambda p: F.substring(p, F.lit(65), F.length(p))), ";").alias("below"),
+        ),
     )
+    root = _digest("r", F.array_join(F.transform("__sections", lambda s: s["node"]), "."))
+    below = F.array_join(F.transform("__sections", lambda s: F.concat(_shown(s["node"]), F.lit(":"), s["below"])), "/")
+    return df.withColumn("__tree", tree(F.col(text_col))).withColumn("__sections", sections).withColumn(out, F.concat_ws("|", root, below)).drop("__tree", "__sections")
+
+
+def _root(fingerprint: Column) -> Column:
+    return F.substring_index(fingerprint, "|", 1)
+
+
+def _sections(fingerprint: Column) -> Column:
+    return F.split(F.substring_index(fingerprint, "|", -1), "/")
+
+
+def _paragraphs(section: Column) -> Column:
+    return F.split(F.substring_index(section, ":", -1), ";")
+
+
+def _leaves(paragraph: Column) -> Column:
+    return F.split(F.substring_index(paragraph, "=", -1), r"\.")
+
 
+def with_likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """Adds how alike two columns of fingerprints are: 1 for equal roots, else below 1.
 
-def likeness(a: Column, b: Column) -> Column:
-    """How alike two fingerprints are, 0 to 1."""
-    part = lambda f, i: F.split(F.split(f, r"\|")[i], r"\.")
-    leaves = lambda f: F.filter(part(f, 2), lambda x: x != "")
-    x, y = leaves(a), leaves(b)
-    nx, ny = F.size(x), F.size(y)
-    # common distinct leaves, and how many leaves of either text they stand for
-    same_x = nx - F.size(F.array_except(F.array_distinct(x), y)) - (nx - F.size(F.array_distinct(x)))
-    dx, dy = F.size(F.array_distinct(x)), F.size(F.array_distinct(y))
-    share = F.when((dx + dy) > 0, 2.0 * same_x / (dx + dy)).otherwise(0.0)
-    return F.when(F.split(a, r"\|")[0] == F.split(b, r"\|")[0], 1.0).otherwise(F.least(share, F.lit(1.0))).cast("double")
+    It is the share of leaves that are equal, or lie below equal nodes, among the different leaves of both; a
+    paragraph without leaves counts as one.
+    """
+    below = lambda nodes: F.aggregate(nodes, F.lit(0), lambda n, x: n + F.size(F.split(x, "[.;]")))
+    down = lambda nodes, step: F.flatten(F.transform(nodes, step))
+    same_root = _root(F.col(a)) == _root(F.col(b))
+    none = F.array().cast("array<string>")
+    # each level as columns of its own, so that nothing is worked out twice
+    out_df = df.withColumn("__xa", F.when(same_root, none).otherwise(_sections(F.col(a)))).withColumn("__xb", F.when(same_root, none).otherwise(_sections(F.col(b)))).withColumn("__same", F.lit(0))
+    for step in (_paragraphs, _leaves, None):
+        out_df = (
+            out_df.withColumn("__both", F.array_intersect("__xa", "__xb"))
+            .withColumn("__same", F.col("__same") + (below(F.col("__both")) if step else F.size("__both")))
+            .withColumn("__ya", F.array_except("__xa", "__xb"))
+            .withColumn("__yb", F.array_except("__xb", "__xa"))
+            .withColumn("__xa", down(F.col("__ya"), step) if step else F.col("__ya"))
+            .withColumn("__xb", down(F.col("__yb"), step) if step else F.col("__yb"))
+        )
+    twice, apart = 2.0 * F.col("__same"), F.size("__xa") + F.size("__xb")
+    # the same leaves in another order or number: not equal
+    share = F.when(apart > 0, twice / (twice + apart)).otherwise(twice / (twice + 1.0))
+    return out_df.withColumn(out, F.when(same_root, 1.0).otherwise(share).cast("double")).drop("__xa", "__xb", "__ya", "__yb", "__both", "__same")
+
+
+def differing_places(a: Column, b: Column) -> Column:
+    """The paths (section, paragraph, leaf; from 0) of ``a``'s branches that ``b`` does not hold, none if the roots are equal.
+
+    A branch that differs though ``b`` holds all that is below it, in another order or number, is given itself: leaf -1, and
+    paragraph -1 if it is a section. Look from ``b``, too, for what was only added there.
+    """
+    path = lambda s, p, x: F.struct(F.lit(s).cast("int").alias("section") if isinstance(s, int) else s.cast("int").alias("section"), F.lit(p).cast("int").alias("paragraph") if isinstance(p, int) else p.cast("int").alias("paragraph"), F.lit(x).cast("int").alias("leaf") if isinstance(x, int) else x.cast("int").alias("leaf"))
+    or_self = lambda found, own: F.when(F.size(found) > 0, found).otherwise(F.array(own))
+    others = F.array_except(_sections(b), _sections(a))
+    paragraphs_b = F.flatten(F.transform(others, _paragraphs))
+    leaves_b = F.flatten(F.transform(paragraphs_b, _leaves))
+    none = F.array().cast("array<struct<section:int,paragraph:int,leaf:int>>")
+
+    def in_paragraph(p: Column, i: Column, j: Column) -> Column:
+        found = F.filter(F.transform(_leaves(p), lambda x, k: F.when(F.array_contains(leaves_b, x), F.lit(-1)).otherwise(k)), lambda k: k >= 0)
+        return or_self(F.transform(found, lambda k: path(i, j, k)), path(i, j, -1))
 
+    def in_section(s: Column, i: Column) -> Column:
+        found = F.flatten(F.transform(_paragraphs(s), lambda p, j: F.when(F.array_contains(paragraphs_b, p), none).otherwise(in_paragraph(p, i, j))))
+        return or_self(found, path(i, -1, -1))
 
-def with_next(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 2048) -> DataFrame:
+    sections = F.flatten(F.transform(_sections(a), lambda s, i: F.when(F.array_contains(_sections(b), s), none).otherwise(in_section(s, i))))
+    return F.when(_root(a) == _root(b), none).otherwise(or_self(sections, path(-1, -1, -1)))
+
+
+def with_next(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, next_text): each document with the one that follows in descending id; after the last, the first.
 
-    Ids are dealt into a fixed number of ranges. A range's largest row is also sent to the range that comes
-    before it in order, where it follows the smallest; so texts are shuffled once and no window
-    spans all rows. Ties of ids go by text. Null ids come last.
+    Ids are dealt into ranges of equal width, as many as the number of documents asks for. A range's largest row is also
+    sent to the range that comes before it in order, where it follows the smallest; so texts are shuffled once and no
+    window spans all rows. Ties of ids go by text. Null ids come last.
     """
+    from pyspark.sql import Window
+
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ends = rows.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
-    low, width = (ends["a"] or 0), max(1, -(-((ends["b"] or 0) - (ends["a"] or 0) + 1) // buckets))
-    bucket = F.coalesce(F.floor((F.col("doc_id") - low) / width), F.lit(-1)).cast("int")
+    ends = rows.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).first()
+    low, ranges = ends["a"] or 0, max(LEAST_RANGES, -(-ends["n"] // RANGE_ROWS))
+    width = max(1, -(-((ends["b"] or 0) - low + 1) // ranges))
+    away = F.col("doc_id").cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)") if max(abs(low), abs(ends["b"] or 0)) >= 1 << 62 else F.col("doc_id") - low
+    bucket = F.coalesce(F.floor(away / width).cast("int"), F.lit(-1))
     # the first row of each range in descending order, by (id, digest of the text)
-    order = F.struct(F.coalesce("doc_id", F.lit(low - 1)).alias("i"), F.sha2("text", 256).alias("h"))
+    order = F.struct(F.col("doc_id").isNotNull().alias("given"), F.coalesce("doc_id", F.lit(0)).alias("i"), F.sha2("text", 256).alias("h"))
     with Scratch(documents.sparkSession) as scratch:
         tops = scratch.result(rows.groupBy(bucket.alias("bucket")).agg(F.max(order).alias("top")), "tops")
-    from pyspark.sql import Window
-
-    around = Window.orderBy("bucket")  # over at most buckets + 1 rows, a fixed bound
+    small = F.broadcast if ranges <= BROADCAST_EDGES else lambda df: df
+    around = Window.orderBy("bucket")  # over one short row a range
     above = tops.select("bucket", F.lead("bucket").over(around).alias("up"), F.min("bucket").over(Window.partitionBy()).alias("lowest"))
     # the range above gets this range's top row; the very first row wraps around to the lowest range
-    sent = F.broadcast(above.select("bucket", F.coalesce("up", "lowest").alias("to")).join(tops, "bucket"))
+    sent = small(above.select("bucket", F.coalesce("up", "lowest").alias("to")).join(tops, "bucket"))
     keyed = rows.withColumn("bucket", bucket).withColumn("key", order)
     guests = keyed.join(sent, (keyed.bucket == sent.bucket) & (keyed.key == sent.top), "left_semi").dropDuplicates(["key"])
     moved = guests.join(sent.select(F.col("bucket").alias("b"), "to"), guests.bucket == F.col("b")).select("doc_id", "text", F.col("to").alias("bucket"), "key", F.lit(True).alias("guest"))
@@ -117,20 +189,5 @@ def edit_report(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # fingerprints are made after the texts have moved: they would move as much again
     for column, out in (("text", "fp"), ("next_text", "next_fp"), ("edited", "edited_fp")):
         rows = with_fingerprint(rows, column, out)
-    return rows.select(
-        "doc_id",
-        "n_chars",
-        F.sha2("edited", 256).alias("edited_sha256"),
-        F.col("fp").alias("fingerprint"),
-        F.col("edited_fp").alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
-        likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
-    )
-
-
-def differing_leaves(a: Column, b: Column) -> Column:
-    """Where an edit is: the places (from 0) of leaves of ``a`` that ``b`` does not hold; none if the roots are equal."""
-    part = lambda f: F.filter(F.split(F.split(f, r"\|")[2], r"\."), lambda x: x != "")
-    x, y = part(a), part(b)
-    places = F.filter(F.transform(x, lambda v, i: F.when(F.array_contains(y, v), F.lit(-1)).otherwise(i)), lambda i: i >= 0)
-    return F.when(F.split(a, r"\|")[0] == F.split(b, r"\|")[0], F.array().cast("array<int>")).otherwise(places)
+    rows = with_likeness(with_likeness(rows, "fp", "edited_fp", "near_edited"), "fp", "next_fp", "near_next")
+    return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.col("fp").alias("fingerprint"), F.col("edited_fp").alias("edited_fingerprint"), "near_edited", "near_next")
