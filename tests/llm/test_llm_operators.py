@@ -284,7 +284,48 @@ def test_licenses(docs, rows, empty):
         assert set(labels) <= set(got[i][5].split(",")) | set()
         assert 0 <= got[i][6] <= 1
     assert licenses.license_digests(empty).count() == 0
-    assert licenses.Scanner().scan("This work is licensed under the GNU General Public License, version 3.")[2][0][0] == "gpl-3"
+    scanner = licenses.Scanner()
+    assert scanner.scan("This work is licensed under the GNU General Public License, version 3.")[2][0][0] == "gpl-3"
+    labels = lambda text: {x[0] for x in scanner.scan(text)[2] if x[3] > 0.9}
+    for label, text in licenses.TEMPLATES:  # whole, with a head, and with words changed
+        words = text.split()
+        edited = " ".join("x" if k % 40 == 39 and len(words) > 60 else w for k, w in enumerate(words))
+        assert label in labels(text) and label in labels(f"Copyright 2001 the authors\n{edited}\nint main")
+    assert labels("released under the terms of all that is just, under the sun") == set()
+    assert not scanner.scan("the software is provided as is, and this list of conditions may be used by any person")[2]
+
+
+def test_templates_from_a_folder(tmp_path):
+    (tmp_path / "own.txt").write_text("You may read this text on every other day of the week but not on any Sunday")
+    found = licenses.Scanner(licenses.templates_from(str(tmp_path))).scan("so: you may read this text on every other day of the week but not on any monday")
+    assert found[2][0][:2] == ("own", 1)
+
+
+def test_chains_cover_most():
+    rng = random.Random(12)
+    for _ in range(300):
+        template = [rng.choice("abcdef") for _ in range(rng.randint(3, 9))]
+        scanner = licenses.Scanner((("t", " ".join(template)),), (), least_run=1, few=0, least_cover=0)
+        words = [rng.choice("abcdefg") for _ in range(rng.randint(1, 12))]
+        statistics = list(scanner.auto.walk(words))
+        runs = [(i + 1 - n, i + 1, s) for i, (s, n) in enumerate(statistics) if n and (i + 1 == len(words) or statistics[i + 1][1] <= n)]
+        matches = sorted({(a, b, at) for a, b, s in runs for _, at in scanner.auto.ends[s]}, key=lambda r: (r[1], r[2]))
+
+        def most(chain, template=template, matches=matches):
+            """The most that any chain that begins like this one can cover."""
+            out = sum(x for _, x in chain)
+            for k, m in enumerate(matches):
+                if not chain:
+                    out = max(out, most([(k, m[1] - m[0])]))
+                elif k > chain[-1][0]:
+                    before = matches[chain[-1][0]]
+                    gain = min(m[1] - m[0], m[1] - before[1], m[2] - before[2])
+                    if gain > 0 and before[0] <= m[0] and before[1] >= m[0] - len(template):
+                        out = max(out, most([*chain, (k, gain)]))
+            return out
+
+        got = scanner.chain(runs)
+        assert max((x[3] for x in got), default=0) == min(1.0, most([]) / len(template))
 
 
 def test_matching_statistics():
