@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch
-from ..settings import ARCHIVE
+from .relational import natural_key
 
 
-def folder_tree(folders: DataFrame, *, id_col: str = "id", parent: str = "parent_id", name: str = "name", shared: str | None = None, orphans_on_top: bool = False, max_depth: int = ARCHIVE.path_depth) -> DataFrame:
+def folder_tree(folders: DataFrame, *, id_col: str = "id", parent: str = "parent_id", name: str = "name", shared: str | None = None, orphans_on_top: bool = False) -> DataFrame:
     """(id, path, depth, ids from the top, visible, nearest_shared) of every folder that hangs on the top.
 
     ``visible`` holds if the folder or one above it is shared, ``nearest_shared`` is the closest such one. Folders on
@@ -23,7 +23,7 @@ def folder_tree(folders: DataFrame, *, id_col: str = "id", parent: str = "parent
     with Scratch(folders.sparkSession) as scratch:
         level = scratch.keep(top, "level")
         levels = [level]
-        while len(levels) < max_depth:
+        while True:  # from the top down no cycle is ever met, so this ends with the deepest folder
             up = level.select(F.col("id").alias("above"), "path", "depth", "ids", "visible", "nearest_shared")
             level = rows.join(up, rows.parent == up.above).select(
                 "id", F.concat_ws("/", "path", "name").alias("path"), (F.col("depth") + 1).alias("depth"), F.concat("ids", F.array("id")).alias("ids"), (F.col("visible") | F.col("shared")).alias("visible"), F.when(F.col("shared"), F.col("id")).otherwise(F.col("nearest_shared")).alias("nearest_shared")
@@ -75,3 +75,42 @@ def missing_paths(paths: DataFrame, tree: DataFrame, path: str = "path") -> Data
     have = tree.select(F.lower("path").alias("__p"))
     fresh = want.join(have, F.lower(want["path"]) == have["__p"], "left_anti").withColumn("k", F.lower("path")).groupBy("k").agg(F.min("path").alias("path"))
     return fresh.select("path", F.size(F.split("path", "/")).alias("depth")).orderBy("depth", "path")
+
+
+def in_folders(documents: DataFrame, tree: DataFrame, roots: list, include_subfolders: bool = True, *, folder: str = "folder_id") -> DataFrame:
+    """Documents in the folders, and, unless told otherwise, in those below them. A folder that is not there holds nothing."""
+    if not roots:
+        return documents.limit(0)
+    asked = F.array(*[F.lit(r) for r in roots])
+    hit = F.arrays_overlap("ids", asked) if include_subfolders else F.array_contains(asked, F.col("id"))
+    return documents.join(tree.filter(hit).select(F.col("id").alias("__f")), F.col(folder) == F.col("__f"), "left_semi")
+
+
+def archive_entries(documents: DataFrame, tree: DataFrame, *, folder: str = "folder_id", title: str = "title") -> DataFrame:
+    """(id, path): where each document stands, folder path and title; those on the top level are under their title alone."""
+    at = tree.select(F.col("id").alias("__f"), F.col("path").alias("__p"))
+    return documents.join(at, F.col(folder) == F.col("__f"), "left").select("id", F.concat_ws("/", "__p", title).alias("path"))
+
+
+def subtree_counts(documents: DataFrame, tree: DataFrame, *, folder: str = "folder_id") -> DataFrame:
+    """(id, path, documents, below): documents in each folder, and in it and all folders below."""
+    own = documents.filter(F.col(folder).isNotNull()).groupBy(F.col(folder).alias("__f")).agg(F.count("*").alias("n"))
+    counted = tree.join(own, tree.id == F.col("__f"), "left").select("id", "path", "ids", F.coalesce("n", F.lit(0)).alias("n"))
+    below = counted.select(F.explode("ids").alias("__above"), "n").groupBy("__above").agg(F.sum("n").alias("below"))
+    return counted.join(below, counted.id == F.col("__above")).select("id", "path", F.col("n").cast("long").alias("documents"), "below")
+
+
+def nested(tree: DataFrame, *, parent_of: str = "ids") -> DataFrame:
+    """(id, path, depth, children): each folder with its children in order of their names' natural order."""
+    up = tree.filter("depth > 1").select(F.element_at(parent_of, -2).alias("__p"), F.struct(natural_key(F.element_at(F.split("path", "/"), -1)).alias("k"), F.col("id").alias("id")).alias("c"))
+    children = up.groupBy("__p").agg(F.transform(F.array_sort(F.collect_list("c")), lambda x: x["id"]).alias("children"))
+    return tree.join(children, tree.id == F.col("__p"), "left").select("id", "path", "depth", F.coalesce("children", F.array().cast(tree.schema["ids"].dataType)).alias("children"))
+
+
+def valid_moves(moves: DataFrame, tree: DataFrame) -> DataFrame:
+    """(id, to, valid): a folder may go to the top (null) or below a folder that exists and is neither itself nor below itself."""
+    target = tree.select(F.col("id").alias("__t"), "ids")
+    known = tree.select(F.col("id").alias("__k"))
+    rows = moves.join(target, F.col("to") == F.col("__t"), "left").join(known, F.col("id") == F.col("__k"), "left")
+    fits = F.col("to").isNull() | (F.col("__t").isNotNull() & ~F.coalesce(F.array_contains("ids", F.col("id")), F.lit(False)))
+    return rows.select("id", "to", (F.col("__k").isNotNull() & fits).alias("valid"))

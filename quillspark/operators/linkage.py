@@ -12,25 +12,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.extract import find_dates
+from ..session import Scratch
 from ..settings import LINKAGE, Linkage
 from .components import connected_components
 
 
 def band_pairs(rows: DataFrame, keys: list[str], time: str, id_col: str, window_s: int, ordered: bool = False) -> DataFrame:
-    """(a, b, gap_s) of rows with equal keys (nulls equal) at most ``window_s`` seconds apart.
+    """(a, b, gap_s) of rows with equal keys (nulls equal) at most ``window_s`` seconds apart, to the microsecond.
 
     Rows are put in buckets as wide as the window; each is sent to its own and the next one, so the join is an
     equi-join, and a pair meets once. ``ordered`` gives both directions.
     """
-    t = F.unix_timestamp(F.col(time).cast("timestamp"))
-    r = rows.withColumn("__t", t).withColumn("__b", F.floor(F.col("__t") / window_s))
+    window = window_s * 1_000_000
+    t = F.unix_micros(F.col(time).cast("timestamp"))
+    r = rows.withColumn("__t", t).withColumn("__b", F.floor(F.col("__t") / window))
     key = lambda s: [F.coalesce(F.col(k).cast("string"), F.lit("\x00")).alias(f"__{s}{i}") for i, k in enumerate(keys)]
     left = r.select(F.col(id_col).alias("a"), F.col("__t").alias("ta"), F.explode(F.array("__b", F.col("__b") + 1)).alias("bucket"), F.col("__b").alias("ba"), *key("l"))
     right = r.select(F.col(id_col).alias("b"), F.col("__t").alias("tb"), F.col("__b").alias("bb"), *key("r"))
     on = (F.col("bucket") == F.col("bb")) & functools.reduce(lambda x, y: x & y, [F.col(f"__l{i}") == F.col(f"__r{i}") for i in range(len(keys))], F.lit(True))
-    met = left.join(right, on).filter((F.col("tb") - F.col("ta")).between(0, window_s) | ((F.col("ba") == F.col("bb")) & (F.abs(F.col("tb") - F.col("ta")) <= window_s)))
+    met = left.join(right, on).filter((F.col("tb") - F.col("ta")).between(0, window) | ((F.col("ba") == F.col("bb")) & (F.abs(F.col("tb") - F.col("ta")) <= window)))
     # one orientation: earlier first, ids break ties
-    one = met.filter((F.col("ta") < F.col("tb")) | ((F.col("ta") == F.col("tb")) & (F.col("a") < F.col("b")))).select("a", "b", (F.col("tb") - F.col("ta")).alias("gap_s"))
+    one = met.filter((F.col("ta") < F.col("tb")) | ((F.col("ta") == F.col("tb")) & (F.col("a") < F.col("b")))).select("a", "b", ((F.col("tb") - F.col("ta")) / 1_000_000).alias("gap_s"))
     return one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), (-F.col("gap_s")).alias("gap_s"))) if ordered else one
 
 
@@ -224,9 +226,13 @@ def page_order(rows: list[dict]) -> list[dict]:
 
 def merge_groups(candidates: DataFrame, today: str, s: Linkage = LINKAGE) -> DataFrame:
     """(document_ids in page order, confidence, band, reasons, links) of every proposed group, best first."""
-    scored = score_pairs(candidates, today, s).cache()
+    with Scratch(candidates.sparkSession) as scratch:
+        return scratch.result(_groups(candidates, scratch.keep(score_pairs(candidates, today, s), "scored"), scratch, s), "groups")
+
+
+def _groups(candidates: DataFrame, scored: DataFrame, scratch: Scratch, s: Linkage) -> DataFrame:
     edges = scored.filter(F.col("confidence") >= s.min_confidence).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    groups = connected_components(edges)
+    groups = connected_components(edges, scratch=scratch)
     member = candidates.select("id", "created_at", "original_filename", "text_head").join(groups, F.col("id") == F.col("node"))
     schema = "component string, document_ids array<string>"
 

@@ -10,17 +10,22 @@ from pyspark.sql import types as T
 from ..settings import ARCHIVE
 
 
-def free_name(name: str, taken: set[str], most: int = ARCHIVE.title_chars) -> str:
-    """``name`` or its first free numbering; ``taken`` is lower-cased. The name is cut so that the number fits."""
+def free_name(name: str, taken: set[str], most: int = ARCHIVE.title_chars, reached: dict[str, int] | None = None) -> str:
+    """``name`` or its first free numbering; ``taken`` is lower-cased. The name is cut so that the number fits.
+
+    ``reached`` remembers up to which number a name has been tried: names are never given back, so none below is free.
+    """
     if name[:most].lower() not in taken:
         return name[:most]
-    n = 2
+    reached = {} if reached is None else reached
+    n = reached.get(name.lower(), 2)
     while True:
         tail = f" ({n})"
         tried = name[: most - len(tail)] + tail
+        n += 1
         if tried.lower() not in taken:
+            reached[name.lower()] = n
             return tried
-        n += 1
 
 
 def assign_names(new: DataFrame, taken: DataFrame, owner: str = "user_id", folder: str = "folder_id", name: str = "title", order: str = "created_at", most: int = ARCHIVE.title_chars) -> DataFrame:
@@ -37,14 +42,14 @@ def assign_names(new: DataFrame, taken: DataFrame, owner: str = "user_id", folde
     columns = new.columns
 
     def run(batches):
-        used, now = set(), None
+        used, reached, now = set(), {}, None
         for batch in batches:
             mask, names = [], []
             for key, text, is_new in zip(zip(*[batch.column(k).to_pylist() for k in keys], strict=True), batch.column("__name").to_pylist(), batch.column("__new").to_pylist(), strict=True):
                 if key != now:
-                    used, now = set(), key
+                    used, reached, now = set(), {}, key
                 if is_new:
-                    text = free_name(text or "", used, most)
+                    text = free_name(text or "", used, most, reached)
                     names.append(text)
                 used.add((text or "").lower())
                 mask.append(is_new)
@@ -54,3 +59,16 @@ def assign_names(new: DataFrame, taken: DataFrame, owner: str = "user_id", folde
     schema = T.StructType([*new.schema.fields, T.StructField("new_name", T.StringType())])
     rows = fresh.unionByName(held, allowMissingColumns=True).repartition(*keys).sortWithinPartitions(*keys, "__new", order)
     return rows.mapInArrow(run, schema)
+
+
+def restored(documents: DataFrame, asked: DataFrame, tree: DataFrame, *, owner: str = "user_id", folder: str = "folder_id", name: str = "title", deleted: str = "deleted_at") -> DataFrame:
+    """The table with the asked documents (id) out of the trash: in their folder if that still exists, else on the top level.
+
+    Names that were taken meanwhile get the next free number, in the order in which the documents were made.
+    """
+    back = documents.filter(F.col(deleted).isNotNull()).join(asked.select("id").distinct(), "id", "left_semi")
+    there = tree.select(F.col("id").alias("__f"))
+    back = back.join(there, F.col(folder) == F.col("__f"), "left").withColumn(folder, F.col("__f")).drop("__f").withColumn(deleted, F.lit(None).cast(documents.schema[deleted].dataType))
+    live = documents.filter(F.col(deleted).isNull())
+    named = assign_names(back, live, owner, folder, name).withColumn(name, F.col("new_name")).select(*documents.columns)
+    return documents.join(back.select("id"), "id", "left_anti").select(*documents.columns).unionByName(named)

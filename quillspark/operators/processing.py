@@ -60,3 +60,15 @@ def merge_documents(pages: DataFrame, key: str = "merge_id", position: str = "po
     rows = pages.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(position, text))).alias("p"), F.bool_and(F.col("content_format") == "markdown").alias("md"))
     texts = F.filter(F.transform("p", lambda x: x[text]), lambda t: t.isNotNull() & (t != ""))
     return rows.select(key, F.array_join(texts, "\n\n").alias("text"), F.when(F.col("md"), "markdown").otherwise("plain").alias("content_format"))
+
+
+def resumed(steps: DataFrame) -> DataFrame:
+    """Step rows after a stop of the service: what was running waits again, its start is forgotten and the attempt counts."""
+    cut = F.col("status") == "running"
+    return steps.select(*[F.when(cut, F.lit("queued")).otherwise(F.col(c)).alias(c) if c == "status" else F.when(~cut, F.col(c)).alias(c) if c == "started_at" else F.col(c) for c in steps.columns])
+
+
+def import_progress(entries: DataFrame, key: str = "job_id") -> DataFrame:
+    """(job, total, imported, skipped, failed, finished): where each import stands; ``action`` is null while an entry waits."""
+    count = lambda a: F.count_if(F.col("action") == a).alias(a)
+    return entries.groupBy(key).agg(F.count("*").alias("total"), count("imported"), count("skipped"), count("failed"), F.bool_and(F.col("action").isNotNull()).alias("finished"))

@@ -118,3 +118,34 @@ def natural_key(name: Column) -> Column:
     """A key that sorts "page 2" before "page 10": digit runs are padded to twenty places."""
     parts = F.regexp_extract_all(F.lower(name), F.lit(r"\d+|\D+"), F.lit(0))
     return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 20, "0")).otherwise(p)), "")
+
+
+def receipts_order(df: DataFrame, *, date: str = "document_date", title: str = "title") -> DataFrame:
+    """By date, undated last, then title."""
+    return df.orderBy(F.col(date).asc_nulls_last(), F.col(title))
+
+
+def queue_order(df: DataFrame, *, status: str = "status", created: str = "created_at", id_col: str = "id") -> DataFrame:
+    """What runs first, then what waits, then what failed; each oldest first."""
+    place = F.when(F.col(status) == "processing", 0).when(F.col(status) == "uploaded", 1).otherwise(2)
+    return df.filter(F.col(status).isin("processing", "uploaded", "failed")).orderBy(place, created, id_col)
+
+
+def trash_list(df: DataFrame, first: int = 200, *, deleted: str = "deleted_at", id_col: str = "id") -> DataFrame:
+    """Trashed rows, the latest first."""
+    return df.filter(F.col(deleted).isNotNull()).orderBy(F.col(deleted).desc(), F.col(id_col).desc()).limit(first)
+
+
+def reset_metadata(df: DataFrame, found: DataFrame, fields: dict[str, list[str]], id_col: str = "id") -> DataFrame:
+    """Rows of ``found`` get its values back: ``fields`` names, for each source column, the values that go with it.
+
+    What a user has set is forgotten, so the source is ``auto`` again where a value was found and null where none was.
+    """
+    names = [c for cs in fields.values() for c in cs]
+    fresh = found.select(F.col(id_col).alias("__k"), *[F.col(c).alias(f"__{c}") for c in names])
+    rows = df.join(fresh, F.col(id_col) == F.col("__k"), "left")
+    hit, out = F.col("__k").isNotNull(), {}
+    for source, own in fields.items():
+        out |= {c: F.when(hit, F.col(f"__{c}")).otherwise(F.col(c)) for c in own}
+        out[source] = F.when(hit, F.when(F.coalesce(*[F.col(f"__{c}").cast("string") for c in own]).isNotNull(), "auto")).otherwise(F.col(source))
+    return rows.select(*[out.get(c, F.col(c)).alias(c) for c in df.columns])

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import snippet, words
+from ..functions.text import embedding_text, passages_udf, snippet, words
 from ..settings import SEARCH
 
 
@@ -58,27 +58,35 @@ def matches(tokens: Column, query: list[list[Term]]) -> Column:
 
 
 def cover_rank(tokens: Column, query: list[list[Term]]) -> Column:
-    """Cover density: for one word its number of occurrences; for several, the sum over shortest covers of 1 / extra length.
+    """Cover density: the sum over shortest covers of 0.1 / (1 + words in the cover that are not the query's).
 
-    A cover here starts at an occurrence of a word and ends where all wanted words have been seen; covers
-    that hold another are left out.
+    A cover is a shortest stretch of the text that holds all wanted words of one alternative; for one word, each of its
+    places. Alternatives count by themselves.
     """
-    wanted = sorted({w for way in query for t in way if t.wanted for w in t.words})
-    if not wanted:
-        return F.lit(0.0)
+    total = F.lit(0.0)
+    for way in query:
+        if wanted := sorted({w for t in way if t.wanted for w in t.words}):
+            total = total + _covers(tokens, wanted)
+    return total
+
+
+def _covers(tokens: Column, wanted: list[str]) -> Column:
     lits = F.array(*[F.lit(w) for w in wanted])
-    hits = F.filter(F.transform(tokens, lambda w, i: F.struct(i.alias("i"), F.array_position(lits, w).alias("w"))), lambda x: x["w"] > 0)
+    found = F.filter(F.transform(tokens, lambda w, i: F.struct(i.alias("i"), F.array_position(lits, w).alias("w"))), lambda x: x["w"] > 0)
     if len(wanted) == 1:
-        return F.size(hits).cast("double") / 10
-    # going through the hits, the last place of each word; a cover ends at a hit when all have a place
-    zero = F.struct(F.array_repeat(F.lit(-1), len(wanted)).alias("last"), F.lit(-1).alias("from"), F.lit(0.0).alias("sum"))
+        return F.size(found) * 0.1
+    hits = F.transform(found, lambda x, k: F.struct(x["i"].alias("i"), x["w"].alias("w"), k.alias("k")))
+    # going through the hits, the last place of each word (in the text, among the hits); a cover ends at a hit when all have one
+    none = F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("k"))
+    zero = F.struct(F.array_repeat(none, len(wanted)).alias("last"), F.lit(-1).alias("from"), F.lit(0.0).alias("sum"))
 
     def step(acc, x):
-        last = F.transform(acc["last"], lambda p, k: F.when(k + 1 == x["w"], x["i"]).otherwise(p))
+        last = F.transform(acc["last"], lambda p, n: F.when(n + 1 == x["w"], F.struct(x["i"].alias("i"), x["k"].alias("k"))).otherwise(p))
         low = F.array_min(last)
-        fresh = (low >= 0) & (low > acc["from"])
-        gain = F.when(fresh, F.lit(float(len(wanted))) / (x["i"] - low + 1) / 10).otherwise(0.0)
-        return F.struct(last.alias("last"), F.when(fresh, low).otherwise(acc["from"]).alias("from"), (acc["sum"] + gain).alias("sum"))
+        fresh = (low["i"] >= 0) & (low["i"] > acc["from"])
+        others = (x["i"] - low["i"]) - (x["k"] - low["k"])
+        gain = F.when(fresh, F.lit(0.1) / (others + 1)).otherwise(0.0)
+        return F.struct(last.alias("last"), F.when(fresh, low["i"]).otherwise(acc["from"]).alias("from"), (acc["sum"] + gain).alias("sum"))
 
     return F.aggregate(hits, zero, step, lambda acc: acc["sum"])
 
@@ -126,6 +134,22 @@ def hybrid_search(documents: DataFrame, chunks: DataFrame, query: str, query_vec
     return both.select("document_id", (F.coalesce("best", F.lit(0.0)) + F.coalesce("title_vote", F.lit(0.0))).alias("score"), F.coalesce(snippet(F.col("content"), query), F.lit("")).alias("snippet")).orderBy(F.desc("score"), "document_id").limit(limit)
 
 
+def index_documents(documents: DataFrame, passages: DataFrame | None, embed) -> DataFrame:
+    """The passages table with those of ``documents`` made anew: (document_id, position, heading, content, embedding).
+
+    ``documents`` has id, title, text, mime_type and content_format. Title and heading are embedded with each passage, which is
+    returned without them. A document's old passages are replaced at once: the caller writes the result as the next version
+    of the table, so a search sees all old passages or all new ones, never a mixture. Documents without text lose theirs.
+    """
+    rows = documents.select(F.col("id").alias("document_id"), "title", F.posexplode(passages_udf("text", "mime_type", "content_format")).alias("position", "p"))
+    made = rows.select("document_id", "title", "position", "p.heading", "p.content")
+    fresh = made.withColumn("embedding", embed(embedding_text(F.coalesce("title", F.lit("")), F.col("heading"), F.col("content")))).drop("title")
+    if passages is None:
+        return fresh
+    kept = passages.join(documents.select(F.col("id").alias("document_id")), "document_id", "left_anti")
+    return kept.select(*fresh.columns).unionByName(fresh)
+
+
 def vector_mean(df: DataFrame, key: str, vector: str) -> DataFrame:
     """The mean vector of each key: a fixed number of partial sums a key, combined before the shuffle."""
     return df.select(key, F.posexplode(vector).alias("i", "x")).groupBy(key, "i").agg(F.avg("x").alias("x")).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("mean"))

@@ -23,14 +23,18 @@ def first_sights(events: DataFrame, key: str, time: str, late: str = "1 day") ->
     return events.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
-def stable_files(sightings: DataFrame, stable_s: int = ARCHIVE.stable_s) -> DataFrame:
+def stable_files(sightings: DataFrame, stable_s: int = ARCHIVE.stable_s, forget_s: int = 7 * 86_400) -> DataFrame:
     """(path, size, mtime, since) once a file has kept its size and time for ``stable_s``; each version once.
 
-    ``sightings`` is a stream of scans: path, size, mtime, seen_at. State per path is one version.
+    ``sightings`` is a stream of scans: path, size, mtime, seen_at. State per path is one version; a path
+    that no scan has seen for ``forget_s`` is forgotten, and given again if it comes back.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         size, mtime, since, given = state.get if state.exists else (-1, None, None, False)
         out = []
         for frame in frames:
@@ -41,9 +45,10 @@ def stable_files(sightings: DataFrame, stable_s: int = ARCHIVE.stable_s) -> Data
                     given = True
                     out.append((key[0], size, mtime, since))
         state.update((size, mtime, since, given))
+        state.setTimeoutDuration(forget_s * 1000)
         yield pd.DataFrame(out, columns=["path", "size", "mtime", "since"])
 
-    return sightings.withColumnRenamed("size", "size").groupBy("path").applyInPandasWithState(step, "path string, size long, mtime timestamp, since timestamp", "size long, mtime timestamp, since timestamp, given boolean", "append", GroupStateTimeout.NoTimeout)
+    return sightings.groupBy("path").applyInPandasWithState(step, "path string, size long, mtime timestamp, since timestamp", "size long, mtime timestamp, since timestamp, given boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def rate_limited(events: DataFrame, key: str, time: str, order: list[str], most: int = ARCHIVE.rate_attempts, window_s: int = ARCHIVE.rate_window_s) -> DataFrame:
