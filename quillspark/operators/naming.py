@@ -28,7 +28,7 @@ def free_name(name: str, taken: set[str], most: int = ARCHIVE.title_chars, reach
             return tried
 
 
-def assign_names(new: DataFrame, taken: DataFrame, owner: str = "user_id", folder: str = "folder_id", name: str = "title", order: str = "created_at", most: int = ARCHIVE.title_chars) -> DataFrame:
+def assign_names(new: DataFrame, taken: DataFrame, owner: str = "user_id", folder: str = "folder_id", name: str = "title", order: str | list[str] = "created_at", most: int = ARCHIVE.title_chars) -> DataFrame:
     """Adds ``new_name``: each new row gets a free name in its folder, in order; each given name is taken from then on.
 
     Names depend on each other only within (owner, folder, name without its number, in any case). Rows are sorted by
@@ -57,7 +57,7 @@ def assign_names(new: DataFrame, taken: DataFrame, owner: str = "user_id", folde
             yield pa.RecordBatch.from_arrays([*[kept.column(c) for c in columns], pa.array(names, pa.string())], [*columns, "new_name"])
 
     schema = T.StructType([*new.schema.fields, T.StructField("new_name", T.StringType())])
-    rows = fresh.unionByName(held, allowMissingColumns=True).repartition(*keys).sortWithinPartitions(*keys, "__new", order)
+    rows = fresh.unionByName(held, allowMissingColumns=True).repartition(*keys).sortWithinPartitions(*keys, "__new", *([order] if isinstance(order, str) else order))
     return rows.mapInArrow(run, schema)
 
 

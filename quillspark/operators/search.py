@@ -109,6 +109,25 @@ def ranked(df: DataFrame, score: Column, id_col: str, k: int) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), id_col)))
 
 
+def by_best_passage(passages: DataFrame, document: str, score: str, id_col: str, content: str) -> DataFrame:
+    """(document, score, content) by each document's best passage; ties go to the smaller passage id."""
+    return passages.groupBy(document).agg(F.max(score).alias(score), F.min_by(content, F.struct(-F.col(score), F.col(id_col))).alias(content))
+
+
+def votes(leg: DataFrame, rrf_k: int = SEARCH.rrf_k) -> Column:
+    """What a place on a ranked list counts in the fusion."""
+    return F.lit(1.0) / (rrf_k + leg["rank"])
+
+
+def fused_votes(legs: list[DataFrame], keys: list[str], rrf_k: int = SEARCH.rrf_k) -> DataFrame:
+    """(keys, v): reciprocal rank fusion of ranked lists."""
+    rows = [leg.select(*keys, votes(leg, rrf_k).alias("v")) for leg in legs]
+    both = rows[0]
+    for x in rows[1:]:
+        both = both.unionByName(x)
+    return both.groupBy(*keys).agg(F.sum("v").alias("v"))
+
+
 def hybrid_search(documents: DataFrame, chunks: DataFrame, query: str, query_vector: list[float], limit: int = SEARCH.results, *, allowed: Column | None = None, min_cosine: float = SEARCH.min_cosine, pool: int = SEARCH.pool, rrf_k: int = SEARCH.rrf_k) -> DataFrame:
     """(document_id, score, snippet), best first.
 
@@ -126,9 +145,8 @@ def hybrid_search(documents: DataFrame, chunks: DataFrame, query: str, query_vec
     meaning = ranked(mine, unit_dot(F.col("embedding"), query_vector), "id", pool).filter(F.col("score") >= min_cosine)
     tokens = words(F.col("content"))
     by_words = ranked(mine.filter(matches(tokens, asked)), cover_rank(tokens, asked), "id", pool)
-    legs = meaning.select("id", "document_id", "content", vote.alias("v")).unionByName(by_words.select("id", "document_id", "content", vote.alias("v")))
-    fused = legs.groupBy("id", "document_id", "content").agg(F.sum("v").alias("v"))
-    best = fused.groupBy("document_id").agg(F.max("v").alias("best"), F.min_by("content", F.struct(-F.col("v"), F.col("id"))).alias("content"))
+    fused = fused_votes([meaning, by_words], ["id", "document_id", "content"], rrf_k)
+    best = by_best_passage(fused, "document_id", "v", "id", "content").withColumnRenamed("v", "best")
     titles = ranked(own.filter(matches(words(F.col("title")), asked)), F.lit(0.0), "id", pool).select(F.col("id").alias("document_id"), vote.alias("title_vote"))
     both = best.join(titles, "document_id", "full")
     return both.select("document_id", (F.coalesce("best", F.lit(0.0)) + F.coalesce("title_vote", F.lit(0.0))).alias("score"), F.coalesce(snippet(F.col("content"), query), F.lit("")).alias("snippet")).orderBy(F.desc("score"), "document_id").limit(limit)

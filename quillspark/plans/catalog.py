@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import decode, extract
 from ..functions import text as tx
-from ..operators import hierarchy, linkage, naming, relational, search
+from ..operators import backup, hierarchy, linkage, naming, processing, relational, search, suggestions
 from ..operators.components import connected_components
 from ..operators.filters import SearchFilter, compile_filter, table_query
-from ..session import table
+from ..session import Scratch, table
 from ..streaming import archive
-from .views import folders, order_documents
+from .views import customer_documents, event_scans, folders, order_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -48,10 +48,13 @@ def browse_orders(spark: SparkSession, sf: str) -> DataFrame:
     return relational.browse(page, 50, 100).select("id", "total")
 
 
-@registered("SELECT p_partkey AS id, p_type AS mime FROM part WHERE (p_type LIKE 'PROMO%' OR p_type IN ('SMALL PLATED COPPER')) AND p_size BETWEEN 10 AND 30")
+_MIME = "CASE WHEN p_type LIKE 'PROMO%' THEN 'image/png' WHEN p_type = 'SMALL PLATED COPPER' THEN 'application/pdf' WHEN p_type LIKE 'ECONOMY%' THEN 'text/csv' ELSE 'application/zip' END"
+
+
+@registered("SELECT p_partkey AS id FROM part WHERE (p_type LIKE 'PROMO%' OR p_type = 'SMALL PLATED COPPER') AND p_size BETWEEN 10 AND 30")
 def filter_kind_range(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "part")
-    return p.filter((F.col("p_type").startswith("PROMO") | F.col("p_type").isin("SMALL PLATED COPPER")) & F.col("p_size").between(10, 30)).select(F.col("p_partkey").alias("id"), F.col("p_type").alias("mime"))
+    docs = table(spark, sf, "part").withColumn("mime_type", F.expr(_MIME))
+    return docs.filter(compile_filter(SearchFilter(kinds=("IMAGE", "PDF"))) & F.col("p_size").between(10, 30)).select(F.col("p_partkey").alias("id"))
 
 
 @registered("SELECT o_orderkey AS id FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1995-01-01' AND DATE '1995-03-31' AND o_totalprice IS NOT NULL")
@@ -97,11 +100,12 @@ def receipts_export(spark: SparkSession, sf: str) -> DataFrame:
     return relational.csv_lines(rows, [("date", False), ("vendor", False), ("total", True), ("title", False)]).select("id", "line")
 
 
-@registered("SELECT count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS lines FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey % 10 = 3)")
+@registered("SELECT count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS lines FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING')")
 def semi_join_scope(spark: SparkSession, sf: str) -> DataFrame:
-    own = table(spark, sf, "orders").filter("o_custkey % 10 = 3")
+    owners = table(spark, sf, "customer").filter("c_mktsegment = 'BUILDING'")
+    own = order_documents(spark, sf).join(owners, F.col("user_id") == owners.c_custkey, "left_semi")
     chunks = table(spark, sf, "lineitem")
-    return chunks.join(own, chunks.l_orderkey == own.o_orderkey, "left_semi").agg(F.count("*").alias("n"), F.sum("l_linenumber").alias("lines"))
+    return chunks.join(own, chunks.l_orderkey == own.id, "left_semi").agg(F.count("*").alias("n"), F.sum("l_linenumber").alias("lines"))
 
 
 @registered("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1)")
@@ -154,12 +158,14 @@ def rename_rank(spark: SparkSession, sf: str) -> DataFrame:
     return relational.rename_rank(order_documents(spark, sf), "user_id", "title", "created_at", "id").select("id", "new_title")
 
 
-@registered()
+@registered(
+    "WITH o AS (SELECT o_orderkey AS id, o_custkey AS u, o_orderpriority AS t, o_orderdate AS d, CAST(o_orderdate AS DATE) >= DATE '1997-07-01' AS late FROM orders), k AS (SELECT DISTINCT u, lower(t) AS t FROM o WHERE NOT late), r AS (SELECT id, o.t, row_number() OVER (PARTITION BY o.u, lower(o.t) ORDER BY d, id) + CASE WHEN k.t IS NULL THEN 0 ELSE 1 END AS n FROM o LEFT JOIN k ON o.u = k.u AND lower(o.t) = k.t WHERE late) SELECT id, CASE WHEN n = 1 THEN t ELSE t || ' (' || n || ')' END AS new_name FROM r"
+)
 def free_names(spark: SparkSession, sf: str) -> DataFrame:
     """Orders of late 1997 filed beside those before: each gets a free name in its customer's folder."""
     docs = order_documents(spark, sf).withColumn("folder_id", F.lit(None).cast("string"))
     late = F.col("document_date") >= F.lit("1997-07-01").cast("date")
-    return naming.assign_names(docs.filter(late).select("id", "user_id", "folder_id", "title", "created_at"), docs.filter(~late)).select("id", "new_name")
+    return naming.assign_names(docs.filter(late).select("id", "user_id", "folder_id", "title", "created_at"), docs.filter(~late), order=["created_at", "id"]).select("id", "new_name")
 
 
 @registered("SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings ORDER BY vec_id LIMIT 1)), 4) AS score FROM embeddings ORDER BY list_cosine_similarity(embedding, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1)) DESC, vec_id LIMIT 50")
@@ -194,13 +200,13 @@ def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
     query = e.orderBy("vec_id").first()["embedding"]
     one = search.ranked(e.withColumnRenamed("vec_id", "id"), search.unit_dot(F.col("embedding"), query), "id", 50)
     two = search.ranked(table(spark, sf, "documents").withColumnRenamed("doc_id", "id"), F.col("n_chars"), "id", 50)
-    legs = one.select("id", "rank").unionByName(two.select("id", "rank"))
-    return legs.groupBy("id").agg(F.round(F.sum(F.lit(1.0) / (60 + F.col("rank"))), 6).alias("score"))
+    return search.fused_votes([one, two], ["id"]).select("id", F.round("v", 6).alias("score"))
 
 
-@registered("SELECT l_orderkey AS document_id, max_by(l_linenumber, struct_pack(a := l_extendedprice, b := -l_linenumber)) AS best, max(l_extendedprice) AS score FROM lineitem GROUP BY l_orderkey")
+@registered("SELECT l_orderkey AS document_id, max_by(l_comment_, struct_pack(a := l_extendedprice, b := -l_linenumber)) AS best, max(l_extendedprice) AS score FROM (SELECT *, l_shipdate || '/' || l_linenumber AS l_comment_ FROM lineitem) GROUP BY l_orderkey")
 def docs_by_best_passage(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("document_id")).agg(F.max_by("l_linenumber", F.struct("l_extendedprice", -F.col("l_linenumber"))).alias("best"), F.max("l_extendedprice").alias("score"))
+    passages = table(spark, sf, "lineitem").withColumn("content", F.concat_ws("/", F.col("l_shipdate").cast("string"), F.col("l_linenumber").cast("string")))
+    return search.by_best_passage(passages, "l_orderkey", "l_extendedprice", "l_linenumber", "content").select(F.col("l_orderkey").alias("document_id"), F.col("content").alias("best"), F.col("l_extendedprice").alias("score"))
 
 
 @registered()
@@ -211,12 +217,13 @@ def chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 @registered()
 def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
-    """Chunks, embeds and searches all documents: meaning, words and titles, fused."""
+    """Indexes all documents once (passages, embedded with their titles), then searches: meaning, words and titles, fused."""
     query = "the breakage of thand"
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.substring_index("text", ".", 1).alias("title"))
-    passages = chunk_documents(spark, sf).select(F.concat_ws("-", "doc_id", "position").alias("id"), F.col("doc_id").alias("document_id"), "content")
-    chunks = passages.withColumn("embedding", tx.embedder()(F.col("content")))
-    return search.hybrid_search(docs, chunks, query, tx.hash_embedding(query), min_cosine=_MIN)
+    title = F.trim(F.substring_index(F.substring_index("text", ".", 1), "\n", 1))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), title.alias("title"), "text", F.lit("text/plain").alias("mime_type"), F.lit("plain").alias("content_format"))
+    index = Scratch(spark).result(search.index_documents(docs, None, tx.embedder()), "passages")
+    chunks = index.select(F.struct("document_id", "position").alias("id"), "document_id", "content", "embedding")
+    return search.hybrid_search(docs.select("id", "title"), chunks, query, tx.hash_embedding(query), min_cosine=_MIN)
 
 
 FLAGSHIP = hybrid_search
@@ -227,16 +234,51 @@ def html_text(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", decode.html_text_udf("html").alias("text"))
 
 
-@registered("SELECT doc_id, CAST(NULL AS VARCHAR) AS day FROM documents WHERE regexp_matches(text, '[0-9]')")
+_DATED = """CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN date_format(o_orderdate, 'yyyy-MM-dd') WHEN '2' THEN date_format(o_orderdate, 'dd.MM.yyyy') WHEN '3' THEN date_format(o_orderdate, 'd MMMM yyyy')
+WHEN '4' THEN date_format(o_orderdate, 'MMMM d, yyyy') ELSE date_format(o_orderdate, 'd/M/yyyy') END"""
+
+
+@registered("SELECT o_orderkey AS id, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders")
 def document_dates(spark: SparkSession, sf: str) -> DataFrame:
-    """The tables hold no dates, only addresses and numbers that look like some: all null."""
-    d = table(spark, sf, "documents").filter(F.col("text").rlike("[0-9]"))
-    return d.select("doc_id", extract.document_dates(F.col("text"), "2026-05-20").cast("string").alias("day"))
+    """Orders as letters that write their date in five ways, among numbers that are no dates and days that are too far off."""
+    text = F.concat(F.lit("Ref 1.2.3.4, born 31.02.1990, due 2190-01-01. Order of "), F.expr(_DATED), F.lit(". Paid 2024-05-05."))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), extract.document_dates(text, "2026-05-20").cast("string").alias("day"))
+
+
+@registered(
+    "SELECT o_orderkey AS id, c_mktsegment || ' Shop' AS vendor, CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS VARCHAR) AS total, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'EUR' WHEN '2' THEN 'GBP' WHEN '3' THEN 'CAD' WHEN '5' THEN 'CHF' END AS currency FROM orders JOIN customer ON o_custkey = c_custkey"
+)
+def receipts(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as receipts: heading, shop, subtotal, total with grouped thousands and a currency written in five ways, change."""
+    o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
+    printed = F.format_number(F.col("o_totalprice").cast("decimal(18,2)"), 2)
+    kind = F.substring("o_orderpriority", 1, 1)
+    total = F.when(kind == "1", F.concat(F.lit("Grand total EUR "), printed)).when(kind == "2", F.concat(F.lit("TOTAL DUE: £"), printed)).when(kind == "3", F.concat(F.lit("Total C$"), printed)).when(kind == "5", F.concat(F.lit("Total\n"), printed, F.lit(" CHF"))).otherwise(F.concat(F.lit("Total $"), printed))
+    text = F.concat(F.lit("***\nTax invoice\nTel 555 0101\n* "), F.col("c_mktsegment"), F.lit(" Shop *\nSubtotal 99,999,999.00\n"), total, F.lit("\nChange 88,888,888.00"))
+    rows = o.join(c, o.o_custkey == c.c_custkey).select(F.col("o_orderkey").alias("id"), extract.receipts(text).alias("r"))
+    return rows.select("id", "r.vendor", "r.total", "r.currency")
 
 
-@registered("SELECT a.event_id AS a, b.event_id AS b, CAST(epoch(b.ts) - epoch(a.ts) AS BIGINT) AS gap_s FROM (SELECT event_id, user_id, date_trunc('second', ts) AS ts FROM events) a JOIN (SELECT event_id, user_id, date_trunc('second', ts) AS ts FROM events) b ON a.user_id = b.user_id AND (a.ts < b.ts OR (a.ts = b.ts AND a.event_id < b.event_id)) AND epoch(b.ts) - epoch(a.ts) <= 3600")
+@registered("SELECT a.event_id AS a, b.event_id AS b, epoch_us(b.ts) - epoch_us(a.ts) AS gap_us FROM events a JOIN events b ON a.user_id = b.user_id AND (a.ts < b.ts OR (a.ts = b.ts AND a.event_id < b.event_id)) AND epoch_us(b.ts) - epoch_us(a.ts) <= 3600000000")
 def pair_window_join(spark: SparkSession, sf: str) -> DataFrame:
-    return linkage.band_pairs(table(spark, sf, "events"), ["user_id"], "ts", "event_id", 3600)
+    pairs = linkage.band_pairs(table(spark, sf, "events"), ["user_id"], "ts", "event_id", 3600)
+    return pairs.select("a", "b", F.round(F.col("gap_s") * 1_000_000).cast("long").alias("gap_us"))
+
+
+@registered(
+    "WITH e AS (SELECT event_id, user_id, event_type AS v, ts, CAST(ts AS DATE) AS d FROM events), p AS (SELECT a.event_id AS a, b.event_id AS b, abs(epoch_us(b.ts) - epoch_us(a.ts)) / 1000000.0 AS gap, a.v AS va, b.v AS vb, a.d AS da, b.d AS db FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_id <> b.event_id AND abs(epoch_us(b.ts) - epoch_us(a.ts)) <= 21600000000), s AS (SELECT a, b, -2.5 + CASE WHEN gap <= 120 THEN 1.5 WHEN gap <= 600 THEN 0.25 WHEN gap > 3600 THEN -1.0 ELSE 0.0 END + CASE WHEN b = a + 1 THEN 2.0 ELSE 0.5 END + CASE WHEN va = vb THEN 0.5 WHEN va LIKE '%' || vb || '%' OR vb LIKE '%' || va || '%' THEN 0.5 ELSE -2.5 END + CASE WHEN da = db THEN 0.5 ELSE -1.5 END AS points FROM p) SELECT CAST(a AS VARCHAR) AS a, CAST(b AS VARCHAR) AS b, CAST(round(points * 100) AS BIGINT) AS points, round(1 / (1 + exp(-points)), 6) AS confidence FROM s"
+)
+def score_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as scans of one user: every pair within six hours, both ways round, with what all signals come to."""
+    scored = linkage.score_pairs(event_scans(spark, sf), "2026-05-20")
+    return scored.select("a", "b", F.round(F.col("points") * 100).cast("long").alias("points"), F.round("confidence", 6).alias("confidence"))
+
+
+@registered()
+def merge_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """The groups that are proposed for the same scans."""
+    groups = linkage.merge_groups(event_scans(spark, sf), "2026-05-20")
+    return groups.select(F.array_join("document_ids", ",").alias("ids"), F.round("confidence", 6).alias("confidence"), "band")
 
 
 @registered("WITH e AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 1 HOUR THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 1 HOUR AS fires_at, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY user_id, k")
@@ -255,18 +297,30 @@ def pipeline_state_fold(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @registered(
-    "WITH RECURSIVE e AS (SELECT DISTINCT c_custkey AS a, -1 - s_suppkey AS b FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_custkey % 97 = s_suppkey % 97 AND c_mktsegment = 'BUILDING'), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS seen FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.seen = u.a) SELECT node, min(seen) AS component FROM r GROUP BY node"
+    "WITH e AS (SELECT event_id, user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) < 3600000000 THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT event_id, user_id, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM e), m AS (SELECT event_id, min(event_id) OVER (PARTITION BY user_id, k) AS component, count(*) OVER (PARTITION BY user_id, k) AS n FROM s) SELECT event_id AS node, component FROM m WHERE n > 1"
 )
 def linkage_components(spark: SparkSession, sf: str) -> DataFrame:
-    c, s = table(spark, sf, "customer").filter("c_mktsegment = 'BUILDING'"), table(spark, sf, "supplier")
-    edges = c.join(s, (c.c_nationkey == s.s_nationkey) & (c.c_custkey % 97 == s.s_suppkey % 97)).select(F.col("c_custkey").alias("src"), (-1 - F.col("s_suppkey")).alias("dst"))
-    return connected_components(edges)
+    """Each event linked with the one before it, if that is less than an hour ago: chains, whose components are sessions."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, sf, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.lag("event_id").over(w).alias("before"), F.unix_micros(F.lag("ts").over(w).cast("timestamp")).alias("t0"))
+    return connected_components(e.filter(F.col("t") - F.col("t0") < 3_600_000_000).select(F.col("event_id").alias("src"), F.col("before").alias("dst")))
 
 
-@registered("SELECT coalesce(a.k, b.k) AS member_key, CASE WHEN a.k IS NULL THEN 'insert' WHEN a.status <> 'open' THEN 'keep' WHEN b.k IS NOT NULL THEN 'update' ELSE 'delete' END AS action FROM (SELECT doc_id AS k, CASE WHEN toxic = 1 THEN 'dismissed' ELSE 'open' END AS status FROM labels) a FULL JOIN (SELECT doc_id AS k FROM documents WHERE doc_id % 2 = 0) b ON a.k = b.k")
+@registered("SELECT coalesce(a.k, b.k) AS member_key, CASE WHEN a.k IS NULL THEN 'insert' WHEN a.status <> 'open' THEN 'keep' WHEN b.k IS NOT NULL THEN 'update' ELSE 'delete' END AS action FROM (SELECT doc_id AS k, CASE WHEN toxic = 1 THEN 'dismissed' ELSE 'open' END AS status FROM labels) a FULL JOIN (SELECT doc_id AS k FROM documents WHERE lang = 'en') b ON a.k = b.k")
 def reconcile_plan(spark: SparkSession, sf: str) -> DataFrame:
     stored = table(spark, sf, "labels").select(F.col("doc_id").alias("member_key"), F.when(F.col("toxic") == 1, "dismissed").otherwise("open").alias("status"))
-    return linkage.reconcile(stored, table(spark, sf, "documents").filter("doc_id % 2 = 0").select(F.col("doc_id").alias("member_key")))
+    return linkage.reconcile(stored, table(spark, sf, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("member_key")))
+
+
+@registered(
+    "WITH a AS (SELECT doc_id AS k, quality / 2.0 AS c, CASE WHEN toxic = 1 THEN 'dismissed' ELSE 'open' END AS status FROM labels), b AS (SELECT doc_id AS k, 0.75 AS c FROM documents WHERE lang = 'en') SELECT coalesce(a.k, b.k) AS member_key, CASE WHEN a.k IS NOT NULL AND (a.status <> 'open' OR b.k IS NULL) THEN a.c ELSE b.c END AS confidence, coalesce(a.status, 'open') AS status FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR a.status <> 'open' OR b.k IS NOT NULL"
+)
+def suggestions_written(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored suggestions after a new scoring of all English documents."""
+    ids, level = F.array("doc_id").alias("document_ids"), F.lit("medium").alias("band")
+    stored = table(spark, sf, "labels").select(F.col("doc_id").alias("member_key"), ids, (F.col("quality") / 2.0).cast("double").alias("confidence"), level, F.when(F.col("toxic") == 1, "dismissed").otherwise("open").alias("status"))
+    groups = table(spark, sf, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("member_key"), ids, F.lit(0.75).alias("confidence"), level)
+    return suggestions.written(stored, groups).select("member_key", "confidence", "status")
 
 
 @registered("SELECT event_type AS kind, CAST(count(*) AS BIGINT) AS n, round(avg(value), 6) AS mean FROM events GROUP BY event_type")
@@ -274,13 +328,90 @@ def counts_by_kind(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
 
 
-@registered("SELECT c_custkey AS id, CASE WHEN regexp_matches(c_name, '^[=+@-]') THEN '''' || c_name ELSE c_name END AS cell FROM customer")
+@registered(
+    "SELECT p_partkey AS id, '\"' || replace(CASE WHEN p_brand LIKE '%1' THEN chr(39) || '=' ELSE '' END || p_type || ', \"' || p_brand || '\"', '\"', '\"\"') || '\"' AS cell FROM part UNION ALL SELECT -c_custkey, CASE WHEN regexp_matches(c_name, '^[=+@-]') THEN chr(39) || c_name ELSE c_name END FROM customer UNION ALL SELECT 1000000000 + o_orderkey, CAST(-o_orderkey AS VARCHAR) FROM orders"
+)
 def csv_cells(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), relational.csv_cell(F.col("c_name")).alias("cell"))
+    """Cells with commas and quotes, some that a spreadsheet would run; plain names; negative numbers."""
+    p, c, o = table(spark, sf, "part"), table(spark, sf, "customer"), table(spark, sf, "orders")
+    text = F.concat(F.when(F.col("p_brand").endswith("1"), "=").otherwise(""), F.col("p_type"), F.lit(', "'), F.col("p_brand"), F.lit('"'))
+    quoted = p.select(F.col("p_partkey").cast("long").alias("id"), relational.csv_cell(text).alias("cell"))
+    plain = c.select((-F.col("c_custkey")).cast("long").alias("id"), relational.csv_cell(F.col("c_name")).alias("cell"))
+    numbers = o.select((F.lit(1_000_000_000) + F.col("o_orderkey")).cast("long").alias("id"), relational.csv_cell(-F.col("o_orderkey"), True).alias("cell"))
+    return quoted.unionByName(plain).unionByName(numbers)
 
 
-@registered("SELECT l_orderkey AS id, array_to_string(list(l_shipmode ORDER BY l_linenumber, l_shipmode), '|') AS text FROM (SELECT l_orderkey, l_linenumber, l_returnflag || l_linestatus AS l_shipmode FROM lineitem) GROUP BY l_orderkey")
+@registered("SELECT conv_id AS id, coalesce(array_to_string(list(text ORDER BY turn, text) FILTER (text <> ''), chr(10) || chr(10)), '') AS text, CASE WHEN bool_and(role = 'user') THEN 'markdown' ELSE 'plain' END AS format FROM conversations GROUP BY conv_id")
 def merge_texts(spark: SparkSession, sf: str) -> DataFrame:
-    pages = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.concat("l_returnflag", "l_linestatus").alias("t"))
-    rows = pages.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "t"))).alias("p"))
-    return rows.select("id", F.array_join(F.transform("p", lambda x: x["t"]), "|").alias("text"))
+    """Conversations as documents that are merged from their turns."""
+    pages = table(spark, sf, "conversations").withColumn("content_format", F.when(F.col("role") == "user", "markdown").otherwise("plain"))
+    return processing.merge_documents(pages, "conv_id", "turn", "text").select(F.col("conv_id").alias("id"), "text", F.col("content_format").alias("format"))
+
+
+_STEP = "CASE WHEN l_linestatus = 'F' AND l_returnflag = 'A' THEN 'succeeded' WHEN l_linestatus = 'F' AND l_returnflag = 'R' THEN 'skipped' WHEN l_linestatus = 'F' THEN 'running' WHEN l_quantity > 49 THEN 'failed' ELSE 'queued' END"
+
+
+@registered(
+    f"WITH s AS (SELECT l_orderkey AS id, l_linenumber AS position, 'step' || l_linenumber AS step, {_STEP} AS status, l_quantity AS attempts FROM lineitem) SELECT id, CASE WHEN bool_or(status = 'failed') THEN 'failed' WHEN bool_and(status IN ('succeeded', 'skipped')) THEN 'ready' WHEN bool_or(status = 'running') THEN 'processing' ELSE 'uploaded' END AS status, arg_min(step, (position, step)) FILTER (status NOT IN ('succeeded', 'skipped')) AS next_step, CAST(count(*) FILTER (status IN ('succeeded', 'skipped')) AS BIGINT) AS done FROM s GROUP BY id"
+)
+def step_fold(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items as steps of their order's pipeline: what each document's steps come to."""
+    steps = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("position"), F.concat(F.lit("step"), F.col("l_linenumber").cast("string")).alias("step"), F.expr(_STEP).alias("status"), F.col("l_quantity").alias("attempts"))
+    return processing.fold_status(steps).select(F.col("document_id").alias("id"), "status", "next_step", "done")
+
+
+@registered("SELECT o_orderkey AS id, step, position FROM orders, (VALUES ('A', 0), ('N', 1), ('R', 2)) v(step, position) WHERE o_orderstatus = 'F' AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = step)")
+def steps_to_catch_up(spark: SparkSession, sf: str) -> DataFrame:
+    documents = order_documents(spark, sf).withColumn("deleted_at", F.lit(None).cast("timestamp"))
+    steps = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_returnflag").alias("step"))
+    return processing.catch_up(documents, steps, ("A", "N", "R"))
+
+
+@registered("WITH c AS (SELECT 'n' || c_nationkey AS f, count(*) AS n FROM customer GROUP BY 1) SELECT 'n' || n_nationkey AS id, coalesce(n, 0) AS documents, CAST(coalesce(n, 0) AS BIGINT) AS below FROM nation LEFT JOIN c ON f = 'n' || n_nationkey UNION ALL SELECT 'r' || n_regionkey, 0, CAST(coalesce(sum(n), 0) AS BIGINT) FROM nation LEFT JOIN c ON f = 'n' || n_nationkey GROUP BY n_regionkey")
+def subtree_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as documents in their nation's folder."""
+    return hierarchy.subtree_counts(customer_documents(spark, sf), hierarchy.folder_tree(folders(spark, sf))).select("id", "documents", "below")
+
+
+@registered("SELECT c_custkey AS id FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2 OR n_nationkey = 5")
+def filter_in_folders(spark: SparkSession, sf: str) -> DataFrame:
+    tree = hierarchy.folder_tree(folders(spark, sf))
+    return hierarchy.in_folders(customer_documents(spark, sf), tree, ["r2", "n5"]).select("id")
+
+
+@registered("SELECT 'n' || n_nationkey AS id, 'r' || r_regionkey AS \"to\", true AS valid FROM nation JOIN region ON r_regionkey <> n_regionkey UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey, false FROM nation UNION ALL SELECT 'r' || r_regionkey, 'r' || r_regionkey, false FROM region UNION ALL SELECT 'r' || r_regionkey, NULL, true FROM region UNION ALL SELECT 'n' || n_nationkey, 'gone', false FROM nation")
+def folder_moves(spark: SparkSession, sf: str) -> DataFrame:
+    """Each nation to the other regions and to a folder that is not there, each region below its nations, to itself and to the top."""
+    r, n = table(spark, sf, "region"), table(spark, sf, "nation")
+    rid, nid = F.concat(F.lit("r"), F.col("r_regionkey").cast("string")), F.concat(F.lit("n"), F.col("n_nationkey").cast("string"))
+    above = F.concat(F.lit("r"), F.col("n_regionkey").cast("string"))
+    moves = n.join(r, F.col("r_regionkey") != F.col("n_regionkey")).select(nid.alias("id"), rid.alias("to"))
+    for df, a, b in ((n, above, nid), (r, rid, rid), (r, rid, F.lit(None).cast("string")), (n, nid, F.lit("gone"))):
+        moves = moves.unionByName(df.select(a.alias("id"), b.alias("to")))
+    return hierarchy.valid_moves(moves, hierarchy.folder_tree(folders(spark, sf)))
+
+
+@registered(
+    "SELECT id, 'originals/' || r_name || '/' || n_name || '/' || seg || CASE WHEN k = 1 THEN '' ELSE ' (' || k || ')' END || '.pdf' AS path FROM (SELECT c_custkey AS id, r_name, n_name, c_mktsegment AS seg, row_number() OVER (PARTITION BY r_name, n_name, c_mktsegment ORDER BY c_custkey) AS k FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
+)
+def export_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as files that are named after their segment: a path for each in the backup."""
+    return backup.export_plan(customer_documents(spark, sf), hierarchy.folder_tree(folders(spark, sf))).select("id", "path")
+
+
+@registered(
+    "WITH m AS (SELECT CAST(doc_id AS VARCHAR) AS path, sha256(text) AS h, lang = 'en' AS there FROM documents WHERE text IS NOT NULL), k AS (SELECT DISTINCT sha256(text) AS h FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND text IS NOT NULL) SELECT path, CASE WHEN k.h IS NOT NULL THEN 'skipped' WHEN there IS NOT TRUE THEN 'failed' WHEN row_number() OVER (PARTITION BY m.h ORDER BY path) > 1 THEN 'skipped' ELSE 'imported' END AS action FROM m LEFT JOIN k ON m.h = k.h"
+)
+def import_actions(spark: SparkSession, sf: str) -> DataFrame:
+    """A backup of all documents of which only the English files are there, into an archive that holds those of good quality."""
+    docs = table(spark, sf, "documents").filter("text is not null")
+    manifest = docs.select(F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("checksum_sha256"))
+    files = docs.filter("lang = 'en'").select(F.col("doc_id").cast("string").alias("path"), F.col("text").cast("binary").alias("content"))
+    held = docs.join(table(spark, sf, "labels").filter("quality = 1"), "doc_id", "left_semi").select(F.sha2("text", 256).alias("checksum_sha256"))
+    return backup.import_plan(manifest, files, held)
+
+
+@registered("SELECT doc_id FROM documents UNION SELECT doc_id FROM labels")
+def insert_ignored(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled ids, and those of all documents that are not among them."""
+    return relational.insert_ignore(table(spark, sf, "labels").select("doc_id"), table(spark, sf, "documents").select("doc_id"), ["doc_id"])
\ No newline at end of file

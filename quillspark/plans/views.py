@@ -26,3 +26,35 @@ def folders(spark: SparkSession, sf: str) -> DataFrame:
     r = table(spark, sf, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("id"), F.lit(None).cast("string").alias("parent_id"), F.col("r_name").alias("name"), (F.col("r_regionkey") % 3 == 0).alias("mcp_enabled"))
     n = table(spark, sf, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("parent_id"), F.col("n_name").alias("name"), (F.col("n_nationkey") % 5 == 0).alias("mcp_enabled"))
     return r.unionByName(n)
+
+
+def customer_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as files in their nation's folder, named after their segment."""
+    c = table(spark, sf, "customer")
+    return c.select(
+        F.col("c_custkey").alias("id"),
+        F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("folder_id"),
+        F.concat(F.col("c_mktsegment"), F.lit(".pdf")).alias("original_filename"),
+        F.lit("ready").alias("status"),
+        F.lit(None).cast("timestamp").alias("deleted_at"),
+        F.lit("2020-01-01").cast("timestamp").alias("created_at"),
+    )
+
+
+def event_scans(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as scans: a user's, numbered, dated, from a vendor, without text."""
+    e = table(spark, sf, "events")
+    none = F.lit(None)
+    return e.select(
+        F.col("event_id").cast("string").alias("id"),
+        "user_id",
+        none.cast("string").alias("folder_id"),
+        F.col("ts").cast("timestamp").alias("created_at"),
+        F.concat(F.lit("scan_"), F.col("event_id").cast("string"), F.lit(".png")).alias("original_filename"),
+        F.lit("image/png").alias("mime_type"),
+        F.to_date("ts").alias("document_date"),
+        F.col("event_type").alias("vendor"),
+        none.cast("string").alias("text_head"),
+        none.cast("string").alias("text_tail"),
+        none.cast("array<float>").alias("mean_embedding"),
+    )
