@@ -18,6 +18,9 @@ from pyspark.sql import types as T
 # Magic numbers as hex, and extensions, of the accepted media types.
 MAGIC = (("25504446", 1, "application/pdf"), ("89504E470D0A1A0A", 1, "image/png"), ("FFD8FF", 1, "image/jpeg"), ("49492A00", 1, "image/tiff"), ("4D4D002A", 1, "image/tiff"), ("474946383761", 1, "image/gif"), ("474946383961", 1, "image/gif"))
 EXTENSIONS = {"pdf": "application/pdf", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "tif": "image/tiff", "tiff": "image/tiff", "webp": "image/webp", "gif": "image/gif", "txt": "text/plain", "md": "text/markdown", "markdown": "text/markdown", "csv": "text/csv", "html": "text/html", "htm": "text/html", "epub": "application/epub+zip"}
+# Types of uploads by extension where a browser has none, and other names for a type.
+TYPES_BY_EXTENSION = {"epub": "application/epub+zip", "md": "text/markdown", "markdown": "text/markdown", "csv": "text/csv", "htm": "text/html", "html": "text/html"}
+TYPE_ALIASES = {"text/x-markdown": "text/markdown", "application/csv": "text/csv", "text/x-csv": "text/csv", "application/x-csv": "text/csv", "text/comma-separated-values": "text/csv", "application/xhtml+xml": "text/html"}
 SNIFF_BYTES = 4100
 TEXT_TYPES = ("text/plain", "text/markdown", "text/csv")
 
@@ -197,6 +200,42 @@ def epub_udf(data: pd.Series) -> pd.Series:
     return data.map(lambda d: None if d is None else [{"heading": h, "level": n, "text": t} for h, n, t in read_epub(d)])
 
 
+def epub_cover(data: bytes, most_bytes: int = 20 << 20) -> bytes | None:
+    """The image that an e-book's package names as its cover: by property, else by the older meta element; none if it is too large."""
+    with zipfile.ZipFile(io.BytesIO(data)) as book:
+        sizes = {i.filename: i.file_size for i in book.infolist()}
+        if "META-INF/container.xml" not in sizes:
+            return None
+        opf = next((e.attrib["full-path"] for e in ElementTree.fromstring(book.read("META-INF/container.xml")).iter() if e.tag.endswith("rootfile")), None)
+        if opf not in sizes:
+            return None
+        elements = list(ElementTree.fromstring(book.read(opf)).iter())
+        items = [e.attrib for e in elements if e.tag.endswith("}item")]
+        named = next((e.attrib.get("content") for e in elements if e.tag.endswith("}meta") and e.attrib.get("name") == "cover"), None)
+        item = next((i for i in items if "cover-image" in i.get("properties", "").split()), None) or next((i for i in items if named is not None and i.get("id") == named), None)
+        if not item or not item.get("href") or not item.get("media-type", "").startswith("image/"):
+            return None
+        path = posixpath.normpath(posixpath.join(posixpath.dirname(opf), unquote(item["href"])))
+        return book.read(path) if sizes.get(path, most_bytes + 1) <= most_bytes else None
+
+
+@F.pandas_udf(T.BinaryType())
+def epub_cover_udf(data: pd.Series) -> pd.Series:
+    return data.map(lambda d: None if d is None else epub_cover(d))
+
+
+def upload_type(name: Column, given: Column) -> Column:
+    """The media type of an upload: what the browser says, other names of a type put right, else by the extension."""
+    extension = F.lower(F.when(F.instr(name, ".") > 0, F.substring_index(name, ".", -1)).otherwise(F.lit("")))
+    renamed, by_extension = given, F.lit("application/octet-stream")
+    for other, usual in TYPE_ALIASES.items():
+        renamed = F.when(given == other, usual).otherwise(renamed)
+    for ending, kind in TYPES_BY_EXTENSION.items():
+        by_extension = F.when(extension == ending, kind).otherwise(by_extension)
+    spreadsheet = (given == "application/vnd.ms-excel") & (extension == "csv")
+    return F.when(spreadsheet, "text/csv").when(F.coalesce(given, F.lit("")) != "", renamed).otherwise(by_extension)
+
+
 def title_from_filename(name: Column, most: int = 500) -> Column:
     return F.substring(F.replace(F.regexp_replace(name, r"(?<=.)\.[^./]*$", ""), F.lit("/"), F.lit("-")), 1, most)
 

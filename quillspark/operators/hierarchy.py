@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch
+from .filters import SearchFilter, compile_filter
 from .relational import natural_key
 
 
@@ -86,6 +89,12 @@ def in_folders(documents: DataFrame, tree: DataFrame, roots: list, include_subfo
     return documents.join(tree.filter(hit).select(F.col("id").alias("__f")), F.col(folder) == F.col("__f"), "left_semi")
 
 
+def filtered(documents: DataFrame, tree: DataFrame, asked: SearchFilter, include_subfolders: bool = True) -> DataFrame:
+    """The documents that a filter leaves, its folders taken with all below them unless told otherwise."""
+    rows = documents.filter(compile_filter(replace(asked, folder_ids=None)))
+    return rows if asked.folder_ids is None else in_folders(rows, tree, list(asked.folder_ids), include_subfolders)
+
+
 def archive_entries(documents: DataFrame, tree: DataFrame, *, folder: str = "folder_id", title: str = "title") -> DataFrame:
     """(id, path): where each document stands, folder path and title; those on the top level are under their title alone."""
     at = tree.select(F.col("id").alias("__f"), F.col("path").alias("__p"))
