@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..session import Scratch
@@ -30,8 +30,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             # small star: smaller neighbours and itself go to the least neighbour
             low = large.groupBy("b").agg(F.min("a").alias("m"))
             small = large.join(low, "b").select("m", "a").filter("m <> a").union(low.select("m", "b")).toDF("a", "b").distinct()
-            now = own.keep(small, "edges")
-            sign = tuple(now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
+            # how many edges there are and which, told by the write itself: equal to the round before when nothing moves any more
+            seen = Observation()
+            now = own.keep(small.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), "edges")
+            sign = tuple(seen.get.values())
             if sign == before:
                 break
             before = sign
