@@ -18,8 +18,8 @@ How it is laid out on Spark:
    bit for each shingle's hash, bits flipped) differ in no more bits than linked sets can: a sound
    test, as each shingle in one set only flips one bit. Components of ties are collapsed; only
    classes of different components on one list are still compared, by short bitmaps that their postings
-   carry. Pairs that pass are joined inside the task, and a list gives one tie for each joining: fewer than it
-   has components. Components of all ties are neighbourhoods: every link lies inside one.
+   carry. Pairs that pass are joined inside the task, and a list gives one tie between components for each joining:
+   fewer than it has components. What all ties join are neighbourhoods: every link lies inside one.
 4. Neighbourhoods are searched with full sets, by DivideSkip. One that holds more than
    ``block_shingles`` is dealt out: blocks of bounded size, and a task for each pair of blocks whose
    sizes can match; so no task ever holds more than two blocks, and no link is lost.
@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..session import Scratch
-from .common import bytes_of, mapped, row_key, without_rows
+from .common import bounded_batches, bytes_of, mapped, row_key, without_rows
 
 SKETCH_BITS = 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -142,10 +142,12 @@ def may_link(n1: Column, bits1: Column, n2: Column, bits2: Column, num: int, den
 
 
 def _tested(ties: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """The ties (a, b) that may be links."""
-    side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
-    both = ties.join(side("a"), "a").join(side("b"), "b")
-    return both.filter(may_link(F.col("n_a"), F.col("bits_a"), F.col("n_b"), F.col("bits_b"), num, den)).select("a", "b")
+    """The ties (a, b) that may be links: first by the short bitmaps, which are less to move, then by the long ones."""
+    for bits in ("brief", "bits"):
+        side = lambda x, bits=bits: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col(bits).alias(f"bits_{x}"))
+        both = ties.join(side("a"), "a").join(side("b"), "b")
+        ties = both.filter(may_link(F.col("n_a"), F.col("bits_a"), F.col("n_b"), F.col("bits_b"), num, den)).select("a", "b")
+    return ties
 
 
 def _pass(n: np.ndarray, words: np.ndarray, starts: np.ndarray, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -165,7 +167,7 @@ def _pass(n: np.ndarray, words: np.ndarray, starts: np.ndarray, i: np.ndarray, j
 
 
 def _apart(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Rows (token, unit, rep, n, led, brief) sorted by token, n and rep: ties between the units of one list.
+    """Rows (token, unit, rep, n, led, brief) sorted by token, n and rep: ties (a, b) between the units of one list.
 
     Of two classes the first must be led on the list. Two units are tied if classes of theirs have sizes and bitmaps that can match, directly or through other units of
     the list; the ties of a list are a forest, so there are fewer of them than units.
@@ -198,7 +200,7 @@ def _apart(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa
                     parent[max(x, y)] = min(x, y)
                     tied.append(i)
             if tied:
-                one, two = rep[tied], rep[np.array(tied) + k]
+                one, two = unit[tied], unit[np.array(tied) + k]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], ["a", "b"])
             k += 1
 
@@ -414,6 +416,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     out of links (their component is null). ``block_shingles`` bounds what a task holds of a neighbourhood.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     with Scratch(spark) as scratch:
         counts = shingle_sketch(df, id_col, text_col, words)
         mean = max(1.0, float(counts.mean()))
@@ -443,8 +446,11 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         parts = max(spark.sparkContext.defaultParallelism * 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
         rest = placed.join(mixed, "token", "left_semi").join(classes.select("rep", "brief"), "rep").select("token", "unit", "rep", "n", "led", "brief")
         rest = rest.repartition(parts, "token").sortWithinPartitions("token", "n", "rep").mapInArrow(lambda it: _apart(it, num, den), "a long, b long").distinct()
-        ties = scratch.keep(ties.unionByName(rest), "ties")
-        near = connected_components(ties, "a", "b", scratch=scratch).toDF("rep", "unit")
+        # ties between units: what they join is few beside what the units hold; a unit of one class is named by it
+        joined = connected_components(rest, "a", "b", scratch=scratch)
+        moved = near.join(joined, near.unit == joined.node, "left").select("rep", F.coalesce("component", "unit").alias("unit"))
+        alone = joined.join(near.select("rep"), joined.node == F.col("rep"), "left_anti").select(F.col("node").alias("rep"), F.col("component").alias("unit"))
+        near = scratch.keep(moved.unionByName(alone), "near")
         sized = near.join(classes.select("rep", "n"), "rep")
         sums = sized.groupBy("unit").agg(F.sum("n").alias("total"))
         # blocks: members in order of size, cut every block_shingles; only neighbourhoods over that are dealt out
