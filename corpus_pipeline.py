@@ -1,6 +1,9 @@
 """The cleaning pipeline over ``documents``: five stages, each on all rows that the one before kept.
 
-Each stage takes (spark, docs, sf_dir). All but the last return the columns of ``documents``.
+Each stage takes (spark, docs, sf_dir). All but the last return the columns of ``documents``, in their order and under their
+names. Rows are judged one by one or by a key over all their columns, so ids may be null or repeated: a null or empty text
+has no language and goes in the first stage; of equal rows, and of near copies, one stays (the smallest id, a null id being
+the largest; ties by the key); a benchmark passage removes its own row only. An empty table gives an empty result.
 """
 
 from __future__ import annotations

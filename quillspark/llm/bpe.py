@@ -7,7 +7,8 @@ places to merge; after a merge only the two touched neighbours get new index ent
 encoded once a piece, however often they occur. A word that is itself a token is taken whole,
 as the library does. No shuffle is needed, and memory follows the piece, not the corpus.
 
-Null and empty texts have no tokens. Decoding joins the tokens' bytes.
+Null and empty texts have no tokens. Decoding joins the tokens' bytes. Rows are treated one by one, so repeated rows,
+ties and other columns play no part.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import itertools
 import re
 from collections import defaultdict
 
@@ -22,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import mapped, texts_of
+from .common import bounded_batches, mapped, texts_of
 
 # Letters, numbers and white space among the first 256 characters, for the fast splitter.
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\\t-\\r \x85\xa0"
@@ -73,7 +75,7 @@ class Replay:
     def encode(self, words: list[bytes]) -> list[list[int]]:
         whole = [self.rank.get(w) for w in words]
         rest = [w for w, r in zip(words, whole, strict=True) if r is None]
-        ids = iter(self.replay(rest))
+        ids = itertools.chain.from_iterable(self.replay(rest[k : k + REPLAY_WORDS]) for k in range(0, len(rest), REPLAY_WORDS))
         return [[r] if r is not None else next(ids) for r in whole]
 
     def replay(self, words: list[bytes]) -> list[list[int]]:
@@ -146,21 +148,24 @@ class Replay:
             i += k
         return out
 
-    def encode_texts(self, texts: list[str]) -> list[tuple[list[str], dict]]:
-        """(words of each text, {word: ids}) of one piece of the corpus."""
-        split = [self.split(t) for t in texts]
-        distinct, memory = set().union(*split), self.memory
-        table = {w: memory[w] for w in distinct if w in memory}
-        new = [w for w in distinct if w not in memory]
-        table.update(zip(new, self.encode([w.encode() for w in new]), strict=True))
+    def encode_texts(self, texts: list[str]) -> tuple[list[np.ndarray], list[str], list[list[int]]]:
+        """(numbers of each text's words, the distinct words, their ids) of one piece of the corpus; no text's words are held longer than it takes to number them."""
+        number: dict[str, int] = defaultdict()
+        number.default_factory = number.__len__
+        texts = [np.fromiter(map(number.__getitem__, self.split(t)), np.int32) for t in texts]
+        words, memory = list(number), self.memory
+        ids = [memory.get(w) for w in words]
+        new = [i for i, known in enumerate(ids) if known is None]
+        for i, found in zip(new, self.encode([words[i].encode() for i in new]), strict=True):
+            ids[i] = found
         if len(memory) + len(new) > REMEMBER:
             memory.clear()
-        memory.update((w, table[w]) for w in new[:REMEMBER] if len(w) < 40)
-        return split, table
+        memory.update((words[i], ids[i]) for i in new[:REMEMBER] if len(words[i]) < 40)
+        return texts, words, ids
 
 
-#: Words of earlier pieces whose ids a worker keeps, and bytes of text in a piece.
-REMEMBER, PIECE_BYTES = 100_000, 4 << 20
+#: Words of earlier pieces whose ids a worker keeps, words that are replayed at once, and bytes of text in a piece.
+REMEMBER, REPLAY_WORDS, PIECE_BYTES = 100_000, 25_000, 4 << 20
 
 _LOADED: dict[bytes, Replay] = {}
 
@@ -184,8 +189,8 @@ def encode(df: DataFrame, content: bytes, pattern: str, id_col: str = "doc_id",
     shared = df.sparkSession.sparkContext.broadcast((content, pattern))
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        split, table = loaded(*shared.value).encode_texts(texts_of(part))
-        ids = [[i for w in words for i in table[w]] for words in split]
+        texts, _, known = loaded(*shared.value).encode_texts(texts_of(part))
+        ids = [[i for w in words.tolist() for i in known[w]] for words in texts]
         return pa.RecordBatch.from_arrays([part.column("id"), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
 
     return mapped(df, run, f"id {df.schema[id_col].dataType.simpleString()}, ids array<int>", id_col, text_col, PIECE_BYTES)
@@ -206,6 +211,7 @@ def decode(df: DataFrame, content: bytes, id_col: str = "doc_id", ids_col: str =
             data = [b"".join([tokens[i] for i in ids or []]) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(data, pa.binary())], ["id", "bytes"])
 
+    bounded_batches(df.sparkSession)
     return df.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, bytes binary")
 
 
@@ -215,14 +221,17 @@ def bpe_digests(documents: DataFrame, rank_path: str, pattern: str) -> DataFrame
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         replay = loaded(*shared.value)
-        split, table = replay.encode_texts(texts_of(part))
+        texts, _, known = replay.encode_texts(texts_of(part))
         tokens = replay.tokens
-        shown = {w: ",".join(map(str, ids)).encode() for w, ids in table.items()}
-        decoded = {w: b"".join([tokens[i] for i in ids]) for w, ids in table.items()}
-        sizes = {w: len(ids) for w, ids in table.items()}
-        counts = [sum(map(sizes.__getitem__, words)) for words in split]
-        ids_sha = [hashlib.sha256(b",".join(map(shown.__getitem__, words))).hexdigest() for words in split]
-        text_sha = [hashlib.sha256(b"".join(map(decoded.__getitem__, words))).hexdigest() for words in split]
+        shown = [",".join(map(str, ids)).encode() for ids in known]
+        decoded = [b"".join([tokens[i] for i in ids]) for ids in known]
+        sizes = np.fromiter(map(len, known), np.int64, len(known))
+        counts, ids_sha, text_sha = [], [], []
+        for words in texts:
+            counts.append(int(sizes[words].sum()))
+            places = words.tolist()
+            ids_sha.append(hashlib.sha256(b",".join(map(shown.__getitem__, places))).hexdigest())
+            text_sha.append(hashlib.sha256(b"".join(map(decoded.__getitem__, places))).hexdigest())
         return pa.RecordBatch.from_arrays([part.column("id"), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return mapped(documents, run, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string", limit=PIECE_BYTES)

@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text that one step inside a task works on; a longer text makes a step of its own.
 STEP_BYTES = 1 << 20
+#: Bytes of rows that Spark hands to a Python worker at once.
+BATCH_BYTES = 4 << 20
 #: Bits of the largest bitmap that is broadcast to tell rows apart.
 BITMAP_BITS = 1 << 27
 
@@ -28,6 +30,17 @@ def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = STEP_BYTES)
         start = stop
 
 
+def bounded_batches(spark) -> None:
+    """From here on the session hands Python no more than BATCH_BYTES at once (a longer row alone), so that memory does not follow rows a batch.
+
+    Spark's own bound is 64 MB; a lower one of the caller's stays. Results never depend on it.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if 0 < int(str(spark.conf.get(name)).rstrip("bB")) <= BATCH_BYTES:
+        return
+    spark.conf.set(name, str(BATCH_BYTES))
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The texts as strings; null is the empty text."""
     return [t if t is not None else "" for t in batch.column(column).to_pylist()]
@@ -54,6 +67,7 @@ def mapped(df, function, schema: str, id_col: str = "doc_id", text_col: str = "t
             for part in pieces(batch, limit=limit):
                 yield function(part)
 
+    bounded_batches(df.sparkSession)
     return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 

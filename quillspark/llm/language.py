@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mapped, pieces, texts_of
+from .common import bounded_batches, mapped, pieces, texts_of
 
 
 
@@ -177,4 +177,5 @@ def with_language(documents: DataFrame, model: Model, least: float = 0.5) -> Dat
             said = [scorer.predict(t) for t in texts_of(part)]
             yield part.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in said], pa.bool_()))
 
+    bounded_batches(documents.sparkSession)
     return documents.mapInArrow(run, T.StructType(documents.schema.fields))

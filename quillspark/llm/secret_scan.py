@@ -21,7 +21,7 @@ from re import _parser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import bytes_of, mapped, pieces
+from .common import bounded_batches, bytes_of, mapped, pieces
 
 # The base rules. (kind, expression, group that is measured, its least length)
 BASE_RULES = (
@@ -298,6 +298,7 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask:
     names = [f.name for f in df.schema.fields]
     rest = [c for c in names if c != text_col]
     shaped = df.select(F.col(text_col), *rest)
+    bounded_batches(df.sparkSession)
     return shaped.mapInArrow(run, shaped.schema).select(*names)
 
 
