@@ -165,7 +165,7 @@ class Replay:
 
 
 #: Words of earlier pieces whose ids a worker keeps, words that are replayed at once, and bytes of text in a piece.
-REMEMBER, REPLAY_WORDS, PIECE_BYTES = 100_000, 25_000, 4 << 20
+REMEMBER, REPLAY_WORDS, PIECE_BYTES = 100_000, 100_000, 4 << 20
 
 _LOADED: dict[bytes, Replay] = {}
 
