@@ -35,11 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch
-from .common import bytes_of, pieces
+from .common import bounded_batches, bytes_of, pieces
 
 GRAM = 24
 #: Bytes of text in a piece, and grams that are listed as hot at most.
-PIECE_BYTES, HOT_LIST = 2 << 20, 1_000_000
+PIECE_BYTES, HOT_LIST = 6 << 20, 1_000_000
+#: Starts of strings in one merge, and bytes in a shard.
+MERGE_STARTS, SHARD_BYTES = 200_000, 1 << 18
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -102,7 +104,7 @@ def suffix_order(data: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     for k in range(8):
         key = (key << np.uint64(8)) | np.where(left >= k, padded[k : k + n], 0).astype(np.uint64)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     rank = np.empty(n, np.uint64)
     rank[order] = np.cumsum(np.concatenate([[True], key[order][1:] != key[order][:-1]])).astype(np.uint64)
     span = 8
@@ -111,7 +113,7 @@ def suffix_order(data: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
         inside = np.flatnonzero(left >= span)
         ahead[inside] = rank[inside + span]
         key = (rank << np.uint64(32)) | ahead
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         rank[order] = np.cumsum(np.concatenate([[True], key[order][1:] != key[order][:-1]])).astype(np.uint64)
         span *= 2
     return order
@@ -137,6 +139,13 @@ class Shard:
         self.offset = order - begins[self.owner]
 
 
+def _places(z: np.ndarray, shards: int) -> np.ndarray:
+    """The places of the first shard in an interleaving, then those of the second, and so on."""
+    if shards <= 8:
+        return np.concatenate([np.flatnonzero(z == k) for k in range(shards)])
+    return np.argsort(z, kind="stable")
+
+
 def merge(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """The interleaving of the shards' suffixes by ``rounds`` symbols (a shard number for each place), and the common
     prefix of each place with the one before (``rounds`` where it is that or more)."""
@@ -154,7 +163,7 @@ def merge(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.ndarray]:
     for h in range(1, rounds + 1):
         # the transforms' symbols in the present interleaving
         now = np.empty(n, np.uint8)
-        now[np.argsort(z, kind="stable")] = symbols
+        now[_places(z, len(shards))] = symbols
         block = np.cumsum(edge, dtype=np.int32)
         order = np.argsort(now, kind="stable")
         z_next = z[order]
@@ -174,8 +183,9 @@ def merge(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.ndarray]:
     return z, common
 
 
-def least_ids(strings: list[bytes], ids: np.ndarray, length: int, shard_bytes: int = 1 << 20) -> list[np.ndarray]:
-    """For every start of ``length`` bytes in each string, the smallest id of a string that has the same bytes anywhere."""
+def least_ids(strings: list[bytes], ids: np.ndarray, length: int, shard_bytes: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, starts): for every start of ``length`` bytes in each string, one string after the other, the smallest id of a
+    string that has the same bytes anywhere; and how many starts each string has."""
     shards, firsts, held, size = [], [], [], 0
     for i, s in enumerate(strings):
         if not held:
@@ -185,11 +195,12 @@ def least_ids(strings: list[bytes], ids: np.ndarray, length: int, shard_bytes: i
         if size >= shard_bytes or i + 1 == len(strings):
             shards.append(Shard(held, length))
             held, size = [], 0
-    out = [np.full(max(0, len(s) - length + 1), i, np.int64) for s, i in zip(strings, ids.tolist(), strict=True)]
+    starts = np.maximum(np.fromiter(map(len, strings), np.int64, len(strings)) - length + 1, 0)
+    flat = np.repeat(ids, starts)
     if not shards:
-        return out
+        return flat, starts
     z, common = merge(shards, length)
-    lead = np.argsort(z, kind="stable")
+    lead = _places(z, len(shards))
     owner, offset = np.empty(len(z), np.int64), np.empty(len(z), np.int64)
     owner[lead] = np.concatenate([s.owner + f for s, f in zip(shards, firsts, strict=True)])
     offset[lead] = np.concatenate([s.offset for s in shards])
@@ -197,11 +208,10 @@ def least_ids(strings: list[bytes], ids: np.ndarray, length: int, shard_bytes: i
     runs = np.diff(np.append(heads, len(z)))
     least = np.repeat(np.minimum.reduceat(ids[owner], heads), runs)
     shared = np.repeat(runs > 1, runs)
-    whole = np.fromiter(map(len, out), np.int64, len(out))
-    take = np.flatnonzero(shared & (offset < whole[owner]))
-    flat, base = np.concatenate(out) if out else np.zeros(0, np.int64), np.concatenate([[0], np.cumsum(whole)])
+    take = np.flatnonzero(shared & (offset < starts[owner]))
+    base = np.cumsum(starts) - starts
     flat[base[owner[take]] + offset[take]] = least[take]
-    return np.split(flat, base[1:-1])
+    return flat, starts
 
 
 def _six(hashes: np.ndarray) -> np.ndarray:
@@ -357,7 +367,7 @@ def _passages(batches: Iterator[pa.RecordBatch], length: int, buckets: int, hot:
             rows = []
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 some, x, y = order[a:b], int(ends[a]), int(ends[b])
-                rows.append((int(bucket[some[0]]), grams[some].tobytes(), sizes[some].tobytes(), b"".join([spans[i] for i in some.tolist()]), places[a:b].astype(np.uint32).tobytes(), ids[x:y].tobytes(), keys[x:y].tobytes(), begins[x:y].tobytes()))
+                rows.append((int(bucket[some[0]]), grams[some].tobytes(), sizes[some].tobytes(), pa.compress(b"".join([spans[i] for i in some.tolist()]), "zstd", asbytes=True), places[a:b].astype(np.uint32).tobytes(), ids[x:y].tobytes(), keys[x:y].tobytes(), begins[x:y].tobytes()))
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["bucket", *names])
 
@@ -383,7 +393,8 @@ def _solved(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
         read = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in rows])  # noqa: E731, B023
         grams, sizes, places = read("grams", np.uint64), read("sizes", np.uint32).astype(np.int64), read("places", np.uint32).astype(np.int64)
         ids, keys, begins = read("ids", np.int64), read("keys", np.int64), read("begins", np.uint32).astype(np.int64)
-        data, at, seen, entry = b"".join(r["passages"] for r in rows), 0, {}, []
+        held = [int(np.frombuffer(r["sizes"], np.uint32).sum()) for r in rows]
+        data, at, seen, entry = b"".join(pa.decompress(r["passages"], n, "zstd", asbytes=True) for r, n in zip(rows, held, strict=True)), 0, {}, []
         for g, n in zip(grams.tolist(), sizes.tolist(), strict=True):
             entry.append(seen.setdefault((g, data[at : at + n]), len(seen)))
             at += n
@@ -392,7 +403,8 @@ def _solved(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
         least = np.full(len(passages), np.iinfo(np.int64).max)
         np.minimum.at(least, of_place, ids)
         gram = np.fromiter((g for g, _ in seen), np.uint64, len(seen))
-        several = np.flatnonzero(np.unique(gram, return_counts=True)[1][np.unique(gram, return_inverse=True)[1]] > 1)
+        _, which, forms = np.unique(gram, return_inverse=True, return_counts=True)
+        several = np.flatnonzero(forms[which] > 1)
         # runs of starts with one answer: passage, from, to, smallest id
         alone = np.ones(len(passages), bool)
         alone[several] = False
@@ -400,8 +412,12 @@ def _solved(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
         starts = np.fromiter(map(len, passages), np.int64, len(passages)) - length + 1
         run_p, run_a, run_b, run_id = [single], [np.zeros(len(single), np.int64)], [starts[single]], [least[single]]
         if len(several):
-            found = least_ids([passages[i] for i in several.tolist()], least[several], length)
-            flat, owner = np.concatenate(found), np.repeat(several, starts[several])
+            # whole grams at a time, so that what a merge goes through again and again stays near the processor
+            groups = which[several] % max(1, -(-int(starts[several].sum()) // MERGE_STARTS))
+            several = several[np.argsort(groups, kind="stable")]
+            cuts = np.append(np.cumsum(np.bincount(groups)), 0)
+            flat = np.concatenate([least_ids([passages[i] for i in several[a:b].tolist()], least[several[a:b]], length, SHARD_BYTES)[0] for a, b in zip(cuts[-1:].tolist() + cuts[:-2].tolist(), cuts[:-1].tolist(), strict=True)])
+            owner = np.repeat(several, starts[several])
             change = np.concatenate([[True], (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])])
             first = np.flatnonzero(change)
             base = np.repeat(np.cumsum(starts[several]) - starts[several], starts[several])
@@ -444,7 +460,8 @@ def removed_runs(ranges: list[tuple[int, int]], length: int) -> list[tuple[int,
 def repeated_passages(rows: DataFrame, firsts: DataFrame, scratch: Scratch, length: int = 50, hot_over: int = 20_000, parts: int | None = None) -> DataFrame:
     """(id, t, ranges array<struct<a array<int>, b array<int>>>): for each text its ranges of starts to remove.
 
-    ``rows`` has id, text, t (the text's 64-bit key) and digest; ``firsts`` the smallest id of each text.
+    ``rows`` has id, text, t (the text's 64-bit key) and digest; ``firsts`` the smallest id of each text, and ``which``, its key if
+    the id has other texts too, else 0: that is the t of the answer.
     """
     spark = rows.sparkSession
     parts = parts or max(spark.sparkContext.defaultParallelism * 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -456,7 +473,7 @@ def repeated_passages(rows: DataFrame, firsts: DataFrame, scratch: Scratch, leng
         hot = np.sort(np.frombuffer(b"".join(bytes(r["grams"]) for r in listed), "<u8")) if listed else np.zeros(0, np.uint64)
         shared = spark.sparkContext.broadcast(hot)
         spots = told.filter("t is not null").groupBy("t").agg(F.collect_list("grams").alias("grams"))
-        chosen = rows.join(firsts.join(spots, "t").select("id", "digest", "grams"), ["id", "digest"]).select("id", "t", "text", "grams")
+        chosen = rows.drop("t").join(firsts.join(spots, "t").select("id", "digest", F.col("which").alias("t"), "grams"), ["id", "digest"]).select("id", "t", "text", "grams")
         found = chosen.mapInArrow(lambda it: _passages(it, length, buckets, shared.value), "bucket long, grams binary, sizes binary, passages binary, places binary, ids binary, keys binary, begins binary")
         ranges = found.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _solved(it, length), "id long, t long, a array<int>, b array<int>")
         if listed:
@@ -469,14 +486,17 @@ def repeated_passages(rows: DataFrame, firsts: DataFrame, scratch: Scratch, leng
 
 def passage_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, hot_over: int = 20_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
+    bounded_batches(df.sparkSession)
     with Scratch(df.sparkSession) as scratch:
         text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-        every = df.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).select("id", "text", F.xxhash64("text").alias("t"), F.sha2("text", 256).alias("digest"))
+        every = df.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).select("id", "text", F.xxhash64("text").alias("t"), F.unhex(F.sha2("text", 256)).alias("digest"))
         rows = every.filter(F.col("id").isNotNull() & (F.octet_length("text") >= length))
-        firsts = scratch.keep(rows.groupBy("digest", "t").agg(F.min("id").alias("id")), "firsts")
+        firsts = scratch.keep(rows.groupBy("digest", "t").agg(F.min("id").alias("id")), "leads")
+        shared = firsts.groupBy("id").agg((F.count("*") > 1).alias("shared")).filter("shared")
+        firsts = scratch.keep(firsts.join(shared, "id", "left").withColumn("which", F.when(F.col("shared"), F.col("t")).otherwise(F.lit(0).cast("long"))).drop("shared"), "firsts")
         ranges = repeated_passages(rows, firsts, scratch, length, hot_over)
         # a row is first of its text if its id is the digest's smallest; else it is a copy and goes as a whole
-        answers = firsts.join(ranges, ["id", "t"], "left").select("id", "digest", "ranges", F.lit(True).alias("first"))
+        answers = firsts.drop("t").withColumnRenamed("which", "t").join(ranges, ["id", "t"], "left").select("id", "digest", "ranges", F.lit(True).alias("first"))
         mine = every.join(answers, ["id", "digest"], "left").select("id", "text", "ranges", "first")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
