@@ -231,8 +231,8 @@ def _bounds(sorted_keys: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(sorted_keys[1:] != sorted_keys[:-1]) + 1, [len(sorted_keys)]])
 
 
-def _postings(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """The distinct grams of each piece, packed by bucket: those of one text with the text's key (keys, grams for each, grams), those
+def _postings(batches: Iterator[pa.RecordBatch], length: int, buckets: int, choose=chosen_grams) -> Iterator[pa.RecordBatch]:
+    """The distinct grams that ``choose`` finds in each piece, packed by bucket: those of one text with the text's key (keys, grams for each, grams), those
     that several texts of the piece hold (``known``). The latter's texts are told at once, in rows with a bucket below 0."""
     names = ["bucket", "keys", "counts", "grams", "known"]
     for batch in batches:
@@ -240,7 +240,7 @@ def _postings(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> I
             texts, keys = bytes_of(part), part.column("t").to_numpy()
             once = sorted({x: i for i, x in enumerate(texts)}.values())
             texts, keys = [texts[i] for i in once], keys[once]
-            owner, _, gram, _ = chosen_grams(texts, length)
+            owner, _, gram, _ = choose(texts, length)
             if not len(owner):
                 continue
             order = np.lexsort((owner, gram))
