@@ -72,13 +72,17 @@ def cover_rank(tokens: Column, query: list[list[Term]]) -> Column:
 
 def _covers(tokens: Column, wanted: list[str]) -> Column:
     lits = F.array(*[F.lit(w) for w in wanted])
-    found = F.filter(F.transform(tokens, lambda w, i: F.struct(i.alias("i"), F.array_position(lits, w).alias("w"))), lambda x: x["w"] > 0)
-    if len(wanted) == 1:
+    return covers_of_hits(F.filter(F.transform(tokens, lambda w, i: F.struct(i.alias("i"), F.array_position(lits, w).alias("w"))), lambda x: x["w"] > 0), len(wanted))
+
+
+def covers_of_hits(found: Column, size: int) -> Column:
+    """Cover density of hits in order: structs of place and number of the word, from 1 to ``size``."""
+    if size == 1:
         return F.size(found) * 0.1
     hits = F.transform(found, lambda x, k: F.struct(x["i"].alias("i"), x["w"].alias("w"), k.alias("k")))
     # going through the hits, the last place of each word (in the text, among the hits); a cover ends at a hit when all have one
     none = F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("k"))
-    zero = F.struct(F.array_repeat(none, len(wanted)).alias("last"), F.lit(-1).alias("from"), F.lit(0.0).alias("sum"))
+    zero = F.struct(F.array_repeat(none, size).alias("last"), F.lit(-1).alias("from"), F.lit(0.0).alias("sum"))
 
     def step(acc, x):
         last = F.transform(acc["last"], lambda p, n: F.when(n + 1 == x["w"], F.struct(x["i"].alias("i"), x["k"].alias("k"))).otherwise(p))
@@ -128,11 +132,12 @@ def fused_votes(legs: list[DataFrame], keys: list[str], rrf_k: int = SEARCH.rrf_
     return both.groupBy(*keys).agg(F.sum("v").alias("v"))
 
 
-def hybrid_search(documents: DataFrame, chunks: DataFrame, query: str, query_vector: list[float], limit: int = SEARCH.results, *, allowed: Column | None = None, min_cosine: float = SEARCH.min_cosine, pool: int = SEARCH.pool, rrf_k: int = SEARCH.rrf_k) -> DataFrame:
+def hybrid_search(documents: DataFrame, chunks: DataFrame, query: str, query_vector: list[float], limit: int = SEARCH.results, *, allowed: Column | None = None, min_cosine: float = SEARCH.min_cosine, pool: int = SEARCH.pool, rrf_k: int = SEARCH.rrf_k, postings: DataFrame | None = None) -> DataFrame:
     """(document_id, score, snippet), best first.
 
     ``documents`` (id, title) are the caller's, outside the trash; ``chunks`` (id, document_id, content,
-    embedding) are theirs. ``allowed`` is a predicate over documents that holds inside every leg.
+    embedding) are theirs. ``allowed`` is a predicate over documents that holds inside every leg. With ``postings``, the index of
+    ``chunks`` that ``postings.index_words`` makes, the words leg looks words up and reads no other passage.
     """
     if not query.strip() or len(query) > SEARCH.max_query_chars:
         raise ValueError(f"a query has 1 to {SEARCH.max_query_chars} characters")
@@ -143,8 +148,13 @@ def hybrid_search(documents: DataFrame, chunks: DataFrame, query: str, query_vec
     mine = chunks.join(own.select(F.col("id").alias("__d")), F.col("document_id") == F.col("__d"), "left_semi")
     vote = F.lit(1.0) / (rrf_k + F.col("rank"))
     meaning = ranked(mine, unit_dot(F.col("embedding"), query_vector), "id", pool).filter(F.col("score") >= min_cosine)
-    tokens = words(F.col("content"))
-    by_words = ranked(mine.filter(matches(tokens, asked)), cover_rank(tokens, asked), "id", pool)
+    if postings is not None:
+        from .postings import words_leg
+
+        by_words = words_leg(postings, mine, asked, pool, own.select(F.col("id").alias("document_id")))
+    else:
+        tokens = words(F.col("content"))
+        by_words = ranked(mine.filter(matches(tokens, asked)), cover_rank(tokens, asked), "id", pool)
     fused = fused_votes([meaning, by_words], ["id", "document_id", "content"], rrf_k)
     best = by_best_passage(fused, "document_id", "v", "id", "content").withColumnRenamed("v", "best")
     titles = ranked(own.filter(matches(words(F.col("title")), asked)), F.lit(0.0), "id", pool).select(F.col("id").alias("document_id"), vote.alias("title_vote"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import decode, extract
 from ..functions import text as tx
-from ..operators import backup, hierarchy, linkage, naming, processing, relational, search, suggestions
+from ..operators import backup, hierarchy, linkage, naming, postings, processing, relational, search, suggestions
 from ..operators.components import connected_components
 from ..operators.filters import SearchFilter, compile_filter, table_query
 from ..session import Scratch, table
@@ -192,6 +192,28 @@ def keyword_match(spark: SparkSession, sf: str) -> DataFrame:
     return hit.select("doc_id", F.round(search.cover_rank(tokens, search.parse_query("the")) * 10).cast("long").alias("n"))
 
 
+def _covers_sql(name: str, a: str, b: str) -> str:
+    """Each cover of two words by itself: where the earlier one of both words' last places moves on, a cover has ended."""
+    return f"""{name}h AS (SELECT doc_id, p, w, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS k FROM t WHERE w IN ('{a}', '{b}')),
+{name}l AS (SELECT doc_id, p, k, least(max(p) FILTER (w = '{a}') OVER x, max(p) FILTER (w = '{b}') OVER x) AS low, least(max(k) FILTER (w = '{a}') OVER x, max(k) FILTER (w = '{b}') OVER x) AS kl, count(DISTINCT w) OVER x AS n FROM {name}h WINDOW x AS (PARTITION BY doc_id ORDER BY p)),
+{name}f AS (SELECT *, lag(low) OVER (PARTITION BY doc_id ORDER BY p) AS before, lag(n) OVER (PARTITION BY doc_id ORDER BY p) AS nb FROM {name}l),
+{name} AS (SELECT doc_id, sum(CAST(0.1 AS DOUBLE) / ((p - low) - (k - kl) + 1) ORDER BY p) AS s FROM {name}f WHERE n = 2 AND (before IS NULL OR nb < 2 OR low > before) GROUP BY doc_id)"""
+
+
+_POSTINGS_SQL = f"""WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents WHERE text IS NOT NULL), t AS (SELECT doc_id, unnest(ws) AS w, unnest(range(0, len(ws))) AS p FROM d),
+{_covers_sql("c1", "the", "from")}, {_covers_sql("c2", "of", "the")},
+m AS (SELECT doc_id FROM d WHERE (list_contains(ws, 'the') AND list_contains(ws, 'from') AND NOT list_contains(ws, 'with')) OR contains(' ' || array_to_string(ws, ' ') || ' ', ' of the '))
+SELECT CAST(rank AS BIGINT) AS rank, doc_id, round(score, 6) AS score FROM (SELECT m.doc_id, coalesce(c1.s, 0) + coalesce(c2.s, 0) AS score, row_number() OVER (ORDER BY coalesce(c1.s, 0) + coalesce(c2.s, 0) DESC, m.doc_id) AS rank FROM m LEFT JOIN c1 ON c1.doc_id = m.doc_id LEFT JOIN c2 ON c2.doc_id = m.doc_id) WHERE rank <= 50"""
+
+
+@registered(_POSTINGS_SQL)
+def words_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Two words without a third, or a phrase, looked up in the index of words: the 50 best documents by cover density."""
+    docs = table(spark, sf, "documents").filter("text is not null").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("document_id"), F.col("text").alias("content"))
+    index = Scratch(spark).result(postings.index_words(docs), "postings")
+    return postings.top_passages(index, 'the from -with or "of the"', 50).select(F.col("rank").cast("long").alias("rank"), F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 @registered(
     "WITH m AS (SELECT vec_id AS id, row_number() OVER (ORDER BY list_cosine_similarity(embedding, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1)) DESC, vec_id) AS r FROM embeddings), w AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM documents), l AS (SELECT id, r FROM m WHERE r <= 50 UNION ALL SELECT id, r FROM w WHERE r <= 50) SELECT id, round(sum(1.0 / (60 + r)), 6) AS score FROM l GROUP BY id"
 )
@@ -223,7 +245,8 @@ def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), title.alias("title"), "text", F.lit("text/plain").alias("mime_type"), F.lit("plain").alias("content_format"))
     index = Scratch(spark).result(search.index_documents(docs, None, tx.embedder()), "passages")
     chunks = index.select(F.struct("document_id", "position").alias("id"), "document_id", "content", "embedding")
-    return search.hybrid_search(docs.select("id", "title"), chunks, query, tx.hash_embedding(query), min_cosine=_MIN)
+    words = Scratch(spark).result(postings.index_words(chunks), "postings")
+    return search.hybrid_search(docs.select("id", "title"), chunks, query, tx.hash_embedding(query), min_cosine=_MIN, postings=words)
 
 
 FLAGSHIP = hybrid_search
