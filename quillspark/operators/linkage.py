@@ -1,20 +1,18 @@
-"""Record linkage: does document B continue document A? Pairs, signals, scores, groups, verdicts, reconciliation."""
+"""Record linkage: does document B continue document A? Pairs, scores, groups, verdicts, reconciliation. Signals are in ``features``."""
 
 from __future__ import annotations
 
 import functools
 import math
-import re
-from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.extract import find_dates
 from ..session import Scratch
 from ..settings import LINKAGE, Linkage
 from .components import connected_components
+from .features import scored, with_features
 
 
 def band_pairs(rows: DataFrame, keys: list[str], time: str, id_col: str, window_s: int, ordered: bool = False) -> DataFrame:
@@ -36,204 +34,52 @@ def band_pairs(rows: DataFrame, keys: list[str], time: str, id_col: str, window_
     return one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), (-F.col("gap_s")).alias("gap_s"))) if ordered else one
 
 
-# --- signals: small helpers on one pair ---
-
-# Label families of numbers, legal forms and greetings.
-_FAMILIES = r"invoice|inv|rechnungs?|rg|customer|client|kunden|kd|account|acct|konto|order|bestell|auftrags?|contract|vertrags?|policy|police|versicherungsschein|reference|referenz|ref|aktenzeichen|case"
-_LABELLED = re.compile(rf"(?<![^\W_])(?:{_FAMILIES})[\s.-]*(?:(?:no|nr|number|nummer|num|id)(?![^\W\d_])\.?)?\s*[:#]?\s*([A-Za-z]{{0,4}}[-/]?\d+(?:[-/.]\d+)*)", re.IGNORECASE)
-_TOKEN = re.compile(r"[A-Za-z]{0,4}[-/]?\d+(?:[-/.]\d+)*")
-_LEGAL = re.compile(r"(?<!\w)(?:GmbH|mbH|AG|KG|OHG|UG|e\.V\.|Ltd|Inc|LLC|plc|Corp|S\.A\.|B\.V\.)(?!\w)")
-_GREETING = re.compile(r"^\s*(?:dear|sehr geehrte|liebe|lieber|hallo|hello|to whom)(?![^\W\d_])", re.IGNORECASE)
-_MARKER = re.compile(r"(?<![^\W_])(?:page|seite|blatt|p\.|pg\.|s\.)\s*(\d+)\s*(?:(?:of|von|/)\s*(\d+))?", re.IGNORECASE)
-_BARE_MARKER = re.compile(r"^\s*(\d+)\s*/\s*(\d+)\s*$")
-
-
-def time_signal(gap_s: float, s: Linkage = LINKAGE) -> str:
-    gap = abs(gap_s)
-    return "close" if gap <= s.close_s else "near" if gap <= s.near_s else "far" if gap > s.far_s else "apart"
-
-
-def name_series(name: str) -> tuple[str, str, int] | None:
-    """(stem, kind, number) of a file name: a copy counter, or its last run of digits."""
-    base = re.sub(r"\.[^.]*$", "", name).lower().strip()
-    if m := re.fullmatch(r"(.*) \((\d+)\)", base):
-        return m[1], "copy", int(m[2])
-    if m := re.fullmatch(r"(.*?)(\d+)(\D*)", base):
-        return f"{m[1]}#{m[3]}", "digits", int(m[2])
-    return None
-
-
-def filename_signal(a: str, b: str) -> str:
-    x, y = name_series(a), name_series(b)
-    plain = re.sub(r"\.[^.]*$", "", a).lower().strip()
-    if y and y[1] == "copy" and y[0] == plain and y[2] in (1, 2):
-        return "next"
-    if x and y and x[:2] == y[:2]:
-        return "next" if y[2] == x[2] + 1 else "series"
-    return "unrelated"
-
-
-def page_markers(text: str, most: int = LINKAGE.max_pages) -> list[tuple[int, int | None]]:
-    out = []
-    for line in text.split("\n"):
-        if m := _BARE_MARKER.match(line):
-            out.append((int(m[1]), int(m[2])))
-            continue
-        for m in _MARKER.finditer(line):
-            if m[2]:
-                out.append((int(m[1]), int(m[2])))
-            elif re.fullmatch(r"\s*(?:page|seite|blatt)\s*\d+\s*", line, re.IGNORECASE):
-                out.append((int(m[1]), None))
-    return [(n, k) for n, k in out if 1 <= n <= (k or most) <= most]
-
-
-def marker_signal(a: str, b: str) -> str:
-    x, y = page_markers(a), page_markers(b)
-    if not y:
-        return "complete" if x and x[-1][1] == x[-1][0] and x[-1][1] > 1 else "none"
-    if not x:
-        return "restart" if y[0][0] == 1 else "none"
-    (n, of), (m, of2) = x[-1], y[0]
-    if of and of2 and of != of2:
-        return "restart" if m == 1 else "conflict"
-    if m == n + 1:
-        return "consecutive"
-    if m == 1:
-        return "restart"
-    return "sameSet" if of and of == of2 and m > n else "conflict"
-
-
-def _identifier(value: str) -> str | None:
-    plain = re.sub(r"[-/.]", "", value).upper()
-    digits = sum(c.isdigit() for c in plain)
-    is_date = re.fullmatch(r"\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4}", value)
-    return plain if digits >= LINKAGE.min_digits and not is_date else None
-
-
-def identifier_signal(a: str, b: str) -> str:
-    def labelled(t):
-        return {i for m in _LABELLED.finditer(t) if (i := _identifier(m[1]))}
-
-    def tokens(t):
-        return {i for m in _TOKEN.finditer(t) if (i := _identifier(m[0]))}
-
-    return "shared" if labelled(a) & tokens(b) or labelled(b) & tokens(a) else "none"
-
-
-def date_signal(a, b) -> str:
-    if a is None:
-        return "none"
-    return "onlyFirst" if b is None else "agree" if a == b else "conflict"
-
-
-def vendor_signal(a: str | None, b: str | None) -> str:
-    x, y = ("".join(c for c in (v or "").lower() if c.isalnum()) for v in (a, b))
-    if not x:
-        return "none"
-    return "onlyFirst" if not y else "agree" if x in y or y in x else "conflict"
-
-
-def flow_signal(a_tail: str, b_head: str, today, s: Linkage = LINKAGE) -> str:
-    def lines(t):
-        return [x.strip() for x in t.split("\n") if x.strip() and not page_markers(x)]
-
-    x, y = lines(a_tail), lines(b_head)
-    if x and y and re.search(r"[^\W\d_]$|[,-]$", x[-1]) and y[0][0].islower():
-        return "runsOn"
-    for line in y[: s.letterhead_lines]:
-        if _LEGAL.search(line) or _GREETING.match(line) or find_dates(line, "DMY", today):
-            return "freshStart"
-    return "none"
-
-
-def vector_signal(a, b, s: Linkage = LINKAGE) -> str:
-    if a is None or b is None or len(a) != len(b):
-        return "none"
-    dot, na, nb = sum(x * y for x, y in zip(a, b, strict=True)), math.sqrt(sum(x * x for x in a)), math.sqrt(sum(x * x for x in b))
-    if not na or not nb:
-        return "none"
-    c = dot / (na * nb)
-    return "similar" if c >= s.similar else "dissimilar" if c < s.dissimilar else "none"
-
-
-def pair_signals(a: dict, b: dict, today, s: Linkage = LINKAGE) -> dict[str, str]:
-    """The signals for "b continues a" of two candidate rows."""
-    gap = (pd.Timestamp(b["created_at"]) - pd.Timestamp(a["created_at"])).total_seconds()
-    ends = lambda r: f"{r['text_head'] or ''}\n{r['text_tail'] or ''}"
-    return {
-        "timeGap": time_signal(gap, s),
-        "filename": filename_signal(a["original_filename"] or "", b["original_filename"] or ""),
-        "pageMarkers": marker_signal(a["text_tail"] or "", b["text_head"] or ""),
-        "identifiers": identifier_signal(ends(a), ends(b)),
-        "documentDate": date_signal(a["document_date"], b["document_date"]),
-        "vendor": vendor_signal(a["vendor"], b["vendor"]),
-        "textFlow": flow_signal(a["text_tail"] or "", b["text_head"] or "", today, s),
-        "embedding": vector_signal(a["mean_embedding"], b["mean_embedding"], s),
-    }
-
-
-def score(signals: dict[str, str], s: Linkage = LINKAGE) -> tuple[float, float, list[tuple[str, str, float]]]:
-    """(confidence, points, reasons strongest first)."""
-    reasons = [(k, v, s.weights[k][v]) for k, v in signals.items() if s.weights[k][v]]
-    points = s.bias + sum(p for _, _, p in reasons)
-    return 1 / (1 + math.exp(-points)), points, sorted(reasons, key=lambda r: -abs(r[2]))
-
-
 def band(confidence: float, s: Linkage = LINKAGE) -> str:
     return "high" if confidence >= s.high else "medium" if confidence >= s.medium else "low"
 
 
-_PAIR = "a string, b string, confidence double, points double, reasons array<struct<signal:string,text:string,points:double>>"
-
-
-def score_pairs(candidates: DataFrame, today: str, s: Linkage = LINKAGE) -> DataFrame:
-    """(a, b, confidence, points, reasons) for both directions of all pairs in one owner's folder within the window."""
-    import datetime as dt
+def score_pairs(candidates: DataFrame, s: Linkage = LINKAGE, features: DataFrame | None = None) -> DataFrame:
+    """(a, b, confidence, points, reasons) for both directions of all pairs in one owner's folder within the window.
 
-    day = dt.date.fromisoformat(today)
-    fields = ["id", "created_at", "original_filename", "document_date", "vendor", "text_head", "text_tail", "mean_embedding"]
+    ``features`` are those of the candidates; without them they are read and written first, so that no text is read twice. Pairs are
+    compared by columns.
+    """
     pageable = candidates.filter((F.col("mime_type") == "application/pdf") | F.col("mime_type").startswith("image/"))
-    pairs = band_pairs(pageable, ["user_id", "folder_id"], "created_at", "id", s.window_s, ordered=True)
-    side = lambda c: pageable.select(F.col("id").alias(c), F.struct(*fields).alias(f"row_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "row_a", "row_b")
-
-    def run(batches: Iterable[pd.DataFrame]):
-        for frame in batches:
-            out = []
-            for a, b, ra, rb in zip(frame["a"], frame["b"], frame["row_a"], frame["row_b"], strict=True):
-                confidence, points, reasons = score(pair_signals(ra, rb, day, s), s)
-                out.append((a, b, confidence, points, [{"signal": k, "text": f"{k}: {v}", "points": p} for k, v, p in reasons]))
-            yield pd.DataFrame(out, columns=["a", "b", "confidence", "points", "reasons"])
-
-    return both.mapInPandas(run, _PAIR)
+    if features is None:
+        features = Scratch(candidates.sparkSession).result(with_features(pageable, s), "features")
+    return scored(band_pairs(pageable, ["user_id", "folder_id"], "created_at", "id", s.window_s, ordered=True), features, s)
 
 
 def page_order(rows: list[dict]) -> list[dict]:
-    """By page start where both have one, else by place in a series, else by time, then id; from (time, id) order."""
+    """By the page they begin on where both show one, else by place in one series of names, else by time, then id; from (time, id) order."""
+
+    def place(x: dict, y: dict) -> float:
+        if pd.notna(x["number"]) and pd.notna(y["number"]) and x["is_copy"] == y["is_copy"] and x["stem"] == y["stem"]:
+            return x["number"] - y["number"]
+        if y["is_copy"] and y["stem"] == x["name"]:
+            return -y["number"]
+        return x["number"] if x["is_copy"] and x["stem"] == y["name"] else 0
 
-    def compare(x: dict, y: dict) -> int:
-        px, py = page_markers(x["text_head"] or ""), page_markers(y["text_head"] or "")
-        if px and py and px[0][0] != py[0][0]:
-            return px[0][0] - py[0][0]
-        sx, sy = name_series(x["original_filename"] or ""), name_series(y["original_filename"] or "")
-        if sx and sy and sx[:2] == sy[:2] and sx[2] != sy[2]:
-            return sx[2] - sy[2]
-        kx, ky = (str(x["created_at"]), x["id"]), (str(y["created_at"]), y["id"])
-        return -1 if kx < ky else int(kx > ky)
+    def compare(x: dict, y: dict) -> float:
+        pages = x["start_page"] - y["start_page"] if pd.notna(x["start_page"]) and pd.notna(y["start_page"]) else 0
+        kx, ky = (x["created_at"], x["id"]), (y["created_at"], y["id"])
+        return pages or place(x, y) or (-1 if kx < ky else int(kx > ky))
 
-    return sorted(sorted(rows, key=lambda r: (str(r["created_at"]), r["id"])), key=functools.cmp_to_key(compare))
+    return sorted(sorted(rows, key=lambda r: (r["created_at"], r["id"])), key=functools.cmp_to_key(compare))
 
 
-def merge_groups(candidates: DataFrame, today: str, s: Linkage = LINKAGE) -> DataFrame:
+def merge_groups(candidates: DataFrame, s: Linkage = LINKAGE) -> DataFrame:
     """(document_ids in page order, confidence, band, reasons, links) of every proposed group, best first."""
     with Scratch(candidates.sparkSession) as scratch:
-        return scratch.result(_groups(candidates, scratch.keep(score_pairs(candidates, today, s), "scored"), scratch, s), "groups")
+        pageable = candidates.filter((F.col("mime_type") == "application/pdf") | F.col("mime_type").startswith("image/"))
+        features = scratch.keep(with_features(pageable, s), "features")
+        return scratch.result(_groups(features, scratch.keep(score_pairs(candidates, s, features), "scored"), scratch, s), "groups")
 
 
-def _groups(candidates: DataFrame, scored: DataFrame, scratch: Scratch, s: Linkage) -> DataFrame:
+def _groups(features: DataFrame, scored: DataFrame, scratch: Scratch, s: Linkage) -> DataFrame:
     edges = scored.filter(F.col("confidence") >= s.min_confidence).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     groups = connected_components(edges, scratch=scratch)
-    member = candidates.select("id", "created_at", "original_filename", "text_head").join(groups, F.col("id") == F.col("node"))
+    member = features.select("id", "created_at", "name", "stem", "number", "is_copy", "start_page").join(groups, F.col("id") == F.col("node"))
     schema = "component string, document_ids array<string>"
 
     def order(frame: pd.DataFrame) -> pd.DataFrame:

@@ -288,20 +288,33 @@ def pair_window_join(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select("a", "b", F.round(F.col("gap_s") * 1_000_000).cast("long").alias("gap_us"))
 
 
-@registered(
-    "WITH e AS (SELECT event_id, user_id, event_type AS v, ts, CAST(ts AS DATE) AS d FROM events), p AS (SELECT a.event_id AS a, b.event_id AS b, abs(epoch_us(b.ts) - epoch_us(a.ts)) / 1000000.0 AS gap, a.v AS va, b.v AS vb, a.d AS da, b.d AS db FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_id <> b.event_id AND abs(epoch_us(b.ts) - epoch_us(a.ts)) <= 21600000000), s AS (SELECT a, b, -2.5 + CASE WHEN gap <= 120 THEN 1.5 WHEN gap <= 600 THEN 0.25 WHEN gap > 3600 THEN -1.0 ELSE 0.0 END + CASE WHEN b = a + 1 THEN 2.0 ELSE 0.5 END + CASE WHEN va = vb THEN 0.5 WHEN va LIKE '%' || vb || '%' OR vb LIKE '%' || va || '%' THEN 0.5 ELSE -2.5 END + CASE WHEN da = db THEN 0.5 ELSE -1.5 END AS points FROM p) SELECT CAST(a AS VARCHAR) AS a, CAST(b AS VARCHAR) AS b, CAST(round(points * 100) AS BIGINT) AS points, round(1 / (1 + exp(-points)), 6) AS confidence FROM s"
-)
+def _pairs_sql(pages: bool) -> str:
+    """Every signal of two events as scans, worked out from their numbers: see ``views.event_scans``."""
+    page = "CASE WHEN event_id % 4 <> 3 THEN event_id % 3 + 1 END" if pages else "CAST(NULL AS BIGINT)"
+    return f"""e AS (SELECT event_id AS i, user_id, CASE WHEN event_id % 6 = 0 THEN 'f' ELSE '' END AS folder, event_type AS v, ts, CAST(ts AS DATE) AS d, {page} AS page, CASE WHEN event_id % 3 <> 0 THEN 500000 + user_id % 3 + event_id % 2 END AS labelled,
+CASE WHEN event_id % 7 = 0 THEN 500000 END AS bare, event_id % 2 = 1 AND event_id % 7 <> 0 AS goes_on, event_id % 5 = 1 AS lower, event_id % 5 IN (0, 2, 4) AS opens, event_id % 10 AS angle FROM events),
+p AS (SELECT a.i AS a, b.i AS b, -2.5 + CASE WHEN gap <= 120 THEN 1.5 WHEN gap <= 600 THEN 0.25 WHEN gap > 3600 THEN -1.0 ELSE 0.0 END + CASE WHEN b.i = a.i + 1 THEN 2.0 ELSE 0.5 END
++ CASE WHEN b.page IS NULL THEN CASE WHEN a.page = 3 THEN -1.5 ELSE 0.0 END WHEN b.page = 1 THEN -2.0 WHEN a.page IS NULL THEN 0.0 WHEN b.page = a.page + 1 THEN 3.0 ELSE 1.0 END
++ CASE WHEN a.labelled IN (b.labelled, b.bare) OR b.labelled IN (a.labelled, a.bare) THEN 1.5 ELSE 0.0 END + CASE WHEN contains(a.v, b.v) OR contains(b.v, a.v) THEN 0.5 ELSE -2.5 END + CASE WHEN a.d = b.d THEN 0.5 ELSE -1.5 END
++ CASE WHEN a.goes_on AND b.lower THEN 2.0 WHEN b.opens THEN -1.5 ELSE 0.0 END + CASE WHEN abs(a.angle - b.angle) <= 1 THEN 0.5 WHEN abs(a.angle - b.angle) >= 4 THEN -1.0 ELSE 0.0 END AS points
+FROM (SELECT a, b, abs(epoch_us(b.ts) - epoch_us(a.ts)) / 1000000.0 AS gap FROM e a JOIN e b ON a.user_id = b.user_id AND a.folder = b.folder AND a.i <> b.i) WHERE gap <= 21600), s AS (SELECT a, b, CAST(points AS DOUBLE) AS points, 1 / (1 + exp(-CAST(points AS DOUBLE))) AS confidence FROM p)"""
+
+
+@registered(f"WITH {_pairs_sql(True)} SELECT CAST(a AS VARCHAR) AS a, CAST(b AS VARCHAR) AS b, CAST(round(points * 100) AS BIGINT) AS points, round(confidence, 6) AS confidence FROM s")
 def score_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as scans of one user: every pair within six hours, both ways round, with what all signals come to."""
-    scored = linkage.score_pairs(event_scans(spark, sf), "2026-05-20")
-    return scored.select("a", "b", F.round(F.col("points") * 100).cast("long").alias("points"), F.round("confidence", 6).alias("confidence"))
+    """Events as scans of one user with texts, folders and vectors: every pair within six hours, both ways round, with what all signals come to."""
+    return linkage.score_pairs(event_scans(spark, sf)).select("a", "b", F.round(F.col("points") * 100).cast("long").alias("points"), F.round("confidence", 6).alias("confidence"))
 
 
-@registered()
+@registered(
+    f"""WITH RECURSIVE {_pairs_sql(False)}, u AS (SELECT a, b FROM s WHERE confidence >= 0.5 UNION SELECT b, a FROM s WHERE confidence >= 0.5), r AS (SELECT a AS node, a AS seen FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.seen = u.a),
+c AS (SELECT node, min(seen) AS component FROM r GROUP BY node), o AS (SELECT node, component, lag(node) OVER (PARTITION BY component ORDER BY node) AS before FROM c),
+g AS (SELECT component, string_agg(CAST(node AS VARCHAR), ',' ORDER BY node) AS ids, min(CASE WHEN before IS NOT NULL THEN coalesce(s.confidence, 0) END) AS confidence FROM o LEFT JOIN s ON s.a = o.before AND s.b = o.node GROUP BY component)
+SELECT ids, round(confidence, 6) AS confidence, CASE WHEN confidence >= 0.85 THEN 'high' WHEN confidence >= 0.65 THEN 'medium' ELSE 'low' END AS band FROM g WHERE confidence >= 0.5"""
+)
 def merge_groups(spark: SparkSession, sf: str) -> DataFrame:
-    """The groups that are proposed for the same scans."""
-    groups = linkage.merge_groups(event_scans(spark, sf), "2026-05-20")
-    return groups.select(F.array_join("document_ids", ",").alias("ids"), F.round("confidence", 6).alias("confidence"), "band")
+    """The groups that are proposed for the same scans without page numbers, which stand in the order of their names."""
+    return linkage.merge_groups(event_scans(spark, sf, pages=False)).select(F.array_join("document_ids", ",").alias("ids"), F.round("confidence", 6).alias("confidence"), "band")
 
 
 @registered("WITH e AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 1 HOUR THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 1 HOUR AS fires_at, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY user_id, k")

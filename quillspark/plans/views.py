@@ -41,20 +41,28 @@ def customer_documents(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def event_scans(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as scans: a user's, numbered, dated, from a vendor, without text."""
-    e = table(spark, sf, "events")
-    none = F.lit(None)
-    return e.select(
-        F.col("event_id").cast("string").alias("id"),
+def event_scans(spark: SparkSession, sf: str, pages: bool = True) -> DataFrame:
+    """Events as scans: a user's, some in a folder, numbered, dated, from a vendor, with both ends of a text and a vector.
+
+    By the event's number: three in four show a page of three (if ``pages``), two in three a contract number, one in seven a bare one;
+    the first line greets, goes on in lower case, names a company, says nothing or has a date; the last ends a sentence or does not.
+    """
+    i, user = F.col("event_id"), F.col("user_id")
+    number = lambda x: x.cast("string")
+    page = F.when(i % 4 != 3, F.concat(F.lit("Page "), number(i % 3 + 1), F.lit(" of 3"))) if pages else F.lit(None)
+    first = F.element_at(F.array(*[F.lit(x) for x in ("Dear reader,", "goes on here", "Muster GmbH", "More text", "17.03.2019 noted")]), (i % 5 + 1).cast("int"))
+    labelled = F.when(i % 3 != 0, F.concat(F.lit("Contract no. "), number(F.lit(500000) + user % 3 + i % 2)))
+    angle = (i % 10) * 0.3
+    return table(spark, sf, "events").select(
+        number(i).alias("id"),
         "user_id",
-        none.cast("string").alias("folder_id"),
+        F.when(i % 6 == 0, "f").alias("folder_id"),
         F.col("ts").cast("timestamp").alias("created_at"),
-        F.concat(F.lit("scan_"), F.col("event_id").cast("string"), F.lit(".png")).alias("original_filename"),
+        F.concat(F.lit("scan_"), number(i), F.lit(".png")).alias("original_filename"),
         F.lit("image/png").alias("mime_type"),
         F.to_date("ts").alias("document_date"),
         F.col("event_type").alias("vendor"),
-        none.cast("string").alias("text_head"),
-        none.cast("string").alias("text_tail"),
-        none.cast("array<float>").alias("mean_embedding"),
+        F.concat_ws("\n", page, first, labelled).alias("text_head"),
+        F.concat_ws("\n", F.when(i % 2 == 1, "and so on,").otherwise("the end."), F.when(i % 7 == 0, "500000")).alias("text_tail"),
+        F.array(F.cos(angle).cast("float"), F.sin(angle).cast("float")).alias("mean_embedding"),
     )

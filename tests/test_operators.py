@@ -150,7 +150,7 @@ def test_linkage_scenario(spark):
         row("r2", 9025, "shop_008.pdf", "Bakery Ltd\n03.05.2026", "Total 7.00.", dt.date(2026, 5, 3), "Bakery"),
         row("x1", 0, "far_001.pdf", "one", "one", folder="other"),
     ]
-    groups = linkage.merge_groups(spark.createDataFrame(rows, CANDIDATE), "2026-05-20").collect()
+    groups = linkage.merge_groups(spark.createDataFrame(rows, CANDIDATE)).collect()
     assert [(r["document_ids"], r["band"]) for r in groups] == [(["p1", "p2", "p3"], "high")]
     assert linkage.band(0.85) == "high" and linkage.band(0.65) == "medium" and linkage.band(0.6) == "low"
     assert linkage.combined_confidence(0.5, True, 1.0) > 0.95 and linkage.combined_confidence(0.5, None) == 0.5

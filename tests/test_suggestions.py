@@ -11,6 +11,8 @@ from quillspark.functions import text as tx
 from quillspark.operators import hierarchy, linkage, naming, processing, relational, search, suggestions
 from quillspark.settings import LINKAGE
 
+from test_features import confidence
+
 DAY = dt.datetime(2026, 3, 1, 12)
 
 
@@ -41,15 +43,15 @@ def test_groups_against_every_pair(spark):
     want = {}
     for a, b in itertools.permutations(dicts, 2):
         if a["user_id"] == b["user_id"] and abs((a["created_at"] - b["created_at"]).total_seconds()) <= LINKAGE.window_s:
-            want[a["id"], b["id"]] = linkage.score(linkage.pair_signals(a, b, dt.date(2026, 3, 2)))[0]
-    got = {(r["a"], r["b"]): r["confidence"] for r in linkage.score_pairs(df, "2026-03-02").collect()}
+            want[a["id"], b["id"]] = confidence(a, b)
+    got = {(r["a"], r["b"]): r["confidence"] for r in linkage.score_pairs(df).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     sets = {i: {i} for i in (r[0] for r in rows)}
     for (a, b), c in want.items():
         if c >= LINKAGE.min_confidence:
             both = sets[a] | sets[b]
             sets |= {i: both for i in both}
-    groups = [r for r in linkage.merge_groups(df, "2026-03-02").collect()]
+    groups = [r for r in linkage.merge_groups(df).collect()]
     for g in groups:
         ids = g["document_ids"]
         assert set(ids) == sets[ids[0]] and len(ids) > 1
