@@ -4,8 +4,8 @@ A node is a distinct sequence of first turns; its members are the conversations
 
 1. A turn is told by a digest of role and text (md5, 128 bits) and the code points of its text; a conversation is the row of its turns'
    digests. Equal conversations are aggregated before anything else moves: one path with a number of members and the smallest id.
-2. Paths are dealt out by hash of their first turn's digest. A first turn whose paths hold more than ``limit`` turns is dealt out by the
-   next turn as well, and so on, until every subtrie fits; what stands above such subtries are a few nodes.
+2. Paths are dealt out by hash of their first turn's digest. A first turn whose paths hold more than ``limit`` turns (without one: more
+   than a partition on average) is dealt out by the next turn as well, and so on, until every subtrie fits; what stands above such subtries are a few nodes.
 3. In ``applyInPandas`` each bucket's paths become tries of dictionaries that point from a digest to a node. An iterative walk, children
    before parents, sums leaves and savings.
 4. The nodes above the subtries, the root among them, are aggregated level by level from the subtries' tops.
@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 from ..session import Scratch
 from .common import bounded_batches
 
-#: Turns of a subtrie that one task builds, and the most nodes that are split: a larger input has larger subtries instead.
-LIMIT, SPLIT = 100_000, 1_000_000
+#: Turns of a subtrie that one task builds at most, and those that are never too many; the most nodes that are split: a larger
+#: input has larger subtries instead. Between these a subtrie may be as large as a partition is on average.
+LIMIT, LEAST, SPLIT = 100_000, 1000, 1_000_000
 #: Ids of a chunk share all bits but these.
 CHUNK_BITS = 12
 NODE = "conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends_sha256 string"
@@ -133,7 +134,7 @@ def _subtries(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"conv_id": least, "depth": depth, "parent_conv_id": above, "n_convs": n, "n_children": list(map(len, pointers)), "n_leaves": leaves, "saved_tokens": saved, "ends_sha256": ends, "up": up})
 
 
-def prefix_trie(turns: DataFrame, limit: int = LIMIT) -> DataFrame:
+def prefix_trie(turns: DataFrame, limit: int | None = None) -> DataFrame:
     """One row for each node (see ``NODE``): conv_id is its smallest member, whose turn ``depth`` is the node's last.
 
     ``turns`` is what ``conversation_turns`` gives. n_leaves counts the childless nodes of the subtree, saved_tokens sums
@@ -144,39 +145,40 @@ def prefix_trie(turns: DataFrame, limit: int = LIMIT) -> DataFrame:
     with Scratch(spark) as scratch:
         paths = distinct_paths(turns, scratch)
         total = paths.agg(F.sum(F.size("digests"))).first()[0] or 0
-        limit = max(limit, total // SPLIT)
-        rest, parts, split, ended, level = paths.filter(F.size("digests") > 0), [], [], [paths.filter(F.size("digests") == 0).withColumn("key", prefix_key(0))], 1
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        limit = max(limit or min(LIMIT, max(LEAST, total // parts)), total // SPLIT)
+        rest, dealt, split, ended, level = paths.filter(F.size("digests") > 0), [], [], [paths.filter(F.size("digests") == 0).withColumn("key", prefix_key(0))], 1
         while True:
             keyed = rest.select("*", prefix_key(level).alias("key"), prefix_key(level - 1).alias("up"), F.lit(level).alias("level"))
             weight = F.sum(F.size("digests") - (level - 1))
             big = keyed.groupBy("key").agg(weight.alias("weight"), F.any_value("up").alias("up"), F.any_value(F.col("chars")[level - 1]).alias("size")).filter(F.col("weight") > limit)
             big = scratch.keep(big, "split")
             if big.isEmpty():
-                parts.append(keyed)
+                dealt.append(keyed)
                 break
             # not more than SPLIT keys have so much weight
             keys = F.broadcast(big.select("key"))
-            parts.append(keyed.join(keys, "key", "left_anti"))
+            dealt.append(keyed.join(keys, "key", "left_anti"))
             over = keyed.join(keys, "key", "left_semi")
             split.append(big)
             ended.append(over.filter(F.size("digests") == level))
             rest = scratch.keep(over.filter(F.size("digests") > level).select(*paths.columns), "rest")
             level += 1
-        rows = parts[0]
-        for part in parts[1:]:
+        rows = dealt[0]
+        for part in dealt[1:]:
             rows = rows.unionByName(part)
-        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // limit))
-        dealt = rows.select("level", "key", "up", "digests", "chars", "n", "least", "ends_sha256", F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"))
-        below = scratch.keep(dealt.groupBy("bucket").applyInPandas(lambda rows: _subtries(rows), f"{NODE}, up string"), "subtries")
+        buckets = max(parts, -(-total // limit))
+        bucketed = rows.select("level", "key", "up", "digests", "chars", "n", "least", "ends_sha256", F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"))
+        below = scratch.keep(bucketed.groupBy("bucket").applyInPandas(lambda rows: _subtries(rows), f"{NODE}, up string"), "subtries")
         # the nodes above the subtries, from the deepest level to the root
         upper = None
         for at in range(level - 1, -1, -1):
             tops = below.filter((F.col("depth") == at + 1) & F.col("up").isNotNull())
             if upper is not None:
                 tops = tops.unionByName(upper.filter(F.col("depth") == at + 1).select(*below.columns))
-            parts_of = tops.select(F.col("up").alias("key"), "conv_id", "n_convs", F.lit(1).alias("child"), "n_leaves", "saved_tokens", F.lit(None).cast("string").alias("ends_sha256"))
+            ups = tops.select(F.col("up").alias("key"), "conv_id", "n_convs", F.lit(1).alias("child"), "n_leaves", "saved_tokens", F.lit(None).cast("string").alias("ends_sha256"))
             own = ended[at].select("key", F.col("least").alias("conv_id"), F.col("n").alias("n_convs"), F.lit(0).alias("child"), F.lit(0).cast("long").alias("n_leaves"), F.lit(0).cast("long").alias("saved_tokens"), "ends_sha256")
-            made = parts_of.unionByName(own).groupBy("key").agg(F.min("conv_id").alias("conv_id"), F.sum("n_convs").alias("n_convs"), F.sum("child").alias("n_children"), F.sum("n_leaves").alias("n_leaves"), F.sum("saved_tokens").alias("saved_tokens"), F.max("ends_sha256").alias("ends_sha256"))
+            made = ups.unionByName(own).groupBy("key").agg(F.min("conv_id").alias("conv_id"), F.sum("n_convs").alias("n_convs"), F.sum("child").alias("n_children"), F.sum("n_leaves").alias("n_leaves"), F.sum("saved_tokens").alias("saved_tokens"), F.max("ends_sha256").alias("ends_sha256"))
             if at:
                 made = made.join(F.broadcast(split[at - 1]), "key")
             else:
