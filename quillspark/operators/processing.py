@@ -24,6 +24,31 @@ def fold_status(steps: DataFrame, document: str = "document_id") -> DataFrame:
     )
 
 
+def step_status(steps: list[tuple[int, str, str, str | None, int]]) -> tuple[str, str | None, int, int, str | None]:
+    """(status, next step, done, attempts, error of the first failed step) of one document's steps: (position, step, status, error, attempts)."""
+    rows = sorted(steps)
+    states = {r[2] for r in rows}
+    status = "failed" if "failed" in states else "ready" if states <= set(DONE) else "processing" if "running" in states else "uploaded"
+    next_step = next((r[1] for r in rows if r[2] not in DONE), None)
+    return status, next_step, sum(r[2] in DONE for r in rows), sum(r[4] for r in rows), next((r[3] for r in rows if r[2] == "failed"), None)
+
+
+def fold_step_events(events: DataFrame, names: tuple[str, ...] = STEPS) -> DataFrame:
+    """(document_id, status, next_step, done, attempts, error) of a table of step events, see ``streaming.processors.step_stream``.
+
+    Of a step's events the last by (at, seq) decides; a plan is an event of every step.
+    """
+    order = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)])
+    planned = F.transform(F.array(*[F.lit(n) for n in names]), lambda n: F.struct(n.alias("step"), F.when(F.array_contains("steps", n), "queued").otherwise("skipped").alias("status")))
+    own = F.array(F.struct(F.col("step"), F.when(F.col("kind") == "started", "running").otherwise(F.col("kind")).alias("status")))
+    rows = events.select("document_id", "seq", "at", "error", F.explode(F.when(F.col("kind") == "planned", planned).otherwise(own)).alias("s")).select("document_id", "seq", "at", "error", "s.step", "s.status")
+    last = F.max_by(F.struct("status", F.when(F.col("status") == "failed", F.col("error")).alias("error")), F.struct("at", "seq"))
+    steps = rows.groupBy("document_id", "step").agg(last.alias("last"), F.count_if(F.col("status") == "running").alias("attempts"))
+    flat = steps.select("document_id", "step", "last.status", "last.error", "attempts", F.coalesce(order[F.col("step")], F.lit(len(names))).alias("position"))
+    error = F.min(F.when(F.col("status") == "failed", F.struct("position", "step", "error")))["error"]
+    return fold_status(flat).join(flat.groupBy("document_id").agg(error.alias("error")), "document_id")
+
+
 def catch_up(documents: DataFrame, steps: DataFrame, names: tuple[str, ...] = STEPS) -> DataFrame:
     """(id, step, position): steps that ready documents have no row of."""
     wanted = documents.filter("status = 'ready' and deleted_at is null").select("id", F.posexplode(F.array(*[F.lit(n) for n in names])).alias("position", "step"))
