@@ -252,7 +252,3 @@ def folder_name_ok(name: Column) -> Column:
 
 def normal_path(path: Column) -> Column:
     return F.array_join(F.filter(F.transform(F.split(path, "/"), F.trim), lambda p: p != ""), "/")
-
-
-def member_key(ids: Column) -> Column:
-    return F.array_join(F.array_sort(ids), ",")

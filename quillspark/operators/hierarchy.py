@@ -7,10 +7,14 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.decode import folder_name_ok
 from ..session import Scratch
 from .filters import SearchFilter, compile_filter
 from .relational import natural_key
 
+# Files that systems leave behind.
+IGNORED_FILES = ("desktop.ini", "thumbs.db")
+
 
 def folder_tree(folders: DataFrame, *, id_col: str = "id", parent: str = "parent_id", name: str = "name", shared: str | None = None, orphans_on_top: bool = False) -> DataFrame:
     """(id, path, depth, ids from the top, visible, nearest_shared) of every folder that hangs on the top.
@@ -72,12 +76,54 @@ def path_prefixes(paths: DataFrame, path: str = "path") -> DataFrame:
     return paths.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("path")).distinct()
 
 
-def missing_paths(paths: DataFrame, tree: DataFrame, path: str = "path") -> DataFrame:
-    """Folders to create for the paths, in order of depth; names are compared in any case."""
+def missing_paths(paths: DataFrame, tree: DataFrame, path: str = "path", documents: DataFrame | None = None) -> DataFrame:
+    """(path, depth, and with ``documents`` conflict): folders to create for the paths, in order of depth; names are compared in any case.
+
+    ``conflict`` holds if a document stands at the path of the folder, or of a folder above it that would have to be made.
+    """
     want = path_prefixes(paths, path)
     have = tree.select(F.lower("path").alias("__p"))
     fresh = want.join(have, F.lower(want["path"]) == have["__p"], "left_anti").withColumn("k", F.lower("path")).groupBy("k").agg(F.min("path").alias("path"))
-    return fresh.select("path", F.size(F.split("path", "/")).alias("depth")).orderBy("depth", "path")
+    rows = fresh.select("path", F.size(F.split("path", "/")).alias("depth"))
+    if documents is not None:
+        there = archive_entries(documents, tree).select(F.lower("path").alias("__at")).distinct()
+        above = rows.select(F.col("path").alias("__p"), F.explode(F.transform(F.sequence(F.lit(1), F.col("depth")), lambda n: F.lower(F.array_join(F.slice(F.split("path", "/"), 1, n), "/")))).alias("__at"))
+        hit = above.join(there, "__at", "left_semi").select("__p").distinct()
+        rows = rows.join(hit, rows.path == hit["__p"], "left").select("path", "depth", F.col("__p").isNotNull().alias("conflict"))
+    return rows.orderBy("depth", "path")
+
+
+def upload_plan(files: DataFrame, path: str = "path") -> tuple[DataFrame, DataFrame]:
+    """(accepted, refused) of the files of a picked folder: (path, name, folder) to upload, and (path) of folders whose name cannot be one.
+
+    A refused folder is told once, the outermost only, and nothing below it is taken. Hidden files, files that an office program locks,
+    system files, and what lies in folders that a system keeps for itself, are left out without a word.
+    """
+    parts = F.filter(F.split(F.col(path), "/"), lambda p: p != "")
+    rows = files.select(F.col(path).alias("path"), parts.alias("__parts")).filter(F.size("__parts") > 0)
+    name, above = F.try_element_at("__parts", F.lit(-1)), F.slice("__parts", F.lit(1), F.greatest(F.size("__parts") - 1, F.lit(0)))
+    junk = name.startswith(".") | name.startswith("~$") | F.lower(name).isin(*IGNORED_FILES) | F.exists(above, lambda d: F.substring(d, 1, 1).isin(*".@#$"))
+    rows = rows.filter(~junk).select("path", name.alias("name"), above.alias("__above"))
+    bad = F.array_position(F.transform("__above", lambda p: folder_name_ok(p)), False)
+    rows = rows.withColumn("__bad", bad)
+    refused = rows.filter("__bad > 0").select(F.array_join(F.slice("__above", F.lit(1), F.col("__bad").cast("int")), "/").alias("path")).distinct()
+    return rows.filter("__bad = 0").select("path", "name", F.array_join("__above", "/").alias("folder")), refused
+
+
+def entry_tree(entries: DataFrame) -> DataFrame:
+    """(path, type, name, parent, depth, made, place): one tree of files and folders (path, type file or dir).
+
+    Folders that only their contents name are made (``made``). Slashes at the ends or doubled name no folder, and an entry of slashes alone is
+    left out. A file and a folder may share a path. Sorted by ``place`` the tree reads from the top down, in each folder folders first,
+    then by name, digits as numbers: so siblings come in order without being gathered in one task.
+    """
+    parts = F.filter(F.split("path", "/"), lambda p: p != "")
+    own = entries.select(parts.alias("p"), "type", F.lit(False).alias("made")).filter(F.size("p") > 0)
+    above = own.filter(F.size("p") > 1).select(F.explode(F.sequence(F.lit(1), F.size("p") - 1)).alias("n"), "p").select(F.slice("p", F.lit(1), F.col("n")).alias("p"), F.lit("dir").alias("type"), F.lit(True).alias("made"))
+    nodes = own.unionByName(above).groupBy("p", "type").agg(F.min("made").alias("made"))
+    rank = lambda i: F.when((i == F.size("p") - 1) & (F.col("type") == "file"), 1).otherwise(0)
+    place = F.transform("p", lambda x, i: F.struct(rank(i).alias("rank"), natural_key(x).alias("key"), x.alias("name")))
+    return nodes.select(F.array_join("p", "/").alias("path"), "type", F.try_element_at("p", F.lit(-1)).alias("name"), F.array_join(F.slice("p", F.lit(1), F.size("p") - 1), "/").alias("parent"), F.size("p").alias("depth"), "made", place.alias("place"))
 
 
 def in_folders(documents: DataFrame, tree: DataFrame, roots: list, include_subfolders: bool = True, *, folder: str = "folder_id") -> DataFrame:
@@ -117,9 +163,9 @@ def nested(tree: DataFrame, *, parent_of: str = "ids") -> DataFrame:
 
 
 def valid_moves(moves: DataFrame, tree: DataFrame) -> DataFrame:
-    """(id, to, valid): a folder may go to the top (null) or below a folder that exists and is neither itself nor below itself."""
+    """(id, to, valid): a folder may go to the top (null) or below a folder that exists, is neither itself nor below itself, and is not where it is already."""
     target = tree.select(F.col("id").alias("__t"), "ids")
-    known = tree.select(F.col("id").alias("__k"))
+    known = tree.select(F.col("id").alias("__k"), F.try_element_at("ids", F.lit(-2)).alias("__parent"))
     rows = moves.join(target, F.col("to") == F.col("__t"), "left").join(known, F.col("id") == F.col("__k"), "left")
     fits = F.col("to").isNull() | (F.col("__t").isNotNull() & ~F.coalesce(F.array_contains("ids", F.col("id")), F.lit(False)))
-    return rows.select("id", "to", (F.col("__k").isNotNull() & fits).alias("valid"))
+    return rows.select("id", "to", (F.col("__k").isNotNull() & fits & ~F.col("to").eqNullSafe(F.col("__parent"))).alias("valid"))

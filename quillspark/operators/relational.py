@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..settings import ARCHIVE
+
 
 def browse(df: DataFrame, first: int, offset: int = 0, *, date: str = "document_date", created: str = "created_at", id_col: str = "id") -> DataFrame:
     """A page, newest first and undated last; one row more than asked tells whether there is a next page."""
@@ -125,15 +127,26 @@ def receipts_order(df: DataFrame, *, date: str = "document_date", title: str = "
     return df.orderBy(F.col(date).asc_nulls_last(), F.col(title))
 
 
-def queue_order(df: DataFrame, *, status: str = "status", created: str = "created_at", id_col: str = "id") -> DataFrame:
-    """What runs first, then what waits, then what failed; each oldest first."""
-    place = F.when(F.col(status) == "processing", 0).when(F.col(status) == "uploaded", 1).otherwise(2)
-    return df.filter(F.col(status).isin("processing", "uploaded", "failed")).orderBy(place, created, id_col)
-
+def queue_list(documents: DataFrame, steps: DataFrame, state: str, now: str, first: int = ARCHIVE.list_limit, hours: int = ARCHIVE.finished_hours) -> DataFrame:
+    """The documents in one state of the queue with ``finished_at``, the end of their last step; no more than ``first``.
 
-def trash_list(df: DataFrame, first: int = 200, *, deleted: str = "deleted_at", id_col: str = "id") -> DataFrame:
-    """Trashed rows, the latest first."""
-    return df.filter(F.col(deleted).isNotNull()).orderBy(F.col(deleted).desc(), F.col(id_col).desc()).limit(first)
+    What runs or waits comes in the order in which it was handed over (updated_at); what failed or has finished within the last
+    ``hours`` comes latest first, by the last step's end, else by updated_at. Ties go by id. Trashed documents are in no list.
+    """
+    status = {"running": "processing", "queued": "uploaded", "failed": "failed", "finished": "ready"}
+    if state not in status:
+        raise ValueError(f"no state {state}")
+    last = steps.groupBy(F.col("document_id").alias("__d")).agg(F.max("finished_at").alias("finished_at"))
+    rows = documents.filter((F.col("status") == status[state]) & F.col("deleted_at").isNull()).join(last, F.col("id") == F.col("__d"), "left").drop("__d")
+    if state == "finished":
+        rows = rows.filter(F.col("finished_at") >= F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {hours} HOURS"))
+    by = F.col("updated_at").asc() if state in ("running", "queued") else F.coalesce("finished_at", "updated_at").desc()
+    return rows.orderBy(by, F.col("id").asc()).limit(first)
+
+
+def trash_list(df: DataFrame, *, deleted: str = "deleted_at", title: str = "title") -> DataFrame:
+    """Trashed rows, the latest first; what was trashed at once by title."""
+    return df.filter(F.col(deleted).isNotNull()).orderBy(F.col(deleted).desc(), F.col(title).asc())
 
 
 def reset_metadata(df: DataFrame, found: DataFrame, fields: dict[str, list[str]], id_col: str = "id") -> DataFrame:

@@ -13,7 +13,7 @@ from ..operators import backup, hierarchy, linkage, naming, postings, processing
 from ..operators.components import connected_components
 from ..operators.filters import SearchFilter, compile_filter, table_query
 from ..session import Scratch, table
-from ..streaming import archive
+from ..streaming import archive, processors
 from .views import customer_documents, event_scans, folders, order_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -327,6 +327,94 @@ def sliding_rate_limit(spark: SparkSession, sf: str) -> DataFrame:
     return archive.rate_limited(table(spark, sf, "events"), "user_id", "ts", ["event_id"], 2, 3600).select("event_id", "attempts", "refused")
 
 
+@registered(
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS k FROM events),
+r AS (SELECT user_id, event_id, k, [ms] AS held, true AS passed, CAST(NULL AS BIGINT) AS retry FROM e WHERE k = 1
+UNION ALL SELECT user_id, event_id, k, CASE WHEN len(f) < 2 THEN list_append(f, ms) ELSE f END, len(f) < 2, CASE WHEN len(f) >= 2 THEN (f[1] + 3600000 - ms + 999) // 1000 END FROM (SELECT e.user_id, e.event_id, e.k, e.ms, list_filter(r.held, lambda t: t > e.ms - 3600000) AS f FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1))
+SELECT event_id AS id, passed, CAST(retry AS BIGINT) AS retry_after_s FROM r"""
+)
+def rate_limit_retries(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as attempts of their user, two of which may pass within an hour: which do, and how long the others have to wait."""
+    tries = table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.col("ts").alias("at"))
+    return processors.limited(tries, most=2, window_s=3600).select("id", "passed", "retry_after_s")
+
+
+_KIND = "CASE CAST(l_partkey AS BIGINT) % 6 WHEN 0 THEN 'started' WHEN 1 THEN 'skipped' WHEN 2 THEN 'failed' WHEN 3 THEN 'queued' ELSE 'succeeded' END"
+_NAMES = ", ".join(f"('{n}', {i})" for i, n in enumerate(processing.STEPS))
+
+
+@registered(
+    f"""WITH n(step, position) AS (VALUES {_NAMES}), l AS (SELECT l_orderkey AS id, l_linenumber AS seq, l_shipdate AS ms, CAST(l_suppkey AS BIGINT) % 9 AS s, {_KIND} AS kind FROM lineitem),
+e AS (SELECT id, seq, ms, step, position, CASE WHEN position IN (0, 1, 6) OR (position = 2 AND id % 2 = 0) THEN 'queued' ELSE 'skipped' END AS status FROM l, n WHERE seq = 1 UNION ALL SELECT id, seq, ms, step, position, CASE kind WHEN 'started' THEN 'running' ELSE kind END FROM l JOIN n ON position = s WHERE seq > 1),
+g AS (SELECT id, step, position, arg_max(status, (ms, seq)) AS status, arg_max(seq, (ms, seq)) AS last, count(*) FILTER (status = 'running') AS attempts FROM e GROUP BY id, step, position)
+SELECT id, CASE WHEN bool_or(status = 'failed') THEN 'failed' WHEN bool_and(status IN ('succeeded', 'skipped')) THEN 'ready' WHEN bool_or(status = 'running') THEN 'processing' ELSE 'uploaded' END AS status, arg_min(step, position) FILTER (status NOT IN ('succeeded', 'skipped')) AS next_step,
+CAST(count(*) FILTER (status IN ('succeeded', 'skipped')) AS BIGINT) AS done, CAST(sum(attempts) AS BIGINT) AS attempts, 'e' || arg_min(last, position) FILTER (status = 'failed') AS error FROM g GROUP BY id"""
+)
+def step_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items as events of their order's steps, the first of each a plan: where each order stands."""
+    i, line = F.col("l_orderkey"), F.col("l_linenumber")
+    names = lambda *some: F.array(*[F.lit(processing.STEPS[k]) for k in some])
+    step = F.element_at(names(*range(len(processing.STEPS))), (F.col("l_suppkey").cast("long") % 9 + 1).cast("int"))
+    kind = F.when(line == 1, "planned").otherwise(F.expr(_KIND))
+    events = table(spark, sf, "lineitem").select(i.alias("document_id"), line.cast("long").alias("seq"), F.col("l_shipdate").alias("at"), step.alias("step"), kind.alias("kind"), F.concat(F.lit("e"), line.cast("string")).alias("error"), F.when(i % 2 == 0, names(0, 1, 2, 6)).otherwise(names(0, 1, 6)).alias("steps"))
+    return processing.fold_step_events(events).select(F.col("document_id").alias("id"), "status", "next_step", F.col("done").cast("long").alias("done"), "attempts", "error")
+
+
+@registered(
+    """WITH d AS (SELECT o_orderkey AS id, o_orderdate AS updated, (SELECT max(l_shipdate) FROM lineitem WHERE l_orderkey = o_orderkey) AS last, o_orderstatus AS s FROM orders), q AS (SELECT max(last) AS now FROM d)
+SELECT state, id, CAST(n AS BIGINT) AS place FROM (SELECT 'running' AS state, id, row_number() OVER (ORDER BY updated, id) AS n FROM d WHERE s = 'P' UNION ALL SELECT 'queued', id, row_number() OVER (ORDER BY updated, id) FROM d WHERE s = 'O'
+UNION ALL SELECT 'finished', id, row_number() OVER (ORDER BY last DESC, id) FROM d, q WHERE s = 'F' AND last >= TIMESTAMP '1996-01-01' - INTERVAL 24 HOUR) WHERE n <= 200"""
+)
+def queue_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as documents in the queue, line items as their steps: the lists of what runs, waits and has finished, with places."""
+    docs = order_documents(spark, sf).withColumn("updated_at", F.col("created_at")).withColumn("deleted_at", F.lit(None).cast("timestamp"))
+    steps = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_shipdate").cast("timestamp").alias("finished_at"))
+    out = None
+    for state in ("running", "queued", "finished"):
+        rows = relational.queue_list(docs.drop("finished_at"), steps, state, "1996-01-01")
+        by = F.col("updated_at").asc() if state != "finished" else F.coalesce("finished_at", "updated_at").desc()
+        # two hundred rows at most
+        placed = rows.select(F.lit(state).alias("state"), "id", F.row_number().over(Window.orderBy(by, "id")).cast("long").alias("place"))
+        out = placed if out is None else out.unionByName(placed)
+    return out
+
+
+_ENTRY = "replace(p_type, ' ', '/') || CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN '/page ' || p_size WHEN 2 THEN '//' ELSE '/' || p_brand || '/x' END"
+
+
+@registered(
+    f"""WITH e AS (SELECT list_filter(string_split({_ENTRY}, '/'), lambda x: x <> '') AS p, CASE WHEN p_size % 4 = 2 THEN 'dir' ELSE 'file' END AS type FROM part),
+a AS (SELECT p, type, false AS made FROM e UNION ALL SELECT p[1:n], 'dir', true FROM (SELECT p, unnest(range(1, len(p))) AS n FROM e)), n AS (SELECT p, type, bool_and(made) AS made FROM a GROUP BY p, type)
+SELECT array_to_string(p, '/') AS path, type, p[-1] AS name, array_to_string(p[1:len(p) - 1], '/') AS parent, CAST(len(p) AS INTEGER) AS depth, made FROM n"""
+)
+def entry_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as files and folders below the words of their type: one tree, with the folders that only their contents name."""
+    kind = F.when(F.col("p_size") % 4 == 2, "dir").otherwise("file")
+    return hierarchy.entry_tree(table(spark, sf, "part").select(F.expr(_ENTRY).alias("path"), kind.alias("type"))).drop("place")
+
+
+@registered(
+    """WITH s AS (SELECT doc_id AS id, quality, toxic FROM labels), l AS (SELECT id, 'x' AS f, 'y' AS t, 0.25 + 0.5 * quality AS h FROM s UNION ALL SELECT id, 'y', 'z', 0.6 FROM s),
+v AS (SELECT id, arg_min(continues, ms) AS continues, arg_min(c, ms) AS c FROM (SELECT doc_id AS id, doc_id % 3 <> 0 AS continues, 0.5 AS c, 2 AS ms FROM labels UNION ALL SELECT doc_id, doc_id % 3 = 0, 0.25, 1 FROM labels WHERE doc_id % 4 = 0) GROUP BY id),
+c AS (SELECT s.id, s.toxic = 0 AND s.id % 5 <> 0 AS written, l.h, CASE WHEN s.toxic = 0 AND s.id % 5 <> 0 AND l.f = 'x' THEN 1 / (1 + exp(-(ln(l.h / (1 - l.h)) + 3.0 * v.c * CASE WHEN v.continues THEN 1 ELSE -1 END))) ELSE l.h END AS m FROM s JOIN l ON l.id = s.id JOIN v ON v.id = s.id)
+SELECT id, CASE WHEN bool_and(written) THEN 1 ELSE 0 END AS verdicts, round(CASE WHEN bool_and(written) THEN min(m) ELSE 0.5 END, 9) AS confidence FROM c GROUP BY id"""
+)
+def verdicts_merged(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels as suggestions of three documents, and answers about their first step, some twice, some about another set: what is written."""
+    i = F.col("doc_id")
+    link = lambda a, b, h: F.struct(F.lit(a).alias("fromId"), F.lit(b).alias("toId"), h.cast("double").alias("heuristic"))
+    empty = "array<struct<fromId:string,toId:string,continues:boolean,confidence:double,reason:string>>"
+    labels = table(spark, sf, "labels")
+    stored = labels.select(
+        i.alias("id"), F.lit(1).alias("user_id"), F.lit("x,y,z").alias("member_key"), F.when(F.col("toxic") == 0, "open").otherwise("dismissed").alias("status"), F.array(F.lit("x"), F.lit("y"), F.lit("z")).alias("document_ids"), F.array(link("x", "y", F.lit(0.25) + 0.5 * F.col("quality")), link("y", "z", F.lit(0.6))).alias("links"),
+        F.array().cast(empty).alias("ai_verdicts"), F.array().cast("array<struct<signal:string,text:string,points:double>>").alias("reasons"), F.lit(0.5).alias("heuristic_confidence"), F.lit(0.5).alias("confidence"),
+    )
+    answer = lambda rows, continues, sure, at: rows.select(i.alias("id"), F.lit(1).alias("user_id"), F.when(i % 5 == 0, "x,y").otherwise("x,y,z").alias("member_key"), F.lit("x").alias("from_id"), F.lit("y").alias("to_id"), continues.alias("continues"), F.lit(sure).alias("confidence"), F.lit("").alias("reason"), F.lit(at).alias("answered_at"))
+    answers = answer(labels, i % 3 != 0, 0.5, 2).unionByName(answer(labels.filter(i % 4 == 0), i % 3 == 0, 0.25, 1))
+    after, _ = suggestions.verdicts_merged(stored, answers)
+    return after.select("id", F.size("ai_verdicts").alias("verdicts"), F.round("confidence", 9).alias("confidence"))
+
+
 @registered("SELECT user_id, arg_max(event_type, struct_pack(a := ts, b := event_id)) AS last_kind, min(ts) AS first_at, max(ts) AS last_at, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY user_id")
 def pipeline_state_fold(spark: SparkSession, sf: str) -> DataFrame:
     return archive.fold_events(table(spark, sf, "events"), "user_id", "ts", "event_type", "event_id")
@@ -415,24 +503,50 @@ def filter_in_folders(spark: SparkSession, sf: str) -> DataFrame:
     return hierarchy.in_folders(customer_documents(spark, sf), tree, ["r2", "n5"]).select("id")
 
 
-@registered("SELECT 'n' || n_nationkey AS id, 'r' || r_regionkey AS \"to\", true AS valid FROM nation JOIN region ON r_regionkey <> n_regionkey UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey, false FROM nation UNION ALL SELECT 'r' || r_regionkey, 'r' || r_regionkey, false FROM region UNION ALL SELECT 'r' || r_regionkey, NULL, true FROM region UNION ALL SELECT 'n' || n_nationkey, 'gone', false FROM nation")
+@registered("SELECT 'n' || n_nationkey AS id, 'r' || r_regionkey AS \"to\", r_regionkey <> n_regionkey AS valid FROM nation, region UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey, false FROM nation UNION ALL SELECT 'r' || r_regionkey, 'r' || r_regionkey, false FROM region UNION ALL SELECT 'r' || r_regionkey, NULL, false FROM region UNION ALL SELECT 'n' || n_nationkey, NULL, true FROM nation UNION ALL SELECT 'n' || n_nationkey, 'gone', false FROM nation")
 def folder_moves(spark: SparkSession, sf: str) -> DataFrame:
-    """Each nation to the other regions and to a folder that is not there, each region below its nations, to itself and to the top."""
+    """Each nation to every region (its own is no move), to the top and to a folder that is not there; each region below its nations, to itself and to the top, where it is."""
     r, n = table(spark, sf, "region"), table(spark, sf, "nation")
     rid, nid = F.concat(F.lit("r"), F.col("r_regionkey").cast("string")), F.concat(F.lit("n"), F.col("n_nationkey").cast("string"))
     above = F.concat(F.lit("r"), F.col("n_regionkey").cast("string"))
-    moves = n.join(r, F.col("r_regionkey") != F.col("n_regionkey")).select(nid.alias("id"), rid.alias("to"))
-    for df, a, b in ((n, above, nid), (r, rid, rid), (r, rid, F.lit(None).cast("string")), (n, nid, F.lit("gone"))):
+    regions = n.join(r.groupBy().agg(F.collect_list("r_regionkey").alias("keys")), F.lit(True)).select(nid.alias("id"), F.explode("keys").alias("k"))
+    moves = regions.select("id", F.concat(F.lit("r"), F.col("k").cast("string")).alias("to"))
+    for df, a, b in ((n, above, nid), (r, rid, rid), (r, rid, F.lit(None).cast("string")), (n, nid, F.lit(None).cast("string")), (n, nid, F.lit("gone"))):
         moves = moves.unionByName(df.select(a.alias("id"), b.alias("to")))
     return hierarchy.valid_moves(moves, hierarchy.folder_tree(folders(spark, sf)))
 
 
 @registered(
-    "SELECT id, 'originals/' || r_name || '/' || n_name || '/' || seg || CASE WHEN k = 1 THEN '' ELSE ' (' || k || ')' END || '.pdf' AS path FROM (SELECT c_custkey AS id, r_name, n_name, c_mktsegment AS seg, row_number() OVER (PARTITION BY r_name, n_name, c_mktsegment ORDER BY c_custkey) AS k FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
+    """WITH c AS (SELECT c_custkey AS id, r_name || '/' || n_name || '/' || c_mktsegment AS base, c_custkey % 2 = 0 AS archived, c_custkey % 3 = 0 AS read, CASE WHEN c_custkey % 6 = 0 THEN '.md' ELSE '.txt' END AS e FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+p AS (SELECT id, 'original' AS kind, 'originals/' AS tree, base, '.pdf' AS e FROM c UNION ALL SELECT id, 'archive', 'archive/', base, '.pdf' FROM c WHERE archived UNION ALL SELECT id, 'text', 'text/', base, e FROM c WHERE read)
+SELECT id, kind, tree || base || CASE WHEN row_number() OVER (PARTITION BY kind, base, e ORDER BY id) > 1 THEN ' (' || left(CAST(id AS VARCHAR), 8) || ')' ELSE '' END || e AS path FROM p"""
 )
 def export_paths(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers as files that are named after their segment: a path for each in the backup."""
-    return backup.export_plan(customer_documents(spark, sf), hierarchy.folder_tree(folders(spark, sf))).select("id", "path")
+    """Customers as files that are titled after their segment: their paths in the three trees of a backup."""
+    plan = backup.export_plan(customer_documents(spark, sf), hierarchy.folder_tree(folders(spark, sf)))
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"{k}_path").alias("path")) for k in ("original", "archive", "text")])
+    return plan.select("id", F.explode(kinds).alias("p")).select("id", "p.kind", "p.path").filter("path is not null")
+
+
+@registered(
+    """SELECT c_custkey AS id, unnest(list_filter([CASE WHEN c_custkey % 5 = 0 THEN 'format is not quillspark-export' WHEN c_custkey % 17 = 0 THEN 'version is not 1' END,
+CASE WHEN c_custkey % 5 <> 0 AND c_custkey % 17 <> 0 AND c_custkey % 13 = 0 THEN 'title is no text' END, CASE WHEN c_custkey % 5 <> 0 AND c_custkey % 17 <> 0 AND c_acctbal < 0 THEN 'sizeBytes is no whole number from 0' END,
+CASE WHEN c_custkey % 5 <> 0 AND c_custkey % 17 <> 0 AND c_custkey % 11 = 0 THEN 'documentDate is no calendar day' END, CASE WHEN c_custkey % 5 <> 0 AND c_custkey % 17 <> 0 AND c_mktsegment = 'BUILDING' THEN 'documentDateSource is none of extracted, user' END,
+CASE WHEN c_custkey % 5 <> 0 AND c_custkey % 17 <> 0 AND c_custkey % 7 = 0 THEN 'files.text is missing' END], lambda x: x IS NOT NULL)) AS problem FROM customer"""
+)
+def manifest_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """A manifest for each customer, many of them wrong in one place or another: what a reader has against them."""
+    c, key = table(spark, sf, "customer"), F.col("c_custkey")
+    kind = F.when(F.col("c_mktsegment") == "BUILDING", "guess").otherwise("user")
+    files = F.when(key % 7 == 0, F.to_json(F.struct(F.lit("a").alias("original"), F.lit(None).cast("string").alias("archive")), {"ignoreNullFields": "false"})).otherwise(F.lit('{"original":"a","archive":null,"text":null}'))
+    doc = F.struct(
+        key.cast("string").alias("id"), F.when(key % 13 != 0, F.col("c_name")).alias("title"), F.lit(None).cast("string").alias("folder"), F.lit("a.pdf").alias("originalFilename"), F.lit("application/pdf").alias("mimeType"), F.floor("c_acctbal").alias("sizeBytes"),
+        F.lit(None).cast("string").alias("checksumSha256"), F.lit("ready").alias("status"), (key % 2 == 0).alias("ocrRequested"), F.lit("2024-01-01T00:00:00.000Z").alias("createdAt"), F.when(key % 11 == 0, "2023-02-29").otherwise("2024-02-29").alias("documentDate"), kind.alias("documentDateSource"),
+        *[F.lit(None).cast("string").alias(x) for x in ("vendor", "total", "currency", "receiptSource")],
+    )
+    line = F.concat(F.regexp_replace(F.to_json(doc, {"ignoreNullFields": "false"}), r"\}$", ""), F.lit(',"files":'), files, F.lit("}"))
+    head = F.concat(F.lit('{"format":"'), F.when(key % 5 == 0, "tar").otherwise(backup.FORMAT), F.lit('","version":'), F.when(key % 17 == 0, "2").otherwise("1"), F.lit(',"exportedAt":"now","folders":[{"path":"In","mcpEnabled":true}],"documents":['))
+    return backup.read_manifests(c.select(key.alias("archive"), F.concat(head, line, F.lit("]}")).alias("text")))[2].select(F.col("archive").alias("id"), "problem")
 
 
 @registered(

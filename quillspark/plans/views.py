@@ -29,12 +29,16 @@ def folders(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def customer_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers as files in their nation's folder, named after their segment."""
-    c = table(spark, sf, "customer")
+    """Customers as files in their nation's folder, titled after their segment; every second has an archive copy, every third a text."""
+    c, key = table(spark, sf, "customer"), F.col("c_custkey")
     return c.select(
         F.col("c_custkey").alias("id"),
         F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("folder_id"),
-        F.concat(F.col("c_mktsegment"), F.lit(".pdf")).alias("original_filename"),
+        F.col("c_mktsegment").alias("title"),
+        F.concat(F.col("c_mktsegment"), F.lit(".PDF")).alias("original_filename"),
+        F.when(key % 2 == 0, key).alias("archive_key"),
+        F.when(key % 3 == 0, key).alias("content_key"),
+        F.when(key % 6 == 0, "markdown").otherwise("plain").alias("content_format"),
         F.lit("ready").alias("status"),
         F.lit(None).cast("timestamp").alias("deleted_at"),
         F.lit("2020-01-01").cast("timestamp").alias("created_at"),

@@ -193,7 +193,3 @@ def test_backup_round_trip(spark):
     plan = {r["path"].split("/")[1]: r["action"] for r in backup.import_plan(manifest, spark.createDataFrame(files, "path string, content binary"), existing).collect()}
     assert plan == {"a.txt": "imported", "copy.txt": "skipped", "ü.txt": "imported", "missing": "failed", "known": "skipped"}
 
-
-def test_export_paths_are_unique(docs, spark):
-    tree = spark.createDataFrame([("f", "In"), ("g", "In")], "id string, path string")
-    assert sorted(r["path"] for r in backup.export_plan(docs.filter("user_id = 'u'"), tree).collect()) == ["originals/In/bill (2).pdf", "originals/In/bill.pdf"]
