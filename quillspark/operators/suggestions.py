@@ -123,7 +123,7 @@ def verdicts_merged(stored: DataFrame, answers: DataFrame, s: Linkage = LINKAGE)
 def combined_scores(document_ids: Column, links: Column, verdicts: Column, reasons: Column, s: Linkage = LINKAGE) -> dict[str, Column]:
     """heuristic_confidence, confidence and reasons of a suggestion by rules and verdicts together; as sure as its weakest step."""
     held = lambda h: F.least(F.greatest(h, F.lit(1e-9)), F.lit(1 - 1e-9))
-    about = lambda x: F.filter(verdicts, lambda v: (v["fromId"] == x["fromId"]) & (v["toId"] == x["toId"]))[0]
+    about = lambda x: F.get(F.filter(verdicts, lambda v: (v["fromId"] == x["fromId"]) & (v["toId"] == x["toId"])), F.lit(0))
 
     def step(x: Column) -> Column:
         v = about(x)
@@ -154,7 +154,7 @@ def model_summary(heuristic: Column, verdicts: Column) -> Column:
     """What a model made of a suggestion, in one line; null if it was asked nothing."""
     n, doubts = F.size(verdicts), F.size(F.filter(verdicts, lambda v: ~v["continues"]))
     rules = F.concat(F.lit("rules "), F.floor(heuristic * 100 + 0.5).cast("string"), F.lit("% · model "))
-    why = F.when(F.coalesce(verdicts[0]["reason"], F.lit("")) != "", F.concat(F.lit(": "), verdicts[0]["reason"])).otherwise("")
+    why = F.when(F.coalesce(F.get(verdicts, F.lit(0))["reason"], F.lit("")) != "", F.concat(F.lit(": "), F.get(verdicts, F.lit(0))["reason"])).otherwise("")
     one = F.concat(F.when(doubts > 0, "doubted").otherwise("confirmed"), why)
     many = F.when(doubts > 0, F.concat(F.lit("doubted "), doubts.cast("string"), F.lit(" of "), n.cast("string"))).otherwise(F.concat(F.lit("confirmed all "), n.cast("string")))
     return F.when(n > 0, F.concat(rules, F.when(n == 1, one).otherwise(F.concat(many, F.lit(" page breaks")))))
