@@ -9,8 +9,9 @@ them), by stochastic gradient ascent on the likelihood. Text words are never fea
 language works.
 
 Null and empty pages have an empty text. A page is read forward once, so malformed pages cost no more than
-others: a tag that never ends is dropped with what follows it, as browsers do; a comment that never ends stops at its
-first ``>``; a quote that never ends is a plain character. White space is what Unicode calls so, no-break
+others: a tag that never ends is dropped with what follows it, as browsers do, and so is a script, style or other element of raw text; a
+drawing or list of choices without an end is only its tag; a comment that never ends stops at its
+first ``>``; a quote that never ends is a plain character. Formulas and the text that stands in for an object are text. White space is what Unicode calls so, no-break
 spaces included. Rows are treated one by one, so repeated rows, ties and other columns play no part; memory is
 bounded by one page.
 """
@@ -35,9 +36,13 @@ _STOP = re.compile("""[>"']""")
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 _WORDS = re.compile(r"[a-z]+")
 # Elements by how they are read.
-RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "object", "select", "head"}
+RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "select", "annotation", "annotation-xml", "head"}
+RAW_TO_END = {"script", "style", "noscript", "template", "iframe", "textarea", "title"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "br"}
+INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "br", "object"}
+INLINE |= set("math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mspace mpadded mphantom menclose mtable mtr mtd semantics".split())
+#: Elements that most pages have around everything, so that they tell nothing.
+AROUND_ALL = {"html", "body"}
 CLOSES_ITSELF = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
 P_STAYS_OPEN_IN = INLINE | {"input", "button"}
 #: Elements inside elements up to which they are kept apart; deeper ones count as their ancestor at this depth.
@@ -121,7 +126,7 @@ def leaf_blocks(page: str) -> list[Block]:
         if "&" in text:
             text = html.unescape(text)
         if where is None and not text.isspace():
-            where = (tuple(t for t, _ in stack if t not in INLINE), tuple(w for _, ws in stack for w in ws))
+            where = (tuple(t for t, _ in stack if t not in INLINE and t not in AROUND_ALL), tuple(w for _, ws in stack for w in ws))
         parts.append(text)
         if in_link:
             linked += len(text)
@@ -167,9 +172,9 @@ def leaf_blocks(page: str) -> list[Block]:
                 if found:
                     at = found.start() if found[0][1] != "/" else found.end()
                 continue
-            if not attributes.endswith("/") or name not in {"svg", "math"}:
+            if not attributes.endswith("/") or name != "svg":
                 found = reader.past(rf"</{name}\s*>", at)
-                at = found.end() if found else n
+                at = found.end() if found else n if name in RAW_TO_END else at
             continue
         if name == "br":
             add(" ")
@@ -204,11 +209,28 @@ def leaf_blocks(page: str) -> list[Block]:
     return out
 
 
+def _size(block: Block) -> int:
+    return min(6, int(math.log2(len(block.text) + 1)) // 2)
+
+
+def chain_features(blocks: list[Block]) -> list[list[str]]:
+    """The features of each block of a page: its own, its neighbours' sizes, and which of the page's landmarks it lies outside of."""
+    marks = {t for b in blocks for t in b.tags} & {"article", "main"}
+    out = []
+    for i, b in enumerate(blocks):
+        own = features(b)
+        own += [f"out:{t}" for t in marks if t not in b.tags]
+        own.append(f"before:{_size(blocks[i - 1])}" if i else "first")
+        own.append(f"after:{_size(blocks[i + 1])}" if i + 1 < len(blocks) else "last")
+        out.append(own)
+    return out
+
+
 def features(block: Block) -> list[str]:
     """Ancestor-tag, class-word and text features of a block."""
     text, n = block.text, len(block.text)
     share = block.linked / n if n else 0
-    out = ["bias", f"size{min(6, int(math.log2(n + 1)) // 2)}", f"links{int(share * 3 + 0.5)}"]
+    out = ["bias", f"size{_size(block)}", f"links{int(share * 3 + 0.5)}"]
     out += {f"t:{t}" for t in block.tags}
     out += {f"w:{w}" for w in block.words}
     if block.tags:
@@ -287,10 +309,12 @@ ASIDE_NAMES = {
     "form": "form newsletter subscribe signup login search share social sharing buttons follow",
     "talk": "comments comment discussion replies reply respond disqus thread reviews responses",
 }
+CHAPTER_NAMES = "chapter section part intro introduction background method results conclusion summary".split()
+WRAPPER_NAMES = "wrapper container layout page site row column grid inner outer wrap".split()
 ARTICLE_NAMES = "article content post entry story main body text page hentry single prose primary".split()
 
 
-def labelled_pages(n: int = 400, seed: int = 7) -> Iterator[tuple[str, list[int]]]:
+def labelled_pages(n: int = 700, seed: int = 7) -> Iterator[tuple[str, list[int]]]:
     """Pages with the label of each leaf block, over many layouts; deterministic."""
     rng = random.Random(seed)
 
@@ -325,58 +349,92 @@ def labelled_pages(n: int = 400, seed: int = 7) -> Iterator[tuple[str, list[int]
         elif kind == "head":
             inner, blocks = rng.choice([f"<h1>{sentence(1, 5, False)}</h1>", f"<div>{sentence(1, 5, False)}</div>"]), 1
         else:
-            k = rng.randint(1, 2)
-            inner, blocks = (sentence(3, 25), 1) if k == 1 else (f"<p>{sentence(3, 25)}</p><p>{link(1, 5)}</p>", 2)
+            inner, blocks = rng.choice([(sentence(1, 25, rng.random() < 0.6), 1), (f"<p>{sentence(3, 25)}</p><p>{link(1, 5)}</p>", 2), (f"<p>{sentence(1, 4, False)} {link(1, 3)}</p>", 1)])
         return f"<{tag}{named}>{inner}</{tag}>", blocks
 
-    def body() -> tuple[str, int]:
+    def body(bare: bool, first: bool, paragraph: str) -> tuple[str, int]:
         out, k = "", 0
-        if rng.random() < 0.9:
+        if rng.random() < (0.1 if not first else 0.4 if bare else 0.9):
             out, k = f"<h1>{sentence(2, 12, rng.random() < 0.6)}</h1>", 1
-        for _ in range(rng.randint(1, 9)):
+        for _ in range(rng.randint(1, 2 if bare else 9)):
             x = rng.random()
             if x < 0.78:
                 t = sentence(1, 80) if rng.random() < 0.8 else sentence(1, 6)
                 if rng.random() < 0.2:
                     t += " " + link() + " " + sentence(1, 9)
-                out, k = out + f"<p>{t}</p>", k + 1
+                out, k = out + f"<{paragraph}>{t}</{paragraph}>", k + 1
             elif x < 0.85:
                 out, k = out + f"<h2>{sentence(1, 8, False)}</h2>", k + 1
             elif x < 0.9:
                 out, k = out + f"<blockquote>{sentence(5, 30)}</blockquote>", k + 1
-            elif x < 0.95:
+            elif x < 0.92:
+                out, k = out + f"<figure><img src=x><figcaption>{sentence(2, 15)}</figcaption></figure>", k + 1
+            elif x < 0.94:
+                out, k = out + f"<table><tr><th>{sentence(1, 3, False)}</th><td>{sentence(1, 6, False)}</td></tr></table>", k + 2
+            elif x < 0.97:
                 m = rng.randint(2, 4)
                 out, k = out + "<ul>" + "".join(f"<li>{sentence(2, 12)}</li>" for _ in range(m)) + "</ul>", k + m
             else:
                 out, k = out + f"<pre>{sentence(3, 20)}</pre>", k + 1
         return out, k
 
+    def opened() -> tuple[str, str]:
+        """The elements around an article, as sites have them; sections may be any part of it."""
+        x, name = rng.random(), f' class="{rng.choice(ARTICLE_NAMES)}"'
+        if x < 0.3:
+            inner = [f"article{name if rng.random() < 0.3 else ''}"]
+        elif x < 0.42:
+            inner = ["main"]
+        elif x < 0.5:
+            inner = ["main", "article"]
+        elif x < 0.68:
+            inner = [f"div{name}" if rng.random() < 0.7 else f'div id="{rng.choice(ARTICLE_NAMES)}"']
+        elif x < 0.78:
+            inner = ["div"]
+        elif x < 0.9:
+            inner = [rng.choice(["section", f"section{name}", "section"])]
+            if rng.random() < 0.5:
+                inner.insert(0, rng.choice(["main", "div", f"div{name}"]))
+        else:
+            inner = []
+        if rng.random() < 0.3:
+            inner.insert(0, rng.choice(["div", f'div class="{rng.choice(WRAPPER_NAMES)}"', f'div id="{rng.choice(WRAPPER_NAMES)}"']))
+        return "".join(f"<{t}>" for t in inner), "".join(f"</{t.split()[0]}>" for t in reversed(inner))
+
     for _ in range(n):
-        page, labels = "<!DOCTYPE html><html><head><title>x</title></head><body>", []
+        whole, bare = rng.random(), rng.random() < 0.15  # a short page, with little or nothing around the article
+        page, labels = "<!DOCTYPE html><html><head><title>x</title></head><body>" if whole < 0.8 else "<html>" if whole < 0.85 else "<body>" if whole < 0.9 else "", []
 
         def put(kinds: list[str], chance: float) -> None:
             nonlocal page
             for kind in kinds:
-                if rng.random() < chance:
+                if rng.random() < (chance / 6 if bare else chance):
                     text, k = other(kind)
                     page += text
                     labels.extend([0] * k)
 
+        paragraph = "div" if rng.random() < 0.2 else "p"
+        # one element around the whole page
+        around = rng.choice(WRAPPER_NAMES) if rng.random() < 0.2 else ""
+        if around:
+            page += f'<div class="{around}">' if rng.random() < 0.5 else f'<div id="{around}">'
         put(["note", "head", "nav", "ad", "side", "form"], 0.45)
-        shape = rng.random()
-        open_, close = ("<article>", "</article>") if shape < 0.45 else ("<main>", "</main>") if shape < 0.6 else (f'<div class="{rng.choice(ARTICLE_NAMES)}">', "</div>") if shape < 0.9 else ("<div>", "</div>")
+        open_, close = opened()
         page += open_
-        for part in range(rng.randint(1, 3)):
+        chapters = rng.random() < 0.3
+        for part in range(1 if bare else rng.randint(1, 4)):
             if part:
-                put(["ad", "side", "form", "note"], 0.2)
-            text, k = body()
+                put(["ad", "side", "form", "note"], 0.25)
+            text, k = body(bare, not part, paragraph)
+            if chapters and (part or rng.random() < 0.5):
+                text = rng.choice([f"<section>{text}</section>", f'<section class="{rng.choice(CHAPTER_NAMES)}">{text}</section>', f'<section id="{rng.choice(CHAPTER_NAMES)}">{text}</section>'])
             page += text
             labels.extend([1] * k)
-        if rng.random() < 0.3:
-            put(["talk", "form", "side"], 0.5)
+        if rng.random() < 0.35:
+            put(["talk", "form", "side", "ad"], 0.5)
         page += close
         put(["talk", "side", "ad", "form", "nav", "foot"], 0.5)
-        yield page + ("</body></html>" if rng.random() < 0.9 else ""), labels
+        yield page + ("</div>" if around else "") + ("</body></html>" if whole < 0.8 and rng.random() < 0.9 else ""), labels
 
 
 def train(pages: Iterator[tuple[str, list[int]]] | None = None, rounds: int = 12, rate: float = 0.15, shrink: float = 1e-4, seed: int = 3) -> Field:
@@ -387,7 +445,7 @@ def train(pages: Iterator[tuple[str, list[int]]] | None = None, rounds: int = 12
         if len(blocks) != len(labels):
             raise ValueError(f"{len(labels)} labels for {len(blocks)} blocks")
         if blocks:
-            chains.append(([features(b) for b in blocks], labels))
+            chains.append((chain_features(blocks), labels))
     field, rng = Field(), random.Random(seed)
     for k in range(rounds):
         rng.shuffle(chains)
@@ -400,7 +458,7 @@ def train(pages: Iterator[tuple[str, list[int]]] | None = None, rounds: int = 12
 def main_text(page: str, field: Field) -> str:
     """The article's blocks, one a line."""
     blocks = leaf_blocks(page)
-    return "\n".join(b.text for b, y in zip(blocks, field.decode([features(b) for b in blocks]), strict=True) if y)
+    return "\n".join(b.text for b, y in zip(blocks, field.decode(chain_features(blocks)), strict=True) if y)
 
 
 def extract(pages: DataFrame, field: Field | None = None, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
