@@ -29,6 +29,8 @@ from .common import bounded_batches, mapped, texts_of
 # Letters, numbers and white space among the first 256 characters, for the fast splitter.
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\\t-\\r \x85\xa0"
 _FAST = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+# Fixed value: the pattern that the fast splitter stands for; another pattern is always taken at its word.
+_FAST_FOR = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _WIDE = re.compile("[^\x00-\xff]")
 
 
@@ -58,7 +60,7 @@ class Replay:
         self.memory: dict[str, list[int]] = {}
 
     def split(self, text: str) -> list[str]:
-        if not _WIDE.search(text):
+        if self.pattern == _FAST_FOR and not _WIDE.search(text):
             return _FAST.findall(text)
         if "p" not in self.splitters:
             import regex

@@ -2,11 +2,11 @@
 
 A text over ``chunk`` characters is encoded in overlapping chunks with token offsets. Two
 neighbours are spliced at a boundary that both have in their overlap and that is proven
-stable: a space that follows a character other than a space, where no piece of the
-vocabulary holds a space after another character, so no merge can ever span it. (The
-proof is checked against the vocabulary when the model is loaded.) If the overlap holds no
-such common boundary, the right chunk starts further left, twice as far each time, until one is
-found or the chunk before is taken in whole; so counts are always those of the library. The library
+stable: two characters that no piece of the vocabulary holds side by side, so no merge can ever
+span it (the pairs that do occur are read from the vocabulary). A space after another character is one, and so are most
+places in writing without spaces. If the overlap holds no such common boundary, the right chunk starts further left, twice as far
+each time, until one is found or the chunk before is taken in whole, which then doubles; so counts are always those of the
+library, and the work follows the length of the text. The library
 writes a space as U+2581, so that character is a space from the start here. A chunk whose tokens' widths do not
 add up to its bytes (another normaliser, say) has no offsets to trust: its text is encoded as one.
 
@@ -38,12 +38,13 @@ class PieceCounter:
         self.chunk, self.overlap = chunk, overlap
         pieces = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())]
         plain = [p for i, p in enumerate(pieces) if not (self.sp.is_control(i) or self.sp.is_unknown(i) or self.sp.is_byte(i))]
-        self.stable = all(SPACE not in p.lstrip(SPACE) for p in plain)
+        # no piece goes on from a character to another unless some piece has the two side by side: there every text can be cut
+        self.bound = {p[i : i + 2].replace(SPACE, " ") for p in plain for i in range(len(p) - 1)}
         # UTF-8 bytes of the text that a token stands for; a byte token stands for one
         self.width = np.array([1 if self.sp.is_byte(i) else 0 if self.sp.is_control(i) else len(p.replace(SPACE, " ").encode()) for i, p in enumerate(pieces)], np.int64)
         # one space is put before a text, and white space is kept as it is; otherwise offsets would mean something else
         probe = "a  b\nc é\U0001f600 "
-        self.exact = self.stable and all(int(self.width[self.sp.encode(t)].sum()) == len(t.encode()) + 1 for t in (probe, probe[1:], probe[3:]))
+        self.exact = all(int(self.width[self.sp.encode(t)].sum()) == len(t.encode()) + 1 for t in (probe, probe[1:], probe[3:]))
 
     def ends(self, text: str) -> np.ndarray:
         """The byte offset in ``text`` where each of its tokens ends."""
@@ -77,8 +78,8 @@ class PieceCounter:
                 if at is not None or left <= begin:
                     break
                 back *= 2  # widened
-            if at is None:  # no stable boundary between begin and stop: the chunk grows to the right
-                chunk = text[start : stop + self.chunk]
+            if at is None:  # no stable boundary between begin and stop: the chunk doubles, so all attempts together cost a few times the text
+                chunk = text[start : stop + len(chunk)]
                 ends = self.ends(chunk)
                 continue
             cut = len(text[start:at].encode())
@@ -90,12 +91,8 @@ class PieceCounter:
 
     def splice(self, text: str, start: int, chunk: str, ends: np.ndarray, left: int, right: str, right_ends: np.ndarray, stop: int) -> int | None:
         """The last stable boundary inside the overlap at which tokens of both chunks meet."""
-        at = stop - 1
-        while at > left + 1:
-            at = text.rfind(" ", left + 1, at)
-            if at < 0:
-                return None
-            if text[at - 1] != " ":
+        for at in range(stop - 1, left + 1, -1):
+            if text[at - 1 : at + 1] not in self.bound:
                 a, b = len(text[start:at].encode()), len(text[left:at].encode())
                 if ends[min(len(ends) - 1, np.searchsorted(ends, a))] == a and right_ends[min(len(right_ends) - 1, np.searchsorted(right_ends, b))] == b:
                     return at
