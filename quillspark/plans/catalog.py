@@ -14,6 +14,7 @@ from ..operators.components import connected_components
 from ..operators.filters import SearchFilter, compile_filter, table_query
 from ..session import Scratch, table
 from ..streaming import archive, processors
+from . import search_sql
 from .views import customer_documents, event_scans, folders, order_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,7 +40,7 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-_QUERY, _MIN = '"the of" or thand -breakage', 0.2
+_MIN = 0.2
 
 
 @registered("SELECT o_orderkey AS id, o_totalprice AS total FROM orders ORDER BY o_orderdate DESC NULLS LAST, o_orderkey DESC LIMIT 51 OFFSET 100")
@@ -231,22 +232,23 @@ def docs_by_best_passage(spark: SparkSession, sf: str) -> DataFrame:
     return search.by_best_passage(passages, "l_orderkey", "l_extendedprice", "l_linenumber", "content").select(F.col("l_orderkey").alias("document_id"), F.col("content").alias("best"), F.col("l_extendedprice").alias("score"))
 
 
-@registered()
+@registered(search_sql.CHUNKS)
 def chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "documents").select("doc_id", F.posexplode(tx.passages_udf("text", F.lit("text/plain"), F.lit("plain"))).alias("position", "p"))
     return rows.select("doc_id", "position", "p.heading", "p.content")
 
 
-@registered()
+@registered(search_sql.hybrid("the", "thand", _MIN))
 def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
-    """Indexes all documents once (passages, embedded with their titles), then searches: meaning, words and titles, fused."""
-    query = "the breakage of thand"
+    """Indexes all documents (passages, embedded with their titles, and their words), then searches: meaning, words and titles, fused."""
+    query = "the thand"
     title = F.trim(F.substring_index(F.substring_index("text", ".", 1), "\n", 1))
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), title.alias("title"), "text", F.lit("text/plain").alias("mime_type"), F.lit("plain").alias("content_format"))
     index = Scratch(spark).result(search.index_documents(docs, None, tx.embedder()), "passages")
     chunks = index.select(F.struct("document_id", "position").alias("id"), "document_id", "content", "embedding")
     words = Scratch(spark).result(postings.index_words(chunks), "postings")
-    return search.hybrid_search(docs.select("id", "title"), chunks, query, tx.hash_embedding(query), min_cosine=_MIN, postings=words)
+    found = search.hybrid_search(docs.select("id", "title"), chunks, query, tx.hash_embedding(query), min_cosine=_MIN, postings=words)
+    return found.select("document_id", F.round("score", 9).alias("score"), "snippet")
 
 
 FLAGSHIP = hybrid_search
