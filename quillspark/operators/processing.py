@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import Scratch
+
 # The steps in their order.
 STEPS = ("inspect", "text", "ocr", "pdf-text", "ebook", "vision", "metadata", "index", "thumbnail")
 DONE = ("succeeded", "skipped")
@@ -97,3 +102,53 @@ def import_progress(entries: DataFrame, key: str = "job_id") -> DataFrame:
     """(job, total, imported, skipped, failed, finished): where each import stands; ``action`` is null while an entry waits."""
     count = lambda a: F.count_if(F.col("action") == a).alias(a)
     return entries.groupBy(key).agg(F.count("*").alias("total"), count("imported"), count("skipped"), count("failed"), F.bool_and(F.col("action").isNotNull()).alias("finished"))
+
+
+@dataclass(frozen=True)
+class Step:
+    """One stage of the processing of documents: over which it runs, and what it makes of them.
+
+    ``enabled`` is a predicate over documents as earlier steps left them; the others skip the step. ``run`` takes the documents and returns
+    them with the columns that it fills changed, and, if it can fail, a column ``error``, null where it did not. A step
+    that ``extracts_text`` is skipped for documents that are merged from finished ones.
+    """
+
+    name: str
+    enabled: Callable[[], Column]
+    run: Callable[[DataFrame], DataFrame]
+    extracts_text: bool = False
+
+
+def run_steps(documents: DataFrame, steps: list[Step], done: DataFrame | None = None, merged: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents, outcomes) after all steps in order; outcomes are (document_id, step, position, status, error).
+
+    A document whose step fails stays as it was before it and is not touched by later steps, which have no outcome for it. What ``done``
+    (document_id, step, status) tells as succeeded or skipped is not run again, so a second call picks up what failed. ``merged`` says which
+    documents came by a merge and have their text. Each step's rows are written before the next one runs, so none runs twice.
+    """
+    columns = documents.columns
+    scratch, now = Scratch(documents.sparkSession), documents.withColumn("__failed", F.lit(False))
+    outcomes = None
+    for position, step in enumerate(steps):
+        if done is not None:
+            past = done.filter((F.col("step") == step.name) & F.col("status").isin(*DONE)).select(F.col("document_id").alias("__past")).distinct()
+            now = now.join(past, F.col("id") == F.col("__past"), "left")
+        else:
+            now = now.withColumn("__past", F.lit(None).cast(documents.schema["id"].dataType))
+        waits = ~F.col("__failed") & F.col("__past").isNull()
+        on = F.coalesce(step.enabled(), F.lit(False))
+        if step.extracts_text and merged is not None:
+            on = on & ~F.coalesce(merged, F.lit(False))
+        here = scratch.result(now.withColumn("__do", F.when(waits, F.when(on, "run").otherwise("skip"))).drop("__past"), step.name)
+        before = here.filter("__do = 'run'").select(*columns)
+        made = step.run(before)
+        made = scratch.result(made if "error" in made.columns else made.withColumn("error", F.lit(None).cast("string")), step.name)
+        told = made.select(F.col("id").alias("document_id"), F.when(F.col("error").isNull(), "succeeded").otherwise("failed").alias("status"), "error")
+        told = told.unionByName(here.filter("__do = 'skip'").select(F.col("id").alias("document_id"), F.lit("skipped").alias("status"), F.lit(None).cast("string").alias("error")))
+        told = told.select("document_id", F.lit(step.name).alias("step"), F.lit(position).alias("position"), "status", "error")
+        outcomes = told if outcomes is None else outcomes.unionByName(told)
+        good = made.filter("error is null").select(*columns, F.lit(False).alias("__failed"))
+        bad = before.join(made.filter("error is not null").select("id"), "id", "left_semi").select(*columns, F.lit(True).alias("__failed"))
+        rest = here.filter("__do is null or __do = 'skip'").select(*columns, "__failed")
+        now = rest.unionByName(good).unionByName(bad)
+    return now.select(*columns), outcomes

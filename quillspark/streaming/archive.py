@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..settings import ARCHIVE
 
@@ -69,3 +70,41 @@ def rate_limited(events: DataFrame, key: str, time: str, order: list[str], most:
 def fold_events(events: DataFrame, key: str, time: str, kind: str, id_col: str) -> DataFrame:
     """(key, last_kind, first_at, last_at, n): the state that a key's events, in order, leave behind."""
     return events.groupBy(key).agg(F.max_by(kind, F.struct(time, id_col)).alias("last_kind"), F.min(time).alias("first_at"), F.max(time).alias("last_at"), F.count("*").alias("n"))
+
+
+def observed_import(entries: DataFrame, job: str) -> DataFrame:
+    """A stream or table of import entries (action) that tells, as it runs, how many have been imported, skipped and failed."""
+    count = lambda a: F.count_if(F.col("action") == a).alias(a)
+    return entries.observe(f"import:{job}", F.count(F.lit(1)).alias("seen"), count("imported"), count("skipped"), count("failed"))
+
+
+class ImportProgress(StreamingQueryListener):
+    """Where running imports stand: add it to ``spark.streams``, and ask ``of(job)`` at any time. Counts are added up batch by batch;
+    a batch that is told twice counts once, and what a restarted query did before its restart is told by the caller."""
+
+    def __init__(self):
+        self.batches: dict[str, dict[tuple[str, int], dict[str, int]]] = {}
+        self.ended: set[str] = set()
+        self.running: dict[str, set[str]] = {}
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        progress = event.progress
+        for name, row in progress.observedMetrics.items():
+            if name.startswith("import:"):
+                job = name.removeprefix("import:")
+                self.batches.setdefault(job, {})[str(progress.id), progress.batchId] = row.asDict()
+                self.running.setdefault(str(progress.id), set()).add(job)
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        if event.exception is None:
+            self.ended |= self.running.get(str(event.id), set())
+
+    def of(self, job: str) -> dict[str, int | bool]:
+        rows = list(self.batches.get(job, {}).values())
+        return {k: sum(r[k] for r in rows) for k in ("seen", "imported", "skipped", "failed")} | {"finished": job in self.ended}

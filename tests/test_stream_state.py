@@ -181,3 +181,55 @@ def test_rescoring_leaves_other_users_alone(spark, scans):
     assert after == {"k": "v", "u1,u2,u3": "u"}
     groups = linkage.merge_groups(scans)
     assert sorted(r.k for r in groups.select(suggestions.member_key(F.col("document_ids")).alias("k")).collect()) == ["u1,u2,u3", "v1,v2,v3"]
+
+
+def test_an_import_tells_where_it_stands(spark, tmp_path):
+    import time
+
+    from quillspark.streaming.archive import ImportProgress, observed_import
+
+    source = tmp_path / "entries"
+    listener = ImportProgress()
+    spark.streams.addListener(listener)
+    try:
+        for i, actions in enumerate((["imported", "imported", "failed"], ["skipped", "imported"])):
+            spark.createDataFrame([(a,) for a in actions], "action string").coalesce(1).write.mode("append").parquet(str(source))
+            if i == 0:
+                stream = spark.readStream.schema("action string").parquet(str(source))
+                query = observed_import(stream, "j1").writeStream.format("noop").option("checkpointLocation", str(tmp_path / "import-state")).start()
+            query.processAllAvailable()
+            until = time.time() + 20
+            while listener.of("j1")["seen"] < (3, 5)[i] and time.time() < until:
+                time.sleep(0.2)
+            assert listener.of("j1") == ({"seen": 3, "imported": 2, "skipped": 0, "failed": 1, "finished": False}, {"seen": 5, "imported": 3, "skipped": 1, "failed": 1, "finished": False})[i]
+        query.stop()
+        until = time.time() + 20
+        while not listener.of("j1")["finished"] and time.time() < until:
+            time.sleep(0.2)
+        assert listener.of("j1")["finished"] and listener.of("other")["seen"] == 0
+    finally:
+        spark.streams.removeListener(listener)
+
+
+def test_steps_run_in_order_and_pick_up_what_failed(spark):
+    docs = spark.createDataFrame([("a", "text/plain", "one", None), ("b", "text/plain", "bad", None), ("c", "image/png", None, None), ("d", "text/plain", "two", "kept")], "id string, mime string, body string, text string")
+    runs = []
+
+    def text(df):
+        runs.append("text")
+        return df.withColumn("error", F.when(F.col("body") == "bad", "unreadable")).withColumn("text", F.upper("body"))
+
+    steps = [
+        processing.Step("inspect", lambda: F.lit(True), lambda df: df.withColumn("body", F.trim("body"))),
+        processing.Step("text", lambda: F.col("mime") == "text/plain", text, extracts_text=True),
+        processing.Step("index", lambda: F.col("text").isNotNull(), lambda df: df.withColumn("body", F.concat("text", F.lit("!")))),
+    ]
+    after, outcomes = processing.run_steps(docs, steps, merged=F.col("id") == "d")
+    assert sorted(tuple(r) for r in after.collect()) == [("a", "text/plain", "ONE!", "ONE"), ("b", "text/plain", "bad", None), ("c", "image/png", None, None), ("d", "text/plain", "kept!", "kept")]
+    told = {(r.document_id, r.step): (r.status, r.error) for r in outcomes.collect()}
+    assert told[("a", "text")] == ("succeeded", None) and told[("b", "text")] == ("failed", "unreadable") and ("b", "index") not in told
+    assert told[("c", "text")] == ("skipped", None) == told[("c", "index")] and told[("d", "text")] == ("skipped", None) and told[("d", "index")] == ("succeeded", None)
+    mended = after.withColumn("body", F.when(F.col("id") == "b", "good").otherwise(F.col("body")))
+    again, more = processing.run_steps(mended, steps, done=outcomes)
+    assert sorted((r.document_id, r.step, r.status) for r in more.collect()) == [("b", "index", "succeeded"), ("b", "text", "succeeded")]
+    assert {r.id: r.text for r in again.collect()}["b"] == "GOOD"
