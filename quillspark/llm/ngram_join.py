@@ -319,7 +319,8 @@ class DivideSkip:
     def merge_short(self, short: np.ndarray, low: int, high: int, least: int) -> tuple[np.ndarray, np.ndarray]:
         """The documents from low up to, not including, high that stand on ``least`` of the short lists, and on how many, most first.
 
-        A heap merge; where the lists hold more than HEAP_POSTINGS, counters that give the same.
+        A heap merge; where the lists hold more than HEAP_POSTINGS, they are sorted together or counted, whichever costs less: either
+        follows the postings in reach, not the number of documents.
         """
         spans = [(int(self.ends[t] - self.lengths[t]), int(self.ends[t])) for t in short.tolist()]
         if sum(b - a for a, b in spans) <= HEAP_POSTINGS:
@@ -327,9 +328,17 @@ class DivideSkip:
             found = [(d, n) for d, own in itertools.groupby(merged) if low <= d < high and (n := sum(1 for _ in own)) >= least]
             docs, counts = np.array([d for d, _ in found], np.int64), np.array([n for _, n in found], np.int64)
         else:
-            seen = np.bincount(np.concatenate([self.lists[a:b] for a, b in spans]), minlength=high)[low:high]
-            docs = np.flatnonzero(seen >= least)
-            counts, docs = seen[docs], docs + low
+            own = (self.lists[a:b] for a, b in spans)
+            held = np.concatenate([x[np.searchsorted(x, low) : np.searchsorted(x, high)] for x in own])
+            if len(held) * 8 < high - low:
+                held.sort()
+                heads = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]])) if len(held) else np.zeros(0, np.int64)
+                docs, counts = held[heads], np.diff(np.append(heads, len(held)))
+                docs, counts = docs[counts >= least], counts[counts >= least]
+            else:
+                seen = np.bincount(held - low, minlength=high - low)
+                docs = np.flatnonzero(seen >= least)
+                counts, docs = seen[docs], docs + low
         order = np.argsort(-counts, kind="stable")
         return docs[order], counts[order]
 
