@@ -251,4 +251,4 @@ def folder_name_ok(name: Column) -> Column:
 
 
 def normal_path(path: Column) -> Column:
-    return F.array_join(F.filter(F.transform(F.split(path, "/"), F.trim), lambda p: p != ""), "/")
+    return F.array_join(F.filter(F.transform(F.split(path, "/"), lambda p: F.trim(p)), lambda p: p != ""), "/")
