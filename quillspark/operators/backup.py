@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.decode import safe_name
@@ -147,11 +147,12 @@ def manifest_documents(plan: DataFrame, tree: DataFrame) -> DataFrame:
 def import_plan(manifest: DataFrame, files: DataFrame, existing: DataFrame) -> DataFrame:
     """(path, action): skipped if the checksum is filed, failed if the file is missing or differs, else imported.
 
-    ``files`` has path and content; of equal files in one backup the first path is imported.
+    ``files`` has path and content; of equal files in one backup the first path is imported. Paths are unique. The first path of a checksum
+    is found by an aggregate, so a file that very many copies have is no task of its own.
     """
     have = files.select("path", F.sha2("content", 256).alias("actual"))
     known = existing.select(F.col("checksum_sha256").alias("known")).distinct()
     rows = manifest.join(have, "path", "left").join(known, F.col("checksum_sha256") == F.col("known"), "left")
-    first = F.row_number().over(Window.partitionBy("checksum_sha256").orderBy("path"))
-    action = F.when(F.col("known").isNotNull(), "skipped").when(F.col("actual").isNull() | (F.col("actual") != F.col("checksum_sha256")), "failed").when(F.col("__n") > 1, "skipped").otherwise("imported")
-    return rows.withColumn("__n", first).select("path", action.alias("action"))
+    firsts = manifest.groupBy("checksum_sha256").agg(F.min("path").alias("path")).select("path", F.lit(True).alias("__first"))
+    action = F.when(F.col("known").isNotNull(), "skipped").when(F.col("actual").isNull() | (F.col("actual") != F.col("checksum_sha256")), "failed").when(F.col("__first").isNull(), "skipped").otherwise("imported")
+    return rows.join(firsts, "path", "left").select("path", action.alias("action"))
