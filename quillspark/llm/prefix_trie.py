@@ -14,7 +14,8 @@ A node is a distinct sequence of first turns; its members are the conversations
 
 Turns stand in the order of their number, null first; turns of one number in the order of their digests. A null role or text is empty.
 Rows without conv_id belong to no conversation and are left out; repeated rows are repeated turns. Other columns are not read. A table
-without conversations has no nodes, not even a root. A conversation's digests are one row (40 bytes a turn).
+without conversations has no nodes, not even a root. A conversation's digests are one row (40 bytes a turn), and up to ``few`` different
+conversations with one beginning, however long, are built in one task. A beginning that more of them share is divided turn by turn.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from .common import bounded_batches
 #: Turns of a subtrie that one task builds at most, and those that are never too many; the most nodes that are split: a larger
 #: input has larger subtries instead. Between these a subtrie may be as large as a partition is on average.
 LIMIT, LEAST, SPLIT = 100_000, 1000, 1_000_000
+#: Different conversations below a node up to which it is never split: their next turns would hardly divide them.
+FEW = 64
 #: Ids of a chunk share all bits but these.
 CHUNK_BITS = 12
 NODE = "conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends_sha256 string"
@@ -134,7 +137,7 @@ def _subtries(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"conv_id": least, "depth": depth, "parent_conv_id": above, "n_convs": n, "n_children": list(map(len, pointers)), "n_leaves": leaves, "saved_tokens": saved, "ends_sha256": ends, "up": up})
 
 
-def prefix_trie(turns: DataFrame, limit: int | None = None) -> DataFrame:
+def prefix_trie(turns: DataFrame, limit: int | None = None, few: int = FEW) -> DataFrame:
     """One row for each node (see ``NODE``): conv_id is its smallest member, whose turn ``depth`` is the node's last.
 
     ``turns`` is what ``conversation_turns`` gives. n_leaves counts the childless nodes of the subtree, saved_tokens sums
@@ -151,7 +154,7 @@ def prefix_trie(turns: DataFrame, limit: int | None = None) -> DataFrame:
         while True:
             keyed = rest.select("*", prefix_key(level).alias("key"), prefix_key(level - 1).alias("up"), F.lit(level).alias("level"))
             weight = F.sum(F.size("digests") - (level - 1))
-            big = keyed.groupBy("key").agg(weight.alias("weight"), F.any_value("up").alias("up"), F.any_value(F.col("chars")[level - 1]).alias("size")).filter(F.col("weight") > limit)
+            big = keyed.groupBy("key").agg(weight.alias("weight"), F.any_value("up").alias("up"), F.any_value(F.col("chars")[level - 1]).alias("size"), F.count("*").alias("paths")).filter((F.col("weight") > limit) & (F.col("paths") > few)).drop("paths")
             big = scratch.keep(big, "split")
             if big.isEmpty():
                 dealt.append(keyed)
