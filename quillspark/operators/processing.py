@@ -38,17 +38,20 @@ def step_status(steps: list[tuple[int, str, str, str | None, int]]) -> tuple[str
     return status, next_step, sum(r[2] in DONE for r in rows), sum(r[4] for r in rows), next((r[3] for r in rows if r[2] == "failed"), None)
 
 
-def fold_step_events(events: DataFrame, names: tuple[str, ...] = STEPS) -> DataFrame:
+def fold_step_events(events: DataFrame, names: tuple[str, ...] = STEPS, place: str | None = None) -> DataFrame:
     """(document_id, status, next_step, done, attempts, error) of a table of step events, see ``streaming.processors.step_stream``.
 
-    Of a step's events the last by (at, seq) decides; a plan is an event of every step.
+    Of a step's events the last by (at, seq) decides, of equal ones the first by the column ``place`` (without it, the least
+    by status and error); a plan is an event of every step.
     """
+    first = F.col(place) if place else F.lit(0)
     order = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)])
     planned = F.transform(F.array(*[F.lit(n) for n in names]), lambda n: F.struct(n.alias("step"), F.when(F.array_contains("steps", n), "queued").otherwise("skipped").alias("status")))
     own = F.array(F.struct(F.col("step"), F.when(F.col("kind") == "started", "running").otherwise(F.col("kind")).alias("status")))
-    rows = events.select("document_id", "seq", "at", "error", F.explode(F.when(F.col("kind") == "planned", planned).otherwise(own)).alias("s")).select("document_id", "seq", "at", "error", "s.step", "s.status")
-    last = F.max_by(F.struct("status", F.when(F.col("status") == "failed", F.col("error")).alias("error")), F.struct("at", "seq"))
-    steps = rows.groupBy("document_id", "step").agg(last.alias("last"), F.count_if(F.col("status") == "running").alias("attempts"))
+    rows = events.select("document_id", "seq", "at", "error", first.alias("place"), F.explode(F.when(F.col("kind") == "planned", planned).otherwise(own)).alias("s")).select("document_id", "seq", "at", "error", "place", "s.step", "s.status")
+    told = F.struct("status", F.when(F.col("status") == "failed", F.col("error")).alias("error"))
+    once = rows.groupBy("document_id", "step", "at", "seq").agg(F.min_by(told, F.struct(F.col("place"), told)).alias("told"), F.count_if(F.col("status") == "running").alias("attempts"))
+    steps = once.groupBy("document_id", "step").agg(F.max_by("told", F.struct("at", "seq")).alias("last"), F.sum("attempts").alias("attempts"))
     flat = steps.select("document_id", "step", "last.status", "last.error", "attempts", F.coalesce(order[F.col("step")], F.lit(len(names))).alias("position"))
     error = F.min(F.when(F.col("status") == "failed", F.struct("position", "step", "error")))["error"]
     return fold_status(flat).join(flat.groupBy("document_id").agg(error.alias("error")), "document_id")

@@ -36,7 +36,7 @@ def _utc_ms(t: pd.Timestamp) -> int:
 class StepMachine(StatefulProcessor):
     """Folds the events of a document's steps as they come.
 
-    Of a step's events the one with the greatest (time, number) decides its status and error, whenever it arrives; every start counts as an
+    Of a step's events the one with the greatest (time, number) decides its status and error, whenever it arrives (of equal ones the first to arrive); every start counts as an
     attempt. So the state after any batch is that of a batch fold over all events so far, in whatever order they came.
     A document that has been ready for ``forget_s`` without an event is forgotten.
     """
@@ -57,7 +57,7 @@ class StepMachine(StatefulProcessor):
                     old = known.get(step) or [STEPS.index(step) if step in STEPS else len(STEPS), "queued", None, 0, None, -1]
                     attempts = old[3] + (kind == "running")
                     at = e.at.to_pydatetime()
-                    if old[4] is None or (at, e.seq) >= (old[4].replace(tzinfo=None), old[5]):
+                    if old[4] is None or (at, e.seq) > (old[4].replace(tzinfo=None), old[5]):
                         old = [old[0], kind, e.error if kind == "failed" else None, attempts, at, int(e.seq)]
                     else:
                         old[3] = attempts

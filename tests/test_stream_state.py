@@ -233,3 +233,29 @@ def test_steps_run_in_order_and_pick_up_what_failed(spark):
     again, more = processing.run_steps(mended, steps, done=outcomes)
     assert sorted((r.document_id, r.step, r.status) for r in more.collect()) == [("b", "index", "succeeded"), ("b", "text", "succeeded")]
     assert {r.id: r.text for r in again.collect()}["b"] == "GOOD"
+
+
+def test_of_events_with_one_time_and_number_the_first_counts(spark, tmp_path):
+    rows = [("d", 5, START, "text", "succeeded", None, None), ("d", 5, START, "text", "failed", "late", None), ("d", 5, START, "text", "started", None, None)]
+    for some in (rows, rows[::-1], [rows[1], rows[2], rows[0]]):
+        events = spark.createDataFrame([(*r, i) for i, r in enumerate(some)], f"{EVENT}, place int").repartition(3)
+        got = processing.fold_step_events(events, place="place").first()
+        first = {"succeeded": "ready", "failed": "failed", "started": "processing"}[some[0][4]]
+        assert (got["status"], got["attempts"]) == (first, 1)
+    out = fed(spark, tmp_path, "ties", [[r] for r in rows], EVENT, lambda s: processors.step_stream(s, late=None), mode="update")
+    assert [r.status for got in out for r in got] == ["ready"] * 3
+
+
+def test_step_events_of_line_items_that_tie(spark, tmp_path):
+    """Two files of lines with one time and number: the first line of the first file counts, whatever it says."""
+    from quillspark.plans import catalog
+
+    kinds = {"started": 0, "skipped": 1, "failed": 2, "succeeded": 4}
+    status = {"started": "processing", "skipped": "ready", "failed": "failed", "succeeded": "ready"}
+    orders = [(i, [a, b]) for i, (a, b) in enumerate((a, b) for a in kinds for b in kinds)]
+    line = lambda i, kind: (i, kinds[kind], 0, 2, START)
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_shipdate timestamp_ntz"
+    for n in range(2):
+        spark.createDataFrame([line(i, pair[n]) for i, pair in orders], schema).coalesce(1).write.parquet(str(tmp_path / f"lineitem.parquet/part={n}"))
+    got = {r.id: r.status for r in catalog.step_events(spark, str(tmp_path)).collect()}
+    assert got == {i: status[pair[0]] for i, pair in orders}
