@@ -259,3 +259,17 @@ def test_step_events_of_line_items_that_tie(spark, tmp_path):
         spark.createDataFrame([line(i, pair[n]) for i, pair in orders], schema).coalesce(1).write.parquet(str(tmp_path / f"lineitem.parquet/part={n}"))
     got = {r.id: r.status for r in catalog.step_events(spark, str(tmp_path)).collect()}
     assert got == {i: status[pair[0]] for i, pair in orders}
+
+
+def test_limits_go_by_the_nearest_millisecond(spark, tmp_path):
+    """The second attempt rounds up and the third down, so the wait is a whole number of seconds and not a second more or less."""
+    at = lambda us: START + dt.timedelta(microseconds=us)
+    rows = [("k", 1, at(0)), ("k", 2, at(1_000_400)), ("k", 3, at(1_000_600)), ("m", 1, at(600)), ("m", 2, at(1_000_600)), ("m", 3, at(1_001_499)), ("old", 1, dt.datetime(1969, 12, 31)), ("old", 2, dt.datetime(1969, 12, 31) + dt.timedelta(microseconds=500))]
+    schema = "key string, id long, at timestamp"
+    got = {(r.key, r.id): r.retry_after_s for r in processors.limited(spark.createDataFrame(rows, schema), most=1, window_s=10).collect()}
+    assert got == {("k", 1): None, ("k", 2): 9, ("k", 3): 9, ("m", 1): None, ("m", 2): 9, ("m", 3): 9, ("old", 1): None, ("old", 2): 10}
+    one = [("k", 1, at(600)), ("k", 2, at(1_000_499))]  # 1 ms and 1,000 ms: 9.001 s to wait, 10 whole ones; cut off it would be 9
+    out = fed(spark, tmp_path, "nearest", [one], schema, lambda s: processors.limited_stream(s, most=1, window_s=10))
+    assert [(r.id, r.retry_after_s) for r in out[0]] == [(1, None), (2, 10)]
+    table = processors.limited(spark.createDataFrame(one, schema), most=1, window_s=10).orderBy("id").collect()
+    assert [r.retry_after_s for r in table] == [None, 10]
