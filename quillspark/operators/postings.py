@@ -4,7 +4,7 @@ The index is a table of one row for each (term, block): the greatest number of t
 the passages with their places. A passage's block is the same for all terms. Blocks hold about ``BLOCK`` passages of about equal length, so
 that the long ones, in which words stand often, are together.
 
-A query reads its own terms' rows only (the table is sorted by term, so files and row groups without them are skipped). What a block can
+A query reads its own terms' rows only (each file is sorted by term, so row groups and pages without them are skipped). What a block can
 score at most follows from those numbers: a stretch that covers all words of a conjunction has its rarest word in it, and
 one place of a word is in as many shortest covers as there are words, at most. The blocks with the highest bounds are
 scored first; then those whose bound still reaches the k-th best score, and no others. The answer is that of a scan.
@@ -21,28 +21,39 @@ from .search import Term, cover_rank, covers_of_hits, matches, parse_query, rank
 
 #: Passages of a block.
 BLOCK = 128
-#: Size classes: four to each doubling of a passage's number of words, so a hundred or so at most.
+#: Size classes: four to each doubling of a passage's length, so a hundred or so at most.
 _CLASSES = 4
+#: Bytes of passages whose words one task gathers, and those below which it is not worth another task.
+PART_BYTES, LEAST_BYTES = 8 << 20, 1 << 18
 
 
 def index_words(passages: DataFrame, *, id_col: str = "id", document: str = "document_id", content: str = "content", block: int = BLOCK) -> DataFrame:
     """(term, block, most, entries array<struct<id, document_id, at>>) of passages; ``at`` counts words from 0.
 
-    Write the result as it is: it is sorted by term within its files, one range of terms each.
+    Write the result as it is: files hold whole blocks and are sorted by term. Only the passages themselves are shuffled, once, by
+    block; what their words come to is gathered where the block is.
     """
-    rows = passages.select(F.col(id_col).alias("id"), F.col(document).alias("document_id"), words(F.col(content)).alias("tokens")).filter(F.size("tokens") > 0)
-    rows = rows.withColumn("class", F.floor(F.log2(F.size("tokens")) * _CLASSES).cast("int"))
+    rows = passages.select(F.col(id_col).alias("id"), F.col(document).alias("document_id"), F.col(content).alias("content")).filter("content is not null")
+    rows = rows.withColumn("class", F.floor(F.log2(F.length("content") + 1) * _CLASSES).cast("int"))
     # one number for each class; there are no more classes than sizes double
-    sizes = {r["class"]: r["n"] for r in rows.groupBy("class").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["class"]: r for r in rows.groupBy("class").agg(F.count("*").alias("n"), F.sum(F.octet_length("content")).alias("bytes")).collect()}
     if not sizes:
         spread = F.lit(1)
     else:
-        spread = F.create_map(*[F.lit(x) for c, n in sizes.items() for x in (c, max(1, -(-n // block)))])[F.col("class")]
+        spread = F.create_map(*[F.lit(x) for c, r in sizes.items() for x in (c, max(1, -(-r["n"] // block)))])[F.col("class")]
+    size = sum(r["bytes"] for r in sizes.values())
+    # a task gathers no more than PART_BYTES; small tables are dealt out as far as it pays
+    parts = max(1, size // PART_BYTES, min(size // LEAST_BYTES, int(passages.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     number = F.shiftleft(F.col("class").cast("long"), 40) + F.pmod(F.xxhash64("id"), spread)
-    places = rows.select("id", "document_id", number.alias("block"), F.posexplode("tokens").alias("p", "term"))
-    entries = places.groupBy("term", "block", "id", "document_id").agg(F.array_sort(F.collect_list("p")).alias("at"))
-    packed = entries.groupBy("term", "block").agg(F.max(F.size("at")).alias("most"), F.collect_list(F.struct("id", "document_id", "at")).alias("entries"))
-    return packed.repartitionByRange("term", "block").sortWithinPartitions("term", "block")
+    dealt = rows.select(number.alias("block"), "id", "document_id", "content").repartition(parts, "block")
+    return _packed(dealt.select("block", "id", "document_id", F.posexplode(words(F.col("content"))).alias("p", "term")))
+
+
+def _packed(places: DataFrame) -> DataFrame:
+    """The rows of an index of (block, id, document_id, p, term), which lie together by block."""
+    entries = places.groupBy("block", "term", "id", "document_id").agg(F.array_sort(F.collect_list("p")).alias("at"))
+    packed = entries.groupBy("block", "term").agg(F.max(F.size("at")).alias("most"), F.collect_list(F.struct("id", "document_id", "at")).alias("entries"))
+    return packed.select("term", "block", "most", "entries").sortWithinPartitions("term", "block")
 
 
 def _bound(ways: list[list[str]]) -> Column:

@@ -87,3 +87,16 @@ def test_search_by_index_equals_search_by_scan(corpus, spark):
     index = postings.index_words(chunks)
     plain, fast = (search.hybrid_search(docs, chunks, "b c -rare", [1.0, 0.0], allowed=F.col("id") < 90, min_cosine=0.5, postings=p).collect() for p in (None, index))
     assert plain == fast and len(plain) == 20
+
+
+def test_only_passages_are_shuffled(corpus):
+    """One shuffle, of passages by block: no place of a word is dealt out, and a block's rows lie together."""
+    from quillspark.functions.text import words as tokens_of
+
+    index = postings.index_words(corpus, block=9)
+    executed = index._jdf.queryExecution().executedPlan().toString()
+    assert executed.count("Exchange hashpartitioning(block") == 1 and executed.count("hashpartitioning(") == 1 and "rangepartitioning(" not in executed
+    parts = index.select("block", F.spark_partition_id().alias("part")).distinct().groupBy("block").count()
+    assert parts.filter("count > 1").isEmpty()
+    places = index.select(F.explode("entries").alias("e")).agg(F.sum(F.size("e.at"))).first()[0]
+    assert places == corpus.agg(F.sum(F.size(tokens_of(F.coalesce("content", F.lit("")))))).first()[0]
