@@ -73,10 +73,14 @@ FIELDS = {
 SOURCES = ("extracted", "user")
 
 
-def _problem(value: Column, kind: str, path: str) -> Column:
-    """What is wrong with a field of a variant, or null."""
-    got = F.try_variant_get(value, f"$.{path}", "variant")
-    shape, text = F.schema_of_variant(got), F.try_variant_get(value, f"$.{path}", "string")
+def _read_field(value: Column, path: str) -> Column:
+    """A field of a variant as (shape, text): the shape is null where it is missing, VOID where it is null."""
+    return F.struct(F.schema_of_variant(F.try_variant_get(value, f"$.{path}", "variant")).alias("shape"), F.try_variant_get(value, f"$.{path}", "string").alias("text"))
+
+
+def _problem(field: Column, kind: str, path: str) -> Column:
+    """What is wrong with a field as ``_read_field`` gives it, or null."""
+    shape, text = field["shape"], field["text"]
     rules = {
         "string": (shape == "STRING", "is no text"),
         "path": ((shape == "STRING") & (text != ""), "is no text of one character or more"),
@@ -88,7 +92,12 @@ def _problem(value: Column, kind: str, path: str) -> Column:
     fits, complaint = rules[kind.rstrip("?")]
     if kind.endswith("?"):
         fits = fits | (shape == "VOID")
-    return F.when(got.isNull(), f"{path} is missing").when(~F.coalesce(fits, F.lit(False)), f"{path} {complaint}")
+    return F.when(shape.isNull(), f"{path} is missing").when(~F.coalesce(fits, F.lit(False)), f"{path} {complaint}")
+
+
+def _once(value: Column) -> Column:
+    """A column that is worked out once a row: a generator of one row, into which no later filter or column is merged."""
+    return F.explode(F.array(value))
 
 
 def read_manifests(manifests: DataFrame, format_name: str = FORMAT, version: int = VERSION) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -100,7 +109,7 @@ def read_manifests(manifests: DataFrame, format_name: str = FORMAT, version: int
     archive whose head is wrong. Unknown fields are left out.
     """
     schema = "format variant, version variant, exportedAt variant, folders array<variant>, documents array<variant>, _corrupt string"
-    read = manifests.select("archive", F.from_json(F.coalesce(F.col("text"), F.lit("")), schema, {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"}).alias("m")).select("archive", "m.*")
+    read = manifests.select("archive", _once(F.from_json(F.coalesce(F.col("text"), F.lit("")), schema, {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"})).alias("m")).select("archive", "m.*")
     text = lambda c: F.try_variant_get(c, "$", "string")
     is_ = lambda c, shape: F.coalesce(F.schema_of_variant(c) == shape, F.lit(False))
     head = F.array_compact(
@@ -113,17 +122,22 @@ def read_manifests(manifests: DataFrame, format_name: str = FORMAT, version: int
             F.when(F.col("documents").isNull(), "documents is no list"),
         )
     )
-    with_head = read.withColumn("__head", head)
-    good = with_head.filter(F.size("__head") == 0)
-    errors = with_head.select("archive", F.lit("manifest").alias("place"), F.explode(F.slice("__head", 1, 1)).alias("problem"))
-
-    def checked(name: str, fields: dict[str, str]) -> DataFrame:
-        rows = good.select("archive", F.posexplode(name).alias("n", "v"))
-        return rows.select("archive", F.concat(F.lit(f"{name}["), F.col("n").cast("string"), F.lit("]")).alias("place"), "v", F.array_compact(F.array(*[_problem(F.col("v"), kind, path) for path, kind in fields.items()])).alias("problems"))
-
-    docs, folders = checked("documents", FIELDS), checked("folders", {"path": "path", "mcpEnabled": "boolean"})
-    for rows in (docs, folders):
-        errors = errors.unionByName(rows.select("archive", "place", F.explode("problems").alias("problem")))
+    with_head = read.select("archive", "documents", "folders", _once(F.element_at(F.concat(head, F.array(F.lit(None).cast("string"))), 1)).alias("__head"))
+    # one list of all items of an archive, so that its text is read once: what is wrong with the head, or documents and folders
+    item = lambda kind, n, v: F.struct(F.lit(kind).alias("kind"), n.alias("n"), v.alias("v"))
+    listed = F.concat(F.transform("documents", lambda v, n: item("documents", n, v)), F.transform("folders", lambda v, n: item("folders", n, v)))
+    wrong = F.array(item("manifest", F.lit(0), F.lit(None).cast("variant")))
+    items = with_head.select("archive", "__head", F.explode(F.when(F.col("__head").isNull(), listed).otherwise(wrong)).alias("i")).select("archive", "__head", "i.*")
+    kinds = {"documents": FIELDS, "folders": {"path": "path", "mcpEnabled": "boolean"}}
+    fields = [F.when(F.col("kind") == name, F.struct(*[_read_field(F.col("v"), path).alias(f"f{k}") for k, path in enumerate(some)])).alias(name) for name, some in kinds.items()]
+    seen = items.select("archive", "__head", "kind", "n", "v", _once(F.struct(*fields)).alias("f"))
+    found_wrong = F.when(F.col("kind") == "manifest", F.array("__head"))
+    for name, some in kinds.items():
+        found_wrong = found_wrong.when(F.col("kind") == name, F.array_compact(F.array(*[_problem(F.col("f")[name][f"f{k}"], kind, path) for k, (path, kind) in enumerate(some.items())])))
+    place = F.when(F.col("kind") == "manifest", "manifest").otherwise(F.concat("kind", F.lit("["), F.col("n").cast("string"), F.lit("]")))
+    checked = seen.select("archive", "kind", place.alias("place"), "v", _once(found_wrong).alias("problems"))
+    errors = checked.select("archive", "place", F.explode("problems").alias("problem"))
+    docs, folders = (checked.filter(F.col("kind") == name) for name in kinds)
     types = {"size": "long", "boolean": "boolean", "day": "date"}
     column = lambda path, kind: F.try_variant_get(F.col("v"), f"$.{path}", types.get(kind.rstrip("?"), "string")).alias(path.replace("files.", "files_"))
     documents = docs.filter(F.size("problems") == 0).select("archive", "place", *[column(p, k) for p, k in FIELDS.items()])
