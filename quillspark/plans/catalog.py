@@ -12,7 +12,7 @@ from ..functions import text as tx
 from ..operators import backup, hierarchy, linkage, naming, postings, processing, relational, search, suggestions
 from ..operators.components import connected_components
 from ..operators.filters import SearchFilter, compile_filter, table_query
-from ..session import Scratch, table
+from ..session import Scratch, dealt, table
 from ..streaming import archive, processors
 from . import search_sql
 from .views import customer_documents, event_scans, folders, order_documents
@@ -542,7 +542,7 @@ CASE WHEN c_custkey % 5 <> 0 AND c_custkey % 17 <> 0 AND c_custkey % 7 = 0 THEN
 )
 def manifest_errors(spark: SparkSession, sf: str) -> DataFrame:
     """A manifest for each customer, many of them wrong in one place or another: what a reader has against them."""
-    c, key = table(spark, sf, "customer"), F.col("c_custkey")
+    c, key = dealt(table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"), "c_custkey"), F.col("c_custkey")
     kind = F.when(F.col("c_mktsegment") == "BUILDING", "guess").otherwise("user")
     files = F.when(key % 7 == 0, F.to_json(F.struct(F.lit("a").alias("original"), F.lit(None).cast("string").alias("archive")), {"ignoreNullFields": "false"})).otherwise(F.lit('{"original":"a","archive":null,"text":null}'))
     doc = F.struct(

@@ -105,3 +105,8 @@ class Scratch:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables; any path that Spark's readers can open."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Short rows from which much is made, dealt out by keys over all shuffle partitions: a small file alone would be few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
