@@ -5,6 +5,7 @@ Per-document readers are small scanners over a text's words; everything about pa
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -31,6 +32,8 @@ LABELS = {
     "policy no.": ("policy", "police", "versicherungsschein"),
     "reference": ("reference", "referenz", "ref", "aktenzeichen", "case"),
 }
+#: The labels' stems by their first letter, in the labels' order: (order, label, stems).
+_STEMS = {c: [(k, label, some) for k, (label, stems) in enumerate(LABELS.items()) if (some := [x for x in stems if x[0] == c])] for c in {x[0] for stems in LABELS.values() for x in stems}}
 NUMBER_WORDS = ("no", "nr", "number", "nummer", "num", "id")
 # Legal forms of companies, openings of letters.
 LEGAL_FORMS = ("GmbH", "mbH", "AG", "KG", "OHG", "UG", "e.V.", "e. V.", "Ltd", "Inc", "LLC", "plc", "Corp", "S.A.", "B.V.")
@@ -78,6 +81,8 @@ def page_markers(text: str, most: int = LINKAGE.max_pages) -> list[tuple[int, in
 
     With a count a marker counts anywhere ("Page 2 of 3", "S. 2 von 3"); without one, or as bare figures ("2/3"), only on a line of its own.
     """
+    if DIGITS.isdisjoint(text):
+        return []
     ts, out = tokens(text), []
 
     def small(k: int) -> int | None:
@@ -150,6 +155,8 @@ def plain_number(value: str) -> str:
 def numbers(text: str) -> list[str]:
     """All numbers as printed: the tokens among which a labelled one may be found again."""
     out, i = [], 0
+    if DIGITS.isdisjoint(text):
+        return out
     while i < len(text):
         if (text[i].isalpha() or text[i] in DIGITS) and not _is_wordy(text, i - 1):
             end = _number_at(text, i)
@@ -194,13 +201,13 @@ def _labelled_at(text: str, low: str, i: int) -> int | None:
 
 def labelled_numbers(text: str, filed, s: Linkage = LINKAGE) -> list[tuple[str, str]]:
     """(label, number as printed): long enough, and no dates."""
+    if DIGITS.isdisjoint(text):
+        return []
     out, low = [], text.lower()
     if len(low) != len(text):  # a letter whose lower case is longer
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     for t in tokens(text):
-        if not t.text[0].isalpha():
-            continue
-        for order, (label, stems) in enumerate(LABELS.items()):
+        for order, label, stems in _STEMS.get(low[t.at], ()):
             ends = (_labelled_at(text, low, t.at + len(stem)) for stem in stems if low.startswith(stem, t.at))
             at = next((x for x in ends if x is not None), None)
             if at is not None:
@@ -273,6 +280,8 @@ def starts_lower(line: str) -> bool:
     return first.islower()
 
 
+#: Characters of a text that is short enough to be remembered.
+SHORT = 256
 FEATURES = (
     "name string, stem string, number double, is_copy boolean, start_page int, start_of int, end_page int, end_of int, "
     "labelled array<struct<label:string,value:string,plain:string>>, numbers array<string>, ends_open boolean, starts_lower boolean, opening string"
@@ -282,6 +291,12 @@ FEATURES = (
 def features_of(filename: str, head: str, tail: str, filed, s: Linkage = LINKAGE) -> dict:
     """The features of one document; ``filed`` is the day it was filed, which stands for today."""
     name, stem, number, is_copy = name_parts(filename)
+    if len(head) + len(tail) <= SHORT and s is LINKAGE:
+        return {"name": name, "stem": stem, "number": number, "is_copy": is_copy, **_short_text_features(head, tail, filed)}
+    return {"name": name, "stem": stem, "number": number, "is_copy": is_copy, **_text_features(head, tail, filed, s)}
+
+
+def _text_features(head: str, tail: str, filed, s: Linkage) -> dict:
     marks = [*page_markers(head, s.max_pages), *page_markers(tail, s.max_pages)]
     (start, start_of), (end, end_of) = (marks[0], marks[-1]) if marks else ((None, None), (None, None))
     whole = f"{head}\n{tail}"
@@ -289,11 +304,17 @@ def features_of(filename: str, head: str, tail: str, filed, s: Linkage = LINKAGE
     found = [{"label": label, "value": v, "plain": plain_number(v)} for label, v in labelled_numbers(whole, filed, s)]
     long = {p for p in map(plain_number, numbers(whole)) if sum(c in DIGITS for c in p) >= s.min_digits}
     return {
-        "name": name, "stem": stem, "number": number, "is_copy": is_copy, "start_page": start, "start_of": start_of, "end_page": end, "end_of": end_of, "labelled": found, "numbers": sorted(long),
+        "start_page": start, "start_of": start_of, "end_page": end, "end_of": end_of, "labelled": found, "numbers": sorted(long),
         "ends_open": ends_open(last[-1]) if last else False, "starts_lower": starts_lower(first[0]) if first else False, "opening": opening(first, filed, s),
     }
 
 
+@functools.lru_cache(maxsize=1 << 14)
+def _short_text_features(head: str, tail: str, filed) -> dict:
+    """Short texts (stamps, covers, pages without print) come again and again, so a worker remembers some of them: 16 MB or so at most."""
+    return _text_features(head, tail, filed, LINKAGE)
+
+
 def with_features(candidates: DataFrame, s: Linkage = LINKAGE) -> DataFrame:
     """(id, created_at, document_date, vendor, mean_embedding and ``FEATURES``) of candidates, each text read once. Write it once, compare it often.
 

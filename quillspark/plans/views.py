@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import dealt, table
 
 
 def order_documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -57,7 +57,7 @@ def event_scans(spark: SparkSession, sf: str, pages: bool = True) -> DataFrame:
     first = F.element_at(F.array(*[F.lit(x) for x in ("Dear reader,", "goes on here", "Muster GmbH", "More text", "17.03.2019 noted")]), (i % 5 + 1).cast("int"))
     labelled = F.when(i % 3 != 0, F.concat(F.lit("Contract no. "), number(F.lit(500000) + user % 3 + i % 2)))
     angle = (i % 10) * 0.3
-    return table(spark, sf, "events").select(
+    return dealt(table(spark, sf, "events").select("event_id", "user_id", "ts", "event_type"), "event_id").select(
         number(i).alias("id"),
         "user_id",
         F.when(i % 6 == 0, "f").alias("folder_id"),

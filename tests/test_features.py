@@ -166,3 +166,21 @@ def test_pairs_run_no_python(spark):
     pairs = spark.createDataFrame([], "a string, b string, gap_s double")
     plan = f.scored(pairs, features)._jdf.queryExecution().toString()
     assert "Python" not in plan and "MapInPandas" not in plan and "ArrowEval" not in plan
+
+
+def test_scans_are_dealt_out_and_read_alike(spark, tmp_path):
+    """A small file of events is read by more than one task, and a text that comes again is read as it was at first."""
+    import datetime as dt
+
+    from quillspark.operators import features
+    from quillspark.plans.views import event_scans
+
+    rows = [(i, dt.datetime(2024, 1, 1 + i % 3), i % 5, "view") for i in range(400)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    scans = event_scans(spark, str(tmp_path))
+    assert scans.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and scans.count() == 400
+    filed = dt.date(2024, 1, 5)
+    for head, tail in (("Page 2 of 3\nContract no. 500123", "the end.\n500000"), ("Dear reader,", "and so on,"), ("17.03.2019 noted", ""), ("", "")):
+        one, two = (features.features_of(n, head, tail, filed) for n in ("scan_1.png", "scan_2 (1).png"))
+        long = features.features_of("scan_1.png", head, f"{tail}{' ' * features.SHORT}", filed)
+        assert one == long and one["name"] == "scan_1" and two["is_copy"] and {k: v for k, v in one.items() if k not in ("name", "stem", "number", "is_copy")}.items() <= two.items()
