@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 from ..session import Scratch
 
@@ -15,6 +16,10 @@ STEPS = ("inspect", "text", "ocr", "pdf-text", "ebook", "vision", "metadata", "i
 DONE = ("succeeded", "skipped")
 
 
+def _status(failed: Column, done: Column, running: Column) -> Column:
+    return F.when(failed, "failed").when(done, "ready").when(running, "processing").otherwise("uploaded")
+
+
 def fold_status(steps: DataFrame, document: str = "document_id") -> DataFrame:
     """(document, status, next_step, done, attempts): what the rows of a document's steps come to.
 
@@ -22,7 +27,7 @@ def fold_status(steps: DataFrame, document: str = "document_id") -> DataFrame:
     """
     first_open = F.min(F.when(~F.col("status").isin(*DONE), F.struct("position", "step")))
     return steps.groupBy(document).agg(
-        F.when(F.bool_or(F.col("status") == "failed"), "failed").when(F.bool_and(F.col("status").isin(*DONE)), "ready").when(F.bool_or(F.col("status") == "running"), "processing").otherwise("uploaded").alias("status"),
+        _status(F.bool_or(F.col("status") == "failed"), F.bool_and(F.col("status").isin(*DONE)), F.bool_or(F.col("status") == "running")).alias("status"),
         first_open["step"].alias("next_step"),
         F.count_if(F.col("status").isin(*DONE)).alias("done"),
         F.sum("attempts").alias("attempts"),
@@ -41,20 +46,54 @@ def step_status(steps: list[tuple[int, str, str, str | None, int]]) -> tuple[str
 def fold_step_events(events: DataFrame, names: tuple[str, ...] = STEPS, place: str | None = None) -> DataFrame:
     """(document_id, status, next_step, done, attempts, error) of a table of step events, see ``streaming.processors.step_stream``.
 
-    Of a step's events the last by (at, seq) decides, of equal ones the first by the column ``place`` (without it, the least
-    by status and error); a plan is an event of every step.
+    Of a step's events the last by (at, seq) decides, none being the last of all, of equal ones the first by the column ``place``
+    (without it, the least by status and error); a plan is an event of every step.
+
+    Events are shuffled once, by document, as they are (a plan is one row, not one for each step), and sorted by document there.
     """
-    first = F.col(place) if place else F.lit(0)
-    order = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)])
-    planned = F.transform(F.array(*[F.lit(n) for n in names]), lambda n: F.struct(n.alias("step"), F.when(F.array_contains("steps", n), "queued").otherwise("skipped").alias("status")))
-    own = F.array(F.struct(F.col("step"), F.when(F.col("kind") == "started", "running").otherwise(F.col("kind")).alias("status")))
-    rows = events.select("document_id", "seq", "at", "error", first.alias("place"), F.explode(F.when(F.col("kind") == "planned", planned).otherwise(own)).alias("s")).select("document_id", "seq", "at", "error", "place", "s.step", "s.status")
-    told = F.struct("status", F.when(F.col("status") == "failed", F.col("error")).alias("error"))
-    once = rows.groupBy("document_id", "step", "at", "seq").agg(F.min_by(told, F.struct(F.col("place"), told)).alias("told"), F.count_if(F.col("status") == "running").alias("attempts"))
-    steps = once.groupBy("document_id", "step").agg(F.max_by("told", F.struct("at", "seq")).alias("last"), F.sum("attempts").alias("attempts"))
-    flat = steps.select("document_id", "step", "last.status", "last.error", "attempts", F.coalesce(order[F.col("step")], F.lit(len(names))).alias("position"))
-    error = F.min(F.when(F.col("status") == "failed", F.struct("position", "step", "error")))["error"]
-    return fold_status(flat).join(flat.groupBy("document_id").agg(error.alias("error")), "document_id")
+    planned, at = F.col("kind") == "planned", F.col("at")
+    status = F.when(F.col("kind") == "started", "running").otherwise(F.col("kind"))
+    place_of = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("step"))
+    number = F.when(planned, -1).when(place_of > 0, place_of - 1).cast("int")  # null: a step of another name
+    queued = sum((F.when(F.array_contains("steps", n), F.lit(1 << i)).otherwise(0) for i, n in enumerate(names)), F.lit(0))
+    # time and number fall as they rise, so that the least row is the last
+    late = F.expr("timestamp_ntz'1970-01-01'") - at if events.schema["at"].dataType == TimestampNTZType() else F.bitwise_not(F.unix_micros(at))
+    rows = events.select(
+        "document_id",
+        number.alias("number"),
+        F.when(number.isNull(), F.col("step")).alias("other"),
+        F.when(planned, queued).alias("queued"),
+        late.alias("late"),
+        F.bitwise_not("seq").alias("seq"),
+        (F.col(place) if place else F.lit(0)).alias("place"),
+        status.alias("status"),
+        F.when(status == "failed", F.col("error")).alias("error"),
+    ).repartition("document_id")
+    told = lambda s: F.struct("late", "seq", "place", s.alias("status"), "error")
+    plan = lambda i: F.when(F.col("queued").bitwiseAND(1 << i) > 0, "queued").otherwise("skipped")
+    last = [F.min(F.when(F.col("number") == i, told(F.col("status"))).when(F.col("number") == -1, told(plan(i)))).alias(f"s{i}") for i in range(len(names))]
+    last.append(F.min(F.when(F.col("number").isNull(), told(F.col("status")))).alias("s_other"))
+    steps = rows.groupBy("document_id", F.col("number").isNotNull().alias("known"), "other").agg(*last, F.count_if(F.col("status") == "running").alias("attempts"))
+    each = [(F.lit(i), F.lit(n), F.col(f"s{i}")) for i, n in enumerate(names)] + [(F.lit(len(names)), F.col("other"), F.col("s_other"))]
+    done = lambda s: s["status"].isin(*DONE)
+    # greatest and least pass over the steps that a document has no events of
+    parts = steps.select(
+        "document_id",
+        F.greatest(*[s["status"] == "failed" for _, _, s in each]).alias("failed"),
+        F.least(*[done(s) for _, _, s in each]).alias("ready"),
+        F.greatest(*[s["status"] == "running" for _, _, s in each]).alias("running"),
+        F.least(*[F.when(~done(s), F.struct(i.alias("position"), n.alias("step"))) for i, n, s in each]).alias("open"),
+        sum((F.when(done(s), 1).otherwise(0) for _, _, s in each), F.lit(0)).alias("done"),
+        "attempts",
+        F.least(*[F.when(s["status"] == "failed", F.struct(i.alias("position"), n.alias("step"), s["error"].alias("error"))) for i, n, s in each]).alias("error"),
+    )
+    return parts.groupBy("document_id").agg(
+        _status(F.bool_or("failed"), F.bool_and("ready"), F.bool_or("running")).alias("status"),
+        F.min("open")["step"].alias("next_step"),
+        F.sum("done").alias("done"),
+        F.sum("attempts").alias("attempts"),
+        F.min("error")["error"].alias("error"),
+    )
 
 
 def catch_up(documents: DataFrame, steps: DataFrame, names: tuple[str, ...] = STEPS) -> DataFrame:

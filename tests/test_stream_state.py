@@ -261,6 +261,37 @@ def test_step_events_of_line_items_that_tie(spark, tmp_path):
     assert got == {i: status[pair[0]] for i, pair in orders}
 
 
+def folded_by_hand(rows):
+    """Of rows in their stored order, with a missing time as the greatest."""
+    steps, out = {}, {}
+    for doc, seq, at, step, kind, error, enabled in rows:
+        of = [(n, "queued" if n in (enabled or ()) else "skipped") for n in processing.STEPS] if kind == "planned" else [(step, "running" if kind == "started" else kind)]
+        for name, status in of:
+            key, old = (at is None, at or START, seq), steps.setdefault(doc, {}).get(name)
+            attempts = (old[3] if old else 0) + (status == "running")
+            steps[doc][name] = (key, status, error if status == "failed" else None, attempts) if old is None or key > old[0] else (*old[:3], attempts)
+    for doc, of in steps.items():
+        place = lambda n: processing.STEPS.index(n) if n in processing.STEPS else len(processing.STEPS)
+        out[doc] = processing.step_status([(place(n), n, status, error, attempts) for n, (_, status, error, attempts) in of.items()])
+    return out
+
+
+@pytest.mark.parametrize("time", ["timestamp", "timestamp_ntz"])
+def test_fold_equals_a_fold_by_hand_and_shuffles_once(spark, time):
+    """Ties, plans that cross, steps of other names, documents without an id and events without a time; one shuffle, and a plan is one row."""
+    rng, rows = random.Random(11), []
+    for n in range(1500):
+        at = rng.choice([None, *[START + dt.timedelta(days=d, microseconds=d) for d in range(-2, 3)]])
+        kind = rng.choice(["planned", "started", "succeeded", "succeeded", "skipped", "failed", "queued"])
+        enabled = rng.choice([None, [], rng.sample(processing.STEPS, 4)]) if kind == "planned" else None
+        rows.append((rng.choice([None, *[f"d{i}" for i in range(150)]]), rng.randint(-1, 2), at, None if kind == "planned" else rng.choice([*processing.STEPS, "beyond", "aside"]), kind, f"e{n}", enabled))
+    events = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], f"{EVENT}, place int").withColumn("at", F.col("at").cast(time))
+    got = processing.fold_step_events(events.repartition(3), place="place").select("document_id", "status", "next_step", "done", "attempts", "error")
+    assert {r[0]: tuple(r)[1:] for r in got.collect()} == folded_by_hand(rows)
+    plan = processing.fold_step_events(events, place="place")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Generate" not in plan
+
+
 def test_limits_go_by_the_nearest_millisecond(spark, tmp_path):
     """The second attempt rounds up and the third down, so the wait is a whole number of seconds and not a second more or less."""
     at = lambda us: START + dt.timedelta(microseconds=us)
