@@ -356,13 +356,15 @@ SELECT id, CASE WHEN bool_or(status = 'failed') THEN 'failed' WHEN bool_and(stat
 CAST(count(*) FILTER (status IN ('succeeded', 'skipped')) AS BIGINT) AS done, CAST(sum(attempts) AS BIGINT) AS attempts, 'e' || arg_min(last, position) FILTER (status = 'failed') AS error FROM g GROUP BY id"""
 )
 def step_events(spark: SparkSession, sf: str) -> DataFrame:
-    """Line items as events of their order's steps, the first of each a plan: where each order stands. Of events with one time and number the first stored counts."""
+    """Line items as events of their order's steps, the first of each a plan: where each order stands. Of events with one time and number the first stored counts (the SQL leaves it open). Lines without a number from 1 on, and later ones whose supplier gives no step, are no events."""
     i, line = F.col("l_orderkey"), F.col("l_linenumber")
     names = lambda *some: F.array(*[F.lit(processing.STEPS[k]) for k in some])
-    step = F.element_at(names(*range(len(processing.STEPS))), (F.col("l_suppkey").cast("long") % 9 + 1).cast("int"))
+    nth = F.col("l_suppkey").cast("long") % 9
+    step = F.get(names(*range(len(processing.STEPS))), nth.cast("int"))
     kind = F.when(line == 1, "planned").otherwise(F.expr(_KIND))
     stored = F.struct(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
-    events = table(spark, sf, "lineitem").select(stored.alias("place"), i.alias("document_id"), line.cast("long").alias("seq"), F.col("l_shipdate").alias("at"), step.alias("step"), kind.alias("kind"), F.concat(F.lit("e"), line.cast("string")).alias("error"), F.when(i % 2 == 0, names(0, 1, 2, 6)).otherwise(names(0, 1, 6)).alias("steps"))
+    lines = table(spark, sf, "lineitem").filter((line == 1) | ((line > 1) & (nth >= 0)))
+    events = lines.select(stored.alias("place"), i.alias("document_id"), line.cast("long").alias("seq"), F.col("l_shipdate").alias("at"), step.alias("step"), kind.alias("kind"), F.concat(F.lit("e"), line.cast("string")).alias("error"), F.when(i % 2 == 0, names(0, 1, 2, 6)).otherwise(names(0, 1, 6)).alias("steps"))
     return processing.fold_step_events(events, place="place").select(F.col("document_id").alias("id"), "status", "next_step", F.col("done").cast("long").alias("done"), "attempts", "error")
 
 

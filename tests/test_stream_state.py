@@ -292,6 +292,25 @@ def test_fold_equals_a_fold_by_hand_and_shuffles_once(spark, time):
     assert plan.count("Exchange") == 1 and "Generate" not in plan
 
 
+def test_step_events_of_odd_line_items_equal_the_sql(spark, tmp_path):
+    """Orders, parts, suppliers, numbers and times that are missing or below nought; no two lines of an order have both time and number in common."""
+    duckdb = pytest.importorskip("duckdb")
+    from quillspark.plans import catalog
+
+    rng, rows = random.Random(5), {}
+    for n in range(3000):
+        ids = [None, *range(-3, 400)]
+        row = (rng.choice(ids), rng.choice([None, *range(-9, 30)]), rng.choice([None, *range(-12, 30)]), rng.choice([None, *range(-1, 8)]), rng.choice([None, *[START + dt.timedelta(days=d) for d in range(4)]]))
+        rows.setdefault((row[0], row[3], row[4]), row)
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_shipdate timestamp_ntz"
+    spark.createDataFrame(list(rows.values()), schema).repartition(2).write.parquet(str(tmp_path / "lineitem.parquet"))
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+        want = db.execute(catalog.oracle_sql()["step_events"]).fetchall()
+    got = [tuple(r) for r in catalog.step_events(spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) > 350 and set(got) == set(want)
+
+
 def test_limits_go_by_the_nearest_millisecond(spark, tmp_path):
     """The second attempt rounds up and the third down, so the wait is a whole number of seconds and not a second more or less."""
     at = lambda us: START + dt.timedelta(microseconds=us)
